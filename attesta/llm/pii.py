@@ -210,8 +210,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = F
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text).cast("long"), F.col("n_chars")))
     if counts:
-        for kind in KINDS:
-            out = out.withColumn(f"n_{kind}", F.coalesce(F.size(F.filter("_found", lambda e, k=kind: e["kind"] == k)), F.lit(0)).cast("long"))
+        kinds = F.coalesce(F.col("_found.kind"), F.expr("cast(array() as array<string>)"))
+        out = out.withColumns({f"n_{kind}": (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long") for kind in KINDS})
     return out.drop("_found")
 
 

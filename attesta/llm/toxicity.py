@@ -19,32 +19,38 @@ from attesta.llm.common import ascii_words, table, text_bytes
 #: Hash space of features; labelled rows that a fit uses at most; passes over them.
 SPACE, FIT_ROWS, PASSES = 1 << 20, 12_000, 4
 #: Rows kept from each pass of the fit in memory: features of FIT_ROWS texts in one task (about 4 bytes for each of 3 features a word).
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.6, 0.3
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
+#: Lengths of stems, in bytes.
+STEMS = (4, 5, 6)
 #: Feature kinds are told apart by these odd multipliers.
 FIRST, SECOND, SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 class Hasher:
-    """Feature numbers of a text: its words, pairs of neighbours, and pairs with one word between, once each."""
+    """Feature numbers of a text, once each: its words, their stems (first STEMS bytes), pairs of neighbours, and pairs with one word between."""
 
-    def __init__(self, space: int = SPACE):
+    def __init__(self, space: int = SPACE, words: int = 300_000):
         self.space, self.known = space, {}
+        self.hashes = np.zeros((words, 1 + len(STEMS)), np.uint64)
 
     def __call__(self, text: bytes) -> np.ndarray:
         import xxhash
 
-        known, words = self.known, ascii_words(text)
-        if len(known) > 500_000:
+        words, known = ascii_words(text), self.known
+        fresh = [w for w in set(words) if w not in known]
+        if len(known) + len(fresh) > len(self.hashes):
             known.clear()
-        h = np.empty(len(words), np.uint64)
-        for k, w in enumerate(words):
-            x = known.get(w)
-            if x is None:
-                x = known[w] = xxhash.xxh64_intdigest(w)
-            h[k] = x
+            fresh = list(set(words))
+            if len(fresh) > len(self.hashes):
+                self.hashes = np.zeros((2 * len(fresh), 1 + len(STEMS)), np.uint64)
+        for w in fresh:
+            self.hashes[len(known)] = [xxhash.xxh64_intdigest(w), *(xxhash.xxh64_intdigest(w[:k], seed=k) for k in STEMS)]
+            known[w] = len(known)
+        h = self.hashes[np.array([known[w] for w in words], np.int64)]
+        word = h[:, 0]
         with np.errstate(over="ignore"):
-            found = np.concatenate((h * FIRST, h[:-1] * FIRST + h[1:] * SECOND, h[:-2] * FIRST + h[2:] * SKIP))
+            found = np.concatenate((h.ravel() * FIRST, word[:-1] * FIRST + word[1:] * SECOND, word[:-2] * FIRST + word[2:] * SKIP))
             found ^= found >> np.uint64(31)
         return np.unique((found % np.uint64(self.space)).astype(np.int32))
 
