@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import chat, decontaminate, ngram_join, packing, pii, simhash, tokens, toxicity, urls
+from attesta.llm import chat, decontaminate, ngram_join, packing, pii, repeats, simhash, tokens, toxicity, urls
 
 
 def _pipeline(spark, sf_dir: str):
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op3_chat": chat.op3_chat,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_packing": packing.op5_packing,
+        "op6_repeats": repeats.op6_repeats,
         "op7_token_counts": tokens.op7_token_counts,
         "op8_urls": urls.op8_urls,
         "op9_pii": pii.op9_pii,
