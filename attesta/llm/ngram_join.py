@@ -29,7 +29,10 @@ BLOCK_SHARE = 0.48
 #: Ids sent to all executors at most; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Rounds that pair neighbours by another order before all pairs left are tested.
-ROUNDS = 3
+ROUNDS = 2
+#: A key with more nodes than this is common. Nodes emit SPARE more keys in a hundred than the pigeonhole needs, and
+#: common keys are passed over by nodes that keep enough others; nodes that don't are paired within common keys too.
+COMMON, SPARE = 24, 25
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _P = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -93,11 +96,13 @@ def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     return out
 
 
-def block_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The join keys of a set: its first d + 1 non-empty sketch words in each of its bands.
+def block_keys(s: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np.ndarray]]:
+    """(band, spare, keys): the join keys of a set in each of its bands, and how many it can do without.
 
-    Where a set has too few non-empty words, another such set can be met by its smallest hashes instead (as many as two
-    similar sets must share one of); one set with enough words suffices for a pair.
+    Keys are the set's first non-empty sketch words, d + 1 of them and some more. Two similar sets agree on one of any
+    d + 1; if one of the two has at most `spare` keys that are passed over, they agree on another. Where a set has too few
+    non-empty words (spare is negative), another such set can be met by its smallest hashes instead, of which two similar
+    sets share one; one set with enough words suffices for a pair.
     """
     out = []
     for band, d in bands(len(s), percent):
@@ -106,12 +111,15 @@ def block_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         blocks = int(BLOCK_SHARE * (1 << band)) + 2
         own = ((s >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # s is sorted, so blocks are
         start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        words = np.bitwise_xor.reduceat(s, start)[: d + 1]
+        take = d + 3 + d * SPARE // 100
+        words = np.bitwise_xor.reduceat(s, start)[:take]
         with np.errstate(over="ignore"):
-            out.append(mix(words ^ mix(own[start][: d + 1] + np.uint64(band << 32) + np.uint64(1))))
-            if len(start) <= d:
-                out.append(mix(mix(s)[np.argsort(mix(s))][: len(s) - -(-percent * len(s) // 100) + 1] + _P[5] * np.uint64(band + 1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys = mix(words ^ mix(own[start][:take] + np.uint64(band << 32) + np.uint64(1)))
+            spare = len(keys) - d - 1
+            if spare < 0:
+                keys = np.concatenate((keys, mix(mix(s)[np.argsort(mix(s))][: len(s) - -(-percent * len(s) // 100) + 1] + _P[5] * np.uint64(band + 1))))
+        out.append((band, spare, keys))
+    return out
 
 
 def bit_sketch(s: np.ndarray, band: int) -> bytes:
@@ -155,7 +163,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, node, n) for each join key of each row's set."""
+    """(key, node, n, spare) for each join key of each row's set. spare also tells bands of one node apart."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -163,16 +171,18 @@ def keyed(docs: DataFrame) -> DataFrame:
         sets = Shingler()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                keys, nodes, sizes = [], [], []
+                keys, facts, times = [np.zeros(0, np.uint64)], [], []
                 for t in text_bytes(batch.slice(lo, 200).column(1)):
                     s = sets(t)
-                    k = block_keys(s) if len(s) else s
-                    keys.append(k.astype(np.int64))
-                    nodes.append(np.full(len(k), _node(s)[0], np.int64))
-                    sizes.append(np.full(len(k), len(s), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
+                    for band, spare, own in block_keys(s) if len(s) else ():
+                        keys.append(own)
+                        times.append(len(own))
+                        facts.append((_node(s)[0], len(s), spare * 64 + band))
+                facts = np.repeat(np.array(facts, np.int64).reshape(-1, 3), np.array(times, np.int64), axis=0)
+                columns = [np.concatenate(keys).astype(np.int64), facts[:, 0], facts[:, 1].astype(np.int32), facts[:, 2]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "n", "spare"])
 
-    return docs.mapInArrow(run, "key long, node long, n int")
+    return docs.mapInArrow(run, "key long, node long, n int, spare long")
 
 
 def _ids_semi(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -260,8 +270,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         raise ValueError("two different sets share a 64-bit number")
     reps = nodes.select("node", "rep")
     by_key = Window.partitionBy("key")
-    met = keyed(base).distinct().select("key", "node", "n", F.count("*").over(by_key).alias("g")).where("g > 1").select("key", "node", "n")
-    met = materialise(met, "met")
+    # dealt by key first: taking equal rows out, counting and ordering then need no other shuffle
+    met = keyed(base).repartition("key").dropDuplicates(["key", "node", "n", "spare"]).withColumn("g", F.count("*").over(by_key))
+    met = materialise(met.where("g > 1").withColumn("common", F.col("g") > COMMON).drop("g"), "met")
+    bound = met.where("common").groupBy("node", "spare").count().where("count > floor(spare / 64)").select("node").distinct()
+    bound = materialise(bound.withColumn("bound", F.lit(True)), "bound")
 
     tested, links, label = None, None, None
     for k in range(ROUNDS + 1):
@@ -270,12 +283,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         else:  # keys whose nodes are all in one component have nothing left to link
             left = met.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            left = materialise(left.join(mixed, "key").select("key", "node", "n", "comp"), "mixed")
+            left = materialise(left.join(mixed, "key").select("key", "node", "n", "common", "comp"), "mixed")
         if k < ROUNDS:
             pairs = _neighbours(left, F.xxhash64("node", F.lit(k)), "comp")
         else:
-            other = left.withColumnsRenamed({"node": "o", "n": "m", "comp": "c"})
-            pairs = left.join(other, "key").where("node < o and comp <> c").where(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct()
+            other = left.select("key", F.col("node").alias("o"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("common").alias("oc"))
+            sizes = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+            few = left.where("not common").join(other.where("not oc"), "key").where("node < o and comp <> c").where(sizes)
+            many = left.where("common").join(bound, "node").join(other.where("oc"), "key").where("comp <> c").where(sizes)
+            pairs = few.select("node", "o").union(many.select("node", "o")).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
