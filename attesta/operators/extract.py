@@ -22,9 +22,11 @@ def mentions(texts: DataFrame, variants: DataFrame, by: str = "doc_id") -> DataF
     texts: (by, norm); variants: (entity_id, variant), folded. Texts meet variants over the variant's first word, so no
     text is compared with every entity.
     """
-    words = texts.select(by, "norm", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
+    tokens = texts.withColumn("tokens", F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0)))
+    words = tokens.select(by, "norm", "tokens", F.explode(F.array_distinct("tokens")).alias("word"))
     wanted = variants.withColumn("word", F.regexp_extract("variant", r"(?U)\w+", 0))
-    hit = F.regexp_count("norm", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)")))
+    phrase = F.regexp_count("norm", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)")))
+    hit = F.when(F.col("variant") == F.col("word"), F.size("tokens") - F.size(F.array_remove("tokens", F.col("word")))).otherwise(phrase)
     return words.join(wanted, "word").withColumn("n", hit).where("n > 0").groupBy("entity_id", by).agg(F.sum("n").cast("long").alias("n"))
 
 

@@ -99,10 +99,13 @@ def locate_quotes(claims: DataFrame, least: float = 0.85) -> DataFrame:
         return F.coalesce(wording, F.when(F.contains(norm_words(F.col(c)), qn), q))
 
     rows = claims.where(F.length(qn) >= 15)
-    exact = F.when(F.contains(squash(F.col("text")), q), F.struct(q.alias("located"), F.lit(False).alias("repaired"), F.lit(False).alias("in_context"), F.lit(0).alias("stage")))
-    exact = exact.when(F.contains(squash(F.col("context")), q), F.struct(q, F.lit(False), F.lit(True), F.lit(1)))
-    exact = exact.when(stage("text").isNotNull(), F.struct(stage("text"), F.lit(True), F.lit(False), F.lit(2)))
-    exact = exact.when(stage("context").isNotNull(), F.struct(stage("context"), F.lit(True), F.lit(True), F.lit(4)))
+    as_found = lambda where, repaired, in_context, k: F.struct(where.alias("located"), F.lit(repaired).alias("repaired"), F.lit(in_context).alias("in_context"), F.lit(k).alias("stage"))
+    exact = (
+        F.when(F.contains(squash(F.col("text")), q), as_found(q, False, False, 0))
+        .when(F.contains(squash(F.col("context")), q), as_found(q, False, True, 1))
+        .when(stage("text").isNotNull(), as_found(stage("text"), True, False, 2))
+        .when(stage("context").isNotNull(), as_found(stage("context"), True, True, 4))
+    )
     rows = rows.withColumn("x", exact)
     done = rows.where("x is not null").select("finding_id", "passage_order", "x.*")
     left = rows.where("x is null").join(done.select("finding_id").distinct(), "finding_id", "left_anti").withColumn("near", _nearest("quote", "text"))

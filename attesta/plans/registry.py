@@ -1,11 +1,675 @@
-"""All registered queries and the SQL they are held against."""
+"""All registered queries and the SQL they are held against. Each query reads whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from attesta.functions import text as X
+from attesta.functions import urls as U
+from attesta.operators import corpus as C
+from attesta.operators import extract as D
+from attesta.operators import passages as E
+from attesta.operators import profile as H
+from attesta.operators import quiz as G
+from attesta.operators import responses as R
+from attesta.sources import pages as P
+from attesta.sources import store as S
+from attesta.streaming import ingest as I
+
+#: Names that the invented texts hold, and words that stand in for the lexicons.
+NAMES = ["thon", "anea", "erin", "eron"]
+WORDS = ["thing", "ander", "ought"]
+GOOD, BAD = ["tion", "able"], ["idiot", "trash", "scum"]
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _variants(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n, n) for n in NAMES], "entity_id string, variant string")
+
+
+_Q: dict = {}
+_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_WORD = r"(^|[^\p{{L}}\p{{N}}_]){}([^\p{{L}}\p{{N}}_]|$)"
+_NORM = "lower(strip_accents(text))"
+_SENT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_FP = r"left(trim(regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), {})"
+_PARAS = f"""raw as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+paras as (select doc_id, pos, text, norm from (select *, row_number() over (partition by doc_id, norm order by pos) rn from (select doc_id, pos, text, {_NORM} norm from raw where length(text) >= 20)) where rn = 1)"""
+_NAMES = "names as (select unnest(['thon', 'anea', 'erin', 'eron']) as entity_id)"
+_TOKENS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+')"
+
+
+# ---- sources and sinks
+@query(r"""select min(page_id) as page_id, final_url from (select page_id, case when q = '' then base else base || '?' || q end as final_url from (
+select page_id, html, regexp_extract(bare, '^([^?]*)', 1) as base, array_to_string(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|mc_[^=]*|ref)(=.*)?$')), '&') as q
+from (select *, regexp_replace(trim(url), '#.*$', '') as bare from pages)) where contains(lower(left(html, 2000)), '<html')) group by final_url""")
+def a1_read_pages(spark, d):
+    return P.read_pages(spark, f"{d}/pages.parquet").select("page_id", "final_url")
+
+
+@query("""select event_type as kind, user_id, event_id, value from (select *, row_number() over (partition by event_type, user_id order by ts desc, event_id desc) rn from events) where rn = 1""")
+def a4_latest_results(spark, d):
+    rows = _t(spark, d, "events").select(F.col("event_type").alias("kind"), "user_id", "event_id", "value", "ts")
+    return S.latest(rows, ["kind", "user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).drop("ts")
+
+
+@query("select event_type as kind, count(*) as n from events group by event_type")
+def a5_inventory(spark, d):
+    return S.inventory(_t(spark, d, "events").select(F.col("event_type").alias("kind")))
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2")
+def s1_hourly_counts(spark, d):
+    return I.hourly_counts(_t(spark, d, "events")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+# ---- text and URLs
+@query(f"select doc_id, md5({_NORM}) as folded from documents")
+def b1_fold(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
+
+
+@query(r"select doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as squashed from documents")
+def b2_squash(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(X.squash(F.col("text"))).alias("squashed"))
+
+
+@query(f"select doc_id, regexp_matches({_NORM}, '{_WORD.format('thing')}') as has from documents")
+def b3_has_word(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.has_word(X.fold(F.col("text")), "thing").alias("has"))
+
+
+@query(rf"select doc_id, regexp_matches({_NORM}, '(^|[^\p{{L}}\p{{N}}_])(thing|ander)') as has from documents")
+def b4_has_prefix(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.has_prefix(X.fold(F.col("text")), "thing", "ander").alias("has"))
+
+
+@query(r"""select page_id, case when q = '' then base else base || '?' || q end as url from (
+select page_id, regexp_extract(bare, '^([^?]*)', 1) as base, array_to_string(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|mc_[^=]*|ref)(=.*)?$')), '&') as q
+from (select page_id, regexp_replace(trim(url), '#.*$', '') as bare from pages))""")
+def b5_normalize_url(spark, d):
+    return _t(spark, d, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url"))
+
+
+@query(r"select page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') as host from pages")
+def b6_hostname(spark, d):
+    return _t(spark, d, "pages").select("page_id", U.hostname(F.col("url")).alias("host"))
+
+
+@query(r"select page_id, (host = 'example.org' or ends_with(host, '.example.org')) as official from (select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) as host from pages)")
+def b7_is_official(spark, d):
+    return _t(spark, d, "pages").select("page_id", U.is_official(U.hostname(F.col("url")), ["example.org"]).alias("official"))
+
+
+@query(f"select doc_id, {_FP.format('text', 300)} as fp from documents")
+def b8_fingerprint(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.fingerprint(F.col("text")).alias("fp"))
+
+
+@query(f"select doc_id, md5(array_to_string(regexp_extract_all({_NORM}, '[a-z0-9]+'), ' ')) as words from documents")
+def b9_norm_words(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(X.norm_words(F.col("text"))).alias("words"))
+
+
+@query("select c_custkey, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from customer")
+def b10_slug(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", X.slug(F.col("c_name")).alias("slug"))
+
+
+@query("select page_id, left(sha256(url), 12) as doc_id, left(sha256(url || html), 12) as statement_id from pages")
+def b11_ids(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.document_id(F.col("url")).alias("doc_id"), X.statement_id(F.col("url"), F.col("html")).alias("statement_id"))
+
+
+@query(f"select doc_id, len({_SENT}) as n, md5({_SENT}[1]) as first from documents")
+def b12_split_sentences(spark, d):
+    s = X.split_sentences(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.get(s, 0)).alias("first"))
+
+
+@query()
+def b14_split_chunks(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(X.split_chunks(F.col("text"), 500)).alias("k", "piece"))
+    return rows.select("doc_id", "k", F.length("piece").alias("n"))
+
+
+@query("""select doc_id, md5(translate(text, '„“”«»‘’"', '''''''''''''''''')) as plain from documents""")
+def b15_plain_quotes(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(X.plain_quotes(F.col("text"))).alias("plain"))
+
+
+@query(r"select doc_id, case when length(s) > 80 then regexp_replace(left(s, 80), ' [^ ]*$', '') || '…' else s end as lead from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as s from documents)")
+def b16_cut_words(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.cut_words(F.col("text"), 80).alias("lead"))
+
+
+@query("select doc_id, cast(floor(length(text) / 2.6) as bigint) + 1 as tokens, cast(floor(greatest(n_chars, 0) * 2.6) as bigint) as chars from documents")
+def b17_tokens(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.est_tokens(F.col("text")).alias("tokens"), X.chars_for_tokens(F.col("n_chars")).alias("chars"))
+
+
+@query("select o_orderkey, try_cast(left(strftime(o_orderdate, '%Y-%m-%d'), 4) as int) as year from orders")
+def b18_year_of(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", X.year_of(F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")).alias("year"))
+
+
+@query("""select distinct p_partkey, v as variant from (select p_partkey, unnest([array_to_string(w, ' '), case when len(w) > 1 then w[-1] || ' ' || array_to_string(w[1:len(w)-1], ' ') end, case when len(w) > 1 then w[1] || ' ' || w[-1] end, case when len(w) > 1 then w[-1] || ' ' || w[1] end]) as v from (select p_partkey, string_split(trim(p_name), ' ') as w from part)) where v is not null""")
+def b19_name_variants(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.explode(X.name_variants(F.col("p_name"))).alias("variant"))
+
+
+# ---- pages to corpus
+@query()
+def c1_html_blocks(spark, d):
+    return C.html_blocks(_t(spark, d, "pages"))
+
+
+@query()
+def c2_html_blocks_strict(spark, d):
+    return C.html_blocks(_t(spark, d, "pages"), "strict").where("href is null").select("page_id", "pos", "text")
+
+
+@query(f"with {_PARAS} select doc_id, pos, md5(text) as h from paras")
+def c3_paragraphs(spark, d):
+    return C.text_paragraphs(_t(spark, d, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("h"))
+
+
+@query()
+def c4_page_links(spark, d):
+    pages = _t(spark, d, "pages")
+    return C.page_links(C.html_blocks(pages), pages)
+
+
+@query(r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as title from pages""")
+def c5_page_title(spark, d):
+    return _t(spark, d, "pages").select("page_id", C.page_title(F.col("html")).alias("title"))
+
+
+@query()
+def c6_page_facts(spark, d):
+    return _t(spark, d, "pages").select("page_id", C.page_date(F.col("html"), F.col("url")).alias("date"), C.page_author(F.col("html")).alias("author"), C.page_author_v1(F.col("html")).alias("strict_author"))
+
+
+@query(r"""select page_id, least(100, 20 + case when official then 45 else 0 end + case when regexp_matches(w, 'steno|discurs|declar|interviu|comunicat|conferint|plen|sedint') then 15 else 0 end + case when regexp_matches(w, 'educat|stud|univers|facultat|liceu|finant|buget|fondur|pnrr|grant|investit|biograf') then 8 else 0 end + case when n > 2500 then 5 else 0 end + case when n > 7000 then 5 else 0 end) as score,
+case when regexp_matches(w, 'steno|sedint|plen') then 'stenogramă' when regexp_matches(w, 'discurs|alocu|adresare|mesaj') then 'discurs' when regexp_matches(w, 'interviu|invitat|emisiun') then 'interviu' when regexp_matches(w, 'comunicat|press') then 'comunicat' when regexp_matches(w, 'declar|intervent|conferint') then 'declarație' when regexp_matches(w, 'educat|stud|facultat|univers|liceu|scoal|biograf') then 'educație' when regexp_matches(w, 'finant|buget|fondur|pnrr|grant|investit|tax|impozit') then 'finanțare' else 'articol' end as kind
+from (select page_id, length(html) as n, false as official, lower(strip_accents(url)) as w from pages)""")
+def c9_source_score(spark, d):
+    pages = _t(spark, d, "pages")
+    none, host = F.lit(None).cast("string"), U.hostname(F.col("url"))
+    return pages.select("page_id", C.source_score(none, F.col("url"), host, F.length("html")).alias("score"), C.article_kind(none, F.col("url")).alias("kind"))
+
+
+@query(f"with {_PARAS} select doc_id, md5(string_agg(text, chr(10) || chr(10) order by pos)) as h, count(*) as n from paras group by doc_id")
+def c11_document_text(spark, d):
+    paras = C.text_paragraphs(_t(spark, d, "documents"))
+    counts = paras.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return C.document_text(paras).join(counts, "doc_id").select("doc_id", F.md5("text").alias("h"), "n")
+
+
+@query()
+def c12_crawl_frontier(spark, d):
+    """Links run from page to page of one host in order of their numbers; the two smallest pages of each host are the seeds."""
+    from attesta.operators.corpus import keep_first
+
+    _checkpoint_dir(spark)
+    pages = _t(spark, d, "pages").select("page_id", "url").withColumn("host", U.hostname(F.col("url")))
+    pages = keep_first(pages, ["url"], ["page_id"])
+    w = Window.partitionBy("host").orderBy("page_id")
+    chain = pages.withColumn("href", F.lead("url").over(w)).withColumn("anchor", F.lit("profil")).where("href is not null").select("url", "href", "anchor")
+    seeds = pages.withColumn("n", F.row_number().over(w)).where("n <= 2").select("url")
+    return C.crawl_frontier(seeds, chain, pages, pages.select("url"), NAMES, depth=3)
+
+
+def _checkpoint_dir(spark):
+    """The shared folder the cluster names; a new local one where it names none."""
+    import tempfile
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-"))
+
+
+@query(r"""select host as entity_id, url, rank from (select *, row_number() over (partition by host order by pri, page_id, url) as rank from (select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') as host, case when regexp_matches(lower(url), 'steno|discurs|declar|interviu|comunicat|alocu|intervent|sedint|plen|mesaj|conferint|educat|stud|facultat|univers|finant|buget|fondur|pnrr|grant|investit|tax|impozit|biograf|profil') then 1 else 2 end as pri from pages)) where rank <= 3""")
+def c13_rank_urls(spark, d):
+    rows = _t(spark, d, "pages").select(U.hostname(F.col("url")).alias("entity_id"), "url", F.col("page_id").alias("seq"), F.lit(False).alias("is_user"))
+    return C.rank_urls(rows, 3).select("entity_id", "url", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- extraction
+_MENTIONS = f"""mentions as (select entity_id, doc_id, n from (select entity_id, doc_id, len(list_filter({_TOKENS.format(_NORM)}, lambda x: x = entity_id)) as n from documents, names where length(text) >= 300) where n > 0)"""
+
+
+@query(f"with {_NAMES}, {_MENTIONS} select * from mentions")
+def d1_relevant_documents(spark, d):
+    return D.relevant_documents(_t(spark, d, "documents"), _variants(spark))
+
+
+@query(rf"""with {_NAMES}, {_PARAS}, near as (select *, lead(text) over w as n1, lead(text, 2) over w as n2, lag(text) over w as p1, lag(text, 2) over w as p2 from paras window w as (partition by doc_id order by pos)),
+hit as (select * from near where regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])(thing|ander|ought)') and length(text) <= 700),
+a as (select *, case when length(text) >= 120 then text else null end as own, n1 is not null and length(text) + 1 + length(n1) <= 700 as up from hit),
+b as (select *, case when up then length(text) + 1 + length(n1) else length(text) end as s1 from a),
+c as (select *, p1 is not null and s1 + 1 + length(p1) <= 700 as down from b),
+e as (select *, case when down then s1 + 1 + length(p1) else s1 end as s2 from c),
+f as (select *, up and not down and n2 is not null and s2 + 1 + length(n2) <= 700 as up2, down and not up and p2 is not null and s2 + 1 + length(p2) <= 700 as down2 from e),
+x as (select doc_id, pos, coalesce(own, concat_ws(' ', case when down2 then p2 end, case when down then p1 end, text, case when up then n1 end, case when up2 then n2 end)) as excerpt, norm from f),
+y as (select entity_id, doc_id, pos, excerpt, {_FP.format('excerpt', 300)} as fp from x, names where length(excerpt) >= 100 and list_contains({_TOKENS.format('lower(strip_accents(excerpt))')}, entity_id)),
+z as (select * from (select *, row_number() over (partition by entity_id, doc_id, fp order by pos) as rn from y) where rn = 1)
+select entity_id, doc_id, pos, md5(excerpt) as h, rank from (select *, row_number() over (partition by entity_id, doc_id order by length(excerpt) desc, pos) as rank from z) where rank <= 4""")
+def d6_evidence(spark, d):
+    paras = C.text_paragraphs(_t(spark, d, "documents"))
+    # over-long paragraphs go through sentence windows, which SQL can't express; d5 has those
+    short = D.excerpts(paras, X.prefix_rx(*WORDS)).where(F.length("text") <= 700)
+    return _evidence(spark, short)
+
+
+def _evidence(spark, made):
+    from attesta.operators.corpus import keep_first
+
+    hit = made.where(X.has_prefix(F.col("norm"), *WORDS)).where(F.length("excerpt") >= 100).withColumn("eid", F.concat_ws(":", "doc_id", "pos"))
+    named = D.mentions(hit.select("eid", X.fold(F.col("excerpt")).alias("norm")), _variants(spark), "eid")
+    rows = keep_first(hit.join(named, "eid").withColumn("fp", X.fingerprint(F.col("excerpt"))), ["entity_id", "doc_id", "fp"], ["pos"])
+    rank = F.row_number().over(Window.partitionBy("entity_id", "doc_id").orderBy(F.length("excerpt").desc(), "pos"))
+    return rows.withColumn("rank", rank.cast("long")).where("rank <= 4").select("entity_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("excerpt").alias("h"), "rank")
+
+
+@query()
+def d5_sentence_window(spark, d):
+    paras = C.text_paragraphs(_t(spark, d, "documents")).where(F.length("text") > 300)
+    return paras.select("doc_id", "pos", D.sentence_window(F.col("text"), X.prefix_rx(*WORDS), 300).alias("excerpt"))
+
+
+@query()
+def d6_evidence_full(spark, d):
+    return D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "topic")
+
+
+@query()
+def d7_funding(spark, d):
+    channels = [("first", ["thing"]), ("second", ["ander", "ought"]), ("third", ["erin"])]
+    return D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "funding", channels, top=5)
+
+
+@query(rf"""with {_PARAS} select doc_id, pos, list_filter([case when regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])thing') then 'first' end, case when regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])(ander|ought)') then 'second' end, case when regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])erin') then 'third' end], lambda x: x is not null) as channels from paras""")
+def d7_channels(spark, d):
+    channels = [("first", ["thing"]), ("second", ["ander", "ought"]), ("third", ["erin"])]
+    return C.text_paragraphs(_t(spark, d, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), D.funding_channels(F.col("norm"), channels).alias("channels"))
+
+
+@query()
+def d8_mention_excerpts(spark, d):
+    return D.mention_excerpts(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark))
+
+
+@query("""with a as (select *, case when role = lag(role) over (partition by conv_id order by turn) then 0 else 1 end as new from conversations), b as (select *, sum(new) over (partition by conv_id order by turn rows unbounded preceding) as run from a)
+select conv_id, cast(run as bigint) as run, min(role) as role, count(*) as n_turns, cast(sum(length(text)) as bigint) as n_chars from b group by conv_id, run""")
+def d9_role_turns(spark, d):
+    return D.role_turns(_t(spark, d, "conversations"))
+
+
+@query()
+def d9_speeches(spark, d):
+    """Conversations as transcripts: each user's turn names its conversation's entity."""
+    turns = _t(spark, d, "conversations").withColumn("e", F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod("conv_id", F.lit(4)) + 1).cast("int")))
+    head = F.concat(F.lit("Ana "), F.initcap("e"), F.lit(": "))
+    paras = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
+    return D.speeches(paras, spark.createDataFrame([(n, n) for n in NAMES], "entity_id string, surname string")).select("entity_id", "doc_id", "turn", "speaker", F.md5("text").alias("h"))
+
+
+@query()
+def d10_statements(spark, d):
+    return D.statements(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark))
+
+
+@query(rf"select doc_id, regexp_matches({_NORM}, '(^|[^\p{{L}}\p{{N}}_])(thing|on the)') as promise from documents")
+def d11_is_promise(spark, d):
+    return _t(spark, d, "documents").select("doc_id", D.is_promise(F.col("text"), ["thing", "on the"]).alias("promise"))
+
+
+@query(f"""select source as entity_id, doc_id from (select *, row_number() over (partition by source, fp order by doc_id) as rn from (select source, doc_id, {_FP.format('text', 400)} as fp from documents)) where rn = 1 and length(fp) >= 20""")
+def d12_dedupe(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id", "text")
+    return D.dedupe(rows, "text", ["doc_id"], least=20).select("entity_id", "doc_id")
+
+
+@query("select source as entity_id, doc_id, row_number() over (partition by source order by n_chars desc, lang, doc_id) as rank from documents")
+def d13_rank_outputs(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id", "n_chars", "lang")
+    return D.rank_by(rows, F.col("n_chars").desc(), F.col("lang"), F.col("doc_id")).select("entity_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {_NAMES}, {_MENTIONS} select entity_id, coalesce(n_documents, 0) as n_documents, coalesce(n_long, 0) as n_long from names left join (select entity_id, count(*) as n_documents, count(case when n > 2 then 1 end) as n_long from mentions group by entity_id) using (entity_id)")
+def d14_analysis_stats(spark, d):
+    found = D.relevant_documents(_t(spark, d, "documents"), _variants(spark))
+    return D.analysis_stats(_variants(spark), n_documents=found, n_long=found.where("n > 2"))
+
+
+@query()
+def d15_opinions(spark, d):
+    people = spark.createDataFrame([(n, n) for n in NAMES], "entity_id string, surname string")
+    return D.opinions(C.text_paragraphs(_t(spark, d, "documents")), people, r"(?iU)\b(?:tion|able|that)\w*", r"(?iU)\b(?:idiot|trash|scum|ther)\w*")
+
+
+@query(rf"""with t as (select source as entity_id, doc_id, len(regexp_extract_all({_NORM}, 'tion')) as p, len(regexp_extract_all({_NORM}, 'ther')) as m from documents)
+select entity_id, case when p > m then 'positive' when m > p then 'negative' else 'mixed' end as tone, count(*) as n from t group by 1, 2""")
+def d16_tone(spark, d):
+    docs = _t(spark, d, "documents").withColumn("norm", X.fold(F.col("text")))
+    p, m = F.regexp_count("norm", F.lit("tion")), F.regexp_count("norm", F.lit("ther"))
+    tone = F.when(p > m, "positive").when(m > p, "negative").otherwise("mixed")
+    return docs.groupBy(F.col("source").alias("entity_id"), tone.alias("tone")).agg(F.count("*").alias("n"))
+
+
+@query()
+def d16_article_tone(spark, d):
+    return D.article_tone(d15_opinions(spark, d)).groupBy("entity_id", "tone").agg(F.count("*").alias("n"))
+
+
+@query()
+def d17_promises_v1(spark, d):
+    return D.promises_v1(C.text_paragraphs(_t(spark, d, "documents")), spark.createDataFrame([(n, n) for n in NAMES], "entity_id string, surname string"))
+
+
+@query()
+def d18_judge_promises(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id", "text")
+    sents = docs.select("entity_id", "doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("k", "text"))
+    day = F.date_add(F.lit("2026-01-01").cast("date"), F.pmod("doc_id", F.lit(1000)).cast("int"))
+    sents = sents.withColumn("date", day).withColumn("sent_id", F.concat_ws(":", "doc_id", "k"))
+    promises = sents.where(X.has_word(X.fold(F.col("text")), "thing")).withColumnRenamed("sent_id", "promise_id")
+    return D.judge_promises(promises, sents, kept=r"(?U)\bwith\b", broken=r"(?U)\bworthless\b")
+
+
+# ---- passages and pairs
+@query(r"""select doc_id, list_filter([case when regexp_matches(t, '\b(niciodata|intotdeauna|mereu|toti|toate|nimeni|nimic|absolut|complet|total|fara exceptie|oricand|nicio|niciun|zero|100 ?%|100 la suta)\b') then 'absolute language' end, case when regexp_matches(t, '\d') then 'numeric claim' end, case when regexp_matches(t, 'din cauza|din vina|vina (?:este|e) a|datorita faptului') then 'sweeping causal claim' end, case when regexp_matches(t, '\b(?:minte|mint|hoti|hot|tradator|corup|vandut|infractor|trada)\w*') then 'accusation' end], lambda x: x is not null) as cues from (select doc_id, lower(strip_accents(text)) as t from documents)""")
+def e2_cues(spark, d):
+    return _t(spark, d, "documents").select("doc_id", E.heuristic_cues(F.col("text"), promise=["promisiune nespusa"]).alias("cues"))
+
+
+@query("""with a as (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents) select source as entity_id, doc_id, cast(3 + n_chars / 100000.0 as decimal(12,4)) as priority, r as rank from a where r <= 10""")
+def e5_priority(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id", "n_chars")
+    top = D.rank_by(rows, F.col("n_chars").desc(), F.col("doc_id")).where("rank <= 10")
+    return top.select("entity_id", "doc_id", E.priority(F.lit("quote"), F.lit(0), F.col("n_chars") / 1000.0).alias("priority"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def e6_pack_batches(spark, d):
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
+    return E.pack_batches(rows, ["conv_id"], "size", 2000, order="turn")
+
+
+def _snippets(spark, d):
+    docs = _t(spark, d, "documents")
+    sents = docs.select(F.col("source").alias("entity_id"), "doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("k", "text")).where(F.length("text").between(60, 500))
+    return E.with_marks(sents.withColumn("source_score", F.pmod("doc_id", F.lit(7))), 160, ("doc_id", "k"))
+
+
+_STOP = "['" + "','".join(E.L.STOPWORDS) + "']"
+_SNIPPETS = rf"""sents as (select source as entity_id, doc_id, unnest({_SENT}) as text, generate_subscripts({_SENT}, 1) - 1 as k from documents),
+snip as (select entity_id, snippet_id, doc_id, text, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({_NORM}, '[a-z]+'), lambda w: length(w) >= 5 and not list_contains({_STOP}, w)), lambda w: left(w, 6)))) as stems, list_sort(list_distinct(regexp_extract_all(text, '\d+(?:[.,]\d+)?'))) as nums, regexp_matches({_NORM}, '\b(?:nu|nici|niciodata|fara|nicio|niciun|nimeni|nimic)\b') as neg
+from (select *, row_number() over (partition by entity_id order by doc_id % 7 desc, doc_id, k) as snippet_id from sents where length(text) between 60 and 500) where snippet_id <= 160)"""
+
+
+@query(f"with {_SNIPPETS} select entity_id, snippet_id, doc_id, stems, nums, neg from snip")
+def e9_snippets(spark, d):
+    return _snippets(spark, d).select("entity_id", "snippet_id", "doc_id", "stems", "nums", "neg")
+
+
+@query(f"""with {_SNIPPETS}, p as (select a.entity_id, a.snippet_id as i, b.snippet_id as j, len(list_intersect(a.stems, b.stems)) as shared, len(list_distinct(list_concat(a.stems, b.stems))) as u, case when len(a.nums) > 0 and len(b.nums) > 0 and a.nums <> b.nums then 2.0 else 0.0 end + case when a.neg <> b.neg then 1.5 else 0.0 end + case when a.doc_id <> b.doc_id then 0.5 else 0.0 end as extra from snip a join snip b on a.entity_id = b.entity_id and a.snippet_id < b.snippet_id)
+select entity_id, i, j, shared, score, rank from (select *, row_number() over (partition by entity_id order by score desc, i desc, j desc) as rank from (select entity_id, i, j, shared, cast(shared + extra as double) as score from p where shared >= 3 and shared <= 0.8 * u)) where rank <= 20""")
+def e11_candidate_pairs(spark, d):
+    return E.candidate_pairs(_snippets(spark, d))
+
+
+@query()
+def e13_replan(spark, d):
+    rows = _t(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("request_id")).agg(F.array_sort(F.collect_list("turn")).alias("members"))
+    return E.replan_failed(rows, rows.where(F.col("request_id").cast("long") % 3 == 0))
+
+
+# ---- answers
+@query("""select source as entity_id, doc_id from (select source, doc_id, sum(n_chars + 1) over (partition by source order by doc_id rows unbounded preceding) as s from documents) where s <= 20000""")
+def f13_fit_lines(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id", "n_chars")
+    return R.fit_lines(rows, "entity_id", F.col("n_chars"), 20000, ["doc_id"]).select("entity_id", "doc_id")
+
+
+@query("""select l_orderkey, l_linenumber, cast(greatest(1, least(10, round_even(l_quantity / 4, 0))) as int) as score from lineitem""")
+def f15_clamp_score(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R.clamp_score((F.col("l_quantity") / 4).cast("string")).alias("score"))
+
+
+@query("""select l_suppkey as entity_id, count(*) as n_articles, max(z) as z from (select *, 4 as z, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_quantity, l_extendedprice) as rn from lineitem where l_linenumber = 1) where rn = 1 group by 1""")
+def f17_credibility_basis(spark, d):
+    return f17_entity_credibility(spark, d).select("entity_id", "n_articles", "z")
+
+
+@query()
+def f17_entity_credibility(spark, d):
+    rows = C.keep_first(_t(spark, d, "lineitem").where("l_linenumber = 1"), ["l_orderkey"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    text = lambda c: c.cast("string")
+    items = rows.select(F.col("l_orderkey").cast("string").alias("request_id"), F.lit("A1").alias("local_id"), text(F.pmod("l_quantity", F.lit(10)) + 1).alias("feasibility"), text(F.pmod("l_partkey", F.lit(10)) + 1).alias("precision"), text(F.pmod("l_orderkey", F.lit(10)) + 1).alias("manipulation"))
+    members = rows.select(F.col("l_orderkey").cast("string").alias("request_id"), F.lit("A1").alias("local_id"), F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("doc_id"))
+    history = rows.select(F.col("l_suppkey").alias("entity_id")).distinct().withColumn("history", F.lit(4))
+    return R.entity_credibility(R.article_scores(items, members, history))
+
+
+@query(r"""with p as (select d.doc_id, d.text as s, lower(strip_accents(b.text)) as mat from documents d join benchmark b on b.item_id = d.doc_id % 40)
+select doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(s, '\d[\d.,]*\d|\d'), lambda n: regexp_replace(n, '[.,]+$', '')), lambda n: not contains(mat, n) and not contains(regexp_replace(mat, '[.\s]', '', 'g'), regexp_replace(n, '[.\s]', '', 'g')))).len() as n from p""")
+def f19_numbers(spark, d):
+    rows = _grounding(spark, d)
+    numbers = F.filter(R.ungrounded(F.col("s"), F.col("mat")), lambda x: x.rlike(r"^\d"))
+    return rows.select("doc_id", F.size(numbers).cast("long").alias("n"))
+
+
+def _grounding(spark, d):
+    docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark").select("item_id", F.col("text").alias("mat"))
+    return docs.select("doc_id", F.col("text").alias("s"), F.pmod("doc_id", F.lit(40)).alias("item_id")).join(items, "item_id")
+
+
+@query()
+def f19_ungrounded(spark, d):
+    return _grounding(spark, d).select("doc_id", R.ungrounded(F.col("s"), F.col("mat")).alias("unsupported"))
+
+
+@query("""select source as entity_id, kind as category, count(*) as n from (select source, case when doc_id % 3 = 0 then 'implausible' when doc_id % 3 = 1 then 'misleading' else 'contradiction' end as kind from documents) group by 1, 2""")
+def f7_flag_counts(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), F.element_at(F.array(F.lit("implausible"), F.lit("misleading"), F.lit("contradiction")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("category"), F.lit("low").alias("severity"))
+    return R.flag_summary(rows).select("entity_id", F.explode("by_category").alias("category", "n"))
+
+
+@query()
+def f3_findings(spark, d):
+    """Answers made from documents: every fifth is cut, so its complete objects are salvaged."""
+    docs = _t(spark, d, "documents")
+    quote = F.regexp_replace(F.substring("text", 1, 60), r'[\\"\n\r\t]', " ")
+    one = F.concat(F.lit('{"id": "P1", "category": "implausible", "severity": "huge", "confidence": "high", "quote": "'), quote, F.lit('", "problem": "p", "reasoning": "r"}'))
+    whole = F.concat(F.lit('{"findings": ['), one, F.lit("]}"))
+    cut = F.concat(F.lit('{"findings": ['), one, F.lit(', {"id": "P2", "cat'))
+    answers = docs.select(F.col("doc_id").cast("string").alias("request_id"), F.when(F.col("doc_id") % 5 == 0, cut).otherwise(whole).alias("content"))
+    return R.validate_findings(R.parse_findings(answers)).select("request_id", "id", "category", "severity", "confidence", "quote")
+
+
+@query()
+def f4_locate_quotes(spark, d):
+    """Quotes of the first sentence, as it is, with other punctuation, or with a word changed."""
+    docs = _t(spark, d, "documents").withColumn("first", F.get(X.split_sentences(X.squash(F.col("text"))), 0))
+    quote = F.when(F.col("doc_id") % 3 == 0, F.col("first")).when(F.col("doc_id") % 3 == 1, F.upper(F.replace("first", F.lit(","), F.lit(";")))).otherwise(F.regexp_replace("first", "^([a-zA-Z])", "x$1"))
+    claims = docs.select(F.col("doc_id").alias("finding_id"), F.lit(0).alias("passage_order"), quote.alias("quote"), F.substring("text", 1, 1000).alias("text"), F.lit(None).cast("string").alias("context"))
+    return R.locate_quotes(claims)
+
+
+@query()
+def f21_axis_context(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id")
+    paras = C.text_paragraphs(_t(spark, d, "documents")).join(docs, "doc_id").withColumn("official", F.col("doc_id") % 10 == 0).withColumn("names_entity", X.has_word(F.col("norm"), *NAMES))
+    axes = spark.createDataFrame([("first", "thing|ander"), ("second", "ought|tion")], "axis_id string, rx string")
+    return R.axis_context(paras, axes, 6000)
+
+
+# ---- questionnaire
+def _answers(spark, d):
+    from attesta.operators.corpus import keep_first
+
+    lines, orders = _t(spark, d, "lineitem"), _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("respondent_id"), F.pmod("l_partkey", F.lit(50)).alias("item_id"), (F.col("l_quantity").cast("int") % 5 + 1).alias("value"), (F.col("l_partkey") % 11 == 0).alias("is_dk"), F.col("l_quantity").alias("seconds"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "seconds", "l_extendedprice"]
+    return keep_first(rows, ["respondent_id", "item_id"], order).drop("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+def _items(spark):
+    return spark.range(50).select(F.col("id").alias("item_id"), F.floor(F.col("id") / 5).alias("axis_id"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("direction"), F.col("id").alias("item_no"))
+
+
+_ANSWERS = """answers as (select * from (select o_custkey as respondent_id, l_partkey % 50 as item_id, cast(l_quantity as int) % 5 + 1 as value, l_partkey % 11 = 0 as is_dk, l_quantity as seconds, row_number() over (partition by o_custkey, l_partkey % 50 order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as rn from lineitem join orders on l_orderkey = o_orderkey) where rn = 1),
+axis as (select respondent_id, item_id // 5 as axis_id, count(v) as k, sum(v) as total, count(*) as n from (select *, case when not is_dk then case when item_id % 2 = 0 then value else 6 - value end end as v from answers) group by 1, 2),
+scored as (select respondent_id, axis_id, k, case when k >= 2 and k / n >= 0.6 then total / k end as score from axis)"""
+
+
+@query(f"with {_ANSWERS} select respondent_id, axis_id, k, case when score is null then 'insufficient' else 'ok' end as status, round(score, 6) as score from scored")
+def g8_axis_scores(spark, d):
+    return G.axis_scores(_answers(spark, d), _items(spark)).select("respondent_id", "axis_id", "k", "status", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {_ANSWERS}, t as (select *, (score - 3) / (1.15 * sqrt(0.45)) as theta, sqrt(greatest(0, (1 - rel) / rel)) as sem from (select *, least(0.99, k * 0.45 / (1 + (k - 1) * 0.45)) as rel from scored where score is not null)),
+u as (select *, abs(theta) / sqrt(2.0) as x, 1 / (1 + 0.3275911 * abs(theta) / sqrt(2.0)) as q from t)
+select respondent_id, axis_id, round(sem * 1.15 * sqrt(0.45), 6) as margin, round(100 * 0.5 * (1 + sign(theta) * (1 - ((((1.061405429 * q - 1.453152027) * q + 1.421413741) * q - 0.284496736) * q + 0.254829592) * q * exp(-x * x))), 6) as percentile, case when abs(theta) / greatest(1e-6, sem) < 1 then 'middle' when abs(theta) / greatest(1e-6, sem) < 2 then 'lean' else 'clear' end as clarity from u""")
+def g9_percentiles(spark, d):
+    rows = G.axis_scores(_answers(spark, d), _items(spark)).where("status = 'ok'")
+    return rows.select("respondent_id", "axis_id", F.round("margin", 6).alias("margin"), F.round("percentile", 6).alias("percentile"), "clarity")
+
+
+@query(f"""with {_ANSWERS}, ok as (select respondent_id, axis_id, score - 3 as t from scored where score is not null), pairs as (select a.respondent_id, case when (case when (a.axis_id + b.axis_id) % 3 = 0 then -0.2 else 0.3 end) * a.t * b.t < 0 then 1.0 else 0.0 end as x from ok a join ok b on a.respondent_id = b.respondent_id and a.axis_id < b.axis_id)
+select respondent_id, count(*) as axes_scored, round(coalesce((select avg(x) from pairs p where p.respondent_id = ok.respondent_id), 0), 6) as tension_share from ok group by respondent_id""")
+def g11_coherence(spark, d):
+    n = spark.range(10)
+    corr = n.select(F.col("id").alias("ax_i")).join(n.select(F.col("id").alias("ax_j")), F.col("ax_i") < F.col("ax_j")).withColumn("r", F.when((F.col("ax_i") + F.col("ax_j")) % 3 == 0, -0.2).otherwise(0.3))
+    out = G.coherence(G.axis_scores(_answers(spark, d), _items(spark)), corr)
+    return out.select("respondent_id", "axes_scored", F.round("tension_share", 6).alias("tension_share"))
+
+
+@query(f"""with {_ANSWERS}, m as (select respondent_id, max(c) as top from (select respondent_id, value, count(*) as c from answers where not is_dk group by 1, 2) group by 1),
+b as (select respondent_id, count(*) as n, count(case when not is_dk then 1 end) as numeric, list_sort(list(seconds))[count(*) // 2 + 1] as med from answers group by 1)
+select respondent_id, round(1 - numeric / n, 6) as dk_share, list_filter([case when 1 - numeric / n > 0.25 then 'dk' end, case when numeric >= 6 and top / numeric >= 0.6 then 'flat' end, case when med < 2.5 then 'fast' end], lambda x: x is not null) as flags from b left join m using (respondent_id)""")
+def g12_quality_flags(spark, d):
+    return G.quality_flags(_answers(spark, d)).select("respondent_id", F.round("dk_share", 6).alias("dk_share"), "flags")
+
+
+@query()
+def g15_next_items(spark, d):
+    answers = _answers(spark, d)
+    scores = G.axis_scores(answers, _items(spark))
+    order = G.focus_order(scores.select("respondent_id", "axis_id", F.col("axis_id").alias("axis_no"), F.lit(1.0).alias("weight"), "margin"))
+    return G.next_items(order, _items(spark), answers, 5)
+
+
+def _positions(spark, d):
+    return G.axis_scores(_answers(spark, d), _items(spark)).where("status = 'ok'").select(F.col("respondent_id").alias("subject_id"), "axis_id", G.site_position(F.col("score")).alias("value"))
+
+
+_MATCH = f"""with {_ANSWERS}, pos as (select respondent_id as s, axis_id, greatest(0, least(100, ((6 - score) - 1) * 25)) as v from scored where score is not null), cat as (select p_partkey as e, unnest(range(10)) as axis_id, cast(p_size * 2 as double) as v from part where p_partkey <= 20),
+cmp as (select s as a_id, e as b_id, count(*) as compared, round(100 - avg(abs(pos.v - cat.v))) as match, count(case when abs(pos.v - cat.v) >= 30 then 1 end) as n_major from pos join cat using (axis_id) group by 1, 2)"""
+
+
+def _catalogue(spark, d):
+    return _t(spark, d, "part").where("p_partkey <= 20").select(F.col("p_partkey").alias("subject_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("axis_id"), (F.col("p_size") * 2.0).alias("value"))
+
+
+@query(f"{_MATCH} select a_id, b_id, compared, match, n_major from cmp")
+def g4_compare(spark, d):
+    """Respondents against a catalogue of twenty subjects."""
+    return G.compare_positions(_positions(spark, d), _catalogue(spark, d))
+
+
+@query(f"{_MATCH} select a_id, b_id, match, rank from (select *, row_number() over (partition by a_id order by match desc, b_id) as rank from cmp where compared >= 3) where rank <= 3")
+def g5_rank_matches(spark, d):
+    found = G.rank_matches(G.compare_positions(_positions(spark, d), _catalogue(spark, d)))
+    return found.where("rank <= 3").select("a_id", "b_id", "match", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""with w as (select l_suppkey as entity_id, quantile_disc(l_discount / l_quantity, 0.15) as worst, avg(case when l_tax * 100 % 4 = 0 then 1.0 else 0.5 end) as pm from lineitem group by 1) select entity_id, round(worst, 9) as worst, round(pm, 6) as promise_mean, cast(greatest(1, least(10, round(cast(pm * worst as decimal(18,9)) * 10))) as int) as credibility from w""")
+def g19_final_score(spark, d):
+    lines = _t(spark, d, "lineitem")
+    chunks = lines.select(F.col("l_suppkey").alias("entity_id"), F.col("l_discount").alias("u"), F.col("l_quantity").alias("s"))
+    kept = lines.select(F.col("l_suppkey").alias("entity_id"), F.when((F.col("l_tax") * 100) % 4 == 0, 1.0).otherwise(0.5).alias("value"))
+    out = G.final_scores(chunks, kept)
+    return out.select("entity_id", F.round("worst", 9).alias("worst"), F.round("promise_mean", 6).alias("promise_mean"), "credibility")
+
+
+# ---- profiles
+@query(r"""select domain, count(*) as n_sources, count(case when s then 1 end) as n_with_statements, bool_or(o) as official, count(distinct e) as n_entities from (select regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') as domain, page_id % 2 = 0 as s, page_id % 5 = 0 as o, page_id % 7 as e from pages) group by domain""")
+def h5_domain_rollup(spark, d):
+    rows = _t(spark, d, "pages").select(U.hostname(F.col("url")).alias("domain"), (F.col("page_id") % 2 == 0).alias("has_statement"), (F.col("page_id") % 5 == 0).alias("official"), (F.col("page_id") % 7).alias("entity_id"))
+    return H.domain_rollup(rows)
+
+
+@query("""with t as (select * from (values (0, 0, '"{n}" a'), (0, 1, '"{n}" b'), (1, 0, '{n} c'), (1, 1, '"{n}" a'), (2, 0, '{n} d')) as v(group_no, rank_in_group, template)), q as (select c_custkey as entity_id, replace(template, '{n}', c_name) as query, rank_in_group, group_no from customer, t),
+u as (select * from (select *, row_number() over (partition by entity_id, query order by rank_in_group, group_no) as rn from q) where rn = 1) select entity_id, rank, query from (select *, row_number() over (partition by entity_id order by rank_in_group, group_no) as rank from u) where rank <= 4""")
+def h7_search_plan(spark, d):
+    templates = spark.createDataFrame([(0, 0, '"{n}" a'), (0, 1, '"{n}" b'), (1, 0, "{n} c"), (1, 1, '"{n}" a'), (2, 0, "{n} d")], "group_no int, rank_in_group int, template string")
+    people = _t(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
+    return H.search_plan(people, templates, 4).select("entity_id", F.col("rank").cast("long").alias("rank"), "query")
+
+
+@query("""select user_id as entity_id, event_type as url, event_id as seq from (select *, row_number() over (partition by user_id, event_type order by event_id) as rn from events) where rn = 1""")
+def h8_merge_discovered(spark, d):
+    events = _t(spark, d, "events").select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("url"), F.to_date("ts").alias("rss_date"), F.col("event_id").alias("seq"))
+    return H.merge_discovered(events, events.select("entity_id", "url", "seq")).select("entity_id", "url", "seq")
+
+
+@query("""select distinct user_id as entity_id, event_type as url from events e where event_id % 2 = 1 and not exists (select 1 from events f where f.event_id % 2 = 0 and f.user_id = e.user_id and f.event_type = e.event_type)""")
+def h9_opinion_sources(spark, d):
+    """Odd events are the second discovery, even ones the main one."""
+    events = _t(spark, d, "events").select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("url"), "event_id")
+    return H.opinion_sources(events.where("event_id % 2 = 1"), events.where("event_id % 2 = 0")).select("entity_id", "url").distinct()
+
+
+@query("""select user_id as entity_id, count(case when ts < timestamp '2024-01-15' then 1 end) as n_older, 0 as n_undated from events group by 1""")
+def h4_recent_counts(spark, d):
+    rows = _t(spark, d, "events").select(F.col("user_id").alias("entity_id"), F.to_date("ts").alias("date"), F.col("event_id").alias("doc_id"))
+    return H.recent_feed(rows, "2025-01-15")[1].withColumn("n_undated", F.col("n_undated").cast("int"))
+
+
+@query()
+def a8_report(spark, d):
+    found = d6_evidence_full(spark, d).select("entity_id", "doc_id", "rank", F.col("excerpt").alias("text"))
+    ranked = D.rank_by(found.drop("rank"), F.length("text").desc(), F.col("doc_id"), F.col("text"))
+    people = _variants(spark).withColumnRenamed("variant", "name")
+    none = ranked.where("false")
+    return H.report(people, ranked, none, ranked, none, ranked)
+
+
+@query()
+def a10_export_profile(spark, d):
+    answers = _answers(spark, d)
+    return H.export_profile(G.axis_scores(answers, _items(spark)), G.quality_flags(answers))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """For each entity, its best evidence excerpts and how many of its documents hold any."""
+    found = D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "topic")
+    ranked = D.rank_by(D.dedupe(found, "excerpt", ["doc_id", "pos"]), F.length("excerpt").desc(), F.col("doc_id"), F.col("pos"))
+    counts = found.groupBy("entity_id").agg(F.countDistinct("doc_id").alias("n_documents"))
+    return ranked.where("rank <= 10").join(counts, "entity_id").select("entity_id", "rank", "doc_id", "pos", "keyword", "excerpt", "n_documents")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
