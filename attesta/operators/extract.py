@@ -19,15 +19,17 @@ def folded(terms: list[str]) -> list[str]:
 def mentions(texts: DataFrame, variants: DataFrame, by: str = "doc_id") -> DataFrame:
     """(entity_id, by, n): whole-word hits of each entity's variants in folded texts.
 
-    texts: (by, norm); variants: (entity_id, variant), folded. Texts meet variants over the variant's first word, so no
-    text is compared with every entity.
+    texts: (by, norm), one row of each; variants: (entity_id, variant), folded. Texts meet variants over words, so no text is
+    compared with every entity, and only words are shuffled. Phrases are looked for in texts that hold their first word.
     """
-    tokens = texts.withColumn("tokens", F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0)))
-    words = tokens.select(by, "norm", "tokens", F.explode(F.array_distinct("tokens")).alias("word"))
-    wanted = variants.withColumn("word", F.regexp_extract("variant", r"(?U)\w+", 0))
-    phrase = F.regexp_count("norm", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)")))
-    hit = F.when(F.col("variant") == F.col("word"), F.size("tokens") - F.size(F.array_remove("tokens", F.col("word")))).otherwise(phrase)
-    return words.join(wanted, "word").withColumn("n", hit).where("n > 0").groupBy("entity_id", by).agg(F.sum("n").cast("long").alias("n"))
+    word = F.regexp_extract("variant", r"(?U)\w+", 0)
+    wanted = variants.select("entity_id", "variant", word.alias("word"))
+    words = texts.select(by, F.explode(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
+    met = words.join(wanted, "word").groupBy("entity_id", "variant", "word", by).agg(F.count("*").alias("n"))
+    single = met.where("variant = word").select("entity_id", by, "n")
+    phrase = F.regexp_count("norm", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)"))).cast("long")
+    phrases = met.where("variant <> word").drop("n").join(texts.select(by, "norm"), by).select("entity_id", by, phrase.alias("n"))
+    return single.unionByName(phrases).where("n > 0").groupBy("entity_id", by).agg(F.sum("n").cast("long").alias("n"))
 
 
 def relevant_documents(docs: DataFrame, variants: DataFrame, least: int = 300) -> DataFrame:

@@ -145,7 +145,7 @@ def compare_positions(a: DataFrame, b: DataFrame, least: int = 1) -> DataFrame:
     left = a.where("value is not null").select(F.col("subject_id").alias("a_id"), "axis_id", F.col("value").alias("va"))
     right = b.where("value is not null").select(F.col("subject_id").alias("b_id"), "axis_id", F.col("value").alias("vb"))
     gap = F.abs(F.col("va") - F.col("vb"))
-    met = left.join(right, "axis_id").groupBy("a_id", "b_id").agg(F.count("*").alias("compared"), F.round(100 - F.avg(gap)).alias("match"), F.count_if(gap >= 30).alias("n_major"))
+    met = left.join(right, "axis_id").groupBy("a_id", "b_id").agg(F.count("*").alias("compared"), F.round((100 - F.avg(gap)).cast("decimal(12,4)")).cast("double").alias("match"), F.count_if(gap >= 30).alias("n_major"))
     return met.where(F.col("compared") >= least)
 
 

@@ -582,7 +582,7 @@ def _positions(spark, d):
 
 
 _MATCH = f"""with {_ANSWERS}, pos as (select respondent_id as s, axis_id, greatest(0, least(100, ((6 - score) - 1) * 25)) as v from scored where score is not null), cat as (select p_partkey as e, unnest(range(10)) as axis_id, cast(p_size * 2 as double) as v from part where p_partkey <= 20),
-cmp as (select s as a_id, e as b_id, count(*) as compared, round(100 - avg(abs(pos.v - cat.v))) as match, count(case when abs(pos.v - cat.v) >= 30 then 1 end) as n_major from pos join cat using (axis_id) group by 1, 2)"""
+cmp as (select s as a_id, e as b_id, count(*) as compared, cast(round(cast(100 - avg(abs(pos.v - cat.v)) as decimal(12,4))) as double) as match, count(case when abs(pos.v - cat.v) >= 30 then 1 end) as n_major from pos join cat using (axis_id) group by 1, 2)"""
 
 
 def _catalogue(spark, d):
