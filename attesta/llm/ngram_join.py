@@ -33,6 +33,8 @@ ROUNDS = 2
 #: A key with more nodes than this is common. Nodes emit SPARE more keys in a hundred than the pigeonhole needs, and
 #: common keys are passed over by nodes that keep enough others; nodes that don't are paired within common keys too.
 COMMON, SPARE = 24, 25
+#: Nodes of a common key that one task compares with as many others.
+CHUNK = 4096
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _P = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -255,6 +257,54 @@ def _neighbours(met: DataFrame, order, label: str) -> DataFrame:
     return both.select("p.a", "p.b").distinct()
 
 
+def _within_common(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (a, b) within common keys whose bit sketches are near enough; at least one of the two is bound to common keys.
+
+    rows: (key, node, n, spare, comp, bound). A key's nodes are cut into chunks; each pair of chunks is a group of its own,
+    of bounded size, and a task compares its sketches as arrays and gives only the pairs that pass.
+    """
+    by_key = Window.partitionBy("key")
+    chunks = F.ceil(F.count("*").over(by_key) / CHUNK).cast("int")
+    sketched = rows.join(nodes.select("node", "home", "guest"), "node").withColumn("c", chunks).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    sketch = F.when(F.floor(F.log2("n")) == F.pmod("spare", F.lit(64)), F.col("home")).otherwise(F.col("guest"))
+    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+    dealt = sketched.select("key", "node", "n", "comp", "bound", sketch.alias("s"), "i", other.alias("j")).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "node", "n", "comp", "bound", "s")
+
+    def compare(own: list[tuple]) -> np.ndarray:
+        node, n, comp = (np.array([x[k] for x in own], np.int64) for k in (3, 4, 5))
+        bound = np.array([x[6] for x in own])
+        bits = np.array([np.frombuffer(x[7], np.uint64) for x in own])
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(len(own) - 1):
+            rest = slice(k + 1, None)
+            fits = (comp[rest] != comp[k]) & (100 * np.minimum(n[k], n[rest]) >= PERCENT * np.maximum(n[k], n[rest])) & (bound[rest] | bound[k])
+            at = np.flatnonzero(fits) + k + 1
+            if len(at):
+                apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1)
+                at = at[apart <= (n[k] + n[at]) * (100 - PERCENT) // (100 + PERCENT)]
+                found.append(np.stack((np.minimum(node[at], node[k]), np.maximum(node[at], node[k])), axis=1))
+        return np.concatenate(found)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own, group = [], None
+        for batch in batches:
+            for x in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if x[:3] != group:
+                    if len(own) > 1:
+                        pairs = compare(own)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    own, group = [], x[:3]
+                own.append(x)
+        if len(own) > 1:
+            pairs = compare(own)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs.
 
@@ -283,23 +333,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         else:  # keys whose nodes are all in one component have nothing left to link
             left = met.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            left = materialise(left.join(mixed, "key").select("key", "node", "n", "common", "comp"), "mixed")
+            left = materialise(left.join(mixed, "key").select("key", "node", "n", "spare", "common", "comp"), "mixed")
         if k < ROUNDS:
             pairs = _neighbours(left, F.xxhash64("node", F.lit(k)), "comp")
         else:
             other = left.select("key", F.col("node").alias("o"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("common").alias("oc"))
             sizes = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
             few = left.where("not common").join(other.where("not oc"), "key").where("node < o and comp <> c").where(sizes)
-            many = left.where("common").join(bound, "node").join(other.where("oc"), "key").where("comp <> c").where(sizes)
-            pairs = few.select("node", "o").union(many.select("node", "o")).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+            pairs = few.select(F.col("node").alias("a"), F.col("o").alias("b")).distinct()
+            hot = left.where("common").join(bound, "node", "left").withColumn("bound", F.coalesce("bound", F.lit(False)))
+            within = _within_common(hot, nodes)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            if k < ROUNDS:
-                continue
-            break
-        near = materialise(_sketch_test(pairs, nodes), "near")
+        near = _sketch_test(pairs, nodes)
+        if k == ROUNDS:
+            near = near.union(within if tested is None else within.join(tested, ["a", "b"], "left_anti")).distinct()
+        near = materialise(near, "near")
+        if near.isEmpty():
+            tested = pairs if tested is None else tested.union(pairs)
+            continue
         new = materialise(_exact_test(near, base, reps), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
