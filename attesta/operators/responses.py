@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions.text import fold, norm_words, split_sentences, squash
 from attesta.operators.corpus import keep_first
@@ -22,7 +23,7 @@ def strip_fences(content: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"(?m)^\s*```(?:json)?\s*$", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _salvage(texts: pd.Series) -> pd.Series:
     """Every complete object of a broken array, as an array."""
     import json
@@ -60,7 +61,7 @@ def validate_findings(found: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
     return rows.where(F.col("category").isin(CATEGORIES)).withColumn("severity", known("severity", "medium")).withColumn("confidence", known("confidence", "low"))
 
 
-@F.pandas_udf("struct<quote: string, ratio: double>")
+@F.pandas_udf(T.StructType([T.StructField("quote", T.StringType()), T.StructField("ratio", T.DoubleType())]))
 def _nearest(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
     import difflib
     import re
