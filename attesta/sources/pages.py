@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ JVM_CHARSETS = ["UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16
 
 def decode_html(content: Column, header_charset: Column) -> Column:
     """Bytes as text: by the header's character set, else one told in the first 3000 bytes, else UTF-8 with replacement."""
-    import pandas as pd
-
     head = F.decode(F.substring(content, 1, 3000), "ISO-8859-1")
     told = F.coalesce(F.nullif(F.upper(F.trim(header_charset)), F.lit("")), F.nullif(F.upper(F.regexp_extract(head, r"(?i)charset=[\"']?([A-Za-z0-9_-]+)", 1)), F.lit("")), F.lit("UTF-8"))
 
