@@ -305,6 +305,20 @@ def _within_common(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, comp) after links (a, b) have joined the components that label (node, comp) knows; nodes it doesn't know are their own.
+
+    Only new links between components go through `components`, so a later call works on fewer and fewer edges.
+    """
+    if label is None:
+        return components(links).withColumnRenamed("component", "comp")
+    of = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = materialise(components(edges), "moved")
+    old = label.join(moved.select(F.col("node").alias("comp"), F.col("component").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return old.union(moved.join(label, "node", "left_anti").select("node", F.col("component").alias("comp")))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs.
 
@@ -326,7 +340,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     bound = met.where("common").groupBy("node", "spare").count().where("count > floor(spare / 64)").select("node").distinct()
     bound = materialise(bound.withColumn("bound", F.lit(True)), "bound")
 
-    tested, links, label = None, None, None
+    tested, label = None, None
     for k in range(ROUNDS + 1):
         if label is None:
             left = met.withColumn("comp", F.col("node"))
@@ -355,8 +369,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
             continue
         new = materialise(_exact_test(near, base, reps), "links")
         tested = pairs if tested is None else tested.union(pairs)
-        links = new if links is None else links.union(new)
-        label = components(links).withColumnsRenamed({"component": "comp"})
+        label = materialise(_merged(label, new), "label")
     own = nodes.select("node", "rep")
     own = own.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if label is not None else own.withColumn("comp", F.col("node"))
     low = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
