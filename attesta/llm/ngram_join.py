@@ -35,6 +35,8 @@ ROUNDS = 2
 COMMON, SPARE = 24, 25
 #: Nodes of a common key that one task compares with as many others.
 CHUNK = 4096
+#: Keys that a row of a common key carries of those before it: a pair that meets in one of them isn't given again.
+BEFORE = 16
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _P = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -261,28 +263,35 @@ def _within_common(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct (a, b) within common keys whose bit sketches are near enough; at least one of the two is bound to common keys.
 
     rows: (key, node, n, spare, comp, bound). A key's nodes are cut into chunks; each pair of chunks is a group of its own,
-    of bounded size, and a task compares its sketches as arrays and gives only the pairs that pass.
+    of bounded size, and a task compares its sketches as arrays and gives only the pairs that pass. Near copies share most
+    of their keys, so a pair is left to an earlier key where both rows name one that they share.
     """
     by_key = Window.partitionBy("key")
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1))
+    rows = rows.withColumn("before", before)
     chunks = F.ceil(F.count("*").over(by_key) / CHUNK).cast("int")
     sketched = rows.join(nodes.select("node", "home", "guest"), "node").withColumn("c", chunks).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     sketch = F.when(F.floor(F.log2("n")) == F.pmod("spare", F.lit(64)), F.col("home")).otherwise(F.col("guest"))
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    dealt = sketched.select("key", "node", "n", "comp", "bound", sketch.alias("s"), "i", other.alias("j")).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "node", "n", "comp", "bound", "s")
+    dealt = sketched.select("key", "node", "n", "comp", "bound", sketch.alias("s"), "before", "i", other.alias("j")).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "node", "n", "comp", "bound", "s", "before", "i")
 
     def compare(own: list[tuple]) -> np.ndarray:
         node, n, comp = (np.array([x[k] for x in own], np.int64) for k in (3, 4, 5))
         bound = np.array([x[6] for x in own])
         bits = np.array([np.frombuffer(x[7], np.uint64) for x in own])
+        before, chunk, across = [set(x[8]) for x in own], np.array([x[9] for x in own]), own[0][1] != own[0][2]
         found = [np.zeros((0, 2), np.int64)]
         for k in range(len(own) - 1):
             rest = slice(k + 1, None)
             fits = (comp[rest] != comp[k]) & (100 * np.minimum(n[k], n[rest]) >= PERCENT * np.maximum(n[k], n[rest])) & (bound[rest] | bound[k])
+            if across:
+                fits &= chunk[rest] != chunk[k]
             at = np.flatnonzero(fits) + k + 1
             if len(at):
                 apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1)
                 at = at[apart <= (n[k] + n[at]) * (100 - PERCENT) // (100 + PERCENT)]
+                at = at[np.array([before[k].isdisjoint(before[j]) for j in at], bool)]
                 found.append(np.stack((np.minimum(node[at], node[k]), np.maximum(node[at], node[k])), axis=1))
         return np.concatenate(found)
 
@@ -291,7 +300,7 @@ def _within_common(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
         own, group = [], None
         for batch in batches:
-            for x in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            for x in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
                 if x[:3] != group:
                     if len(own) > 1:
                         pairs = compare(own)
