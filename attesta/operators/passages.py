@@ -58,9 +58,9 @@ def reported_only(reported: DataFrame, quotes: DataFrame, surname: str = "surnam
 
 
 def priority(kind: Column, n_cues: Column, score: Column) -> Column:
-    """By kind, a little for each cue, and for the source."""
+    """By kind, a little for each cue, and for the source; four decimals, halves up."""
     base = F.when(kind == "quote", 3.0).when(kind == "speech", 2.0).otherwise(1.0)
-    return (base + F.lit(0.4) * n_cues + score / F.lit(100.0)).cast("decimal(12,4)")
+    return (F.floor((base + F.lit(0.4) * n_cues + score / F.lit(100.0)) * 10000 + 0.5) / 10000).cast("decimal(12,4)")
 
 
 def render_passage(label: Column, kind: Column, cues: Column, text: Column, context: Column) -> Column:
