@@ -2,8 +2,9 @@
 
 Every window of `length` bytes has a key made from its content (anchors.runs), so equal windows meet under one key
 wherever they are. Runs of windows whose whole content occurs again need no sorting. Of runs that share a key but not
-their content, the bytes meet by key; windows whose hash is alone in the group are left out, and the suffix array of the
-rest (suffix_sort, linear grouping) puts equal windows side by side, where they are compared byte for byte.
+their content, the bytes meet in bounded groups: by key, or where a key has many contents, by the hashes of their windows.
+Windows whose hash is alone in the group are left out, and the suffix array of the rest (suffix_sort, linear grouping)
+puts equal windows side by side, where they are compared byte for byte.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.anchors import Hashes, runs
@@ -21,6 +22,10 @@ from attesta.llm.suffix_sort import suffix_array
 
 #: Bytes of a string that may not stand anywhere else.
 LENGTH = 400
+#: Different contents that are sorted together.
+GROUP = 500
+#: A content that occurs more often is broadcast to its runs.
+COMMON = 10_000
 
 
 def _numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -90,13 +95,10 @@ def repeated_starts(blocks: list[bytes], length: int) -> list[np.ndarray]:
     return starts
 
 
-def _edges(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """(id, rid, start, end) of repeated bytes in runs that share their key, but not all their bytes, with another.
-
-    mixed: (id, rid, key, content, first, last, alone), one for each content of such keys.
-    """
+def _blocks(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(id, rid, key, content, first, alone, many, block): mixed with the bytes of its runs. Repeated rows give a block several times."""
     kind = rows.schema["id"].dataType.simpleString()
-    wanted = mixed.groupBy("rid", "id").agg(F.collect_list(F.struct("key", "first", "last", "alone")).alias("w"))
+    wanted = mixed.groupBy("rid", "id").agg(F.collect_list(F.struct("key", "content", "first", "last", "alone", "many")).alias("w"))
     met = rows.alias("t").join(wanted.alias("w"), (F.col("t.rid") == F.col("w.rid")) & F.col("t.id").eqNullSafe(F.col("w.id"))).select("t.id", "t.rid", "t.text", "w.w")
 
     def cut(batches: Iterator) -> Iterator:
@@ -108,11 +110,65 @@ def _edges(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 again, out = [], []
                 for k, (t, w) in enumerate(zip(text_bytes(piece.column(2)), piece.column(3).to_pylist(), strict=True)):
                     again += [k] * len(w)
-                    out += [(x["key"], x["first"], x["alone"], t[x["first"] : x["last"] + length]) for x in w]
+                    out += [(x["key"], x["content"], x["first"], x["alone"], x["many"], t[x["first"] : x["last"] + length]) for x in w]
                 again = pa.array(again, pa.int64())
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(again), piece.column(1).take(again), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=["id", "rid", "key", "first", "alone", "block"])
+                columns = list(zip(*out, strict=True)) or [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(again), piece.column(1).take(again), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=["id", "rid", "key", "content", "first", "alone", "many", "block"])
+
+    return met.mapInArrow(cut, f"id {kind}, rid long, key long, content long, first int, alone boolean, many boolean, block binary")
+
+
+def _windows(blocks: DataFrame, length: int) -> DataFrame:
+    """(key, content, hash, at) of every window of the blocks."""
+
+    def explode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                piece = batch.slice(lo, 200)
+                own = piece.column(2).to_pylist()
+                counts = np.array([len(b) - length + 1 for b in own])
+                begin = np.cumsum([0, *map(len, own)])[:-1]
+                again = np.repeat(np.arange(len(own)), counts)
+                at = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = begin[again] + at
+                hashes = Hashes(np.frombuffer(b"".join(own), np.uint8)).of(start, start + length).astype(np.int64)
+                number = pa.array(again)
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(number), piece.column(1).take(number), pa.array(hashes), pa.array(at.astype(np.int32))], names=["key", "content", "hash", "at"])
+
+    return blocks.select("key", "content", "block").mapInArrow(explode, "key long, content long, hash long, at int")
+
+
+def bounded_groups(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(group, id, rid, first, alone, block): bytes of runs in groups of about `GROUP` different ones, where every window of a
+    run that stands in another run of its key meets an equal one.
+
+    A key with few contents is one group. In others the windows are counted by hash, so that no key is gathered in a task;
+    each hash that several contents hold has the least of them as its head. A content goes to its heads with the bytes
+    its windows under that head cover, and the heads' followers are dealt in parts, to each of which the head goes too.
+    """
+    sizes = materialise(mixed.groupBy("key").agg((F.count("*") > GROUP).alias("many")), "sizes")
+    blocks = materialise(_blocks(mixed.join(sizes, "key"), rows, length), "blocks")
+    few = blocks.where("not many").select(F.col("key").alias("group"), "id", "rid", "first", "alone", "block")
+    many = blocks.where("many")
+    windows = _windows(many, length)
+    heads = materialise(windows.groupBy("key", "hash").agg(F.min("content").alias("head"), F.max("content").alias("other")).where("head <> other").drop("other"), "heads")
+    led = materialise(windows.join(heads, ["key", "hash"]).groupBy("key", "content", "head").agg(F.min("at").alias("low"), F.max("at").alias("high")), "led")
+    parts = materialise(led.where("content <> head").groupBy("key", "head").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), "parts")
+    dealt = led.join(parts, ["key", "head"]).withColumn("part", F.explode(F.when(F.col("content") == F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod("content", "parts").cast("int")))))
+    dealt = dealt.select("key", "content", F.xxhash64("key", "head", "part").alias("group"), "low", "high")
+    piece = F.substring("block", F.col("low") + 1, F.col("high") - F.col("low") + length).alias("block")
+    return few.union(many.join(dealt, ["key", "content"]).select("group", "id", "rid", (F.col("first") + F.col("low")).alias("first"), "alone", piece))
+
+
+def _edges(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(id, rid, start, end) of repeated bytes in runs that share their key, but not all their bytes, with another.
+
+    mixed: (id, rid, key, content, first, last, alone), one for each content of such keys.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -124,8 +180,8 @@ def _edges(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                     for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
                         yield i, rid, first + int(s), first + int(e) - 1 + length
 
-        own, key, out, id_type = [], None, [], None
-        names = ["id", "rid", "key", "first", "alone", "block"]
+        own, group, out, id_type = [], None, [], None
+        names = ["id", "rid", "group", "first", "alone", "block"]
 
         def batch_of(rows_out):
             columns = list(zip(*rows_out, strict=True))
@@ -134,12 +190,12 @@ def _edges(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             id_type = batch.column(0).type
             for x in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
-                if own and x[2] != key:
+                if own and x[2] != group:
                     out += spans(own)
                     own = []
                 if not own or x[:4] != own[-1][:4]:  # equal rows give a block several times
                     own.append(x)
-                key = x[2]
+                group = x[2]
             if len(out) > 5000:
                 yield batch_of(out)
                 out = []
@@ -148,21 +204,29 @@ def _edges(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    cuts = met.mapInArrow(cut, f"id {kind}, rid long, key long, first int, alone boolean, block binary")
-    dealt = cuts.repartition("key").sortWithinPartitions("key", "id", "rid", "first")
+    dealt = bounded_groups(mixed, rows, length).repartition("group").sortWithinPartitions("group", "id", "rid", "first")
     return dealt.mapInArrow(find, f"id {kind}, rid long, start int, end int")
 
 
+def _mixed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of runs: (id, rid, start of first and last window) of those whose content occurs again, and one run for each content
+    of keys with several. Counted with partial sums, so a common key isn't gathered in a task; the counts are materialised
+    before they are joined, since a common key's rows are dealt to several tasks only if no aggregate is in the join's stage."""
+    keys = found.groupBy("key").agg(F.count("*").alias("total"), (F.min("content") != F.max("content")).alias("mixed")).where("total > 1")
+    found = materialise(found.join(materialise(keys.drop("total"), "keys"), "key"), "runs")
+    contents = found.groupBy("key", "content").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), *(F.first(c).alias(c) for c in ("id", "rid", "first", "last")))
+    contents = materialise(contents.where("mixed or n > 1"), "contents")
+    common, rest = (contents.where(f"n > 1 and n {sign} {COMMON}").select("key", "content") for sign in (">", "<="))
+    common = F.broadcast(common)  # one in COMMON runs at most
+    again = found.join(common, ["key", "content"]).union(found.join(common, ["key", "content"], "left_anti").join(rest, ["key", "content"]))
+    mixed = contents.where("mixed").select("id", "rid", "key", "content", "first", "last", (F.col("n") == 1).alias("alone"))
+    return again.select("id", "rid", "first", "last"), mixed
+
+
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(id, rid, spans): bytes of each text covered by strings of `length` bytes that also start elsewhere. rows: (id, rid, text)."""
-    content = Window.partitionBy("key", "content")
-    key = Window.partitionBy("key")
-    found = _runs(rows, length)
-    found = found.withColumn("turn", F.row_number().over(content.orderBy("id", "rid", "first"))).withColumn("n", F.count("*").over(content))
-    found = found.withColumn("total", F.count("*").over(key)).withColumn("mixed", F.min("content").over(key) != F.max("content").over(key))
-    found = materialise(found.where("total > 1").select("id", "rid", "key", "content", "first", "last", "turn", (F.col("n") == 1).alias("alone"), "mixed"), "runs")
-    whole = found.where("not alone").select("id", "rid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    mixed = found.where("mixed and turn = 1").select("id", "rid", "key", "first", "last", "alone")
+    again, mixed = _mixed(materialise(_runs(rows, length), "found"))
+    whole = again.select("id", "rid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     spans = whole.union(_edges(mixed, rows, length))
     return spans.groupBy("rid", "id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

@@ -152,6 +152,27 @@ def test_repeats(spark, rows):
     assert got == plain.repeats(docs, 400)
 
 
+def test_repeats_of_a_common_passage_meet_in_bounded_groups(spark, monkeypatch):
+    rng = random.Random(8)
+    foot = words(rng, 130)
+    docs = [(k, f"{words(rng, 30)} {k} {foot[: 700 - 3 * (k % 5)]}{k % 7} {words(rng, 70)}") for k in range(90)]
+    docs += [(200, docs[3][1]), (201, foot), (202, None)]
+    monkeypatch.setattr(repeats, "GROUP", 5)
+    monkeypatch.setattr(repeats, "COMMON", 30)
+    sizes, bounded = [], repeats.bounded_groups
+
+    def watched(*given):
+        out = bounded(*given)
+        sizes.extend(r["count"] for r in out.groupBy("group").count().collect())
+        return out
+
+    monkeypatch.setattr(repeats, "bounded_groups", watched)
+    got = repeats.remove_repeats(make(spark, docs)).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got}
+    assert got == plain.repeats(docs, 400)
+    assert len(sizes) > 10 and max(sizes) <= 20
+
+
 def test_fingerprints(spark, rows):
     texts = {i: t or "" for i, t in rows}
     ids = sorted(texts)
