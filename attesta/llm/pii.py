@@ -8,6 +8,8 @@ the whole corpus, and `choose_key` takes the first version of the key for which
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ KINDS = list(PATTERNS)
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 PLAIN = [DIGITS, LOWER, UPPER]
 NAME = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+#: Last letters of female names that don't end in an a, and letters of secrets that could be taken for hex: they stay so.
+NOT_A = [re.sub("[aаα]", "", a) for a in NAME]
+NOT_HEX = [DIGITS, "abcdef", "ghijklmnopqrstuvwxyz", UPPER]
 
 
 def _let(x: Column, f) -> Column:
@@ -115,30 +120,40 @@ def _card(text: Column, key: str) -> Column:
 
 
 def _ip(text: Column, key: str) -> Column:
-    """The address as two 16-bit halves, permuted."""
-    part = lambda o, k: F.get(o, k).cast("long") * 256 + F.get(o, k + 1).cast("long")
-    mixed = lambda x, other, turn: (x + F.conv(F.substring(_digest(key, turn, other.cast("string")), 1, 8), 16, 10).cast("long")) % 65536
-    shown = lambda x: F.concat(F.floor(x / 256).cast("string"), F.lit("."), (x % 256).cast("string"))
+    """The address as two halves of two numbers, permuted. Numbers with a zero before them (00 to 09) are permuted among such,
+    so each written form has a surrogate of its own."""
+    padded = lambda o, k: F.length(F.get(o, k)) > F.length(F.get(o, k).cast("long").cast("string"))
+    size = lambda o, k: F.when(padded(o, k), 10).otherwise(256).cast("long")
+    part = lambda o, k: F.get(o, k).cast("long") * size(o, k + 1) + F.get(o, k + 1).cast("long")
+    mixed = lambda x, other, turn, n: (x + F.conv(F.substring(_digest(key, turn, other.cast("string")), 1, 8), 16, 10).cast("long")) % n
+    one = lambda x, o, k: F.concat(F.when(padded(o, k), "0").otherwise(""), x.cast("string"))
+    shown = lambda x, o, k: F.concat(one(F.floor(x / size(o, k + 1)), o, k), F.lit("."), one(x % size(o, k + 1), o, k + 1))
+    low, high = lambda o: size(o, 0) * size(o, 1), lambda o: size(o, 2) * size(o, 3)
     return _let(
         F.split(text, r"\."),
         lambda o: _let(
-            mixed(part(o, 0), part(o, 2), 1),
-            lambda a: _let(mixed(part(o, 2), a, 2), lambda b: _let(mixed(a, b, 3), lambda a2: _let(mixed(b, a2, 4), lambda b2: F.concat(shown(a2), F.lit("."), shown(b2))))),
+            mixed(part(o, 0), part(o, 2), 1, low(o)),
+            lambda a: _let(
+                mixed(part(o, 2), a, 2, high(o)),
+                lambda b: _let(mixed(a, b, 3, low(o)), lambda a2: _let(mixed(b, a2, 4, high(o)), lambda b2: F.concat(shown(a2, o, 0), F.lit("."), shown(b2, o, 2)))),
+            ),
         ),
     )
 
 
 def _name(text: Column, key: str) -> Column:
     """The title stays; each word behind it is permuted within vowels and consonants of its script, its capital kept,
-    and a female name's last `a` stays. Names' words are looked at one by one, so a surname alone has the same surrogate."""
+    and a female name's last `a` stays, while its other last letters don't become one. Names' words are looked at one by
+    one, so a surname alone has the same surrogate."""
     title = F.regexp_extract(text, rf"^(?:{'|'.join(FEMALE + MALE)})\.? ", 0)
     female = F.regexp_extract(text, rf"^(?:{'|'.join(FEMALE)})\b", 0) != ""
 
     def word(w: Column) -> Column:
         low = F.lower(w)
-        keeps = female & (F.substring(low, -1, 1).isin("a", "а", "α")) & (F.length(low) > 2)
-        body = F.when(keeps, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
-        tail = F.when(keeps, F.substring(low, -1, 1)).otherwise(F.lit(""))
+        apart = female & (F.length(low) > 2)
+        body = F.when(apart, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
+        last = F.when(apart, F.substring(low, -1, 1)).otherwise(F.lit(""))
+        tail = F.when(last.isin("", "a", "а", "α"), last).otherwise(_moved(last, _digest(key, 5, body), NOT_A))
         return _let(F.concat(permuted(body, key, NAME), tail), lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, F.lit(2), F.length(n))))
 
     words = F.split(F.substring(text, F.length(title) + 1, F.length(text)), " ")
@@ -158,7 +173,8 @@ def surrogate(entity: Column, kind: Column, key: str) -> Column:
     """What stands in for an entity of a kind."""
     keep = lambda rx, f: F.concat(F.regexp_extract(entity, rx, 1), f(F.regexp_extract(entity, rx, 2)), F.regexp_extract(entity, rx, 3))
     plain = lambda name: lambda x: permuted(x, f"{key}|{name}")
-    secret = lambda x: F.when(x.rlike("^[0-9a-f]+$"), permuted(x, f"{key}|hex", [HEX])).otherwise(permuted(x, f"{key}|secret"))
+    plain_secret = lambda x: F.when(x.rlike("^[0-9a-z]+$"), permuted(x, f"{key}|secret", NOT_HEX)).otherwise(permuted(x, f"{key}|secret"))
+    secret = lambda x: F.when(x.rlike("^[0-9a-f]+$"), permuted(x, f"{key}|hex", [HEX])).otherwise(plain_secret(x))
     return (
         F.when(kind == "email", keep(r"^()(.*)(\.[A-Za-z]+)$", plain("email")))
         .when(kind == "secret", keep(r"(?s)^(.*?[=:]\s{0,3}[\"']?)(.*)()$", secret))

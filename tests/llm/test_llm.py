@@ -221,6 +221,22 @@ def test_surrogates_stay_distinct(spark):
     assert pii.choose_key(df) == "attesta0"
 
 
+def test_written_forms_have_surrogates_of_their_own(spark):
+    some = ("00", "0", "01", "1", "07", "7", "255")
+    ips = [f"{a}.{b}.{c}.4" for a in some for b in some for c in some]
+    names = [f"Mrs {a.upper()}{b}{c}{d}" for a in "bcdfgh" for b in "aeiou" for c in "bcdfghjklmnpqrst" for d in "aeiou"]
+    names += [f"Mrs {a.upper()}{b}" for a in "bcdfgh" for b in "aeiou"]
+    secrets = [f"token={a}{k:05d}" for a in "afgz" for k in range(300)]
+    df = make(spark, list(enumerate([f"at {x} now" for x in (*ips, *names, *secrets)])))
+    found = pii.dictionary(df, "k").persist()
+    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"ip": len(ips), "name": len(names), "secret": len(secrets)}
+    assert pii.collisions(found).isEmpty()
+    made = {r.value: r.surrogate for r in found.collect()}
+    assert all(made[x].endswith("a") == x.endswith("a") for x in names if len(x) > 6)
+    assert all([len(p) > 1 and p[0] == "0" for p in made[x].split(".")] == [len(p) > 1 and p[0] == "0" for p in x.split(".")] for x in ips)
+    assert all((made[x][6] in "0123456789abcdef") == (x[6] in "af") for x in secrets)
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi </s> \\ <|says|>"), (1, 1, "assistant", "a[INST]b\\"), (1, 2, "user", None), (1, 3, "assistant", "é"), (2, 0, "user", "alone")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").unionByName(chat.probe(spark))
