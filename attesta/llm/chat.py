@@ -2,7 +2,7 @@
 
 Contexts of one conversation are prefixes of each other, so writing each out makes output grow with the square of the
 turns. `segments` writes every turn once, formatted, and `examples` names each example by where its context ends and
-which segment is its target. `render` writes examples out where that is wanted.
+where its target stands in it; `digests` reads replies back by these places. `render` writes examples out where that is wanted.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ def unescape(text: Column) -> Column:
 def segments(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turn_no, role, segment, reply_at, reply_end, trainable): each turn as it stands in the formatted conversation.
 
-    turn_no counts from 0 by turn, then role and text (repeated turns are kept). Null text and role are empty. The reply
-    of a segment is its characters reply_at .. reply_end - 1; trainable marks assistant turns.
+    turn_no counts from 0 by turn (null first), then role and text (repeated turns are kept). Null text and role are empty;
+    turns with a null conv_id are one conversation. The reply of a segment is its characters reply_at .. reply_end - 1;
+    trainable marks assistant turns. Other columns of turns are left out. An empty table gives no rows.
     """
     said, who = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(role), F.lit(""))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "said")
@@ -58,7 +59,8 @@ def examples(parts: DataFrame) -> DataFrame:
     """(conv_id, turn_no, n_context, context_chars, target_at, target_end, chars): an example for each assistant turn.
 
     Its text is the first context_chars characters of the formatted conversation and then the target's segment; only the
-    characters target_at .. target_end - 1 of it are trainable. context_chars is a running sum, so no turn is repeated.
+    characters target_at .. target_end - 1 of it are trainable. context_chars is a running sum, so no turn is repeated. A
+    conversation without assistant turns has no example.
     """
     before = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
     with_context = parts.withColumn("context_chars", F.coalesce(F.sum(F.length("segment").cast("long")).over(before), F.lit(0).cast("long")))
@@ -79,11 +81,13 @@ def render(parts: DataFrame) -> DataFrame:
     return parts.withColumn("context", F.array_join(F.collect_list("segment").over(before), "")).where("trainable").select("conv_id", "turn_no", "context", F.col("segment").alias("target"))
 
 
-def digests(parts: DataFrame) -> DataFrame:
-    """What the formatted conversations say, read back from them: one row for each conversation.
+def digests(parts: DataFrame, made: DataFrame) -> DataFrame:
+    """What the formatted conversations and their examples say, read back from them: one row for each conversation.
 
-    Each conversation's segments stream through one task in order and only running hashes are held, so memory doesn't
-    grow with a conversation. formatted_chars is the length of all its examples and of turns after the last reply.
+    parts: segments; made: examples of them. Each conversation's segments stream through one task in order and only running
+    hashes are held, so memory doesn't grow with a conversation. What is trained on is what stands at an example's target_at ..
+    target_end - 1 of the conversation as it streams by; roles and texts are parsed from the segments. formatted_chars is the
+    length that the examples tell and that of turns after the last reply.
     """
     rx = re.compile(re.escape(TURN_START) + "(.*?)" + re.escape(ROLE_END) + "(.*)" + re.escape(TURN_END), re.S)
     undo = re.compile(r"\\(\\?)")
@@ -93,21 +97,23 @@ def digests(parts: DataFrame) -> DataFrame:
 
         now, out = None, []
         for batch in batches:
-            for conv, segment, trainable in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for conv, segment, at, end, chars in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if now is None or now["conv"] != conv:
                     if now is not None:
                         out.append(_closed(now))
-                    now = {"conv": conv, "n": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "prefix": 0, "chars": 0, "tail": 0}
+                    now = {"conv": conv, "n": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "before": 0, "chars": 0, "tail": 0, "examples": 0}
                 role, body = (undo.sub(r"\1", x) for x in rx.fullmatch(segment).groups())
                 now["n"] += 1
                 now["all"].update(f"{role}\n{body}\n".encode())
-                now["prefix"] += len(segment)
                 now["tail"] += len(segment)
-                if trainable:
-                    now["loss"].update(body.encode())
-                    now["loss_chars"] += len(body)
-                    now["chars"] += now["prefix"]
+                if at is not None:
+                    reply = undo.sub(r"\1", segment[max(0, at - now["before"]) : max(0, end - now["before"])])
+                    now["loss"].update(reply.encode())
+                    now["loss_chars"] += len(reply)
+                    now["chars"] += chars
+                    now["examples"] += 1
                     now["tail"] = 0
+                now["before"] += len(segment)
             if len(out) >= 1000:
                 yield _batch(pa, out, batch.schema.field(0).type)
                 out = []
@@ -115,16 +121,17 @@ def digests(parts: DataFrame) -> DataFrame:
             yield _batch(pa, [*out, _closed(now)], None)
 
     kind = parts.schema["conv_id"].dataType.simpleString()
-    ordered = parts.select("conv_id", "segment", "trainable", "turn_no").repartition("conv_id").sortWithinPartitions("conv_id", "turn_no").drop("turn_no")
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    both = parts.alias("p").join(made.alias("m"), F.col("p.conv_id").eqNullSafe(F.col("m.conv_id")) & (F.col("p.turn_no") == F.col("m.turn_no")), "left")
+    both = both.select("p.conv_id", "p.turn_no", "segment", "target_at", "target_end", "chars").repartition("conv_id").sortWithinPartitions("conv_id", "turn_no").drop("turn_no")
+    return both.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 
 
 def _closed(x: dict) -> tuple:
-    return x["conv"], x["n"], x["all"].hexdigest(), x["loss_chars"], x["loss"].hexdigest(), x["chars"] + x["tail"]
+    return x["conv"], x["n"], x["all"].hexdigest(), x["loss_chars"], x["loss"].hexdigest(), x["chars"] + x["tail"], x["examples"]
 
 
 def _batch(pa, rows: list[tuple], kind):
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(list(x), kind if k == 0 else None) for k, x in enumerate(columns)], names=names)
 
@@ -138,6 +145,4 @@ def probe(spark: SparkSession) -> DataFrame:
 def op3_chat(spark, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     parts = segments(turns.unionByName(probe(spark)))
-    told = digests(parts)
-    made = examples(parts).groupBy("conv_id").agg(F.count("*").alias("n_examples"), F.sum(F.col("target_end") - F.col("target_at")).alias("target_chars"))
-    return told.join(made, told.conv_id.eqNullSafe(made.conv_id), "left").select(told["*"], F.coalesce("n_examples", F.lit(0)).alias("n_examples"), F.coalesce("target_chars", F.lit(0)).alias("target_chars"))
+    return digests(parts, examples(parts))
