@@ -18,7 +18,8 @@ from attesta.llm.common import ascii_words, table, text_bytes
 
 #: Hash space of features; labelled rows that a fit uses at most; passes over them.
 SPACE, FIT_ROWS, PASSES = 1 << 20, 12_000, 4
-#: Rows kept from each pass of the fit in memory: features of FIT_ROWS texts in one task (about 4 bytes for each of 3 features a word).
+#: Features that a fit holds in memory at most (four bytes each): whole rows are taken in order until the next one would pass it.
+FIT_FEATURES = 64_000_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
 #: Lengths of stems, in bytes.
@@ -92,8 +93,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """(features, weights, bias) learnt from at most `rows` labelled rows, those with the smallest hashes of their ids.
 
     labels: (id, label); nulls are left out, and an id with several labels counts as 1 if any is 1. The sampled ids
-    (bounded by `rows`) are broadcast, their texts' features meet in one task, which makes the passes. Without labelled
-    rows the model is empty: every score is 0.5.
+    (bounded by `rows`) are broadcast. Of an id with several rows one is taken, so a repeated id doesn't fill the sample. The
+    features meet in one task, which makes the passes; it takes rows in the sample's order as long as they have at most
+    FIT_FEATURES features together, so its memory is bounded for texts of any length. Null texts have no features. Without
+    labelled rows the model is empty: every score is 0.5.
     """
     sample = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     sample = sample.orderBy(F.xxhash64(id_col), id_col).limit(rows)
@@ -110,7 +113,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     def learn(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = sorted((k, y, f) for batch in batches for k, y, f in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True))
+        known, held = [], 0
+        for batch in batches:
+            for k, y, f in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                held += len(f) // 4
+                if held > FIT_FEATURES:
+                    break
+                known.append((k, y, f))
         model = Ftrl()
         for p in range(passes):
             for j in np.random.default_rng(p).permutation(len(known)):
@@ -118,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         used, weights, bias = model.model() if known else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([used.tobytes()]), pa.array([weights.tobytes()]), pa.array([bias])], names=["used", "weights", "bias"])
 
-    met = chosen.mapInArrow(features, "k long, y int, f binary").repartition(1)
+    one = chosen.mapInArrow(features, "k long, y int, f binary").groupBy("k").agg(F.max("y").alias("y"), F.min("f").alias("f"))
+    met = one.repartition(1).sortWithinPartitions("k")
     row = met.mapInArrow(learn, "used binary, weights binary, bias double").first()
     if row is None:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
