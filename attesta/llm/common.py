@@ -15,20 +15,42 @@ WORD_TABLE = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder all executors share. The cluster names it in spark.checkpoint.dir; where that is unset, a new local one
+    if all tasks run on this machine, and else an error, since executors wouldn't see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage at data that survives the loss of executors."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage at data that survives the loss of executors."""
+    return _write(df, name)[0]
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows sent to all executors at most; beyond that a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table, marked for broadcast if it has at most BROADCAST_ROWS rows; its rows must be a few numbers each."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -62,7 +84,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     are stars: every node is either a centre or has one edge to a centre, which is smaller than it.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialise(e, "cc")
+    e, path = _write(e, "cc")
     for _ in range(max_rounds):
         ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("p")).select("p.*")
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty():
@@ -73,8 +95,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every smaller neighbour of x, and x, are linked to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e, new = _write(star.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        _forget(e.sparkSession, path)
+        path = new
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -20,14 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import components, materialise, table, text_bytes
+from attesta.llm.common import components, materialise, small, table, text_bytes
 
 #: Words of a shingle; similarity as a whole percentage.
 WORDS, PERCENT = 5, 80
 #: Blocks of a band, for each shingle of its smallest set.
 BLOCK_SHARE = 0.48
-#: Ids sent to all executors at most; beyond that the join shuffles.
-BROADCAST_IDS = 1_000_000
 #: Rounds that pair neighbours by another order before all pairs left are tested.
 ROUNDS = 2
 #: A key with more nodes than this is common. Nodes emit SPARE more keys in a hundred than the pigeonhole needs, and
@@ -133,66 +131,51 @@ def bit_sketch(s: np.ndarray, band: int) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _mapped(batches: Iterator, make, names: list[str]) -> Iterator:
-    """Batches of (id, text) as batches of make(set)'s columns behind the id."""
-    import pyarrow as pa
-
-    sets = Shingler()
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            piece = batch.slice(lo, 1000)
-            columns = list(zip(*(make(sets(t)) for t in text_bytes(piece.column(1))), strict=True))
-            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(list(c)) for c in columns)], names=names)
-
-
 def _signed(x) -> int:
     return int(np.uint64(x).astype(np.int64))
 
 
-def _node(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart; the first half is the node's number."""
+def _halves(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
     with np.errstate(over="ignore"):
         return _signed(mix(s).sum(dtype=np.uint64) + np.uint64(len(s))), _signed(np.bitwise_xor.reduce(mix(s * _M[0]), initial=np.uint64(0)))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n, node, check, home, guest): size, number and bit sketches of each row's set. docs: (id, text)."""
-
-    def make(s):
-        own = bands(len(s)) if len(s) else []
-        return len(s), *_node(s), bit_sketch(s, own[0][0]) if own else b"", bit_sketch(s, own[1][0]) if len(own) > 1 else b""
+    """(id, tag, n, h1, h2, home, guest, bands): size, 128 bits, bit sketches and join keys of each row's set.
 
-    kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(lambda it: _mapped(it, make, ["id", "n", "node", "check", "home", "guest"]), f"id {kind}, n long, node long, check long, home binary, guest binary")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, node, n, spare) for each join key of each row's set. spare also tells bands of one node apart."""
+    docs: (id, text, tag). bands: the keys of each band, with `spare * 64 + band`, which also tells bands of one set apart.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         sets = Shingler()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                keys, facts, times = [np.zeros(0, np.uint64)], [], []
-                for t in text_bytes(batch.slice(lo, 200).column(1)):
+            for lo in range(0, batch.num_rows, 500):
+                piece = batch.slice(lo, 500)
+                facts, spares, keys, per_band, per_row = [], [], [np.zeros(0, np.uint64)], [0], [0]
+                for t in text_bytes(piece.column(1)):
                     s = sets(t)
-                    for band, spare, own in block_keys(s) if len(s) else ():
-                        keys.append(own)
-                        times.append(len(own))
-                        facts.append((_node(s)[0], len(s), spare * 64 + band))
-                facts = np.repeat(np.array(facts, np.int64).reshape(-1, 3), np.array(times, np.int64), axis=0)
-                columns = [np.concatenate(keys).astype(np.int64), facts[:, 0], facts[:, 1].astype(np.int32), facts[:, 2]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "n", "spare"])
+                    own = bands(len(s)) if len(s) else []
+                    facts.append((len(s), *_halves(s), bit_sketch(s, own[0][0]) if own else b"", bit_sketch(s, own[1][0]) if len(own) > 1 else b""))
+                    for band, spare, found in block_keys(s) if len(s) else ():
+                        spares.append(spare * 64 + band)
+                        keys.append(found)
+                        per_band.append(len(found))
+                    per_row.append(len(spares))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(per_band), pa.int32()), pa.array(np.concatenate(keys).astype(np.int64)))
+                struct = pa.StructArray.from_arrays([pa.array(spares, pa.int64()), lists], names=["spare", "keys"])
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*facts, strict=True), (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *columns, pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), struct)], names=["id", "tag", "n", "h1", "h2", "home", "guest", "bands"])
 
-    return docs.mapInArrow(run, "key long, node long, n int, spare long")
+    return docs.select("id", "text", "tag").mapInArrow(run, f"id {kind}, tag long, n long, h1 long, h2 long, home binary, guest binary, bands array<struct<spare: long, keys: array<long>>>")
 
 
-def _ids_semi(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of docs whose id is in ids (distinct); ids go to all executors if they are few enough, else the join shuffles."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, column, "left_semi")
+def _same(left: str, right: str):
+    """The rows of one set: a number of its own is given to each pair of halves, so sets may share one half."""
+    return (F.col(f"{left}.h1") == F.col(f"{right}.h1")) & (F.col(f"{left}.h2") == F.col(f"{right}.h2"))
 
 
 def _sketch_test(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -219,16 +202,24 @@ def _sketch_test(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def _exact_test(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough. pairs is a table; docs: (id, text); reps: (node, rep)."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node").select("node", F.col("rep").alias("id"))
-    wanted = materialise(wanted, "wanted")
+def _exact_test(pairs: DataFrame, docs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough. pairs is a table; docs: (id, text, tag); numbers: (node, rep, h1, h2)."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = materialise(ends.join(numbers, "node").select("node", "rep", "h1", "h2"), "wanted")
 
-    def make(s):
-        return _node(s)[0], s.tobytes()
+    def shingle(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    own = _ids_semi(docs, wanted.select("id"), "id").mapInArrow(lambda it: _mapped(it, make, ["id", "node", "s"]), f"id {docs.schema[0].dataType.simpleString()}, node long, s binary")
-    sets = materialise(own.select("node", "s").dropDuplicates(["node"]), "sets")
+        sets = Shingler()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                piece = batch.slice(lo, 1000)
+                found = [sets(t) for t in text_bytes(piece.column(1))]
+                own = pa.array([_halves(s) == h for s, h in zip(found, zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([piece.column(0).filter(own), pa.array([s.tobytes() for s in found], pa.binary()).filter(own)], names=["node", "s"])
+
+    own = docs.join(small(wanted), F.col("id").eqNullSafe(F.col("rep"))).select("node", "text", "h1", "h2").mapInArrow(shingle, "node long, s binary")
+    sets = materialise(own.dropDuplicates(["node"]), "sets")
     met = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
 
     def run(batches: Iterator) -> Iterator:
@@ -328,23 +319,19 @@ def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     return old.union(moved.join(label, "node", "left_anti").select("node", F.col("component").alias("comp")))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs.
-
-    Rows link when 100 * shared >= 80 * united shingles; component_id is the smallest id that links reach. A null, empty
-    or blank text has no shingles and is linked with nothing; of a text with under five words, all its words are one
-    shingle. Repeated rows come back as often. An empty table gives no rows.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    signed = materialise(signatures(base), "signatures")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("home").alias("home"), F.first("guest").alias("guest"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    nodes = materialise(nodes, "nodes")
-    if not nodes.where("c0 <> c1").isEmpty():
-        raise ValueError("two different sets share a 64-bit number")
-    reps = nodes.select("node", "rep")
+def _classes(docs: DataFrame) -> DataFrame:
+    """(id, tag, n, component) for each row of docs (id, text, tag)."""
+    signed = materialise(signatures(docs), "signatures")
+    numbers = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    numbers = materialise(numbers.withColumn("node", F.monotonically_increasing_id()), "numbers")
+    # one row stands for each set, so copies give no keys; repeated rows of its id are taken out below
+    chosen = signed.alias("s").join(small(numbers.drop("n")).alias("m"), F.col("s.id").eqNullSafe(F.col("m.rep")) & _same("s", "m")).select("node", "n", "home", "guest", "bands")
+    chosen = materialise(chosen, "chosen")
+    nodes = materialise(chosen.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "home", "guest"))), "nodes")
     by_key = Window.partitionBy("key")
     # dealt by key first: taking equal rows out, counting and ordering then need no other shuffle
-    met = keyed(base).repartition("key").dropDuplicates(["key", "node", "n", "spare"]).withColumn("g", F.count("*").over(by_key))
+    keyed = chosen.select("node", "n", F.explode("bands").alias("b")).select(F.explode("b.keys").alias("key"), "node", F.col("n").cast("int").alias("n"), F.col("b.spare").alias("spare"))
+    met = keyed.repartition("key").dropDuplicates(["key", "node", "n", "spare"]).withColumn("g", F.count("*").over(by_key))
     met = materialise(met.where("g > 1").withColumn("common", F.col("g") > COMMON).drop("g"), "met")
     bound = met.where("common").groupBy("node", "spare").count().where("count > floor(spare / 64)").select("node").distinct()
     bound = materialise(bound.withColumn("bound", F.lit(True)), "bound")
@@ -376,23 +363,46 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         if near.isEmpty():
             tested = pairs if tested is None else tested.union(pairs)
             continue
-        new = materialise(_exact_test(near, base, reps), "links")
+        new = materialise(_exact_test(near, docs, numbers), "links")
         tested = pairs if tested is None else tested.union(pairs)
         label = materialise(_merged(label, new), "label")
-    own = nodes.select("node", "rep")
-    own = own.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if label is not None else own.withColumn("comp", F.col("node"))
-    low = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = own.join(low, "comp").select("node", "component_id")
-    out = signed.select("id", "n", "node").join(of_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    own = numbers.withColumn("comp", F.col("node")) if label is None else numbers.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    low = own.groupBy("comp").agg(F.min("rep").alias("component"))
+    of_set = materialise(own.join(low, "comp").select("h1", "h2", "component"), "sets-of")
+    out = signed.alias("s").join(small(of_set).alias("m"), _same("s", "m"), "left")
+    return out.select("s.id", "s.tag", "s.n", F.when(F.col("s.n") > 0, F.col("component")).otherwise(F.col("s.id")).alias("component"))
+
+
+def _tagged(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs.
+
+    Rows link when 100 * shared >= 80 * united shingles; component_id is the smallest id that links reach. A null, empty
+    or blank text has no shingles and is linked with nothing; of a text with under five words, all its words are one
+    shingle. Repeated rows come back as often; rows that share an id but not the text are judged each by its own text. A
+    null id is never a class's smallest, unless the class has no other. An empty table gives no rows.
+    """
+    return _classes(_tagged(docs, id_col, text)).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with only the row of the smallest id of each class, unchanged; rows without shingles all stay."""
-    drop = classes(docs, id_col, text).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col)).distinct()
-    drop = materialise(drop, "dropped")
-    few = drop.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(drop) if few else drop, id_col, "left_anti").select(*docs.columns)
+    """docs with only one row of the smallest id of each class, unchanged; rows without shingles, and those whose class has no id, all stay.
+
+    Of repeated rows (id and text) of a smallest id one stays.
+    """
+    found = _classes(_tagged(docs, id_col, text)).where("n > 0 and component is not null")
+    found = materialise(found.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("id").eqNullSafe(F.col("component")).alias("first")), "found")
+    drop = materialise(found.where("not first").select("_id", "_tag").distinct(), "dropped")
+    again = materialise(found.where("first").groupBy("_id", "_tag").count().where("count > 1").select("_id", "_tag"), "repeated")
+    this = lambda: F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tag"))
+    kept = docs.join(small(drop), this(), "left_anti")
+    if not again.isEmpty():
+        one = docs.join(small(again), this()).dropDuplicates(["_id", "_tag"])
+        kept = kept.join(small(again), this(), "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    return kept.select(*docs.columns)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
