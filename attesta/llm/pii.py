@@ -1,51 +1,72 @@
 """Personal data replaced by keyed surrogates. Built-in functions only.
 
-Entities are found by one regular expression. A surrogate is made by a keyed permutation of the entity's own characters
-within their kinds (digits, letters of a script, vowels and consonants of a name), so it has the entity's format, equal
-entities get equal surrogates everywhere, and different ones of a kind get different ones. `collisions` checks that on
-the whole corpus, and `choose_key` takes the first version of the key for which nothing collides.
+Entities are found by one regular expression, made for each text of the kinds whose signs it has (most texts have none and
+aren't searched). A surrogate is made by a keyed permutation of the entity's own characters within their kinds (digits,
+letters of a script, vowels and consonants of a name), so it has the entity's format, equal entities get equal surrogates
+everywhere, and different ones of a kind get different ones. `collisions` checks that on the whole corpus; should any value
+share a surrogate nevertheless, it alone gets a new one.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import table
+from attesta.llm.common import materialise, small, table
 
-KEY = "attesta"
-KEY_VERSIONS = 4
+#: The session's setting that holds the secret key.
+KEY_SETTING = "spark.attesta.pii.key"
+#: Rounds in which colliding values get new surrogates.
+ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: Titles before names, female ones apart.
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Doña", "Госпожа"]
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин"]
+_HEX4 = r"[0-9A-Fa-f]{1,4}"
+#: Titles before names: of women, of men, of both.
+FEMALE = ["Mrs", "Ms", "Miss", "Lady", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "Srta", "Doña", "Госпожа"]
+MALE = ["Mr", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин"]
+BOTH = ["Dr", "Prof"]
+#: Small words inside names.
+PARTICLES = ["de", "del", "la", "van", "von", "der", "den", "di", "da", "dos"]
+_TITLE = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE + BOTH)})\.? "
+_WORD = r"\p{Lu}[\p{L}'’-]*\p{L}"
 #: What is found, in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z])(?:[Pp]assword|PASSWORD|passwd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w)])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
+    "ip6": rf"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}})(?![\w:])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w)])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.-])\d{3}\.\d{3}\.\d{4}(?![\w-])"
+    r"|(?<![\w.(/-])(?!\d{2}[-/]\d{2}[-/]\d{4}(?!\d))(?=(?:[ /-]?\d){9,13}(?!\d))0\d{1,4}[ /-]\d{2,4}(?:[ -]?\d{2,4}){1,3}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE)})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "name": rf"{_TITLE}{_WORD}(?:(?: (?:{'|'.join(PARTICLES)}))* {_WORD}){{0,3}}",
 }
-ENTITY = "(?:" + "|".join(PATTERNS.values()) + ")"
 KINDS = list(PATTERNS)
 
 #: Characters that stand for each other.
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 PLAIN = [DIGITS, LOWER, UPPER]
 NAME = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
-#: Last letters of female names that don't end in an a, and letters of secrets that could be taken for hex: they stay so.
+#: Last letters of names that don't end in an a, and letters of secrets that could be taken for hex: they stay so.
 NOT_A = [re.sub("[aаα]", "", a) for a in NAME]
 NOT_HEX = [DIGITS, "abcdef", "ghijklmnopqrstuvwxyz", UPPER]
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's configuration holds; where it holds none, a random one for the rest of the session, so
+    surrogates can't be undone by who knows this code. Configure one to get the same surrogates again."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, found)
+    return found
+
+
 def _let(x: Column, f) -> Column:
     """f of x, with x computed once."""
     return F.get(F.transform(F.array(x), f), 0)
@@ -96,27 +117,44 @@ def _luhn(digits: Column) -> Column:
     return (10 - total["sum"] % 10) % 10
 
 
+def _refilled(text: Column, chars: Column, rx: str) -> Column:
+    """text with its characters that match rx replaced, in order, by those of chars."""
+    return F.aggregate(
+        F.split(text, ""),
+        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+        lambda a, c: F.when(c.rlike(rx), F.struct(F.concat(a["out"], F.substring(chars, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
+    )["out"]
+
+
 def _card(text: Column, key: str) -> Column:
     """All digits but the last permuted; the last keeps its distance from the right check digit, so valid stays valid."""
-    digits = F.regexp_replace(text, r"\D", "")
 
     def made(d: Column) -> Column:
         head = F.substring(d, F.lit(1), F.length(d) - 1)
         off = (F.substring(d, F.length(d), F.lit(1)).cast("int") - _luhn(head) + 10) % 10
         return _let(permuted(head, key, [DIGITS]), lambda h: F.concat(h, ((_luhn(h) + off) % 10).cast("string")))
 
-    # digits go back to where digits stood
-    places = F.split(text, "")
-    return _let(
-        _let(digits, made),
-        lambda new: F.aggregate(
-            places,
-            F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-            lambda a, c: F.when(F.instr(F.lit(DIGITS), c) * F.length(c) > 0, F.struct(F.concat(a["out"], F.substring(new, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(
-                F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))
-            ),
-        )["out"],
-    )
+    return _let(_let(F.regexp_replace(text, r"\D", ""), made), lambda new: _refilled(text, new, "^[0-9]$"))
+
+
+def _iban(text: Column, key: str) -> Column:
+    """The country stays, the account is permuted, and the check digits keep their distance from the right ones, so valid
+    stays valid; check digits that no account can have stay as they are."""
+
+    def right(account: Column, country: Column) -> Column:
+        rest = F.aggregate(
+            F.split(F.concat(account, country, F.lit("00")), ""),
+            F.lit(0),
+            lambda a, c: F.when(c == "", a).when(c.rlike("^[0-9]$"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97),
+        )
+        return F.lit(98) - rest
+
+    def made(d: Column) -> Column:
+        country, check, account = F.substring(d, 1, 2), F.substring(d, 3, 2).cast("int"), F.substring(d, F.lit(5), F.length(d))
+        new_check = lambda n: F.when(check.between(2, 98), (right(n, country) + check - right(account, country) - 2 + 97) % 97 + 2).otherwise(check)
+        return _let(permuted(account, key), lambda n: F.concat(country, F.lpad(new_check(n).cast("string"), 2, "0"), n))
+
+    return _let(_let(F.replace(text, F.lit(" "), F.lit("")), made), lambda new: _refilled(text, new, "^[^ ]$"))
 
 
 def _ip(text: Column, key: str) -> Column:
@@ -141,32 +179,33 @@ def _ip(text: Column, key: str) -> Column:
     )
 
 
-def _name(text: Column, key: str) -> Column:
-    """The title stays; each word behind it is permuted within vowels and consonants of its script, its capital kept,
-    and a female name's last `a` stays, while its other last letters don't become one. Names' words are looked at one by
-    one, so a surname alone has the same surrogate."""
-    title = F.regexp_extract(text, rf"^(?:{'|'.join(FEMALE + MALE)})\.? ", 0)
-    female = F.regexp_extract(text, rf"^(?:{'|'.join(FEMALE)})\b", 0) != ""
-
-    def word(w: Column) -> Column:
-        low = F.lower(w)
-        apart = female & (F.length(low) > 2)
-        body = F.when(apart, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
-        last = F.when(apart, F.substring(low, -1, 1)).otherwise(F.lit(""))
-        tail = F.when(last.isin("", "a", "а", "α"), last).otherwise(_moved(last, _digest(key, 5, body), NOT_A))
-        return _let(F.concat(permuted(body, key, NAME), tail), lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, F.lit(2), F.length(n))))
+def name_word(word: Column, key: str) -> Column:
+    """A word of a name permuted within vowels and consonants of its script, its capitals kept. A last `a`, which many
+    women's names have, stays, and other last letters don't become one. A word has one surrogate, wherever it stands."""
+    low = F.lower(word)
+    apart = F.length(low) > 2
+    body = F.when(apart, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
+    last = F.when(apart, F.substring(low, -1, 1)).otherwise(F.lit(""))
+    tail = F.when(last.isin("", "a", "а", "α"), last).otherwise(_moved(last, _digest(key, 5, body), NOT_A))
+    cased = lambda new: F.array_join(F.zip_with(F.split(new, ""), F.split(word, ""), lambda n, c: F.when(c == F.lower(c), n).otherwise(F.upper(n))), "")
+    return _let(F.concat(permuted(body, key, NAME), tail), cased)
 
+
+def _name(text: Column, key: str) -> Column:
+    """Title and particles stay; each other word has its surrogate."""
+    title = F.regexp_extract(text, rf"^(?:{_TITLE})?", 0)
     words = F.split(F.substring(text, F.length(title) + 1, F.length(text)), " ")
-    return F.concat(title, F.array_join(F.transform(words, word), " "))
+    return F.concat(title, F.array_join(F.transform(words, lambda w: F.when(w.isin(PARTICLES), w).otherwise(name_word(w, key))), " "))
 
 
 def kind_of(entity: Column) -> Column:
-    """The first kind whose pattern is the whole entity."""
+    """The first kind whose pattern is the whole entity; a word alone is a name's. What fits none (a part of a longer string
+    that another kind's pattern ended) counts as a secret if it has one's sign, else as a number to call."""
     out = None
     for kind, rx in PATTERNS.items():
         whole = entity.rlike(f"^(?:{rx})$")
         out = F.when(whole, kind) if out is None else out.when(whole, kind)
-    return out.otherwise("secret")
+    return out.when(entity.rlike(r"^[\p{L}'’-]+$"), "name").when(entity.rlike("[=:]"), "secret").otherwise("phone")
 
 
 def surrogate(entity: Column, kind: Column, key: str) -> Column:
@@ -179,8 +218,9 @@ def surrogate(entity: Column, kind: Column, key: str) -> Column:
         F.when(kind == "email", keep(r"^()(.*)(\.[A-Za-z]+)$", plain("email")))
         .when(kind == "secret", keep(r"(?s)^(.*?[=:]\s{0,3}[\"']?)(.*)()$", secret))
         .when(kind == "key", keep(r"^(AKIA)(.*)()$", plain("key")))
-        .when(kind == "iban", keep(r"^(..)(.*)()$", plain("iban")))
-        .when(kind == "phone", keep(r"^(\+\d{1,3}(?=\D))?(.*)()$", plain("phone")))
+        .when(kind == "iban", _iban(entity, f"{key}|iban"))
+        .when(kind == "ip6", permuted(entity, f"{key}|ip6", [HEX, "ABCDEF"]))
+        .when(kind == "phone", keep(r"(?s)^(\+\d{1,3}(?=\D)|0)?(.*)()$", plain("phone")))
         .when(kind == "ip", _ip(entity, f"{key}|ip"))
         .when(kind == "card", _card(entity, f"{key}|card"))
         .when(kind == "name", _name(entity, f"{key}|name"))
@@ -188,49 +228,104 @@ def surrogate(entity: Column, kind: Column, key: str) -> Column:
     )
 
 
+def pieces(text: Column) -> Column:
+    """The text cut at its entities, so that every second piece is one; null where it has none.
+
+    Only the kinds whose signs a text has (an @, a digit, = or :, a title) are looked for. Words of names behind titles are
+    also found where they stand without one. Entities are marked by a character that the text doesn't have, and it is cut there.
+    """
+    digit, separator, titled = text.rlike("[0-9]"), text.rlike("[=:]"), text.rlike(PATTERNS["name"])
+    digits = "|".join(PATTERNS[k] for k in ("key", "iban", "ip6", "phone", "ssn", "ip", "card"))
+    words = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda n: F.split(F.regexp_replace(n, f"^{_TITLE}", ""), " "))
+    words = F.array_sort(F.array_distinct(F.filter(F.flatten(words), lambda w: (F.length(w) > 2) & ~w.isin(PARTICLES))), lambda a, b: F.length(b) - F.length(a))
+    bare = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
+    wanted = [F.when(F.contains(text, F.lit("@")), PATTERNS["email"]), F.when(separator, PATTERNS["secret"]), F.when(digit, digits), F.when(titled, PATTERNS["name"]), F.when(titled & (F.size(words) > 0), bare)]
+    rx = F.concat_ws("|", *wanted)
+    mark = F.when(F.contains(text, F.lit("\u0001")), F.concat(F.lit("\u0001"), F.md5(text))).otherwise(F.lit("\u0001"))
+    marked = F.regexp_replace(text, rx, F.concat(mark, F.lit("$0"), mark))
+    cut = _let(marked, lambda m: F.when(F.contains(m, mark), F.split(m, mark, -1)))
+    return F.when(F.contains(text, F.lit("@")) | digit | separator | titled, cut)
+
+
+def entities(cut: Column) -> Column:
+    """array<struct<value, kind>> of pieces, in order; null stays null."""
+    own = F.filter(cut, lambda p, k: k % 2 == 1)
+    return F.transform(own, lambda e: F.struct(e.alias("value"), kind_of(e).alias("kind")))
+
+
 def found(text: Column) -> Column:
-    """array<struct<value, kind>> of a text's entities, in order."""
-    hits = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    return F.transform(hits, lambda e: F.struct(e.alias("value"), kind_of(e).alias("kind")))
+    """array<struct<value, kind>> of a text's entities, in order; null where it has none."""
+    return entities(pieces(text))
+
+
+def _own_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def dictionary(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(kind, value, surrogate) of all distinct entities of the corpus."""
-    own = docs.where(F.col(text).isNotNull()).select(F.explode(found(F.col(text))).alias("e")).select("e.kind", "e.value").distinct()
+    own = docs.select(F.explode(found(F.col(text))).alias("e")).select("e.kind", "e.value").distinct()
     return own.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), key))
 
 
-def collisions(entities: DataFrame) -> DataFrame:
+def collisions(made: DataFrame) -> DataFrame:
     """(kind, surrogate, n) that stand for several entities which differ in more than the case of their letters."""
-    return entities.groupBy("kind", "surrogate").agg(F.countDistinct(F.lower("value")).alias("n")).where("n > 1")
-
+    return made.groupBy("kind", "surrogate").agg(F.countDistinct(F.lower("value")).alias("n")).where("n > 1")
 
-def choose_key(docs: DataFrame, key: str = KEY, text: str = "text") -> str:
-    """The first version of the key under which no two entities of the corpus share a surrogate."""
-    for version in range(KEY_VERSIONS):
-        if collisions(dictionary(docs, f"{key}{version}", text)).isEmpty():
-            return f"{key}{version}"
-    raise ValueError("every version of the key makes surrogates collide")
 
-
-def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = False) -> DataFrame:
-    """docs with every entity in `text` replaced; n_chars, where there, follows the new text. With counts, n_<kind> columns are added.
-
-    A text without entities stays as it is; null stays null, empty stays empty. Rows are changed one by one: no shuffle.
+def settled(made: DataFrame, key: str) -> DataFrame | None:
+    """(kind, value, surrogate) of the values whose surrogate another one has, with new ones that nothing else has; None
+    without any. made: the dictionary, a table. Of each group the smallest value keeps its surrogate."""
+    out = None
+    for k in range(1, ROUNDS + 1):
+        if collisions(made).isEmpty():
+            return out
+        shared = collisions(made).select("kind", "surrogate")
+        first = made.join(shared, ["kind", "surrogate"]).groupBy("kind", "surrogate").agg(F.min(F.lower("value")).alias("first"))
+        moved = made.join(first, ["kind", "surrogate"]).where(F.lower("value") != F.col("first")).select("kind", "value")
+        moved = materialise(moved.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), f"{key}|again{k}")), "moved")
+        rest = lambda df: df.join(moved.select("kind", "value"), ["kind", "value"], "left_anti")
+        made = materialise(rest(made).unionByName(moved), "dictionary")
+        out = moved if out is None else materialise(rest(out).unionByName(moved), "settled")
+    if collisions(made).isEmpty():
+        return out
+    raise ValueError("surrogates collide under every key")
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", counts: bool = False) -> DataFrame:
+    """docs with every entity in `text` replaced; n_chars, where there, follows the new text. With counts, n_<kind> columns are
+    added (those of docs are replaced).
+
+    A text without entities stays as it is; null stays null, empty stays empty; repeated rows stay repeated. Other columns
+    stay, whatever they are called. Texts are searched once: their pieces go to the shared folder, the corpus's entities are
+    checked for collisions from there, and rows are changed one by one. An empty table gives no rows.
     """
-    with_entities = docs.withColumn("_found", F.when(F.col(text).isNotNull(), found(F.col(text))))
-    new = F.transform("_found", lambda e: surrogate(e["value"], e["kind"], key))
-    parts = F.split(F.col(text), ENTITY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, new, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    out = with_entities.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(F.col(text)))
+    key = key or session_key(docs.sparkSession)
+    row, cut, new = (_own_name(docs, n) for n in ("_row", "_pieces", "_new"))
+    base = docs.withColumn(cut, pieces(F.col(text))).withColumn(text, F.when(F.col(cut).isNull(), F.col(text))).withColumn(row, F.monotonically_increasing_id())
+    base = materialise(base, "pii")
+    own = base.where(F.col(cut).isNotNull()).select(F.explode(entities(F.col(cut))).alias("e")).select("e.kind", "e.value").distinct()
+    made = materialise(own.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), key)), "dictionary")
+    other = settled(made, key)
+    of = lambda e: surrogate(e["value"], e["kind"], key)
+    if other is None:
+        replaced = F.transform(entities(F.col(cut)), of)
+    else:
+        each = base.where(F.col(cut).isNotNull()).select(row, F.posexplode(entities(F.col(cut))).alias("at", "e")).select(row, "at", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"))
+        met = each.join(small(other), ["kind", "value"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias(new))
+        base = base.join(met, row, "left")
+        replaced = F.transform(entities(F.col(cut)), lambda e, k: F.coalesce(F.element_at(F.col(new), k), of(e)))
+    joined = F.array_join(F.transform(cut, lambda p, k: F.when(k % 2 == 1, F.get(F.col(new), F.floor(k / 2).cast("int"))).otherwise(p)), "")
+    out = base.withColumn(new, replaced).withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(joined))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text).cast("long"), F.col("n_chars")))
     if counts:
-        kinds = F.coalesce(F.col("_found.kind"), F.expr("cast(array() as array<string>)"))
+        kinds = F.coalesce(F.transform(entities(F.col(cut)), lambda e: e["kind"]), F.expr("cast(array() as array<string>)"))
         out = out.withColumns({f"n_{kind}": (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long") for kind in KINDS})
-    return out.drop("_found")
+    return out.drop(row, cut, new)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, choose_key(docs), counts=True)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
