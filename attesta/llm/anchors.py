@@ -58,9 +58,12 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
     A window's anchor is its gram with the least hash, the last of equal ones, so equal windows have their anchors at
     the same place in them. Windows with the anchor in their first half all hold a stretch behind it, the others one
-    before it: the hash of that stretch is the key, and equal windows have equal keys. content: hash of all the run's
-    bytes and the anchor's place in them; first, last: where the run's first and last windows start.
+    before it: the hash of that stretch is the key, and equal windows have equal keys. content: XXH3 of all the run's
+    bytes, seeded with the anchor's place in them, so runs count as equal only where two hashes of different make agree (sums
+    modulo 2**64 alone are equal for some regular texts); first, last: where the run's first and last windows start.
     """
+    from xxhash import xxh3_64_intdigest
+
     half = (length - GRAM) // 2
     pieces = [(k, low, t[low : low + STRETCH + length - 1]) for k, t in enumerate(texts) for low in range(0, len(t) - length + 1, STRETCH)]
     found, k = [], 0
@@ -89,8 +92,8 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
         first, last = first[keep], last[keep]
         anchor, side = place[first], late[first]
         key = hashes.of(np.where(side, anchor - half - 1, anchor), np.where(side, anchor + GRAM, anchor + length - half)) ^ side.astype(np.uint64)
-        with np.errstate(over="ignore"):
-            content = mixed(hashes.of(first, last + length) + (2 * (anchor - first) + side).astype(np.uint64) * np.uint64(_BASE))
+        raw, place_in = data.tobytes(), 2 * (anchor - first) + side
+        content = np.array([xxh3_64_intdigest(raw[a:b], c) for a, b, c in zip(first.tolist(), (last + length).tolist(), place_in.tolist(), strict=True)], np.uint64)
         begin = np.concatenate(([0], ends[:-1]))[piece[first]]
         number = np.array([n for n, _, _ in own])[piece[first]]
         offset = np.array([low for _, low, _ in own])[piece[first]]

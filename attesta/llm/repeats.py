@@ -1,8 +1,8 @@
-"""Removal of long strings that repeat anywhere in the corpus, byte for byte, with suffix arrays of bounded groups.
+"""Removal of long strings that repeat anywhere in the corpus, with suffix arrays of bounded groups.
 
 Every window of `length` bytes has a key made from its content (anchors.runs), so equal windows meet under one key
-wherever they are. Runs of windows whose whole content occurs again need no sorting. Of runs that share a key but not
-their content, the bytes meet in bounded groups: by key, or where a key has many contents, by the hashes of their windows.
+wherever they are. Runs of windows whose whole content occurs again need no sorting: two hashes of different make (key and
+content) tell that, and no bytes are compared. Of runs that share a key but not their content, the bytes meet in bounded groups: by key, or where a key has many contents, by the hashes of their windows.
 Windows whose hash is alone in the group are left out, and the suffix array of the rest (suffix_sort, linear grouping)
 puts equal windows side by side, where they are compared byte for byte.
 """
@@ -273,5 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
+    """text is what stays; a cut inside a character leaves replacement characters there, the digest is of the bytes."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
