@@ -45,6 +45,16 @@ def test_ngram_join(spark, rows):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_one_row_of_each_class_stays(spark):
+    text = "one two three four five six"
+    rows = [(3, text), (3, text), (3, "other words that stand here alone"), (4, text.upper()), (None, text), (None, "no id but words of its own"), (7, None), (7, None)]
+    docs = make(spark, rows).withColumn("_tag", F.lit("clash"))
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs.drop("_tag")).collect()), key=str)
+    assert got == sorted([(3, text), (3, rows[2][1]), (None, rows[5][1]), (7, None), (7, None)], key=str)
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.classes(docs).collect()}
+    assert found == {(3, 2): 3, (4, 2): 3, (None, 2): 3, (None, 3): None, (7, 0): 7}
+
+
 def test_ngram_join_passes_over_common_keys(spark, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "COMMON", 3)
     monkeypatch.setattr(ngram_join, "CHUNK", 5)
@@ -218,7 +228,7 @@ def test_pii(spark):
 def test_surrogates_stay_distinct(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit("@x.org 10.1."), (F.col("id") % 200).cast("string"), F.lit(".7")).alias("text"))
     assert pii.collisions(pii.dictionary(df, "k")).isEmpty()
-    assert pii.choose_key(df) == "attesta0"
+    assert pii.settled(pii.dictionary(df, "k"), "k") is None
 
 
 def test_written_forms_have_surrogates_of_their_own(spark):
@@ -237,11 +247,54 @@ def test_written_forms_have_surrogates_of_their_own(spark):
     assert all((made[x][6] in "0123456789abcdef") == (x[6] in "af") for x in secrets)
 
 
+def test_names_keep_their_coreference(spark):
+    text = "Mrs Anna Maria Garcia met Mr Garcia and Dr. Jean-Luc van der Berg. Anna said that Garcia's plan of McGarcia was Berg's; Annab too. Prof O'Neil, o'neil."
+    new = pii.pseudonymise(make(spark, [(1, text)]), "k").first().text
+    assert not {"Anna", "Maria", "Garcia", "Berg", "Jean", "Neil"} & set(new.replace("'", " ").replace(".", " ").replace("-", " ").split())
+    full = new.split("Mrs ")[1].split(" met Mr ")[0].split()
+    assert len(full) == 3 and all(w[0].isupper() and w.endswith("a") for w in full)
+    assert f"met Mr {full[2]} and" in new and f"{full[0]} said that {full[2]}'s plan of McGarcia" in new and "Annab too" in new
+    berg = new.split(" van der ")[1].split(".")[0]
+    assert f"was {berg}'s" in new and new.endswith(", o'neil.") and "Dr. " in new
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_more_kinds(spark):
+    rows = {
+        "iban": "DE89 3704 0044 0532 0130 00", "iban_": "GB82WEST12345698765432", "bad": "GB81WEST12345698765432", "ip6": "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "short6": "fe80::1ff:fe23:4567:890a",
+        "national": "0171 234 5678", "dotted": "312.555.0199", "date": "on 01-02-2020 12 of", "version": "1.2.3", "code": "std::be", "mark": "a\u0001b x@y.org \u0001", "time": "12:30:45",
+    }
+    docs = make(spark, list(enumerate(rows.values()))).withColumn("_pieces", F.lit("clash")).withColumn("n_ip6", F.lit("old"))
+    done = pii.pseudonymise(docs, "k", counts=True)
+    got = {k: r for k, r in zip(rows, sorted(done.collect(), key=lambda r: r.doc_id), strict=True)}
+    new = {k: r.text for k, r in got.items()}
+    assert all(new[k] == rows[k] for k in ("date", "version", "code", "time"))
+    assert all(new[k] != rows[k] and len(new[k]) == len(rows[k]) for k in rows if k not in ("date", "version", "code", "time"))
+    assert mod97(new["iban"].replace(" ", "")) == mod97(new["iban_"]) == 1 != mod97(new["bad"]) and [len(x) for x in new["iban"].split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert new["national"][0] == "0" and new["mark"].startswith("a\u0001b ") and new["mark"].endswith(".org \u0001")
+    assert got["ip6"].n_ip6 == got["short6"].n_ip6 == 1 and got["date"].n_ip6 == 0 and got["date"]["_pieces"] == "clash"
+    assert {r.doc_id: r.text for r in pii.pseudonymise(docs, "other").collect()}[0] != new["iban"]
+
+
+def test_collisions_are_settled(spark, monkeypatch):
+    docs = make(spark, [(k, f"ssn 123-45-{k:04d} and 123-45-{(k + 1) % 40:04d}.") for k in range(40)] + [(50, None), (50, None)])
+    real = pii.permuted
+    # under the first key all surrogates of this kind are one
+    monkeypatch.setattr(pii, "permuted", lambda t, key, *a: real(t, key, *a) if "again" in key else F.lit("000-00-0000"))
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect()}
+    first = [got[k][4:15] for k in range(40)]
+    assert len(set(first)) == 40 and all(got[k][20:31] == first[(k + 1) % 40] for k in range(40)) and got[50] is None
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi </s> \\ <|says|>"), (1, 1, "assistant", "a[INST]b\\"), (1, 2, "user", None), (1, 3, "assistant", "é"), (2, 0, "user", "alone")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").unionByName(chat.probe(spark))
     parts = chat.segments(df)
-    got = {r.conv_id: r for r in chat.digests(parts).collect()}
+    made = chat.examples(parts)
+    got = {r.conv_id: r for r in chat.digests(parts, made).collect()}
     sha = lambda *t: hashlib.sha256("".join(t).encode()).hexdigest()
     assert got[1].turns_sha256 == sha(*[f"{r}\n{t or ''}\n" for c, _, r, t in turns if c == 1])
     assert (got[1].loss_chars, got[1].loss_sha256) == (10, sha("a[INST]b\\", "é")) and got[1].n_turns == 4
@@ -253,6 +306,23 @@ def test_chat(spark):
         context, target = full[e.conv_id, e.turn_no]
         assert len(context) == e.context_chars and len(context) + len(target) == e.chars
     assert all("</s>" not in c + t and "[INST]" not in c + t for c, t in full.values())
+    # what the digests tell comes through the examples' places
+    for column in ("target_at", "target_end"):
+        moved = {r.conv_id: r.loss_sha256 for r in chat.digests(parts, made.withColumn(column, F.col(column) - 1)).collect()}
+        assert moved[1] != got[1].loss_sha256 and moved[-1] != got[-1].loss_sha256 and moved[2] == got[2].loss_sha256
+    assert got[1].n_examples == 2 and got[2].n_examples == 0 and got[1].formatted_chars == sum(len(c) + len(t) for (i, _), (c, t) in full.items() if i == 1)
+
+
+def test_chat_of_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, segment string"
+    none = chat.segments(spark.createDataFrame([], schema))
+    assert chat.digests(none, chat.examples(none)).count() == 0
+    turns = [(None, 0, "user", "a", "x"), (None, 1, "assistant", "b", "x"), (5, None, None, "c", "x"), (5, 1, "assistant", "d" * 100_000, None), (5, 1, "assistant", "d" * 100_000, None)]
+    parts = chat.segments(spark.createDataFrame(turns, schema))
+    got = {r.conv_id: r for r in chat.digests(parts, chat.examples(parts)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (got[None].loss_sha256, got[None].n_turns) == (sha("b"), 2)
+    assert (got[5].loss_sha256, got[5].n_turns, got[5].turns_sha256) == (sha("d" * 200_000), 3, sha("\nc\n" + 2 * ("assistant\n" + "d" * 100_000 + "\n")))
 
 
 def test_urls(spark):
@@ -267,6 +337,59 @@ def test_urls(spark):
     }
 
 
+def plain_rules(labelled, min_rows):
+    """Every combination of single tokens of URLs, told bad often enough, that has no shorter part as sure."""
+    from itertools import combinations
+
+    def tokens(u):
+        host, path = u.split("://", 1)[1].split("/", 1)
+        labels = host.split(".")
+        return {f"h:{x}" for x in labels} | {"d:" + ".".join(labels[k : k + 2]) for k in range(len(labels) - 1)} | {f"p:{x}" for x in path.split("/") if x}
+
+    rows = [(tokens(u), bad) for u, bad in labelled]
+    every = {c for t, bad in rows if bad for n in (1, 2, 3) for c in combinations(sorted(t), n)}
+    told = {}
+    for c in every:
+        own = [bad for t, bad in rows if set(c) <= t]
+        if sum(own) >= max(min_rows, 0.002 * len(rows)) and sum(own) / len(own) >= 0.6 and sum(own) / len(own) >= 1.5 * sum(b for _, b in rows) / len(rows):
+            told[c] = sum(own) / len(own)
+    return lambda u: max((p for c, p in told.items() if set(c) <= tokens(u)), default=None)
+
+
+def test_url_rules_against_all_combinations(spark):
+    rng = random.Random(12)
+    some = lambda: f"http://{rng.choice('abc')}.{rng.choice(['com', 'net', 'io'])}/{rng.choice('pqr')}/{rng.choice('xyz')}"
+    labelled = [(u, rng.random() < (0.9 if "/p/" in u and "a." in u else 0.7 if ".io" in u else 0.1)) for u in (some() for _ in range(400))]
+    sure = plain_rules(labelled, urls.MIN_ROWS)
+    pages = sorted({some() for _ in range(200)})
+    got = {r.url: round(r.confidence, 9) for r in urls.match(spark.createDataFrame([(u,) for u in pages], "url string"), urls.mine(spark.createDataFrame(labelled, "url string, bad boolean"))).collect()}
+    assert got == {u: round(p, 9) for u in pages if (p := sure(u)) is not None} and 0 < len(got) < len(pages)
+
+
+def test_long_urls_give_few_rules(spark):
+    long = "http://h.org/" + "/".join(f"part{k}" for k in range(40))
+    nested = ["http://n.org/" + "/".join(f"n{j}" for j in range(k)) for k in range(1, 40)]
+    rows = [(long, True)] * 30 + [(u, True) for u in nested for _ in range(3)] + [(f"http://good{k}.org/x{k}", False) for k in range(150)] + [(None, True), (long, None)]
+    rules = urls.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert 0 < len(rules) < 60
+    pages = spark.createDataFrame([(1, long), (2, nested[20]), (3, "http://good1.org/x"), (1, long), (4, None)], "page_id long, url string")
+    got = sorted((r.page_id, r.verdict) for r in urls.judge(pages.withColumn("verdict", F.lit("clash")), spark.createDataFrame(rows, "url string, bad boolean")).collect())
+    assert got == [(1, "block"), (1, "block"), (2, "block"), (3, "allow"), (4, "allow")]
+    none = spark.createDataFrame([], "url string, bad boolean")
+    assert {r.verdict for r in urls.judge(pages, none).collect()} == {"allow"}
+    assert urls.judge(pages.where("false"), none).count() == 0
+
+
+def test_repeated_ids_do_not_fill_the_fit(spark, monkeypatch):
+    docs = make(spark, [(1, "spam spam")] * 500 + [(k, f"fine{k % 3} words here") for k in range(2, 30)] + [(None, "x")])
+    marked = spark.createDataFrame([(1, 1, 1), (1, 1, None), *[(k, 1, 0) for k in range(2, 30)], (None, 1, 1)], "doc_id long, quality int, toxic int")
+    once = make(spark, [(1, "spam spam")] + [(k, f"fine{k % 3} words here") for k in range(2, 30)])
+    model, same = toxicity.fit(docs, marked), toxicity.fit(once, marked)
+    assert all((a == b).all() for a, b in zip(model[:2], same[:2], strict=True)) and model[2] == same[2]
+    monkeypatch.setattr(toxicity, "FIT_FEATURES", 10)
+    assert toxicity.score(docs, toxicity.fit(docs, marked)).count() == docs.count()
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
