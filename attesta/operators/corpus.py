@@ -12,10 +12,13 @@ from attesta.functions import lexicons as L
 from attesta.functions.text import document_id, fold, squash
 from attesta.functions.urls import hostname, is_official, is_page, normalize_url
 
-#: Tags whose content isn't shown, and tags that end a block.
+#: Tags whose content isn't shown, and tags that end a block (hidden ones end it too).
 HIDDEN = {"script", "style", "nav", "footer", "aside", "noscript", "svg", "canvas", "select", "button", "template", "title"}
-BLOCK = {"p", "div", "section", "article", "main", "header", "form", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "br", "hr", "pre", "dd", "dt", "dl", "figure", "figcaption", "body"}
+BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "td", "th", "tr", "table", "div", "section", "article", "main", "br", "hr", "pre", "dd", "dt", "figcaption", "header"}
+#: Fixed values.
 STRICT = {"p", "h1", "h2", "h3", "li", "blockquote"}
+#: Fixed values.
+STRICT_HIDDEN = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript"}
 _HEAD = 200_000
 
 
@@ -23,7 +26,7 @@ def _reader(strict: bool):
     """A parser class: visible blocks in order, and links outside hidden tags."""
     from html.parser import HTMLParser
 
-    hidden_tags = HIDDEN | {"header", "form"} if strict else HIDDEN
+    hidden_tags = STRICT_HIDDEN if strict else HIDDEN
     breaks = STRICT if strict else BLOCK
 
     class Reader(HTMLParser):
@@ -32,33 +35,37 @@ def _reader(strict: bool):
             self.blocks, self.links, self.words, self.hidden, self.inside, self.link = [], [], [], 0, 0, None
 
         def end_block(self):
-            text = " ".join("".join(self.words).split())
-            if text and (self.inside or not strict):
+            text = " ".join(" ".join(self.words).split())
+            if text:
                 self.blocks.append(text)
             self.words = []
 
         def handle_starttag(self, tag, attrs):
-            if tag in hidden_tags:
-                self.hidden += 1
-            if tag in breaks:
+            if tag in breaks or (tag in hidden_tags and not strict):
                 self.end_block()
-                self.inside += 1
+            if tag in hidden_tags or tag in breaks:
+                self.hidden += tag in hidden_tags
+                self.inside += tag in breaks
             if tag == "a" and not self.hidden:
                 self.link = (dict(attrs).get("href") or "", [])
 
         def handle_endtag(self, tag):
             if tag in hidden_tags:
+                if not strict:
+                    self.end_block()
                 self.hidden = max(0, self.hidden - 1)
             if tag in breaks:
                 self.end_block()
                 self.inside = max(0, self.inside - 1)
             if tag == "a" and self.link:
-                self.links.append((self.link[0], " ".join("".join(self.link[1]).split())))
+                if self.link[0]:
+                    self.links.append((self.link[0], " ".join(" ".join(self.link[1]).split())))
                 self.link = None
 
         def handle_data(self, data):
-            if not self.hidden:
-                self.words.append(data)
+            if not self.hidden and data.strip():
+                if self.inside or not strict:
+                    self.words.append(data)
                 if self.link:
                     self.link[1].append(data)
 
@@ -94,8 +101,8 @@ def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
 
 def paragraphs(blocks: DataFrame, by: str = "page_id", least: int = 20) -> DataFrame:
     """Blocks of at least 20 characters, the first of each folded text in its page; norm is the folded text."""
-    kept = blocks.where(F.length("text") >= least).withColumn("norm", fold(F.col("text")))
-    return keep_first(kept, [by, "norm"], ["pos"])
+    kept = blocks.where(F.length("text") >= least).withColumn("_h", F.xxhash64(fold(F.col("text"))))
+    return keep_first(kept, [by, "_h"], ["pos"]).drop("_h").withColumn("norm", fold(F.col("text")))
 
 
 def text_paragraphs(docs: DataFrame) -> DataFrame:
@@ -120,12 +127,15 @@ def page_links(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.select("page_id", normalize_url(absolute).alias("href"), F.col("text").alias("anchor")).where("href is not null")
 
 
+def _entities(text: Column) -> Column:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def page_title(html: Column) -> Column:
     """The first title, without tags, its common entities decoded."""
-    raw = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        raw = F.replace(raw, F.lit(entity), F.lit(char))
-    return squash(raw)
+    return squash(_entities(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", "")))
 
 
 _NAMES = "article:published_time|og:article:published_time|datepublished|date|dc\\.date(?:\\.issued)?|pubdate|publishdate"
@@ -164,10 +174,20 @@ AUTHOR_PLACES = [
 UNKNOWN_AUTHOR = "Necunoscut"
 
 
+def _decoded(text: Column) -> Column:
+    """\\uXXXX escapes as characters."""
+    parts = F.split(text, r"\\u(?=[0-9a-fA-F]{4})")
+    # four hex digits as UTF-16 bytes; a lone surrogate half becomes a replacement character
+    char = lambda p: F.decode(F.unhex(F.substring(p, 1, 4)), "UTF-16BE")
+    made = F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.concat(char(p), F.substring(p, F.lit(5), F.length(p)))))
+    return F.when(text.rlike(r"\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}") & ~text.rlike(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"), F.array_join(made, "")).otherwise(text)
+
+
 def page_author(html: Column) -> Column:
+    """The first author a page names, its escapes and common entities decoded; else a fixed word."""
     head = F.substring(html, 1, _HEAD)
     clean = lambda c: F.when((c != "") & ~c.rlike("(?i)^https?://") & (F.length(c) <= 120), c)
-    return F.coalesce(*[clean(squash(F.regexp_extract(head, rx, 1))) for rx in AUTHOR_PLACES], F.lit(UNKNOWN_AUTHOR))
+    return F.coalesce(*[clean(squash(_entities(_decoded(F.regexp_extract(head, rx, 1))))) for rx in AUTHOR_PLACES], F.lit(UNKNOWN_AUTHOR))
 
 
 def page_author_v1(html: Column) -> Column:

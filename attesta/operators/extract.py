@@ -32,6 +32,22 @@ def mentions(texts: DataFrame, variants: DataFrame, by: str = "doc_id") -> DataF
     return single.unionByName(phrases).where("n > 0").groupBy("entity_id", by).agg(F.sum("n").cast("long").alias("n"))
 
 
+def named_rows(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """rows with entity_id, once for each entity that a row's norm names; norm and all other columns stay.
+
+    rows: (norm, ...). Each row's distinct words meet variants where it stands (a broadcast of the variants as long as Spark
+    finds them small), and phrases are looked for in rows that hold their first word, so rows aren't joined back.
+    """
+    word = F.regexp_extract("variant", r"(?U)\w+", 0)
+    wanted = variants.select("entity_id", "variant", word.alias("_word"))
+    words = rows.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0)))))
+    whole = F.col("norm").rlike(F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)")))
+    met = words.join(wanted, "_word").where((F.col("variant") == F.col("_word")) | whole)
+    kept = [c for c in rows.columns if c != "entity_id"]
+    once = F.row_number().over(Window.partitionBy("entity_id", "doc_id", "pos").orderBy("variant"))
+    return met.withColumn("_n", once).where("_n = 1").select("entity_id", *kept)
+
+
 def relevant_documents(docs: DataFrame, variants: DataFrame, least: int = 300) -> DataFrame:
     """(entity_id, doc_id, n) of documents of at least 300 characters that name the entity."""
     return mentions(docs.where(F.length("text") >= least).select("doc_id", fold(F.col("text")).alias("norm")), variants)
@@ -57,13 +73,15 @@ def sentence_window(text: Column, rx: str, limit: int) -> Column:
     return F.when(n == 0, F.substring(text, 1, limit)).when(F.length(joined) > limit, cut).otherwise(joined)
 
 
-def excerpts(paras: DataFrame, rx: str, limit: int = 700) -> DataFrame:
+def excerpts(paras: DataFrame, rx: str, limit: int = 700, keep: Column | None = None) -> DataFrame:
     """paras with excerpt: the paragraph, or its sentences around the match if it is over the limit, or, under 120
-    characters, with neighbours (the next first) up to three parts."""
+    characters, with neighbours (the next first) up to three parts. keep: which paragraphs get one and stay (neighbours need
+    not match)."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    at = {k: (F.lag("text", -k) if k < 0 else F.lead("text", k)).over(w) if k else F.col("text") for k in (1, 2)}
+    at = {k: F.lead("text", k).over(w) for k in (1, 2)}
     back = {k: F.lag("text", k).over(w) for k in (1, 2)}
     base = paras.withColumns({"_n1": at[1], "_n2": at[2], "_p1": back[1], "_p2": back[2]})
+    base = base if keep is None else base.where(keep)
     add = lambda size, c: size + 1 + F.length(c)
     own = F.length("text")
     fits = lambda size, c: c.isNotNull() & (add(size, c) <= limit)
@@ -89,25 +107,20 @@ def evidence(paras: DataFrame, variants: DataFrame, keywords: list[str], categor
     (by fingerprint) in a document fall to the first; then most channels, then longest.
     """
     words = folded(keywords)
-    # excerpts before the filter: neighbours need not match
-    made = excerpts(paras, prefix_rx(*words))
     matched = F.array_compact(F.array(*[F.when(has_prefix(F.col("norm"), w), F.lit(k)) for w, k in zip(words, keywords, strict=True)]))
-    hit = made.where(has_prefix(F.col("norm"), *words)).where(F.length("excerpt") >= least).withColumn("matched", matched)
+    hit = excerpts(paras, prefix_rx(*words), keep=has_prefix(F.col("norm"), *words)).where(F.length("excerpt") >= least).withColumn("matched", matched)
     hit = hit.withColumn("channels", funding_channels(F.col("norm"), channels) if channels else F.expr("cast(array() as array<string>)"))
     if channels:
         hit = hit.where((F.size("matched") >= 2) | (F.size("channels") > 0))
-    hit = hit.withColumn("eid", F.concat_ws(":", "doc_id", "pos")).withColumn("norm", fold(F.col("excerpt")))
-    named = mentions(hit.select("eid", "norm"), variants, "eid")
-    rows = keep_first(hit.join(named, "eid").withColumn("fp", fingerprint(F.col("excerpt"))), ["entity_id", "doc_id", "fp"], ["pos"])
+    named = named_rows(hit.withColumn("norm", fold(F.col("excerpt"))), variants)
+    rows = keep_first(named.withColumn("fp", fingerprint(F.col("excerpt"))), ["entity_id", "doc_id", "fp"], ["pos"])
     rank = F.row_number().over(Window.partitionBy("entity_id", "doc_id").orderBy(F.size("channels").desc(), F.length("excerpt").desc(), "pos"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("entity_id", "doc_id", "pos", F.lit(category).alias("category"), F.get("matched", 0).alias("keyword"), "excerpt", "channels", "rank")
 
 
 def mention_excerpts(paras: DataFrame, variants: DataFrame, top: int = 4, limit: int = 900, least: int = 120, rx: str = "$^") -> DataFrame:
     """(entity_id, doc_id, pos, excerpt): the first excerpts of each document that name the entity."""
-    keyed = excerpts(paras, rx, limit).withColumn("eid", F.concat_ws(":", "doc_id", "pos"))
-    named = mentions(keyed.select("eid", "norm"), variants, "eid")
-    rows = keyed.join(named, "eid").where(F.length("excerpt") >= least).withColumn("fp", fingerprint(F.col("excerpt"), 250))
+    rows = named_rows(excerpts(paras, rx, limit), variants).where(F.length("excerpt") >= least).withColumn("fp", fingerprint(F.col("excerpt"), 250))
     rows = keep_first(rows, ["entity_id", "doc_id", "fp"], ["pos"])
     rank = F.row_number().over(Window.partitionBy("entity_id", "doc_id").orderBy("pos"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("entity_id", "doc_id", "pos", "excerpt", "rank")

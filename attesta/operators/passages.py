@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import lexicons as L
-from attesta.functions.text import fold, norm_words, split_chunks, split_sentences
+from attesta.functions.text import fold, norm_words, plain_quotes, split_chunks, split_sentences
 from attesta.operators.corpus import keep_first
 from attesta.operators.extract import is_promise
 
-KIND_ORDER = {"speech": 0, "quote": 1, "reported": 2}
-KIND_BASE = {"quote": 3.0, "speech": 2.0, "reported": 1.0}
-MAX_PASSAGES = 8
+#: Kinds with the weight and the name that requests show.
+KINDS = [("speech", 3.0, "speech"), ("quote", 2.0, "direct quote"), ("reported", 1.0, "article passage")]
+#: Passages and characters of a request; characters of a token; tokens kept free.
+MAX_PASSAGES, MAX_CHARS, CHARS_PER_TOKEN, SYSTEM_CHARS_PER_TOKEN, SAFETY_TOKENS, HEADER_TOKENS = 8, 5000, 2.6, 3.4, 300, 160
 
 
 def latest_news(items: DataFrame, since: str, n_sources: int = 20, per_source: int = 3) -> DataFrame:
@@ -59,40 +63,62 @@ def reported_only(reported: DataFrame, quotes: DataFrame, surname: str = "surnam
 
 def priority(kind: Column, n_cues: Column, score: Column) -> Column:
     """By kind, a little for each cue, and for the source; four decimals, halves up."""
-    base = F.when(kind == "quote", 3.0).when(kind == "speech", 2.0).otherwise(1.0)
+    base = F.when(kind == "speech", 3.0).when(kind == "quote", 2.0).otherwise(1.0)
     return (F.floor((base + F.lit(0.4) * n_cues + score / F.lit(100.0)) * 10000 + 0.5) / 10000).cast("decimal(12,4)")
 
 
 def render_passage(label: Column, kind: Column, cues: Column, text: Column, context: Column) -> Column:
-    """The text block of one passage in a request."""
-    return F.concat_ws("\n", F.concat(F.lit("["), label, F.lit("] "), F.upper(kind)), F.when(F.size(cues) > 0, F.concat(F.lit("CUES: "), F.array_join(cues, ", "))), F.concat(F.lit("STATEMENT: "), text), F.when(context.isNotNull(), F.concat(F.lit("SURROUNDING TEXT: "), context)))
+    """The text block of one passage in a request; quotation marks become apostrophes."""
+    name = kind
+    for k, _, shown in KINDS:
+        name = F.when(kind == k, shown).otherwise(name)
+    return F.concat_ws("\n", F.concat(F.lit("["), label, F.lit("] TYPE: "), name), F.when(F.size(cues) > 0, F.concat(F.lit("CUES: "), F.array_join(cues, "; "))), F.concat(F.lit("STATEMENT: "), plain_quotes(text)), F.when(F.length(context) > 0, F.concat(F.lit("SURROUNDING TEXT: "), plain_quotes(context))))
+
+
+def export_passages(rows: DataFrame) -> DataFrame:
+    """(entity_id, kind, text, source) of all passages, those without a finding too. rows: passages with title, domain, date, url."""
+    source = F.struct(*[F.col(c) for c in ("doc_id", "title", "domain", "date", "url")])
+    return rows.select("entity_id", "kind", F.substring("text", 1, 400).alias("text"), source.alias("source"))
 
 
 def batch_budget(token_cap: int, answer_tokens: int, system_chars: int) -> int:
-    """Characters a request may hold, between 1500 and 5000."""
-    return int(max(1500, min(5000, (token_cap - answer_tokens) * 2.6 - system_chars)))
+    """Characters of passages a request may hold, between 1500 and 5000."""
+    free = token_cap - answer_tokens - SAFETY_TOKENS - HEADER_TOKENS - int(system_chars / SYSTEM_CHARS_PER_TOKEN)
+    return max(1500, min(MAX_CHARS, int(free * CHARS_PER_TOKEN)))
 
 
-def pack_batches(rows: DataFrame, by: list[str], size: str, budget: int, most: int = MAX_PASSAGES, order: str = "seq") -> DataFrame:
+def pack_batches(rows: DataFrame, by: list[str], size: str, budget: int, most: int = MAX_PASSAGES, order: list | str = "seq") -> DataFrame:
     """rows with batch_no: in order, a new batch begins when the next row doesn't fit in size or number.
 
-    A fold over each group's sizes (not its texts), so a group is a list of numbers in one row.
+    Where a batch ends depends on where it began, so a group's sizes are walked through in order: they stream, sorted, through
+    a task that holds the open batch's size and number alone. Only the keys and the size go there and are joined back.
     """
-    sizes = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("list"))
-    start = F.struct(F.expr("cast(array() as array<struct<o: bigint, b: int>>)").alias("out"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("k"))
-
-    def add(a, x):
-        full = (a["k"] > 0) & ((a["size"] + x["n"] > budget) | (a["k"] >= most))
-        b = F.when(full, a["b"] + 1).otherwise(a["b"])
-        return F.struct(
-            F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), b.alias("b")))).alias("out"),
-            b.alias("b"),
-            F.when(full, x["n"]).otherwise(a["size"] + x["n"]).alias("size"),
-            F.when(full, F.lit(1)).otherwise(a["k"] + 1).alias("k"),
-        )
-
-    dealt = sizes.select(*by, F.explode(F.aggregate("list", start, add, lambda a: a["out"])).alias("x")).select(*by, F.col("x.o").alias(order), F.col("x.b").alias("batch_no"))
-    return rows.join(dealt, [*by, order])
+    order = [order] if isinstance(order, str) else order
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*by, *order])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, used, n = None, 0, 0, 0
+        for pdf in batches:
+            numbers = []
+            for row in pdf.itertuples(index=False):
+                key, length = tuple(row[: len(by)]), row[-1]
+                if key != now:
+                    now, batch, used, n = key, 0, 0, 0
+                elif used + length > budget or n >= most:
+                    batch, used, n = batch + 1, 0, 0
+                used, n = used + length, n + 1
+                numbers.append(batch)
+            yield pdf.iloc[:, :-1].assign(batch_no=numbers)
+
+    sizes = rows.select(*by, *order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size")).dropDuplicates([*by, *order])
+    dealt = sizes.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(walk, f"{kinds}, batch_no int")
+    return rows.join(dealt, [*by, *order])
+
+
+def article_batches(articles: DataFrame, budget: int, most: int = MAX_PASSAGES) -> DataFrame:
+    """articles (entity_id, doc_id, date, size) with batch_no: the newest first, undated last; each takes its text and a blank line."""
+    ordered = articles.withColumn("_age", -F.coalesce(F.unix_date("date"), F.lit(-(1 << 30)))).withColumn("_size", F.col("size") + 2)
+    return pack_batches(ordered, ["entity_id"], "_size", budget, most, ["_age", "doc_id"]).drop("_age", "_size")
 
 
 def snippets(units: DataFrame, cap: int = 160, n: int = 500) -> DataFrame:

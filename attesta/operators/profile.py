@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import cut_words, fold
 from attesta.operators.corpus import keep_first
+from attesta.operators.extract import analysis_stats
+from attesta.operators.quiz import leaning, site_position
 
 
 def domain_rollup(sources: DataFrame) -> DataFrame:
@@ -15,13 +17,15 @@ def domain_rollup(sources: DataFrame) -> DataFrame:
 
 
 def profile_items(sources: DataFrame, statements: DataFrame, speeches: DataFrame) -> DataFrame:
-    """(entity_id, doc_id, type, lead, promises, others) of sources with a speech or statement."""
-    said = statements.groupBy("entity_id", "doc_id").agg(F.collect_list(F.when(F.col("is_promise"), F.col("text"))).alias("promises"), F.collect_list(F.when(~F.col("is_promise"), F.col("text"))).alias("others"))
+    """(entity_id, doc_id, type, lead, promises, others) of sources with a speech or statement. sources: (entity_id, doc_id, official);
+    statements: (entity_id, doc_id, seq, text, is_promise); speeches: (entity_id, doc_id, turn, text)."""
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("seq", "text")))), lambda x: x["text"])
+    said = statements.groupBy("entity_id", "doc_id").agg(in_order(F.col("is_promise")).alias("promises"), in_order(~F.col("is_promise")).alias("others"), F.min_by("text", "seq").alias("first"))
     spoke = speeches.groupBy("entity_id", "doc_id").agg(F.min_by("text", "turn").alias("speech"))
     rows = sources.join(said, ["entity_id", "doc_id"], "left").join(spoke, ["entity_id", "doc_id"], "left").where("speech is not null or promises is not null")
     kind = F.when(F.col("speech").isNotNull() | F.col("official"), "discurs").otherwise("articol")
     none = F.expr("cast(array() as array<string>)")
-    lead = F.coalesce("speech", F.get("promises", 0), F.get("others", 0))
+    lead = F.coalesce("speech", "first")
     return rows.select("entity_id", "doc_id", kind.alias("type"), cut_words(lead, 420).alias("lead"), F.coalesce("promises", none).alias("promises"), F.coalesce("others", none).alias("others"))
 
 
@@ -82,11 +86,25 @@ def flag_report(found: DataFrame) -> DataFrame:
     return _numbered(found, 1 << 30, line, "report")
 
 
-def export_profile(scores: DataFrame, quality: DataFrame) -> DataFrame:
-    """(respondent_id, json): axes with two decimals and their positions, and quality."""
-    axis = F.struct("axis_id", F.round("score", 2).alias("score"), F.round("margin", 2).alias("margin"), F.round((F.lit(5) - F.col("score")) * 25).alias("position"), "clarity")
+def export_profile(scores: DataFrame, quality: DataFrame, responses: DataFrame | None = None, identity: str | None = None, economy: str | None = None) -> DataFrame:
+    """(respondent_id, json): axes with two decimals and their positions, leaning, answers, and quality.
+
+    responses: (respondent_id, item_id, value, is_dk), answers as they were given; identity and economy name the axes of the
+    leaning. A respondent's axes and answers are a questionnaire's, so lists are short.
+    """
+    position = F.round(site_position(F.col("score")))
+    axis = F.struct("axis_id", "status", F.col("k").alias("items"), F.round(6 - F.col("score"), 2).alias("score"), F.round("margin", 2).alias("margin"), position.alias("position"))
     rows = scores.groupBy("respondent_id").agg(F.array_sort(F.collect_list(axis)).alias("axes")).join(quality, "respondent_id", "left")
-    return rows.select("respondent_id", F.to_json(F.struct("axes", "flags", "dk_share")).alias("json"))
+    told = ["axes", "flags", "dk_share"]
+    if identity is not None:
+        sides = scores.withColumn("value", position).select(F.col("respondent_id").alias("subject_id"), F.col("axis_id").cast("string").alias("axis_id"), "value")
+        rows = rows.join(leaning(sides, identity, economy).withColumnRenamed("subject_id", "respondent_id"), "respondent_id", "left")
+        told.append("leaning")
+    if responses is not None:
+        given = F.struct("item_id", F.when(F.col("is_dk"), "dk").otherwise(F.col("value").cast("string")).alias("answer"))
+        rows = rows.join(responses.groupBy("respondent_id").agg(F.array_sort(F.collect_list(given)).alias("answers")), "respondent_id", "left")
+        told.append("answers")
+    return rows.select("respondent_id", F.to_json(F.struct(*told)).alias("json"))
 
 
 def export_analysis(entities: DataFrame, **tables: DataFrame) -> DataFrame:
@@ -109,23 +127,29 @@ def pick_sources(sources: DataFrame, statements: DataFrame, as_of: str, most: in
 
 
 def doc_material(paras: DataFrame, surname: Column, cap: int) -> DataFrame:
-    """(doc_id, material): the whole text if it is short enough; else paragraphs with the surname, or all, until the cap is passed."""
-    named = F.contains("norm", surname)
+    """(doc_id, material): the whole text if it is short enough; else paragraphs with the surname, or all where none has it, as
+    long as they fit; where not even the first does, the text's first `cap` characters."""
     all_of = Window.partitionBy("doc_id")
-    rows = paras.withColumn("named", named).withColumn("total", F.sum(F.length("text") + 2).over(all_of) - 2).withColumn("any", F.max(named.cast("int")).over(all_of))
-    rows = rows.where((F.col("total") <= cap) | (F.col("any") == 0) | F.col("named"))
-    before = F.coalesce(F.sum(F.length("text") + 2).over(all_of.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = rows.withColumn("before", before).where(F.col("before") <= cap)
+    size = F.length("text") + 2
+    rows = paras.withColumn("named", F.contains("norm", surname)).withColumn("total", F.sum(size).over(all_of) - 2).withColumn("any", F.max(F.col("named").cast("int")).over(all_of))
+    first = F.coalesce(F.sum(size).over(all_of.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", first).withColumn("chosen", (F.col("total") <= cap) | (F.col("any") == 0) | F.col("named"))
+    up_to = F.sum(F.when(F.col("chosen"), size).otherwise(0)).over(all_of.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("fits", F.col("chosen") & ((F.col("total") <= cap) | (up_to <= cap)))
+    # without a fitting paragraph, those that the first characters reach are kept for the cut
+    rows = rows.withColumn("some", F.max("fits").over(all_of)).where(F.col("fits") | (~F.col("some") & (F.col("before") < cap)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n")
-    return kept.groupBy("doc_id").agg(F.substring(text, 1, cap).alias("material"))
+    return rows.groupBy("doc_id").agg(F.when(F.max("some"), text).otherwise(F.substring(text, 1, cap)).alias("material"))
 
 
 def evidence_material(rows: DataFrame, cap: int = 9000, most: int = 14) -> DataFrame:
-    """(entity_id, material): the first 14 items as [S1] lines until the cap. rows: (entity_id, rank, excerpt)."""
-    line = F.concat(F.lit("[S"), F.col("rank").cast("string"), F.lit("] "), F.col("excerpt"))
+    """(entity_id, material): the first 14 items, each behind a line [S1] with its source, a blank line apart, until one doesn't
+    fit. rows: (entity_id, rank, domain, date, title, excerpt)."""
+    head = F.concat(F.lit("[S"), F.col("rank").cast("string"), F.lit("] "), F.coalesce("domain", F.lit("")), F.lit(" | "), F.coalesce(F.col("date").cast("string"), F.lit("fără dată")), F.lit(" | "), F.substring(F.coalesce("title", F.lit("")), 1, 100))
     w = Window.partitionBy("entity_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.where(F.col("rank") <= most).withColumn("line", line).withColumn("size", F.sum(F.length("line") + 1).over(w)).where(F.col("size") <= cap)
-    return kept.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("material"))
+    kept = rows.where(F.col("rank") <= most).withColumn("line", F.concat(head, F.lit("\n"), F.coalesce("excerpt", F.lit(""))))
+    kept = kept.withColumn("size", F.sum(F.length("line") + 2).over(w) - 2).where(F.col("size") <= cap)
+    return kept.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("material"))
 
 
 def build_requests(batches: DataFrame, task: str, system: str) -> DataFrame:
@@ -144,17 +168,69 @@ def answer_with(requests: DataFrame, fn) -> DataFrame:
 
 
 def history_header(found: DataFrame) -> DataFrame:
-    """(entity_id, header): how many findings, by category, the most frequent first."""
+    """(entity_id, total, header): how many findings, by category, the most frequent first."""
     counts = found.groupBy("entity_id", "category").agg(F.count("*").alias("n"))
     rows = counts.groupBy("entity_id").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "category", "n"))).alias("x"))
-    return rows.select("entity_id", F.concat(F.lit("FLAGS: "), F.col("total").cast("string"), F.lit("; "), F.array_join(F.transform("x", lambda r: F.concat(r["category"], F.lit(" "), r["n"].cast("string"))), ", ")).alias("header"))
+    return rows.select("entity_id", "total", F.concat(F.lit("FLAGS: "), F.col("total").cast("string"), F.lit("; "), F.array_join(F.transform("x", lambda r: F.concat(r["category"], F.lit(" "), r["n"].cast("string"))), ", ")).alias("header"))
+
+
+#: Findings that a history request shows at most, characters of a quote and of a problem.
+MAX_HISTORY, QUOTE_CHARS, PROBLEM_CHARS = 50, 160, 160
+
+
+def render_finding(place: Column) -> Column:
+    """One line of a finding (category, severity, confidence, date, domain, quote, problem)."""
+    shown = F.concat_ws(" | ", F.concat(F.lit("[F"), place.cast("string"), F.lit("] "), F.col("category")), F.concat(F.lit("severity "), F.col("severity")), F.concat(F.lit("confidence "), F.col("confidence")), F.coalesce(F.col("date").cast("string"), F.lit("undated")), F.coalesce("domain", F.lit("")))
+    return F.concat(shown, F.lit(" | „"), cut_words(F.col("quote"), QUOTE_CHARS), F.lit("” | "), cut_words(F.col("problem"), PROBLEM_CHARS))
+
+
+def history_request(ranked: DataFrame, passages: DataFrame, budget: int) -> DataFrame:
+    """(entity_id, user, n_shown, n_cut): the text of the request for an entity's history.
+
+    A header with totals and counts by category, and as many of the first 50 ranked findings, a line each, as the budget
+    holds. ranked: rank_findings with date, domain and problem; passages: (entity_id, doc_id). Entities without findings say so.
+    """
+    lines = ranked.where(F.col("rank") <= MAX_HISTORY).withColumn("line", render_finding(F.col("rank")))
+    w = Window.partitionBy("entity_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("fits", F.sum(F.length("line") + 1).over(w) <= budget)
+    shown = lines.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("rank", "line")))).alias("x"), F.count_if("fits").alias("n_shown"), F.count_if(~F.col("fits")).alias("n_cut"))
+    counts = passages.groupBy("entity_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    rows = counts.join(history_header(ranked), "entity_id", "left").join(shown, "entity_id", "left").na.fill(0, ["n_shown", "n_cut", "total"])
+    body = F.when(F.col("n_shown") > 0, F.array_join(F.transform("x", lambda r: r["line"]), "\n")).otherwise("(no findings)")
+    head = F.concat(F.lit("PASSAGES: "), F.col("n").cast("string"), F.lit(" of "), F.col("docs").cast("string"), F.lit(" articles\n"), F.coalesce("header", F.lit("FLAGS: 0; none")))
+    return rows.select("entity_id", F.concat(head, F.lit("\n\n"), body).alias("user"), "n_shown", "n_cut")
+
+
+#: Passages and findings of an article that a request shows.
+ARTICLE_ITEMS = 3
+
+
+def group_articles(passages: DataFrame, findings: DataFrame, most: int = ARTICLE_ITEMS) -> DataFrame:
+    """(entity_id, doc_id, n_passages, passages, n_findings, findings): sources with either, with their first `most` passages (by
+    seq) and findings (by finding_id). passages: (entity_id, doc_id, seq, text); findings: (entity_id, doc_id, finding_id,
+    category, severity, confidence, problem). Counts are of all; a request shows no more than the first ones, so lists are short."""
+
+    def first(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+        w = Window.partitionBy("entity_id", "doc_id").orderBy(order)
+        numbered = rows.withColumn("_r", F.row_number().over(w))
+        listed = F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.struct("_r", value.alias("v")))))
+        return numbered.groupBy("entity_id", "doc_id").agg(F.count("*").alias(f"n_{name}"), F.transform(listed, lambda x: x["v"]).alias(name))
+
+    a = first(passages, "seq", F.col("text"), "passages")
+    b = first(findings, "finding_id", F.struct("finding_id", "category", "severity", "confidence", "problem"), "findings")
+    return a.join(b, ["entity_id", "doc_id"], "full").na.fill(0, ["n_passages", "n_findings"])
+
+
+def profile_stats(items: DataFrame, press: DataFrame, sources: DataFrame) -> DataFrame:
+    """(entity_id, n_sources, n_promises, n_press). items: profile_items; press: press_feed; sources: (entity_id, doc_id)."""
+    promises = items.groupBy("entity_id").agg(F.sum(F.size("promises")).cast("long").alias("n_promises"))
+    out = sources.groupBy("entity_id").agg(F.count("*").alias("n_sources")).join(promises, "entity_id", "left")
+    return out.join(press.groupBy("entity_id").agg(F.count("*").alias("n_press")), "entity_id", "left").na.fill(0)
 
 
-def group_articles(passages: DataFrame, findings: DataFrame) -> DataFrame:
-    """(entity_id, doc_id, n_passages, n_findings): sources with either."""
-    a = passages.groupBy("entity_id", "doc_id").agg(F.count("*").alias("n_passages"))
-    b = findings.groupBy("entity_id", "doc_id").agg(F.count("*").alias("n_findings"))
-    return a.join(b, ["entity_id", "doc_id"], "full").na.fill(0)
+def entity_rollup(entities: DataFrame, sources: DataFrame, speeches: DataFrame, statements: DataFrame, education: DataFrame, funding: DataFrame) -> DataFrame:
+    """(entity_id, n_sources, n_speeches, n_statements, n_education, n_funding) of every entity."""
+    return analysis_stats(entities, n_sources=sources, n_speeches=speeches, n_statements=statements, n_education=education, n_funding=funding)
 
 
 def contains_name(text: Column, name: Column) -> Column:

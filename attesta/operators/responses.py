@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.functions.text import fold, norm_words, split_sentences, squash
+from attesta.functions.text import cut_words, fold, norm_words, plain_quotes, split_sentences, squash
 from attesta.operators.corpus import keep_first
 
 #: Fixed values.
@@ -15,6 +17,8 @@ CATEGORIES = ["likely_false", "contradiction", "conspiratorial", "unverifiable",
 LEVELS = ["low", "medium", "high"]
 FINDING = "array<struct<id: string, category: string, severity: string, confidence: string, quote: string, problem: string, reasoning: string>>"
 MAX_FINDINGS = 6
+#: Fixed value: how like a quote must be to what stands in the source.
+LIKE = 0.85
 
 
 def strip_fences(content: Column) -> Column:
@@ -44,25 +48,29 @@ def _salvage(texts: pd.Series) -> pd.Series:
 
 
 def parse_findings(responses: DataFrame) -> DataFrame:
-    """(request_id, finding): each object of the answers; only answers that from_json can't read go through Python."""
+    """(request_id, nth, finding): each object of the answers, in their order; only answers that from_json can't read go through Python."""
     base = responses.select("request_id", strip_fences(F.col("content")).alias("t"))
     inner = F.coalesce(F.get_json_object("t", "$.findings"), F.when(F.startswith("t", F.lit("[")), F.col("t")))
     read = base.withColumn("f", F.from_json(inner, FINDING))
-    good = read.where("f is not null").select("request_id", F.explode("f").alias("finding"))
+    good = read.where("f is not null").select("request_id", F.posexplode("f").alias("nth", "finding"))
     bad = read.where("f is null and t <> ''").withColumn("f", F.from_json(_salvage("t"), FINDING))
-    return good.unionByName(bad.select("request_id", F.explode("f").alias("finding")))
+    return good.unionByName(bad.select("request_id", F.posexplode("f").alias("nth", "finding")))
 
 
 def validate_findings(found: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
-    """At most six of an answer; unknown categories go, bad severities are medium, bad confidences low."""
-    rows = found.select("request_id", "finding.*") if "finding" in found.columns else found
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy("id", "quote"))).where(F.col("_n") <= most).drop("_n")
+    """The first six of an answer (by nth); unknown categories go, bad severities are medium, bad confidences low."""
+    rows = found.select("request_id", "nth", "finding.*") if "finding" in found.columns else found
+    rows = rows.where(F.col("nth") < most)
     known = lambda c, other: F.when(F.col(c).isin(LEVELS), F.col(c)).otherwise(F.lit(other))
     return rows.where(F.col("category").isin(CATEGORIES)).withColumn("severity", known("severity", "medium")).withColumn("confidence", known("confidence", "low"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("quote", T.StringType()), T.StructField("ratio", T.DoubleType())]))
 def _nearest(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """The first piece of one or two sentences that is most like the quote, if it is like enough to count.
+
+    Pieces whose bound (by length, then by letters) is under what is needed aren't compared; the bounds lose none.
+    """
     import difflib
     import re
     import unicodedata
@@ -73,51 +81,93 @@ def _nearest(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
 
     out = []
     for quote, text in zip(quotes, texts, strict=True):
-        best = (None, 0.0)
+        best, q = (None, 0.0), words(quote or "")
         sents = [s for s in re.split(r"(?<=[.!?])\s+", " ".join((text or "").split())) if s]
         for span in (1, 2):
             for k in range(len(sents)):
                 piece = " ".join(sents[k : k + span])
-                ratio = difflib.SequenceMatcher(None, words(quote or ""), words(piece), autojunk=False).ratio()
-                best = (piece, ratio) if ratio > best[1] else best
+                p, need = words(piece), max(LIKE, best[1])
+                if 2 * min(len(q), len(p)) < need * (len(q) + len(p)) or not p:
+                    continue
+                match = difflib.SequenceMatcher(None, q, p, autojunk=False)
+                if match.quick_ratio() >= need and (ratio := match.ratio()) > best[1]:
+                    best = (piece, ratio)
         out.append(best)
     return pd.DataFrame(out, columns=["quote", "ratio"])
 
 
-def locate_quotes(claims: DataFrame, least: float = 0.85) -> DataFrame:
+def locate_quotes(claims: DataFrame, least: float = LIKE) -> DataFrame:
     """claims (finding_id, passage_order, quote, text, context) with where the quote stands: (finding_id, located, repaired, in_context).
 
-    In each passage: as it is in the text, then the context; by normalised words in one or two sentences (then the
-    source's wording counts), or in the whole; last by likeness. Quotes under 15 normalised characters and those found nowhere
-    go. Only rows that no exact stage settles reach Python.
+    In each passage: as it is in the text, then the context; then of the text, and after it of the context: by normalised words
+    in one or two sentences (then the source's wording counts), in the whole, by likeness. The first passage that has it in
+    any of these ways counts. Quotes under 15 normalised characters and those found nowhere go. Likeness is Python; only
+    passages before the first one that an exact stage settles, or all where none does, get there.
     """
     q, qn = squash(F.col("quote")), norm_words(F.col("quote"))
 
     def stage(c: str):
-        sents = split_sentences(squash(F.col(c)))
-        two = F.transform(F.sequence(F.lit(0), F.size(sents) - 1), lambda k: F.array_join(F.slice(sents, k + 1, 2), " "))
+        sents = F.filter(split_sentences(squash(F.col(c))), lambda s: s != "")
+        two = F.transform(sents, lambda s, k: F.array_join(F.slice(sents, k + 1, 2), " "))
         wording = F.get(F.filter(F.concat(sents, two), lambda s: F.contains(norm_words(s), qn)), 0)
-        return F.coalesce(wording, F.when(F.contains(norm_words(F.col(c)), qn), q))
+        return F.when(F.contains(norm_words(F.col(c)), qn), F.coalesce(wording, q))
 
     rows = claims.where(F.length(qn) >= 15)
-    as_found = lambda where, repaired, in_context, k: F.struct(where.alias("located"), F.lit(repaired).alias("repaired"), F.lit(in_context).alias("in_context"), F.lit(k).alias("stage"))
-    exact = (
-        F.when(F.contains(squash(F.col("text")), q), as_found(q, False, False, 0))
-        .when(F.contains(squash(F.col("context")), q), as_found(q, False, True, 1))
-        .when(stage("text").isNotNull(), as_found(stage("text"), True, False, 2))
-        .when(stage("context").isNotNull(), as_found(stage("context"), True, True, 4))
-    )
-    rows = rows.withColumn("x", exact)
+    as_found = lambda where, repaired, in_context: F.struct(where.alias("located"), F.lit(repaired).alias("repaired"), F.lit(in_context).alias("in_context"))
+    exact = F.when(F.contains(squash(F.col("text")), q), as_found(q, False, False)).when(F.contains(squash(F.col("context")), q), as_found(q, False, True))
+    rows = rows.withColumn("x", exact).withColumn("y", F.when(F.col("x").isNull(), stage("text"))).withColumn("z", F.when(F.col("x").isNull() & F.col("y").isNull(), stage("context")))
+    rows = rows.withColumn("x", F.coalesce("x", F.when(F.col("y").isNotNull(), as_found(F.col("y"), True, False))))
+    sure = rows.where("x is not null or z is not null").groupBy("finding_id").agg(F.min("passage_order").alias("sure"))
     done = rows.where("x is not null").select("finding_id", "passage_order", "x.*")
-    left = rows.where("x is null").join(done.select("finding_id").distinct(), "finding_id", "left_anti").withColumn("near", _nearest("quote", "text"))
-    near = left.where(F.col("near.ratio") >= least).select("finding_id", "passage_order", F.col("near.quote").alias("located"), F.lit(True).alias("repaired"), F.lit(False).alias("in_context"), F.lit(3).alias("stage"))
-    return keep_first(done.unionByName(near), ["finding_id"], ["passage_order", "stage"]).select("finding_id", "located", "repaired", "in_context")
+    # a passage whose context has the words may still have a likeness in its text, which comes first
+    left = rows.where("x is null").join(sure, "finding_id", "left").where("sure is null or passage_order <= sure").withColumn("near", _nearest("quote", "text"))
+    by_text = F.when(F.col("near.ratio") >= least, as_found(F.col("near.quote"), True, False)).when(F.col("z").isNotNull(), as_found(F.col("z"), True, True))
+    left = left.withColumn("x", by_text)
+    last = left.where("x is null and context is not null").withColumn("near", _nearest("quote", "context")).where(F.col("near.ratio") >= least)
+    near = left.where("x is not null").select("finding_id", "passage_order", "x.*").unionByName(last.select("finding_id", "passage_order", as_found(F.col("near.quote"), True, True).alias("x")).select("finding_id", "passage_order", "x.*"))
+    return keep_first(done.unionByName(near), ["finding_id"], ["passage_order"]).select("finding_id", "located", "repaired", "in_context")
+
+
+#: Relations of two statements that make a finding, with its severity.
+RELATIONS = [("direct_contradiction", "high"), ("reversal", "medium"), ("tension", "low")]
+#: What a pair's problem is where the answer doesn't say, and how to check it.
+PAIR_PROBLEM = "Statements appear inconsistent."
 
 
 def pair_findings(verdicts: DataFrame) -> DataFrame:
-    """Verdicts on pairs (relation) that are findings, with their severity."""
-    severity = F.when(F.col("relation") == "direct_contradiction", "high").when(F.col("relation") == "reversal", "medium").when(F.col("relation") == "tension", "low")
-    return verdicts.withColumn("severity", severity).where("severity is not null").withColumn("category", F.lit("contradiction"))
+    """verdicts (a_text, b_text, relation, confidence, key_conflict, explanation, ...) that are findings: category, severity,
+    confidence, scope, quote, related_quote, problem and reasoning are added. a is the earlier side (order_pair)."""
+    severity = F.lit(None).cast("string")
+    for relation, level in RELATIONS:
+        severity = F.when(F.col("relation") == relation, level).otherwise(severity)
+    rows = verdicts.withColumn("severity", severity).where("severity is not null")
+    return rows.withColumns(
+        {
+            "category": F.lit("contradiction"),
+            "confidence": F.when(F.col("confidence").isin(LEVELS), F.col("confidence")).otherwise("low"),
+            "scope": F.lit("between_statements"),
+            "quote": F.col("a_text"),
+            "related_quote": F.col("b_text"),
+            "problem": F.coalesce(F.nullif(squash(F.col("key_conflict")), F.lit("")), F.lit(PAIR_PROBLEM)),
+            "reasoning": squash(F.col("explanation")),
+        }
+    ).drop("a_text", "b_text", "key_conflict", "explanation")
+
+
+#: Names shown for categories and levels.
+CATEGORY_LABELS = [
+    ("likely_false", "Probabil fals"), ("contradiction", "Contradicție"), ("conspiratorial", "Conspiraționist"),
+    ("unverifiable", "Neverificabil"), ("implausible", "Improbabil"), ("logical_fallacy", "Eroare logică"),
+    ("misleading", "Înșelător"), ("other_suspicious", "Altfel suspect"),
+]
+#: Fixed values.
+LEVEL_LABELS = [("low", "scăzută"), ("medium", "medie"), ("high", "ridicată")]
+
+
+def label_findings(found: DataFrame, categories=CATEGORY_LABELS, levels=LEVEL_LABELS) -> DataFrame:
+    """found with category_label, severity_label and confidence_label; null where a value has no name."""
+    lookup = lambda pairs, c: F.element_at(F.create_map(*[F.lit(x) for p in pairs for x in p]), F.col(c))
+    return found.withColumn("category_label", lookup(categories, "category")).withColumn("severity_label", lookup(levels, "severity")).withColumn("confidence_label", lookup(levels, "confidence"))
 
 
 def level_weight(c: Column) -> Column:
@@ -197,6 +247,19 @@ def fit_lines(rows: DataFrame, by: str, length: Column, budget: int, order: list
     return rows.withColumn("_sum", F.sum(length + 1).over(w)).where(F.col("_sum") <= budget).drop("_sum")
 
 
+def fit_counts(rows: DataFrame, by: str, length: Column, budget: int, order: list) -> DataFrame:
+    """(by, n_kept, n_cut): how many of the rows fit_lines keeps and how many it leaves out."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.sum(length + 1).over(w) <= budget
+    return rows.withColumn("_fits", fits).groupBy(by).agg(F.count_if("_fits").alias("n_kept"), F.count_if(~F.col("_fits")).alias("n_cut"))
+
+
+def top_flags(ranked: DataFrame, most: int = 5) -> DataFrame:
+    """(entity_id, top_flags): the first ranked findings as array<struct<rank, category, severity, quote, domain>>. ranked: rank_findings with domain."""
+    one = F.struct("rank", "category", "severity", cut_words(F.col("quote"), 160).alias("quote"), "domain")
+    return ranked.where(F.col("rank") <= most).groupBy("entity_id").agg(F.array_sort(F.collect_list(one)).alias("top_flags"))
+
+
 def ungrounded(summary: Column, material: Column) -> Column:
     """Numbers, capitalised words inside sentences and acronyms of a summary that its material lacks; distinct, in order."""
     mat = fold(material)
@@ -215,11 +278,18 @@ NO_INFORMATION = "FARA_INFORMAT"
 
 
 def summary_status(attempts: DataFrame) -> DataFrame:
-    """attempts (request_id, attempt, summary, material): the last attempt of each, and whether all of it is grounded."""
-    last = keep_first(attempts.where(F.trim(F.coalesce("summary", F.lit(""))) != ""), ["request_id"], [F.col("attempt").desc()])
-    missing = last.withColumn("unsupported", ungrounded(F.col("summary"), F.col("material")))
-    none = F.contains("summary", F.lit(NO_INFORMATION))
-    return missing.select("request_id", F.when(~none, F.col("summary")).alias("summary"), (~none & (F.size("unsupported") == 0)).alias("verified"), "unsupported")
+    """(request_id, summary, verified, unsupported). attempts: (request_id, attempt from 1 on, summary, material).
+
+    Without a first summary, or where it says that there is no information, there is none. Else the last attempt that says
+    something counts; it is verified if all of it is grounded.
+    """
+    says = (F.trim(F.coalesce("summary", F.lit(""))) != "") & ~F.contains(F.upper(F.coalesce("summary", F.lit(""))), F.lit(NO_INFORMATION))
+    marked = attempts.withColumn("_says", says)
+    first = keep_first(marked, ["request_id"], ["attempt"]).select("request_id", F.col("_says").alias("_first"))
+    last = keep_first(marked.where("_says"), ["request_id"], [F.col("attempt").desc()])
+    none = F.expr("cast(array() as array<string>)")
+    out = first.join(last.select("request_id", "summary", ungrounded(F.col("summary"), F.col("material")).alias("missing")), "request_id", "left")
+    return out.select("request_id", F.when(F.col("_first"), F.col("summary")).alias("summary"), (F.col("_first") & (F.size("missing") == 0)).alias("verified"), F.when(F.col("_first"), F.col("missing")).otherwise(none).alias("unsupported"))
 
 
 def trim_truncated(content: Column, finish_reason: Column) -> Column:
@@ -231,25 +301,78 @@ def trim_truncated(content: Column, finish_reason: Column) -> Column:
     return F.nullif(kept, F.lit(""))
 
 
+#: Verbs of saying in a paragraph; least room for a source; characters of a paragraph.
+SAYING = r"(?iU)\b(a spus|a declarat|a afirmat|a anun[țt]at|a promis|susține|propune|vrea|consider[ăa])\b"
+SOURCE_ROOM, LEAST_ROOM, PARAGRAPH = 700, 200, 600
+
+
+def axis_paragraphs(paras: DataFrame, axes: DataFrame) -> DataFrame:
+    """paras with axis_id and weight: those over 40 characters with the axis's words that name the entity or quote.
+
+    Weight 3 for each hit (at most 3), 2 for the name, 2 for a quotation, 1 for a verb of saying, 2 for an official source.
+    paras: (entity_id, doc_id, pos, text, official, names_entity, ...); axes: (axis_id, rx), a fixed ten.
+    """
+    rows = paras.withColumn("text", plain_quotes(F.trim("text"))).where(F.length("text") > 40)
+    hits = F.regexp_count("text", F.col("rx"))
+    rows = rows.crossJoin(F.broadcast(axes.select("axis_id", "rx"))).withColumn("_hits", hits).where("_hits > 0").where(F.col("names_entity") | F.col("text").rlike('[„"“]'))
+    some = lambda c, n: F.when(c, n).otherwise(0)
+    weight = 3 * F.least("_hits", F.lit(3)) + some(F.col("names_entity"), 2) + some(F.col("text").rlike('[„"“]'), 2) + some(F.col("text").rlike(SAYING), 1) + some(F.col("official"), 2)
+    return rows.withColumn("weight", weight).drop("_hits", "rx")
+
+
 def axis_context(paras: DataFrame, axes: DataFrame, budget: int) -> DataFrame:
-    """(entity_id, axis_id, doc_id, n_kept, size, place): which paragraphs of each source go to an axis's request.
+    """(entity_id, axis_id, context, refs): the text of an axis's request, and which source each tag [S1].. stands for.
 
-    paras: (entity_id, doc_id, pos, text, official, names_entity); axes: (axis_id, rx). Paragraphs over 40 characters with
-    the axis's words that name the entity or quote; weight 3 a hit (at most 3), 2 for the name, 2 for a quotation, 2 for an
-    official source. Sources by official and weight; each has an equal share, and paragraphs that don't fit are passed over.
+    paras: as for axis_paragraphs, with header (what is shown of the source). Sources by official and weight; each has an
+    equal share of the budget, 700 characters at least. Its heaviest paragraphs that fit are kept, in the text's order, and
+    others passed over; under 200 characters of room the rest of the sources is left out. What is kept hangs on all before
+    it, so a group's paragraphs stream, sorted, through a task that holds one source and the text made so far (the budget).
     """
-    quoted = F.col("text").rlike('[„"“]')
-    hits = F.regexp_count(fold(F.col("text")), F.col("rx"))
-    rows = paras.where(F.length("text") > 40).crossJoin(F.broadcast(axes)).withColumn("hits", hits).where("hits > 0").where(F.col("names_entity") | quoted)
-    two = lambda c: F.when(c, 2).otherwise(0)
-    rows = rows.withColumn("weight", 3 * F.least("hits", F.lit(3)) + two(F.col("names_entity")) + two(quoted) + two(F.col("official")))
-    item = F.struct((-F.col("weight")).alias("w"), F.col("pos"), F.least(F.length("text"), F.lit(600)).alias("n"))
-    docs = rows.groupBy("entity_id", "axis_id", "doc_id").agg(F.array_sort(F.collect_list(item)).alias("list"), F.sum("weight").alias("weight"), F.max("official").alias("official"))
-    all_docs = Window.partitionBy("entity_id", "axis_id")
-    docs = docs.withColumn("place", F.row_number().over(all_docs.orderBy(F.col("official").desc(), F.col("weight").desc(), "doc_id")))
-    docs = docs.withColumn("room", F.greatest(F.lit(700), F.floor(F.lit(budget) / F.count("*").over(all_docs))).cast("int"))
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("kept"))
-    fold_one = F.aggregate("list", start, lambda a, x: F.when(a["size"] + x["n"] + 3 <= F.col("room"), F.struct((a["size"] + x["n"] + 3).alias("size"), (a["kept"] + 1).alias("kept"))).otherwise(a))
-    docs = docs.withColumn("f", fold_one).select("entity_id", "axis_id", "doc_id", "place", F.col("f.kept").alias("n_kept"), F.col("f.size").alias("size")).where("n_kept > 0")
-    used = F.sum("size").over(all_docs.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return docs.withColumn("_u", used).where(F.col("_u") <= budget).drop("_u")
+    rows = axis_paragraphs(paras, axes)
+    docs = rows.groupBy("entity_id", "axis_id", "doc_id").agg(F.sum("weight").alias("_sum"), F.max("official").alias("_official"))
+    group = Window.partitionBy("entity_id", "axis_id")
+    docs = docs.withColumn("_place", F.row_number().over(group.orderBy(F.col("_official").desc(), F.col("_sum").desc(), "doc_id"))).withColumn("_n", F.count("*").over(group))
+    placed = rows.join(docs, ["entity_id", "axis_id", "doc_id"]).withColumn("_minus", -F.col("weight"))
+    kinds = {c: paras.schema[c].dataType.simpleString() if c != "axis_id" else axes.schema[c].dataType.simpleString() for c in ("entity_id", "axis_id", "doc_id")}
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, doc, out = None, None, []
+
+        def close_doc():
+            if doc and doc["kept"]:
+                body = "\n".join(f"- {t}" for _, t in sorted(doc["kept"]))
+                now["blocks"].append(doc["header"] + "\n" + body)
+                now["refs"].append({"tag": doc["tag"], "doc_id": doc["id"]})
+                now["used"] += len(doc["header"]) + len(body) + 2
+
+        def close_group():
+            close_doc()
+            if now and now["blocks"]:
+                out.append((*now["key"], "\n\n".join(now["blocks"]), now["refs"]))
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if now is None or now["key"] != (r.entity_id, r.axis_id):
+                    close_group()
+                    now, doc = {"key": (r.entity_id, r.axis_id), "blocks": [], "refs": [], "used": 0, "over": False}, None
+                if now["over"]:
+                    continue
+                if doc is None or doc["place"] != r.place:
+                    close_doc()
+                    header = f"[S{r.place}] {r.header}"
+                    room = min(max(SOURCE_ROOM, budget // r.n), budget - now["used"]) - len(header) - 2
+                    doc = {"place": r.place, "id": r.doc_id, "tag": f"S{r.place}", "header": header, "room": room, "size": 0, "kept": []}
+                    if room < LEAST_ROOM:
+                        now["over"], doc = True, None
+                        continue
+                if doc["size"] + len(r.text) + 3 <= doc["room"]:
+                    doc["kept"].append((r.pos, r.text))
+                    doc["size"] += len(r.text) + 3
+            yield pd.DataFrame(out, columns=["entity_id", "axis_id", "context", "refs"])
+            out = []
+        close_group()
+        yield pd.DataFrame(out, columns=["entity_id", "axis_id", "context", "refs"])
+
+    ordered = placed.select("entity_id", "axis_id", F.col("_place").alias("place"), F.col("_n").alias("n"), "doc_id", "header", "pos", F.substring("text", 1, PARAGRAPH).alias("text"), "_minus")
+    ordered = ordered.repartition("entity_id", "axis_id").sortWithinPartitions("entity_id", "axis_id", "place", "_minus", "pos").drop("_minus")
+    return ordered.mapInPandas(write, f"entity_id {kinds['entity_id']}, axis_id {kinds['axis_id']}, context string, refs array<struct<tag: string, doc_id: {kinds['doc_id']}>>")

@@ -52,6 +52,19 @@ def test_name_variants(spark):
     assert one(spark, X.name_variants(F.col("a")), "Ana") == ["Ana"]
 
 
+def test_hidden_tags_end_blocks(spark):
+    html = "<div>Alpha<nav>menu</nav>Beta<aside>x</aside>Gam<b>ma</b> ray</div><a href=''>none</a><a href='/y'>to <i>it</i></a>"
+    blocks = C.html_blocks(spark.createDataFrame([(1, "https://a.ro/", html)], "page_id long, url string, html string"))
+    assert [r.text for r in blocks.where("href is null").orderBy("pos").collect()] == ["Alpha", "Beta", "Gam ma ray", "none to it"]
+    assert [(r.href, r.text) for r in blocks.where("href is not null").collect()] == [("/y", "to it")]
+
+
+def test_author_escapes(spark):
+    page = lambda name: f'<script>"author": {{"name": "{name}"}}</script>'
+    rows = spark.createDataFrame([(1, page(r"Ana \u015etef &amp; co")), (2, page(r"B \ud83d\ude00")), (3, "<p>")], "k long, html string")
+    assert [r.a for r in rows.orderBy("k").select(C.page_author(F.col("html")).alias("a")).collect()] == ["Ana Ştef & co", r"B \ud83d\ude00", "Necunoscut"]
+
+
 def test_html(spark):
     html = "<html><head><title>T &amp; U</title><style>p{}</style></head><body><nav>menu</nav><form>asked here</form><p>One &lt;b&gt;<p>Two <a href='/x'>go</a><script>no()</script></body>"
     pages = spark.createDataFrame([(1, "https://a.ro/d/p", html)], "page_id long, url string, html string")
