@@ -41,7 +41,7 @@ def named_rows(rows: DataFrame, variants: DataFrame) -> DataFrame:
     word = F.regexp_extract("variant", r"(?U)\w+", 0)
     wanted = variants.select("entity_id", "variant", word.alias("_word"))
     words = rows.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0)))))
-    whole = F.col("norm").rlike(F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)")))
+    whole = F.rlike("norm", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)")))
     met = words.join(wanted, "_word").where((F.col("variant") == F.col("_word")) | whole)
     kept = [c for c in rows.columns if c != "entity_id"]
     once = F.row_number().over(Window.partitionBy("entity_id", "doc_id", "pos").orderBy("variant"))
@@ -53,24 +53,40 @@ def relevant_documents(docs: DataFrame, variants: DataFrame, least: int = 300) -
     return mentions(docs.where(F.length("text") >= least).select("doc_id", fold(F.col("text")).alias("norm")), variants)
 
 
+def _once(x: Column, f) -> Column:
+    """f of x, with x computed once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def sentence_window(text: Column, rx: str, limit: int) -> Column:
     """From the first sentence that matches (folded), the next and the one before in turn while they fit."""
-    sents = F.filter(split_sentences(text), lambda s: s != "")
-    n = F.size(sents)
-    size = lambda k: F.length(F.get(sents, k))
-    hits = F.filter(F.sequence(F.lit(0), n - 1), lambda k: fold(F.get(sents, k)).rlike(rx))
-    first = F.coalesce(F.get(hits, 0), F.lit(0))
-    start = F.struct(first.alias("lo"), first.alias("hi"), size(first).alias("size"))
 
-    def grow(a, _):
-        up = (a["hi"] + 1 < n) & (a["size"] + 1 + F.coalesce(size(a["hi"] + 1), F.lit(0)) <= limit)
-        hi, with_up = F.when(up, a["hi"] + 1).otherwise(a["hi"]), F.when(up, a["size"] + 1 + size(a["hi"] + 1)).otherwise(a["size"])
-        down = (a["lo"] > 0) & (with_up + 1 + F.coalesce(size(F.greatest(a["lo"] - 1, F.lit(0))), F.lit(0)) <= limit)
-        return F.struct(F.when(down, a["lo"] - 1).otherwise(a["lo"]).alias("lo"), hi.alias("hi"), F.when(down, with_up + 1 + size(F.greatest(a["lo"] - 1, F.lit(0)))).otherwise(with_up).alias("size"))
+    def window(s: Column) -> Column:
+        sents, sizes, first = s["sents"], s["sizes"], s["first"]
+        n, size = F.size(sizes), lambda k: F.coalesce(F.get(sizes, k), F.lit(0))
+        start = F.struct(first.alias("lo"), first.alias("hi"), size(first).alias("size"))
+
+        def grow(a, _):
+            up = (a["hi"] + 1 < n) & (a["size"] + 1 + size(a["hi"] + 1) <= limit)
+            hi, with_up = F.when(up, a["hi"] + 1).otherwise(a["hi"]), F.when(up, a["size"] + 1 + size(a["hi"] + 1)).otherwise(a["size"])
+            below = size(F.greatest(a["lo"] - 1, F.lit(0)))
+            down = (a["lo"] > 0) & (with_up + 1 + below <= limit)
+            return F.struct(F.when(down, a["lo"] - 1).otherwise(a["lo"]).alias("lo"), hi.alias("hi"), F.when(down, with_up + 1 + below).otherwise(with_up).alias("size"))
+
+        # each turn adds a sentence or is the last that does, so turns past the limit's characters change nothing
+        joined = F.aggregate(F.slice(sizes, 1, limit), start, grow, lambda a: F.array_join(F.slice(sents, a["lo"] + 1, a["hi"] - a["lo"] + 1), " "))
+        return F.when(n > 0, joined)
+
+    def cut(joined: Column) -> Column:
+        short = F.concat(F.rtrim(F.regexp_replace(F.substring(joined, 1, limit), " [^ ]*$", "")), F.lit("…"))
+        return F.when(F.length(joined) > limit, short).otherwise(joined)
+
+    def facts(sents: Column) -> Column:
+        at = F.filter(F.transform(sents, lambda s, k: F.when(fold(s).rlike(rx), k)), lambda k: k.isNotNull())
+        return F.struct(sents.alias("sents"), F.transform(sents, F.length).alias("sizes"), F.coalesce(F.get(at, 0), F.lit(0)).alias("first"))
 
-    joined = F.aggregate(F.sequence(F.lit(1), n), start, grow, lambda a: F.array_join(F.slice(sents, a["lo"] + 1, a["hi"] - a["lo"] + 1), " "))
-    cut = F.concat(F.rtrim(F.regexp_replace(F.substring(joined, 1, limit), " [^ ]*$", "")), F.lit("…"))
-    return F.when(n == 0, F.substring(text, 1, limit)).when(F.length(joined) > limit, cut).otherwise(joined)
+    made = _once(_once(F.filter(split_sentences(text), lambda s: s != ""), facts), window)
+    return F.coalesce(_once(made, cut), F.substring(text, 1, limit))
 
 
 def excerpts(paras: DataFrame, rx: str, limit: int = 700, keep: Column | None = None) -> DataFrame:
@@ -92,7 +108,8 @@ def excerpts(paras: DataFrame, rx: str, limit: int = 700, keep: Column | None =
     up2, down2 = up & ~down & fits(s2, n2), down & ~up & fits(s2, p2)
     near = F.concat_ws(" ", F.when(down2, p2), F.when(down, p1), F.col("text"), F.when(up, n1), F.when(up2, n2))
     made = F.when(own > limit, sentence_window(F.col("text"), rx, limit)).when(own >= 120, F.col("text")).otherwise(near)
-    return base.withColumn("excerpt", made).drop("_n1", "_n2", "_p1", "_p2")
+    # by a generator, so that filters on the excerpt don't compute it again
+    return base.select("*", F.explode(F.array(made)).alias("excerpt")).drop("_n1", "_n2", "_p1", "_p2")
 
 
 def funding_channels(norm: Column, channels=L.CHANNELS) -> Column:
@@ -100,7 +117,7 @@ def funding_channels(norm: Column, channels=L.CHANNELS) -> Column:
     return F.array_compact(F.array(*[F.when(has_prefix(norm, *folded(words)), label) for label, words in channels]))
 
 
-def evidence(paras: DataFrame, variants: DataFrame, keywords: list[str], category: str, channels=None, top: int = 4, least: int = 100) -> DataFrame:
+def evidence(paras: DataFrame, variants: DataFrame, keywords: list[str], category: str, channels=None, top: int = 4, least: int = 100, limit: int = 700) -> DataFrame:
     """(entity_id, doc_id, pos, category, keyword, excerpt, channels): the best excerpts of each document and entity.
 
     With channels, one keyword alone counts only if the paragraph names a channel. Excerpts must name the entity; repeats
@@ -108,7 +125,7 @@ def evidence(paras: DataFrame, variants: DataFrame, keywords: list[str], categor
     """
     words = folded(keywords)
     matched = F.array_compact(F.array(*[F.when(has_prefix(F.col("norm"), w), F.lit(k)) for w, k in zip(words, keywords, strict=True)]))
-    hit = excerpts(paras, prefix_rx(*words), keep=has_prefix(F.col("norm"), *words)).where(F.length("excerpt") >= least).withColumn("matched", matched)
+    hit = excerpts(paras, prefix_rx(*words), limit, keep=has_prefix(F.col("norm"), *words)).where(F.length("excerpt") >= least).withColumn("matched", matched)
     hit = hit.withColumn("channels", funding_channels(F.col("norm"), channels) if channels else F.expr("cast(array() as array<string>)"))
     if channels:
         hit = hit.where((F.size("matched") >= 2) | (F.size("channels") > 0))

@@ -82,6 +82,8 @@ def _nearest(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
     out = []
     for quote, text in zip(quotes, texts, strict=True):
         best, q = (None, 0.0), words(quote or "")
+        if not q:
+            text = ""
         sents = [s for s in re.split(r"(?<=[.!?])\s+", " ".join((text or "").split())) if s]
         for span in (1, 2):
             for k in range(len(sents)):
@@ -112,20 +114,20 @@ def locate_quotes(claims: DataFrame, least: float = LIKE) -> DataFrame:
         wording = F.get(F.filter(F.concat(sents, two), lambda s: F.contains(norm_words(s), qn)), 0)
         return F.when(F.contains(norm_words(F.col(c)), qn), F.coalesce(wording, q))
 
-    rows = claims.where(F.length(qn) >= 15)
     as_found = lambda where, repaired, in_context: F.struct(where.alias("located"), F.lit(repaired).alias("repaired"), F.lit(in_context).alias("in_context"))
     exact = F.when(F.contains(squash(F.col("text")), q), as_found(q, False, False)).when(F.contains(squash(F.col("context")), q), as_found(q, False, True))
-    rows = rows.withColumn("x", exact).withColumn("y", F.when(F.col("x").isNull(), stage("text"))).withColumn("z", F.when(F.col("x").isNull() & F.col("y").isNull(), stage("context")))
+    rows = claims.where(F.length(qn) >= 15).withColumn("x", exact)
+    rows = rows.withColumn("y", F.when(F.col("x").isNull(), stage("text"))).withColumn("z", F.when(F.col("x").isNull(), stage("context")))
+    settled = F.when(F.coalesce("x.located", "y", "z").isNotNull(), F.col("passage_order"))
+    rows = rows.withColumn("sure", F.min(settled).over(Window.partitionBy("finding_id")))
     rows = rows.withColumn("x", F.coalesce("x", F.when(F.col("y").isNotNull(), as_found(F.col("y"), True, False))))
-    sure = rows.where("x is not null or z is not null").groupBy("finding_id").agg(F.min("passage_order").alias("sure"))
-    done = rows.where("x is not null").select("finding_id", "passage_order", "x.*")
     # a passage whose context has the words may still have a likeness in its text, which comes first
-    left = rows.where("x is null").join(sure, "finding_id", "left").where("sure is null or passage_order <= sure").withColumn("near", _nearest("quote", "text"))
+    open_ = F.col("x").isNull() & (F.col("sure").isNull() | (F.col("passage_order") <= F.col("sure")))
+    rows = rows.withColumn("near", _nearest(F.when(open_, F.col("quote")), F.when(open_, F.col("text"))))
     by_text = F.when(F.col("near.ratio") >= least, as_found(F.col("near.quote"), True, False)).when(F.col("z").isNotNull(), as_found(F.col("z"), True, True))
-    left = left.withColumn("x", by_text)
-    last = left.where("x is null and context is not null").withColumn("near", _nearest("quote", "context")).where(F.col("near.ratio") >= least)
-    near = left.where("x is not null").select("finding_id", "passage_order", "x.*").unionByName(last.select("finding_id", "passage_order", as_found(F.col("near.quote"), True, True).alias("x")).select("finding_id", "passage_order", "x.*"))
-    return keep_first(done.unionByName(near), ["finding_id"], ["passage_order"]).select("finding_id", "located", "repaired", "in_context")
+    rows = rows.withColumn("x", F.coalesce("x", by_text)).withColumn("near", _nearest(F.when(open_, F.col("quote")), F.when(open_, F.col("context"))))
+    rows = rows.withColumn("x", F.coalesce("x", F.when(F.col("near.ratio") >= least, as_found(F.col("near.quote"), True, True)))).where("x is not null")
+    return keep_first(rows.select("finding_id", "passage_order", "x.*"), ["finding_id"], ["passage_order"]).select("finding_id", "located", "repaired", "in_context")
 
 
 #: Relations of two statements that make a finding, with its severity.

@@ -260,36 +260,25 @@ def d1_relevant_documents(spark, d):
 
 
 @query(rf"""with {_NAMES}, {_PARAS}, near as (select *, lead(text) over w as n1, lead(text, 2) over w as n2, lag(text) over w as p1, lag(text, 2) over w as p2 from paras window w as (partition by doc_id order by pos)),
-hit as (select * from near where regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])(thing|ander|ought)') and length(text) <= 700),
-a as (select *, case when length(text) >= 120 then text else null end as own, n1 is not null and length(text) + 1 + length(n1) <= 700 as up from hit),
+hit as (select * from near where regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])(thing|ander|ought)')),
+a as (select *, case when length(text) >= 120 then text else null end as own, n1 is not null and length(text) + 1 + length(n1) <= 1000000 as up from hit),
 b as (select *, case when up then length(text) + 1 + length(n1) else length(text) end as s1 from a),
-c as (select *, p1 is not null and s1 + 1 + length(p1) <= 700 as down from b),
+c as (select *, p1 is not null and s1 + 1 + length(p1) <= 1000000 as down from b),
 e as (select *, case when down then s1 + 1 + length(p1) else s1 end as s2 from c),
-f as (select *, up and not down and n2 is not null and s2 + 1 + length(n2) <= 700 as up2, down and not up and p2 is not null and s2 + 1 + length(p2) <= 700 as down2 from e),
+f as (select *, up and not down and n2 is not null and s2 + 1 + length(n2) <= 1000000 as up2, down and not up and p2 is not null and s2 + 1 + length(p2) <= 1000000 as down2 from e),
 x as (select doc_id, pos, coalesce(own, concat_ws(' ', case when down2 then p2 end, case when down then p1 end, text, case when up then n1 end, case when up2 then n2 end)) as excerpt, norm from f),
 y as (select entity_id, doc_id, pos, excerpt, {_FP.format('excerpt', 300)} as fp from x, names where length(excerpt) >= 100 and list_contains({_TOKENS.format('lower(strip_accents(excerpt))')}, entity_id)),
 z as (select * from (select *, row_number() over (partition by entity_id, doc_id, fp order by pos) as rn from y) where rn = 1)
 select entity_id, doc_id, pos, md5(excerpt) as h, rank from (select *, row_number() over (partition by entity_id, doc_id order by length(excerpt) desc, pos) as rank from z) where rank <= 4""")
 def d6_evidence(spark, d):
-    paras = C.text_paragraphs(_t(spark, d, "documents"))
-    # over-long paragraphs go through sentence windows, which SQL can't express; d5 has those
-    short = D.excerpts(paras, X.prefix_rx(*WORDS)).where(F.length("text") <= 700)
-    return _evidence(spark, short)
-
-
-def _evidence(spark, made):
-    from attesta.operators.corpus import keep_first
-
-    hit = made.where(X.has_prefix(F.col("norm"), *WORDS)).where(F.length("excerpt") >= 100).withColumn("eid", F.concat_ws(":", "doc_id", "pos"))
-    named = D.mentions(hit.select("eid", X.fold(F.col("excerpt")).alias("norm")), _variants(spark), "eid")
-    rows = keep_first(hit.join(named, "eid").withColumn("fp", X.fingerprint(F.col("excerpt"))), ["entity_id", "doc_id", "fp"], ["pos"])
-    rank = F.row_number().over(Window.partitionBy("entity_id", "doc_id").orderBy(F.length("excerpt").desc(), "pos"))
-    return rows.withColumn("rank", rank.cast("long")).where("rank <= 4").select("entity_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("excerpt").alias("h"), "rank")
+    """With a limit that no paragraph reaches: windows of sentences, which SQL can't express, are d5's and d6_evidence_full's."""
+    found = D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "topic", limit=1_000_000)
+    return found.select("entity_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("excerpt").alias("h"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def d5_sentence_window(spark, d):
-    paras = C.text_paragraphs(_t(spark, d, "documents")).where(F.length("text") > 300)
+    paras = C.text_paragraphs(_t(spark, d, "documents"))
     return paras.select("doc_id", "pos", D.sentence_window(F.col("text"), X.prefix_rx(*WORDS), 300).alias("excerpt"))
 
 
@@ -364,15 +353,6 @@ def d15_opinions(spark, d):
     return D.opinions(C.text_paragraphs(_t(spark, d, "documents")), people, r"(?iU)\b(?:tion|able|that)\w*", r"(?iU)\b(?:idiot|trash|scum|ther)\w*")
 
 
-@query(rf"""with t as (select source as entity_id, doc_id, len(regexp_extract_all({_NORM}, 'tion')) as p, len(regexp_extract_all({_NORM}, 'ther')) as m from documents)
-select entity_id, case when p > m then 'positive' when m > p then 'negative' else 'mixed' end as tone, count(*) as n from t group by 1, 2""")
-def d16_tone(spark, d):
-    docs = _t(spark, d, "documents").withColumn("norm", X.fold(F.col("text")))
-    p, m = F.regexp_count("norm", F.lit("tion")), F.regexp_count("norm", F.lit("ther"))
-    tone = F.when(p > m, "positive").when(m > p, "negative").otherwise("mixed")
-    return docs.groupBy(F.col("source").alias("entity_id"), tone.alias("tone")).agg(F.count("*").alias("n"))
-
-
 @query()
 def d16_article_tone(spark, d):
     return D.article_tone(d15_opinions(spark, d)).groupBy("entity_id", "tone").agg(F.count("*").alias("n"))
@@ -399,11 +379,11 @@ def e2_cues(spark, d):
     return _t(spark, d, "documents").select("doc_id", E.heuristic_cues(F.col("text"), promise=["promisiune nespusa"]).alias("cues"))
 
 
-@query("""with a as (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents) select source as entity_id, doc_id, cast(3 + n_chars / 100000.0 as decimal(12,4)) as priority, r as rank from a where r <= 10""")
+@query("""select source as entity_id, doc_id, cast(floor((case doc_id % 3 when 0 then 3.0::double when 1 then 2.0::double else 1.0::double end + 0.4::double * (doc_id % 4) + (n_chars % 101) / 100.0::double) * 10000.0::double + 0.5::double) / 10000.0::double as decimal(12,4)) as priority from documents""")
 def e5_priority(spark, d):
-    rows = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id", "n_chars")
-    top = D.rank_by(rows, F.col("n_chars").desc(), F.col("doc_id")).where("rank <= 10")
-    return top.select("entity_id", "doc_id", E.priority(F.lit("quote"), F.lit(0), F.col("n_chars") / 1000.0).alias("priority"), F.col("rank").cast("long").alias("rank"))
+    kind = F.element_at(F.array(F.lit("speech"), F.lit("quote"), F.lit("reported")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    rows = _t(spark, d, "documents")
+    return rows.select(F.col("source").alias("entity_id"), "doc_id", E.priority(kind, F.pmod("doc_id", F.lit(4)), F.pmod("n_chars", F.lit(101))).alias("priority"))
 
 
 @query()
@@ -453,22 +433,40 @@ def f15_clamp_score(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R.clamp_score((F.col("l_quantity") / 4).cast("string")).alias("score"))
 
 
-@query("""select l_suppkey as entity_id, count(*) as n_articles, max(z) as z from (select *, 4 as z, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_quantity, l_extendedprice) as rn from lineitem where l_linenumber = 1) where rn = 1 group by 1""")
+@query("""select l_suppkey as entity_id, count(*) as n_articles, max(z) as z from (select *, 4 as z, row_number() over (partition by l_suppkey, l_orderkey order by cast(l_linenumber as varchar)) as rn from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice) as one from lineitem) where one = 1) where rn = 1 group by 1""")
 def f17_credibility_basis(spark, d):
     return f17_entity_credibility(spark, d).select("entity_id", "n_articles", "z")
 
 
-@query()
-def f17_entity_credibility(spark, d):
-    rows = C.keep_first(_t(spark, d, "lineitem").where("l_linenumber = 1"), ["l_orderkey"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+def _article_scores(spark, d):
+    """Every line of an order is an item of its answer, by its number; a supplier's first line in an order counts."""
+    rows = C.keep_first(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
     text = lambda c: c.cast("string")
-    items = rows.select(F.col("l_orderkey").cast("string").alias("request_id"), F.lit("A1").alias("local_id"), text(F.pmod("l_quantity", F.lit(10)) + 1).alias("feasibility"), text(F.pmod("l_partkey", F.lit(10)) + 1).alias("precision"), text(F.pmod("l_orderkey", F.lit(10)) + 1).alias("manipulation"))
-    members = rows.select(F.col("l_orderkey").cast("string").alias("request_id"), F.lit("A1").alias("local_id"), F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("doc_id"))
-    history = rows.select(F.col("l_suppkey").alias("entity_id")).distinct().withColumn("history", F.lit(4))
-    return R.entity_credibility(R.article_scores(items, members, history))
+    ids = [text(F.col("l_orderkey")).alias("request_id"), text(F.col("l_linenumber")).alias("local_id")]
+    items = rows.select(*ids, text(F.pmod("l_quantity", F.lit(10)) + 1).alias("feasibility"), text(F.pmod("l_partkey", F.lit(10)) + 1).alias("precision"), text(F.pmod("l_orderkey", F.lit(10)) + 1).alias("manipulation"))
+    members = rows.select(*ids, F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("doc_id"))
+    return R.article_scores(items, members, rows.select(F.col("l_suppkey").alias("entity_id")).distinct().withColumn("history", F.lit(4)))
+
+
+_SCORES = """lines as (select * from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice) as one from lineitem) where one = 1),
+scores as (select l_suppkey as entity_id, l_orderkey as doc_id, cast(l_quantity as bigint) % 10 + 1 as x, l_partkey % 10 + 1 as y, l_orderkey % 10 + 1 as w from (select *, row_number() over (partition by l_suppkey, l_orderkey order by cast(l_linenumber as varchar)) as rn from lines) where rn = 1)"""
+#: Half to even from ten-thousandths to tenths, and from hundredths to tenths.
+_TENTHS = "({0} // 1000 + case when {0} % 1000 > 500 or ({0} % 1000 = 500 and ({0} // 1000) % 2 = 1) then 1 else 0 end)"
+
+
+@query(f"with {_SCORES} select entity_id, doc_id, x, y, w, (2 * (x + y + w) + 16) / 10.0 as score from scores")
+def f16_article_scores(spark, d):
+    return _article_scores(spark, d).select("entity_id", "doc_id", "x", "y", "w", "score")
 
 
-@query(r"""with p as (select d.doc_id, d.text as s, lower(strip_accents(b.text)) as mat from documents d join benchmark b on b.item_id = d.doc_id % 40)
+@query(f"""with {_SCORES}, m as (select entity_id, cast(round(sum(x) * 10000.0 / count(*)) as bigint) as mx, cast(round(sum(y) * 10000.0 / count(*)) as bigint) as my, cast(round(sum(w) * 10000.0 / count(*)) as bigint) as mw, count(*) as n_articles from scores group by 1),
+t as (select entity_id, {_TENTHS.format('mx')} as x, {_TENTHS.format('my')} as y, {_TENTHS.format('mw')} as w, n_articles from m), v as (select *, 2 * (x + y + w) + 160 as h from t)
+select entity_id, x / 10.0 as x, y / 10.0 as y, 4 as z, w / 10.0 as w, (h // 10 + case when h % 10 > 5 or (h % 10 = 5 and (h // 10) % 2 = 1) then 1 else 0 end) / 10.0 as score, n_articles from v""")
+def f17_entity_credibility(spark, d):
+    return R.entity_credibility(_article_scores(spark, d))
+
+
+@query(r"""with p as (select d.doc_id, d.text as s, lower(strip_accents(b.text)) as mat from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark))
 select doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(s, '\d[\d.,]*\d|\d'), lambda n: regexp_replace(n, '[.,]+$', '')), lambda n: not contains(mat, n) and not contains(regexp_replace(mat, '[.\s]', '', 'g'), regexp_replace(n, '[.\s]', '', 'g')))).len() as n from p""")
 def f19_numbers(spark, d):
     rows = _grounding(spark, d)
@@ -478,7 +476,7 @@ def f19_numbers(spark, d):
 
 def _grounding(spark, d):
     docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark").select("item_id", F.col("text").alias("mat"))
-    return docs.select("doc_id", F.col("text").alias("s"), F.pmod("doc_id", F.lit(40)).alias("item_id")).join(items, "item_id")
+    return docs.select("doc_id", F.col("text").alias("s"), F.pmod("doc_id", F.lit(items.count())).alias("item_id")).join(items, "item_id")
 
 
 @query()
@@ -494,9 +492,9 @@ def f7_flag_counts(spark, d):
 
 @query()
 def f3_findings(spark, d):
-    """Answers made from documents: every fifth is cut, so its complete objects are salvaged."""
+    """Answers that quote whole documents: every fifth is cut, so its complete objects are salvaged."""
     docs = _t(spark, d, "documents")
-    quote = F.regexp_replace(F.substring("text", 1, 60), r'[\\"\n\r\t]', " ")
+    quote = F.regexp_replace("text", r'[\\"\x00-\x1f]', " ")
     one = F.concat(F.lit('{"id": "P1", "category": "implausible", "severity": "huge", "confidence": "high", "quote": "'), quote, F.lit('", "problem": "p", "reasoning": "r"}'))
     whole = F.concat(F.lit('{"findings": ['), one, F.lit("]}"))
     cut = F.concat(F.lit('{"findings": ['), one, F.lit(', {"id": "P2", "cat'))
@@ -509,15 +507,16 @@ def f4_locate_quotes(spark, d):
     """Quotes of the first sentence, as it is, with other punctuation, or with a word changed."""
     docs = _t(spark, d, "documents").withColumn("first", F.get(X.split_sentences(X.squash(F.col("text"))), 0))
     quote = F.when(F.col("doc_id") % 3 == 0, F.col("first")).when(F.col("doc_id") % 3 == 1, F.upper(F.replace("first", F.lit(","), F.lit(";")))).otherwise(F.regexp_replace("first", "^([a-zA-Z])", "x$1"))
-    claims = docs.select(F.col("doc_id").alias("finding_id"), F.lit(0).alias("passage_order"), quote.alias("quote"), F.substring("text", 1, 1000).alias("text"), F.lit(None).cast("string").alias("context"))
+    claims = docs.select(F.col("doc_id").alias("finding_id"), F.lit(0).alias("passage_order"), quote.alias("quote"), F.col("text"), F.lit(None).cast("string").alias("context"))
     return R.locate_quotes(claims)
 
 
 @query()
 def f21_axis_context(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id")
+    """Held against a plain walk in tests."""
+    docs = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id", F.concat_ws(" | ", "lang", "source").alias("header"))
     paras = C.text_paragraphs(_t(spark, d, "documents")).join(docs, "doc_id").withColumn("official", F.col("doc_id") % 10 == 0).withColumn("names_entity", X.has_word(F.col("norm"), *NAMES))
-    axes = spark.createDataFrame([("first", "thing|ander"), ("second", "ought|tion")], "axis_id string, rx string")
+    axes = spark.createDataFrame([("first", "(?i)thing|ander"), ("second", "(?i)ought|tion")], "axis_id string, rx string")
     return R.axis_context(paras, axes, 6000)
 
 
@@ -581,17 +580,18 @@ def _positions(spark, d):
     return G.axis_scores(_answers(spark, d), _items(spark)).where("status = 'ok'").select(F.col("respondent_id").alias("subject_id"), "axis_id", G.site_position(F.col("score")).alias("value"))
 
 
-_MATCH = f"""with {_ANSWERS}, pos as (select respondent_id as s, axis_id, greatest(0, least(100, ((6 - score) - 1) * 25)) as v from scored where score is not null), cat as (select p_partkey as e, unnest(range(10)) as axis_id, cast(p_size * 2 as double) as v from part where p_partkey <= 20),
+_MATCH = f"""with {_ANSWERS}, pos as (select respondent_id as s, axis_id, greatest(0, least(100, ((6 - score) - 1) * 25)) as v from scored where score is not null), cat as (select n_nationkey as e, axis_id, cast((n_nationkey * 7 + axis_id * 11) % 101 as double) as v from nation, (select unnest(range(10)) as axis_id)),
 cmp as (select s as a_id, e as b_id, count(*) as compared, cast(round(cast(100 - avg(abs(pos.v - cat.v)) as decimal(12,4))) as double) as match, count(case when abs(pos.v - cat.v) >= 30 then 1 end) as n_major from pos join cat using (axis_id) group by 1, 2)"""
 
 
 def _catalogue(spark, d):
-    return _t(spark, d, "part").where("p_partkey <= 20").select(F.col("p_partkey").alias("subject_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("axis_id"), (F.col("p_size") * 2.0).alias("value"))
+    subjects = _t(spark, d, "nation").select(F.col("n_nationkey").alias("subject_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("axis_id"))
+    return subjects.withColumn("value", F.pmod(F.col("subject_id") * 7 + F.col("axis_id") * 11, F.lit(101)).cast("double"))
 
 
 @query(f"{_MATCH} select a_id, b_id, compared, match, n_major from cmp")
 def g4_compare(spark, d):
-    """Respondents against a catalogue of twenty subjects."""
+    """Respondents against the nations as a catalogue, whose size doesn't grow."""
     return G.compare_positions(_positions(spark, d), _catalogue(spark, d))
 
 
@@ -668,8 +668,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from attesta.plans import chain  # noqa: F401  registers its queries
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    return {k: _SQL[k] for k in queries() if k in _SQL}
