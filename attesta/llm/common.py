@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: a task that writes long arrays holds a group of them in memory
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -45,7 +46,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 #: Rows sent to all executors at most; beyond that a join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def small(df: DataFrame) -> DataFrame:

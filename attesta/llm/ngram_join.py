@@ -326,7 +326,6 @@ def _classes(docs: DataFrame) -> DataFrame:
     numbers = materialise(numbers.withColumn("node", F.monotonically_increasing_id()), "numbers")
     # one row stands for each set, so copies give no keys; repeated rows of its id are taken out below
     chosen = signed.alias("s").join(small(numbers.drop("n")).alias("m"), F.col("s.id").eqNullSafe(F.col("m.rep")) & _same("s", "m")).select("node", "n", "home", "guest", "bands")
-    chosen = materialise(chosen, "chosen")
     nodes = materialise(chosen.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "home", "guest"))), "nodes")
     by_key = Window.partitionBy("key")
     # dealt by key first: taking equal rows out, counting and ordering then need no other shuffle
