@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import ascii_words, table, text_bytes
+from attesta.llm.common import ascii_words, own_name, table, text_bytes
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 13
@@ -299,8 +299,10 @@ def contaminated(share: int = SHARE):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, unchanged."""
-    return annotate(docs, benchmark, text).where(~contaminated()).select(*docs.columns)
+    """The rows of docs that aren't contaminated, unchanged; other columns stay, whatever they are called."""
+    other = {c: own_name(docs, f"_kept_{c}") for c in docs.columns if c.lower() in ADDED.names}
+    found = annotate(docs.withColumnsRenamed(other), benchmark, text).where(~contaminated())
+    return found.select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import components, materialise, small, table, text_bytes
+from attesta.llm.common import components, materialise, own_name, small, table, text_bytes
 
 #: Words of a shingle; similarity as a whole percentage.
 WORDS, PERCENT = 5, 80
@@ -390,16 +390,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with only one row of the smallest id of each class, unchanged; rows without shingles, and those whose class has no id, all stay.
 
-    Of repeated rows (id and text) of a smallest id one stays.
+    Of repeated rows (id and text) of a smallest id one stays. Other columns stay, whatever they are called.
     """
     found = _classes(_tagged(docs, id_col, text)).where("n > 0 and component is not null")
-    found = materialise(found.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("id").eqNullSafe(F.col("component")).alias("first")), "found")
-    drop = materialise(found.where("not first").select("_id", "_tag").distinct(), "dropped")
-    again = materialise(found.where("first").groupBy("_id", "_tag").count().where("count > 1").select("_id", "_tag"), "repeated")
-    this = lambda: F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tag"))
+    key, tag = own_name(docs, "_id"), own_name(docs, "_tag")
+    found = materialise(found.select(F.col("id").alias(key), F.col("tag").alias(tag), F.col("id").eqNullSafe(F.col("component")).alias("first")), "found")
+    drop = materialise(found.where("not first").select(key, tag).distinct(), "dropped")
+    again = materialise(found.where("first").groupBy(key, tag).count().where("count > 1").select(key, tag), "repeated")
+    this = lambda: F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(tag))
     kept = docs.join(small(drop), this(), "left_anti")
     if not again.isEmpty():
-        one = docs.join(small(again), this()).dropDuplicates(["_id", "_tag"])
+        one = docs.join(small(again), this()).dropDuplicates([key, tag])
         kept = kept.join(small(again), this(), "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
     return kept.select(*docs.columns)
 

@@ -15,7 +15,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import materialise, small, table
+from attesta.llm.common import materialise, own_name, small, table
 
 #: The session's setting that holds the secret key.
 KEY_SETTING = "spark.attesta.pii.key"
@@ -258,12 +258,6 @@ def found(text: Column) -> Column:
     return entities(pieces(text))
 
 
-def _own_name(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
-
-
 def dictionary(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(kind, value, surrogate) of all distinct entities of the corpus."""
     own = docs.select(F.explode(found(F.col(text))).alias("e")).select("e.kind", "e.value").distinct()
@@ -303,7 +297,7 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", co
     checked for collisions from there, and rows are changed one by one. An empty table gives no rows.
     """
     key = key or session_key(docs.sparkSession)
-    row, cut, new = (_own_name(docs, n) for n in ("_row", "_pieces", "_new"))
+    row, cut, new = (own_name(docs, n) for n in ("_row", "_pieces", "_new"))
     base = docs.withColumn(cut, pieces(F.col(text))).withColumn(text, F.when(F.col(cut).isNull(), F.col(text))).withColumn(row, F.monotonically_increasing_id())
     base = materialise(base, "pii")
     own = base.where(F.col(cut).isNotNull()).select(F.explode(entities(F.col(cut))).alias("e")).select("e.kind", "e.value").distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import ascii_words, table, text_bytes
+from attesta.llm.common import ascii_words, own_name, table, text_bytes
 
 #: Hash space of features; labelled rows that a fit uses at most; passes over them.
 SPACE, FIT_ROWS, PASSES = 1 << 20, 12_000, 4
@@ -22,6 +22,8 @@ SPACE, FIT_ROWS, PASSES = 1 << 20, 12_000, 4
 FIT_FEATURES = 64_000_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
+#: Bias of a model that has seen no row.
+NOTHING = -35.0
 #: Lengths of stems, in bytes.
 STEMS = (4, 5, 6)
 #: Feature kinds are told apart by these odd multipliers.
@@ -96,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     (bounded by `rows`) are broadcast. Of an id with several rows one is taken, so a repeated id doesn't fill the sample. The
     features meet in one task, which makes the passes; it takes rows in the sample's order as long as they have at most
     FIT_FEATURES features together, so its memory is bounded for texts of any length. Null texts have no features. Without
-    labelled rows the model is empty: every score is 0.5.
+    labelled rows nothing is learnt: every score is next to 0.
     """
     sample = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     sample = sample.orderBy(F.xxhash64(id_col), id_col).limit(rows)
@@ -124,14 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         for p in range(passes):
             for j in np.random.default_rng(p).permutation(len(known)):
                 model.learn(np.frombuffer(known[j][2], np.int32), known[j][1])
-        used, weights, bias = model.model() if known else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
+        used, weights, bias = model.model() if known else (np.zeros(0, np.int32), np.zeros(0, np.float32), NOTHING)
         yield pa.RecordBatch.from_arrays([pa.array([used.tobytes()]), pa.array([weights.tobytes()]), pa.array([bias])], names=["used", "weights", "bias"])
 
     one = chosen.mapInArrow(features, "k long, y int, f binary").groupBy("k").agg(F.max("y").alias("y"), F.min("f").alias("f"))
     met = one.repartition(1).sortWithinPartitions("k")
     row = met.mapInArrow(learn, "used binary, weights binary, bias double").first()
     if row is None:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), NOTHING
     return np.frombuffer(bytes(row[0]), np.int32), np.frombuffer(bytes(row[1]), np.float32), float(row[2])
 
 
@@ -167,8 +169,10 @@ def train(docs: DataFrame, labels: DataFrame):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score under the threshold, unchanged."""
-    return score(docs, train(docs, labels), to="_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
+    """The rows of docs that score under the threshold, unchanged; other columns stay, whatever they are called. Null, empty and
+    repeated rows are scored like all."""
+    to = own_name(docs, "_toxicity")
+    return score(docs, train(docs, labels), to=to).where(F.col(to) < threshold).select(*docs.columns)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
