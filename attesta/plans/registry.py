@@ -137,10 +137,10 @@ def b11_ids(spark, d):
     return _t(spark, d, "pages").select("page_id", X.document_id(F.col("url")).alias("doc_id"), X.statement_id(F.col("url"), F.col("html")).alias("statement_id"))
 
 
-@query(f"select doc_id, len({_SENT}) as n, md5({_SENT}[1]) as first from documents")
+@query(f"select doc_id, len({_SENT}) as n, md5(array_to_string({_SENT}, chr(10))) as all_of_it from documents")
 def b12_split_sentences(spark, d):
     s = X.split_sentences(F.col("text"))
-    return _t(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.get(s, 0)).alias("first"))
+    return _t(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "\n")).alias("all_of_it"))
 
 
 @query()
@@ -190,9 +190,13 @@ def c3_paragraphs(spark, d):
     return C.text_paragraphs(_t(spark, d, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("h"))
 
 
-@query()
+@query(rf"""with found as (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as anchor from pages),
+bare as (select page_id, anchor, regexp_replace(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || href, '#.*$', '') as bare from found where starts_with(href, '/')),
+parts as (select page_id, anchor, regexp_extract(bare, '^([^?]*)', 1) as base, array_to_string(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '{U.TRACKING}')), '&') as q from bare)
+select page_id, case when q = '' then base else base || '?' || q end as href, trim(regexp_replace(anchor, '\s+', ' ', 'g')) as anchor from parts""")
 def c4_page_links(spark, d):
-    pages = _t(spark, d, "pages")
+    """The pages' links all stand in hidden tags, so those tags are taken as shown ones here."""
+    pages = _t(spark, d, "pages").withColumn("html", F.regexp_replace("html", "<(/?)nav>", "<$1div>"))
     return C.page_links(C.html_blocks(pages), pages)
 
 
@@ -201,9 +205,38 @@ def c5_page_title(spark, d):
     return _t(spark, d, "pages").select("page_id", C.page_title(F.col("html")).alias("title"))
 
 
-@query()
+#: Pages that tell a date and an author in each place in turn, some of them wrong: made from the page's number, in Spark and in SQL alike.
+_TOLD = """select page_id, case when page_id % 6 >= 4 then 'http://h.example/2021/' || cast(1 + page_id % 12 as string) || '/' || cast(1 + page_id % 28 as string) || '/a' else url end as url,
+case page_id % 6 when 0 then '<meta property="article:published_time" content="' || day || 'T08:00:00"><meta name="author" content="Ana &amp; Ion ' || cast(page_id as string) || '">'
+when 1 then '<meta content="' || day || '" name="pubdate"><meta content="de Maria  Pop, Ziarul" name="author">'
+when 2 then '<script>{{"datePublished": "' || day || '", "author": [{{"@type": "Person", "name": "Rad' || chr(92) || 'u0103 Vlad"}}]}}</script>'
+when 3 then '<time datetime="' || day || '"><a class="author-link"> Dan Ilie </a>'
+when 4 then '<meta name="date" content="2019-13-40"><meta name="author" content="https://x.example/ana">' else '' end || html as html
+from (select *, cast(1980 + page_id % 60 as string) || '-0' || cast(1 + page_id % 9 as string) || '-1' || cast(page_id % 10 as string) as day from {pages})"""
+
+
+def _facts_sql() -> str:
+    text = lambda rx: rx.replace("'", "''")
+    valid = "case when year(try_cast({0} as date)) between 1990 and 2027 then try_cast({0} as date) end"
+    dates = [valid.format(f"regexp_extract(head, '{text(rx)}', 1)") for rx in C.DATE_PLACES]
+    part = r"lpad(regexp_extract(url, '/(20\d{{2}}|19\d{{2}})[/\-](\d{{1,2}})[/\-](\d{{1,2}})(?:[/\-]|$)', {}), {}, '0')"
+    dates.append(valid.format("(" + " || '-' || ".join(part.format(k, n) for k, n in ((1, 4), (2, 2), (3, 2))) + ")"))
+    names = []
+    for rx in C.AUTHOR_PLACES:
+        name = f"replace(regexp_extract(head, '{text(rx)}', 1), chr(92) || 'u0103', 'ă')"
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+            name = f"replace({name}, '{entity}', '{char}')"
+        names.append(f"trim(regexp_replace({name}, '\\s+', ' ', 'g'))")
+    author = f"list_filter([{', '.join(names)}], lambda c: c <> '' and not regexp_matches(c, '(?i)^https?://') and length(c) <= 120)[1]"
+    return rf"""with told as ({_TOLD.format(pages="pages")}), named as (select page_id, coalesce({", ".join(dates)}) as date, coalesce({author}, '{C.UNKNOWN_AUTHOR}') as author from (select page_id, url, left(html, 200000) as head from told)),
+short as (select *, trim(regexp_replace(regexp_replace(author, '(?i)^\s*(?:de|by|autor)\s*:?\s+', ''), '\s*[|,;/–—].*$', '')) as s from named)
+select page_id, date, author, case when length(s) between 3 and 80 and len(regexp_split_to_array(s, '\s+')) <= 6 and not regexp_matches(s, '(?i)https?:|www\.|@|\b(19|20)\d{{2}}\b') and s <> '{C.UNKNOWN_AUTHOR}' then s end as strict_author from short"""
+
+
+@query(_facts_sql())
 def c6_page_facts(spark, d):
-    return _t(spark, d, "pages").select("page_id", C.page_date(F.col("html"), F.col("url")).alias("date"), C.page_author(F.col("html")).alias("author"), C.page_author_v1(F.col("html")).alias("strict_author"))
+    pages = spark.sql(_TOLD, pages=_t(spark, d, "pages"))
+    return pages.select("page_id", C.page_date(F.col("html"), F.col("url")).alias("date"), C.page_author(F.col("html")).alias("author"), C.page_author_v1(F.col("html")).alias("strict_author"))
 
 
 @query(r"""select page_id, least(100, 20 + case when official then 45 else 0 end + case when regexp_matches(w, 'steno|discurs|declar|interviu|comunicat|conferint|plen|sedint') then 15 else 0 end + case when regexp_matches(w, 'educat|stud|univers|facultat|liceu|finant|buget|fondur|pnrr|grant|investit|biograf') then 8 else 0 end + case when n > 2500 then 5 else 0 end + case when n > 7000 then 5 else 0 end) as score,
@@ -222,7 +255,8 @@ def c11_document_text(spark, d):
     return C.document_text(paras).join(counts, "doc_id").select("doc_id", F.md5("text").alias("h"), "n")
 
 
-@query()
+@query(r"""with u as (select url, min(page_id) as page_id from pages group by url), n as (select url, row_number() over (partition by regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') order by page_id) as n from u)
+select url, cast(greatest(n - 2, 0) as integer) as round from n where n <= 5""")
 def c12_crawl_frontier(spark, d):
     """Links run from page to page of one host in order of their numbers; the two smallest pages of each host are the seeds."""
     from attesta.operators.corpus import keep_first
@@ -363,7 +397,16 @@ def d17_promises_v1(spark, d):
     return D.promises_v1(C.text_paragraphs(_t(spark, d, "documents")), spark.createDataFrame([(n, n) for n in NAMES], "entity_id string, surname string"))
 
 
-@query()
+@query(rf"""with raw as (select source as entity_id, doc_id, unnest({_SENT}) as text, generate_subscripts({_SENT}, 1) - 1 as k from documents),
+words as (select *, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zăâîșțşţ]{{6,}}'), lambda w: not list_contains({D.TOPIC_STOP}, w))) as w from raw),
+s as (select entity_id, doc_id, doc_id % 1000 as day, doc_id || ':' || k as sid, text, list_distinct(list_transform(w, lambda x: left(x, 6))) as stems from words),
+promises as (select *, case when len(stems) >= 6 then 3 else 2 end as need from s where regexp_matches({_NORM}, '{_WORD.format("thing")}')),
+told as (select *, case when regexp_matches(text, '{_WORD.format("worthless")}') then 'broken' when regexp_matches(text, '{_WORD.format("with")}') then 'kept' end as outcome from s),
+a as (select entity_id, sid as promise_id, doc_id, day, need, unnest(stems) as stem from promises), b as (select entity_id, sid, doc_id, day, outcome, unnest(stems) as stem from told where outcome is not null),
+enough as (select a.entity_id, promise_id, sid, outcome from a join b on a.entity_id = b.entity_id and a.stem = b.stem and a.doc_id <> b.doc_id and b.day >= a.day group by a.entity_id, promise_id, sid, outcome, need having count(*) >= need),
+counted as (select entity_id, promise_id, count(*) filter (outcome = 'kept') as n_kept, count(*) filter (outcome = 'broken') as n_broken from enough group by entity_id, promise_id)
+select entity_id, promise_id, n_kept, n_broken, case when n_kept > 0 and n_broken > 0 then 'partial' when n_kept > 0 then 'kept' when n_broken > 0 then 'broken' else 'unverifiable' end as status
+from (select p.entity_id, p.sid as promise_id, coalesce(n_kept, 0) as n_kept, coalesce(n_broken, 0) as n_broken from promises p left join counted c on p.entity_id = c.entity_id and p.sid = c.promise_id)""")
 def d18_judge_promises(spark, d):
     docs = _t(spark, d, "documents").select(F.col("source").alias("entity_id"), "doc_id", "text")
     sents = docs.select("entity_id", "doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("k", "text"))

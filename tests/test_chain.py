@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import html
 import os
 import re
 import unicodedata
@@ -210,3 +211,135 @@ def test_summaries_keep_the_first_where_the_second_says_nothing(spark):
 
 def test_budget():
     assert E.batch_budget(7000, 1500, 3400) == 5000 and E.batch_budget(3000, 1500, 340) == int(940 * 2.6) and E.batch_budget(1000, 900, 0) == 1500
+
+
+def plain_chunks(text, limit):
+    text = text.strip(" ")
+    if len(text) <= limit:
+        return [text]
+    done, cur = [], ""
+    for s in re.split(r"(?<=[.!?])\s+", text):
+        if len(s) > limit:
+            cuts = [s[k : k + limit] for k in range(0, len(s), limit)]
+            done, cur = [*done, *([cur] if cur else []), *cuts[:-1]], cuts[-1].strip(" ")
+        elif not cur or len(cur) + 1 + len(s) <= limit:
+            cur = f"{cur} {s}".strip(" ")
+        else:
+            done, cur = [*done, cur], s
+    return [*done, *([cur] if cur else [])]
+
+
+@needs_data
+def test_chunks_of_whole_texts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for limit in (60, 500):
+        for r in docs.select("text", X.split_chunks(F.col("text"), limit).alias("got")).collect():
+            assert r.got == (None if r.text is None else plain_chunks(r.text, limit))
+    sizes = {(r.doc_id, k): len(p) for r in docs.where("text is not null").collect() for k, p in enumerate(plain_chunks(r.text, 500))}
+    assert {(r.doc_id, r.k): r.n for r in __spark_entry__.queries()["b14_split_chunks"](spark, DATA).collect()} == sizes
+
+
+def plain_blocks(page, hidden, breaks, inside_only):
+    """Visible blocks of a page whose tags nest well, by cutting its text."""
+    page = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "", page)
+    for tag in sorted(hidden, key=lambda t: t not in ("script", "style")):
+        page = re.sub(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "" if inside_only else "<hr>", page)
+    out, depth = [], 0
+    for piece in re.split(rf"(?i)(</?(?:{'|'.join(sorted(breaks, key=len, reverse=True))})\b[^>]*>)", page):
+        if piece.startswith("</") and piece[2:-1].strip().lower() in breaks:
+            depth = max(0, depth - 1)
+        elif piece.startswith("<") and re.match(r"<(\w+)", piece) and re.match(r"<(\w+)", piece)[1].lower() in breaks:
+            depth += 1
+        elif depth or not inside_only:
+            text = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", piece)).split())
+            out += [text] if text else []
+    return out
+
+
+@needs_data
+@pytest.mark.parametrize("name, hidden, breaks, strict", [("c1_html_blocks", C.HIDDEN, C.BLOCK, False), ("c2_html_blocks_strict", C.STRICT_HIDDEN, C.STRICT, True)])
+def test_blocks_of_pages(spark, name, hidden, breaks, strict):
+    got = defaultdict(dict)
+    rows = __spark_entry__.queries()[name](spark, DATA)
+    for r in rows.collect():
+        assert strict or r.href is None  # all links stand in hidden tags
+        got[r.page_id][r.pos] = r.text
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    assert len(got) == len(pages) > 10
+    for r in pages:
+        assert [got[r.page_id][k] for k in sorted(got[r.page_id])] == plain_blocks(r.html, hidden, breaks, strict)
+
+
+def plain_paragraphs(spark):
+    out = defaultdict(list)
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        seen = set()
+        for pos, line in enumerate((r.text or "").split("\n")):
+            if len(line) >= 20 and fold(line) not in seen:
+                seen.add(fold(line))
+                out[r.doc_id].append((pos, line))
+    return out
+
+
+def plain_excerpt(own, i, words, limit):
+    text = own[i][1]
+    if len(text) > limit:
+        return plain_window(text, words, limit)
+    if len(text) >= 120:
+        return text
+    lo = hi = i
+    size, moved = len(text), True
+    while moved and hi - lo < 2:
+        moved = False
+        if hi + 1 < len(own) and size + 1 + len(own[hi + 1][1]) <= limit:
+            hi, size, moved = hi + 1, size + 1 + len(own[hi + 1][1]), True
+        if hi - lo < 2 and lo > 0 and size + 1 + len(own[lo - 1][1]) <= limit:
+            lo, size, moved = lo - 1, size + 1 + len(own[lo - 1][1]), True
+    return " ".join(t for _, t in own[lo : hi + 1])
+
+
+def plain_fingerprint(s, n):
+    return re.sub(r"\W+", " ", fold(s)).strip(" ")[:n]
+
+
+def starts(norm, word):
+    return re.search(r"(?<!\w)" + word, norm) is not None
+
+
+@needs_data
+def test_funding_evidence_of_whole_texts(spark):
+    labels = [("first", ["thing"]), ("second", ["ander", "ought"]), ("third", ["erin"])]
+    want = set()
+    for doc, own in plain_paragraphs(spark).items():
+        best = defaultdict(dict)
+        for i, (pos, text) in enumerate(own):
+            matched = [w for w in registry.WORDS if starts(fold(text), w)]
+            told = tuple(label for label, words in labels if any(starts(fold(text), w) for w in words))
+            if not matched or (len(matched) < 2 and not told):
+                continue
+            made = plain_excerpt(own, i, registry.WORDS, 700)
+            for name in set(re.findall(r"\w+", fold(made))) & set(registry.NAMES):
+                if len(made) >= 100:
+                    best[name].setdefault(plain_fingerprint(made, 300), (-len(told), -len(made), pos, matched[0], made, told))
+        for name, found in best.items():
+            for rank, (_, _, pos, word, made, told) in enumerate(sorted(found.values())[:5], 1):
+                want.add((name, doc, pos, word, made, told, rank))
+    got = __spark_entry__.queries()["d7_funding"](spark, DATA).collect()
+    assert got and {(r.entity_id, r.doc_id, r.pos, r.keyword, r.excerpt, tuple(r.channels), r.rank) for r in got} == want
+    assert len(got) == len(want)
+
+
+@needs_data
+def test_mention_excerpts_of_whole_texts(spark):
+    want = set()
+    for doc, own in plain_paragraphs(spark).items():
+        found = defaultdict(dict)
+        for i, (pos, text) in enumerate(own):
+            made = plain_excerpt(own, i, [], 900)
+            for name in set(re.findall(r"\w+", fold(text))) & set(registry.NAMES):
+                if len(made) >= 120:
+                    found[name].setdefault(plain_fingerprint(made, 250), (pos, made))
+        want |= {(name, doc, pos, made, rank) for name, x in found.items() for rank, (pos, made) in enumerate(sorted(x.values())[:4], 1)}
+    got = __spark_entry__.queries()["d8_mention_excerpts"](spark, DATA).collect()
+    assert got and {(r.entity_id, r.doc_id, r.pos, r.excerpt, r.rank) for r in got} == want
+    assert len(got) == len(want)
