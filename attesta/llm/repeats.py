@@ -1,10 +1,12 @@
 """Removal of long strings that repeat anywhere in the corpus, with suffix arrays of bounded groups.
 
 Every window of `length` bytes has a key made from its content (anchors.runs), so equal windows meet under one key
-wherever they are. Runs of windows whose whole content occurs again need no sorting: two hashes of different make (key and
-content) tell that, and no bytes are compared. Of runs that share a key but not their content, the bytes meet in bounded groups: by key, or where a key has many contents, by the hashes of their windows.
-Windows whose hash is alone in the group are left out, and the suffix array of the rest (suffix_sort, linear grouping)
-puts equal windows side by side, where they are compared byte for byte.
+wherever they are. Runs of windows whose whole content occurs again (by two hashes of different make, key and content) are
+taken at two of their places, and the bytes from there, with those of the runs that follow in both texts, are sorted
+together. Of runs that share a key but not their content, the bytes meet in bounded groups: by key, or where a key has many
+contents, by the hashes of their windows. Windows whose hash is alone in the group are left out, and the suffix array of the
+rest (suffix_sort, linear grouping) puts equal windows side by side, where they are compared byte for byte. What is found so
+of a content holds at all runs that have it; that these have it is told by the two hashes.
 """
 
 from __future__ import annotations
@@ -13,17 +15,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.anchors import Hashes, runs
-from attesta.llm.common import materialise, table, text_bytes
+from attesta.llm.common import materialise, small, table, text_bytes
 from attesta.llm.suffix_sort import suffix_array
 
 #: Bytes of a string that may not stand anywhere else.
 LENGTH = 400
 #: Different contents that are sorted together.
 GROUP = 500
+#: Windows of a stretch that is sorted with its first copy.
+STRETCH = 4096
 #: A content that occurs more often is broadcast to its runs.
 COMMON = 10_000
 
@@ -95,10 +99,11 @@ def repeated_starts(blocks: list[bytes], length: int) -> list[np.ndarray]:
     return starts
 
 
-def _blocks(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """(id, rid, key, content, first, alone, many, block): mixed with the bytes of its runs. Repeated rows give a block several times."""
-    kind = rows.schema["id"].dataType.simpleString()
-    wanted = mixed.groupBy("rid", "id").agg(F.collect_list(F.struct("key", "content", "first", "last", "alone", "many")).alias("w"))
+def _blocks(spots: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """spots and block: the bytes from a spot's first window to its last. spots: (id, rid, first, last) and other columns.
+    Repeated rows give a block several times."""
+    others = [c for c in spots.columns if c not in ("id", "rid")]
+    wanted = spots.groupBy("rid", "id").agg(F.collect_list(F.struct(*others)).alias("w"))
     met = rows.alias("t").join(wanted.alias("w"), (F.col("t.rid") == F.col("w.rid")) & F.col("t.id").eqNullSafe(F.col("w.id"))).select("t.id", "t.rid", "t.text", "w.w")
 
     def cut(batches: Iterator) -> Iterator:
@@ -107,16 +112,14 @@ def _blocks(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 piece = batch.slice(lo, 200)
-                again, out = [], []
-                for k, (t, w) in enumerate(zip(text_bytes(piece.column(2)), piece.column(3).to_pylist(), strict=True)):
-                    again += [k] * len(w)
-                    out += [(x["key"], x["content"], x["first"], x["alone"], x["many"], t[x["first"] : x["last"] + length]) for x in w]
-                again = pa.array(again, pa.int64())
-                columns = list(zip(*out, strict=True)) or [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(again), piece.column(1).take(again), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=["id", "rid", "key", "content", "first", "alone", "many", "block"])
+                lasts = [[(x["first"], x["last"]) for x in w] for w in piece.column(3).to_pylist()]
+                own = [[t[f : e + length] for f, e in w] for t, w in zip(text_bytes(piece.column(2)), lasts, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(3), pa.array(own, pa.list_(pa.binary()))], names=["id", "rid", "w", "blocks"])
 
-    return met.mapInArrow(cut, f"id {kind}, rid long, key long, content long, first int, alone boolean, many boolean, block binary")
+    kinds = {c: met.schema[c].dataType.simpleString() for c in ("id", "w")}
+    found = met.mapInArrow(cut, f"id {kinds['id']}, rid long, w {kinds['w']}, blocks array<binary>")
+    found = found.select("id", "rid", F.explode(F.arrays_zip("w", "blocks")).alias("x"))
+    return found.select("id", "rid", "x.w.*", F.col("x.blocks").alias("block"))
 
 
 def _windows(blocks: DataFrame, length: int) -> DataFrame:
@@ -163,37 +166,38 @@ def bounded_groups(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return few.union(many.join(dealt, ["key", "content"]).select("group", "id", "rid", (F.col("first") + F.col("low")).alias("first"), "alone", piece))
 
 
-def _edges(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """(id, rid, start, end) of repeated bytes in runs that share their key, but not all their bytes, with another.
+def _repeats_of(groups: DataFrame, length: int) -> DataFrame:
+    """(group, id, rid, start, end): repeated bytes of the blocks marked alone, by the suffix array of each group.
 
-    mixed: (id, rid, key, content, first, last, alone), one for each content of such keys.
+    groups: (group, id, rid, first, alone, block), all of a group in one task, so groups must be bounded.
     """
-    kind = rows.schema["id"].dataType.simpleString()
+    kind = groups.schema["id"].dataType.simpleString()
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def spans(own):
-            for (i, rid, _, first, alone, _), marks in zip(own, repeated_starts([x[5] for x in own], length), strict=True):
+            for (i, rid, group, first, alone, _), marks in zip(own, repeated_starts([x[5] for x in own], length), strict=True):
                 if alone and marks.any():
                     edge = np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))
                     for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                        yield i, rid, first + int(s), first + int(e) - 1 + length
+                        yield group, i, rid, first + int(s), first + int(e) - 1 + length
 
         own, group, out, id_type = [], None, [], None
         names = ["id", "rid", "group", "first", "alone", "block"]
 
         def batch_of(rows_out):
             columns = list(zip(*rows_out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (id_type, pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "rid", "start", "end"])
+            kinds = (pa.int64(), id_type, pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["group", "id", "rid", "start", "end"])
 
         for batch in batches:
-            id_type = batch.column(0).type
+            id_type = batch.column(batch.schema.get_field_index("id")).type
             for x in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
                 if own and x[2] != group:
                     out += spans(own)
                     own = []
-                if not own or x[:4] != own[-1][:4]:  # equal rows give a block several times
+                if not own or x[:5] != own[-1][:5]:  # equal rows give a block several times
                     own.append(x)
                 group = x[2]
             if len(out) > 5000:
@@ -204,30 +208,61 @@ def _edges(mixed: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    dealt = bounded_groups(mixed, rows, length).repartition("group").sortWithinPartitions("group", "id", "rid", "first")
-    return dealt.mapInArrow(find, f"id {kind}, rid long, start int, end int")
+    dealt = groups.select("group", "id", "rid", "first", "alone", "block").repartition("group").sortWithinPartitions("group", "id", "rid", "first", "alone")
+    return dealt.mapInArrow(find, f"group long, id {kind}, rid long, start int, end int")
+
 
+def _confirmed(twice: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(key, content, low, high): which windows of a content, by their distance from its first, repeat by suffix array.
 
-def _mixed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of runs: (id, rid, start of first and last window) of those whose content occurs again, and one run for each content
-    of keys with several. Counted with partial sums, so a common key isn't gathered in a task; the counts are materialised
-    before they are joined, since a common key's rows are dealt to several tasks only if no aggregate is in the join's stage."""
+    twice: (key, content, a, b), a and b the first and last runs with that content, as (rid, first, last, id). Contents
+    that follow each other in both texts make one stretch, cut at `STRETCH` windows, so a passage is sorted twice (at a and b)
+    however often it stands in the corpus, and its neighbouring windows are sorted together.
+    """
+    spots = twice.select("key", "content", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("id", "rid", "first", "last")))
+    pair = ["a_rid", "b_rid", F.col("b_first") - F.col("a_first")]
+    ordered = Window.partitionBy(*pair).orderBy("a_first")
+    before = F.lag("a_last").over(ordered)
+    new = before.isNull() | (before + 1 != F.col("a_first")) | (F.floor(F.lag("a_first").over(ordered) / STRETCH) != F.floor(F.col("a_first") / STRETCH))
+    spots = spots.withColumn("new", new.cast("int")).withColumn("stretch", F.sum("new").over(ordered))
+    spots = materialise(spots.withColumn("group", F.xxhash64(*pair, "stretch")).drop("new", "stretch"), "twice")
+    ends = spots.groupBy("group", "a_rid", "b_rid").agg(*(F.first(f"{x}_id").alias(f"{x}_id") for x in "ab"), *(f(f"{x}_{c}").alias(f"{x}_{c}") for x in "ab" for c, f in (("first", F.min), ("last", F.max))))
+    sides = [F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("id", "rid", "first", "last")), F.lit(x == "a").alias("alone")) for x in "ab"]
+    blocks = _blocks(ends.select("group", F.explode(F.array(*sides)).alias("x")).select("group", "x.*"), rows, length)
+    found = _repeats_of(blocks, length).withColumnRenamed("rid", "a_rid").drop("id")
+    low, high = F.greatest("start", "a_first"), F.least(F.col("end") - length, F.col("a_last"))
+    return spots.join(found, ["group", "a_rid"]).where(low <= high).select("key", "content", (low - F.col("a_first")).alias("low"), (high - F.col("a_first")).alias("high"))
+
+
+def _contents(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of runs: those whose key occurs again, and (key, content, n, mixed, a, b) of their contents that do or that have others
+    under their key; a and b are the first and last of a content's n runs. Counted with partial sums, so a common key isn't
+    gathered in a task; the counts are materialised before they are joined, since a common key's rows are dealt to several
+    tasks only if no aggregate is in the join's stage."""
     keys = found.groupBy("key").agg(F.count("*").alias("total"), (F.min("content") != F.max("content")).alias("mixed")).where("total > 1")
     found = materialise(found.join(materialise(keys.drop("total"), "keys"), "key"), "runs")
-    contents = found.groupBy("key", "content").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), *(F.first(c).alias(c) for c in ("id", "rid", "first", "last")))
-    contents = materialise(contents.where("mixed or n > 1"), "contents")
-    common, rest = (contents.where(f"n > 1 and n {sign} {COMMON}").select("key", "content") for sign in (">", "<="))
-    common = F.broadcast(common)  # one in COMMON runs at most
-    again = found.join(common, ["key", "content"]).union(found.join(common, ["key", "content"], "left_anti").join(rest, ["key", "content"]))
-    mixed = contents.where("mixed").select("id", "rid", "key", "content", "first", "last", (F.col("n") == 1).alias("alone"))
-    return again.select("id", "rid", "first", "last"), mixed
+    run = F.struct("rid", "first", "last", "id")
+    contents = found.groupBy("key", "content").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(run).alias("a"), F.max(run).alias("b"))
+    return found, materialise(contents.where("mixed or n > 1"), "contents")
+
+
+def _everywhere(found: DataFrame, confirmed: DataFrame, length: int) -> DataFrame:
+    """(id, rid, start, end) of what is confirmed of a content, at each run with it. confirmed: (key, content, low, high, n)."""
+    common, rest = (confirmed.where(f"n {sign} {COMMON}").drop("n") for sign in (">", "<="))
+    common = small(common)  # one in COMMON runs at most, and not above the bound of small()
+    names = common.select("key", "content").distinct()
+    again = found.join(common, ["key", "content"]).unionByName(found.join(names, ["key", "content"], "left_anti").join(rest, ["key", "content"]))
+    return again.select("id", "rid", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + length).alias("end"))
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(id, rid, spans): bytes of each text covered by strings of `length` bytes that also start elsewhere. rows: (id, rid, text)."""
-    again, mixed = _mixed(materialise(_runs(rows, length), "found"))
-    whole = again.select("id", "rid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    spans = whole.union(_edges(mixed, rows, length))
+    found, contents = _contents(materialise(_runs(rows, length), "found"))
+    confirmed = _confirmed(contents.where("n > 1").select("key", "content", "a", "b"), rows, length)
+    confirmed = materialise(confirmed.join(contents.select("key", "content", "n"), ["key", "content"]), "confirmed")
+    mixed = contents.where("mixed").select("a.id", "a.rid", "key", "content", "a.first", "a.last", (F.col("n") == 1).alias("alone"))
+    edges = _repeats_of(bounded_groups(mixed, rows, length), length).select("id", "rid", "start", "end")
+    spans = _everywhere(found, confirmed, length).union(edges)
     return spans.groupBy("rid", "id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
