@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import lexicons as L
 from attesta.functions.text import fingerprint, fold, has_prefix, prefix_rx, split_sentences, split_sentences_v1, squash, word_rx
 from attesta.operators.corpus import fold_literal, keep_first
+from attesta.operators.scans import numbered
 
 
 def folded(terms: list[str]) -> list[str]:
@@ -196,8 +197,12 @@ def dedupe(rows: DataFrame, column: str, order: list, least: int = 0, n: int = 4
     return keep_first(keyed.where(F.length("_fp") >= least), ["entity_id", "_fp"], order).drop("_fp")
 
 
-def rank_by(rows: DataFrame, *order: Column) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order)))
+def rank_by(rows: DataFrame, *order: Column, top: int | None = None) -> DataFrame:
+    """rows with rank, from 1, in each entity. All ranks come from a scan in two levels, so an entity is spread over tasks; for the
+    first `top` rows Spark keeps no more than that many of an entity in each part before it shuffles."""
+    if top is None:
+        return numbered(rows, ["entity_id"], list(order), "rank")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
 def analysis_stats(entities: DataFrame, **tables: DataFrame) -> DataFrame:

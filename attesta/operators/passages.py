@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from attesta.functions import lexicons as L
 from attesta.functions.text import fold, norm_words, plain_quotes, split_chunks, split_sentences
 from attesta.operators.corpus import keep_first
 from attesta.operators.extract import is_promise
+from attesta.operators.scans import batches
 
 #: Kinds with the weight and the name that requests show.
 KINDS = [("speech", 3.0, "speech"), ("quote", 2.0, "direct quote"), ("reported", 1.0, "article passage")]
@@ -90,29 +88,11 @@ def batch_budget(token_cap: int, answer_tokens: int, system_chars: int) -> int:
 def pack_batches(rows: DataFrame, by: list[str], size: str, budget: int, most: int = MAX_PASSAGES, order: list | str = "seq") -> DataFrame:
     """rows with batch_no: in order, a new batch begins when the next row doesn't fit in size or number.
 
-    Where a batch ends depends on where it began, so a group's sizes are walked through in order: they stream, sorted, through
-    a task that holds the open batch's size and number alone. Only the keys and the size go there and are joined back.
+    Only the keys and the size take part in the search (scans.batches, which spreads a group over tasks) and are joined back.
     """
     order = [order] if isinstance(order, str) else order
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*by, *order])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, used, n = None, 0, 0, 0
-        for pdf in batches:
-            numbers = []
-            for row in pdf.itertuples(index=False):
-                key, length = tuple(row[: len(by)]), row[-1]
-                if key != now:
-                    now, batch, used, n = key, 0, 0, 0
-                elif used + length > budget or n >= most:
-                    batch, used, n = batch + 1, 0, 0
-                used, n = used + length, n + 1
-                numbers.append(batch)
-            yield pdf.iloc[:, :-1].assign(batch_no=numbers)
-
-    sizes = rows.select(*by, *order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size")).dropDuplicates([*by, *order])
-    dealt = sizes.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(walk, f"{kinds}, batch_no int")
-    return rows.join(dealt, [*by, *order])
+    sizes = rows.select(*by, *order, F.col(size).alias("_own")).dropDuplicates([*by, *order])
+    return rows.join(batches(sizes, by, order, F.col("_own"), budget, most).drop("_own"), [*by, *order])
 
 
 def article_batches(articles: DataFrame, budget: int, most: int = MAX_PASSAGES) -> DataFrame:

@@ -9,6 +9,7 @@ from attesta.functions.text import cut_words, fold
 from attesta.operators.corpus import keep_first
 from attesta.operators.extract import analysis_stats
 from attesta.operators.quiz import leaning, site_position
+from attesta.operators.scans import running
 
 
 def domain_rollup(sources: DataFrame) -> DataFrame:
@@ -129,15 +130,16 @@ def pick_sources(sources: DataFrame, statements: DataFrame, as_of: str, most: in
 def doc_material(paras: DataFrame, surname: Column, cap: int) -> DataFrame:
     """(doc_id, material): the whole text if it is short enough; else paragraphs with the surname, or all where none has it, as
     long as they fit; where not even the first does, the text's first `cap` characters."""
-    all_of = Window.partitionBy("doc_id")
     size = F.length("text") + 2
-    rows = paras.withColumn("named", F.contains("norm", surname)).withColumn("total", F.sum(size).over(all_of) - 2).withColumn("any", F.max(F.col("named").cast("int")).over(all_of))
-    first = F.coalesce(F.sum(size).over(all_of.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("before", first).withColumn("chosen", (F.col("total") <= cap) | (F.col("any") == 0) | F.col("named"))
-    up_to = F.sum(F.when(F.col("chosen"), size).otherwise(0)).over(all_of.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("fits", F.col("chosen") & ((F.col("total") <= cap) | (up_to <= cap)))
+    told = paras.select("doc_id", "pos", size.cast("long").alias("size"), F.contains("norm", surname).alias("named"))
+    facts = told.groupBy("doc_id").agg((F.sum("size") - 2).alias("total"), F.max("named").alias("anyone"))
+    whole = F.col("total") <= cap
+    told = told.join(facts, "doc_id").withColumn("chosen", whole | ~F.col("anyone") | F.col("named"))
+    told = running(told, ["doc_id"], ["pos"], seen=F.col("size"), upto=F.when(F.col("chosen"), F.col("size")))
+    told = told.withColumn("fits", F.col("chosen") & (whole | (F.col("upto") <= cap)))
     # without a fitting paragraph, those that the first characters reach are kept for the cut
-    rows = rows.withColumn("some", F.max("fits").over(all_of)).where(F.col("fits") | (~F.col("some") & (F.col("before") < cap)))
+    told = told.join(told.groupBy("doc_id").agg(F.max("fits").alias("some")), "doc_id").where(F.col("fits") | (~F.col("some") & (F.col("seen") - F.col("size") < cap)))
+    rows = paras.select("doc_id", "pos", "text").join(told.select("doc_id", "pos", "some"), ["doc_id", "pos"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n")
     return rows.groupBy("doc_id").agg(F.when(F.max("some"), text).otherwise(F.substring(text, 1, cap)).alias("material"))
 

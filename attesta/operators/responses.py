@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from attesta.functions.text import cut_words, fold, norm_words, plain_quotes, split_sentences, squash
 from attesta.operators.corpus import keep_first
+from attesta.operators.scans import running
 
 #: Fixed values.
 CATEGORIES = ["likely_false", "contradiction", "conspiratorial", "unverifiable", "implausible", "logical_fallacy", "misleading", "other_suspicious"]
@@ -244,16 +245,14 @@ def entity_credibility(scored: DataFrame) -> DataFrame:
 
 
 def fit_lines(rows: DataFrame, by: str, length: Column, budget: int, order: list) -> DataFrame:
-    """Rows, in order, until their lengths and a line end each exceed the budget for the first time."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(length + 1).over(w)).where(F.col("_sum") <= budget).drop("_sum")
+    """Rows, in order, until their lengths and a line end each exceed the budget for the first time. A group is spread over tasks."""
+    return running(rows, [by], order, _sum=length + 1).where(F.col("_sum") <= budget).drop("_sum")
 
 
 def fit_counts(rows: DataFrame, by: str, length: Column, budget: int, order: list) -> DataFrame:
     """(by, n_kept, n_cut): how many of the rows fit_lines keeps and how many it leaves out."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fits = F.sum(length + 1).over(w) <= budget
-    return rows.withColumn("_fits", fits).groupBy(by).agg(F.count_if("_fits").alias("n_kept"), F.count_if(~F.col("_fits")).alias("n_cut"))
+    fits = F.col("_sum") <= budget
+    return running(rows, [by], order, _sum=length + 1).groupBy(by).agg(F.count_if(fits).alias("n_kept"), F.count_if(~fits).alias("n_cut"))
 
 
 def top_flags(ranked: DataFrame, most: int = 5) -> DataFrame:

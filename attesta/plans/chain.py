@@ -53,7 +53,7 @@ def a6_entities(spark, d):
 b as (select entity_id, string_agg(rank || '. ' || case when length(text) > 2500 then left(text, 2500) || '…' else text end, {_NL} || {_NL} order by rank) as s, string_agg(case when rank <= 20 then rank || '. ' || case when length(text) > 2500 then left(text, 2500) || '…' else text end end, {_NL} || {_NL} order by rank) as t from r where rank <= 30 group by 1)
 select entity_id, md5('REPORT: ' || entity_id || {_NL} || {_NL} || '1. STATEMENTS' || {_NL} || s || {_NL} || {_NL} || '2. SPEECHES' || {_NL} || t || {_NL} || {_NL} || '3. EDUCATION' || {_NL} || none || {_NL} || {_NL} || '4. FUNDING' || {_NL} || none || {_NL} || {_NL} || '5. SOURCES' || {_NL} || s) as h from b, (select 'Not found in the sources that were read.' as none)""")
 def a8_report_text(spark, d):
-    ranked = D.rank_by(_docs(spark, d), F.col("n_chars").desc(), F.col("doc_id")).select("entity_id", "rank", "text")
+    ranked = D.rank_by(_docs(spark, d), F.col("n_chars").desc(), F.col("doc_id"), top=30).select("entity_id", "rank", "text")
     none = ranked.where("false")
     people = ranked.select("entity_id").distinct().withColumn("name", F.col("entity_id"))
     return H.report(people, ranked, ranked, none, none, ranked).select("entity_id", F.md5("report").alias("h"))
@@ -87,7 +87,7 @@ j as (select entity_id, list({'rank': rank, 'doc_id': doc_id} order by rank) fil
 select entity_id, md5(cast(to_json({'entity_id': entity_id, 'education': education, 'statements': statements}) as varchar)) as h from j""")
 def a11_export_analysis(spark, d):
     lines = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    ranked = D.rank_by(lines, F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_extendedprice")).select("entity_id", "rank", F.col("l_orderkey").alias("doc_id"))
+    ranked = D.rank_by(lines, F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_extendedprice"), top=100).select("entity_id", F.col("rank").cast("int").alias("rank"), F.col("l_orderkey").alias("doc_id"))
     out = H.export_analysis(ranked.select("entity_id").distinct(), education=ranked, statements=ranked)
     return out.select("entity_id", F.md5("json").alias("h"))
 
@@ -333,10 +333,14 @@ def f13_fit_counts(spark, d):
     return R.fit_counts(rows, "entity_id", F.col("n_chars"), 20000, ["doc_id"])
 
 
-@query()
+_WALK = """walk as (select e, p, 0 as b, size as used, 1 as n from placed where p = 1 union all
+select r.e, r.p, case when used + size > {budget} or n >= 8 then b + 1 else b end, case when used + size > {budget} or n >= 8 then size else used + size end, case when used + size > {budget} or n >= 8 then 1 else n + 1 end from walk w join placed r on r.e = w.e and r.p = w.p + 1)"""
+
+
+@query(f"""with recursive placed as (select source as e, doc_id, {_DAY} as date, n_chars, n_chars + 2 as size, row_number() over (partition by source order by {_DAY} desc, doc_id) as p from documents), {_WALK.format(budget=5000)}
+select e as entity_id, doc_id, date, n_chars as size, b as batch_no from placed join walk using (e, p)""")
 def f14_article_batches(spark, d):
-    """Held against a plain walk in tests."""
-    return E.article_batches(_docs(spark, d).select("entity_id", "doc_id", "date", F.least("n_chars", F.lit(900)).alias("size")), 5000)
+    return E.article_batches(_docs(spark, d).select("entity_id", "doc_id", "date", F.col("n_chars").alias("size")), 5000)
 
 
 @query(f"""with {_FINDINGS} select entity_id, string_agg(rank || '/' || category || '/' || severity || '/' || quote || '/' || domain, ';' order by rank) as flags from ranked where rank <= 5 group by 1""")
@@ -377,7 +381,7 @@ def f22_material(spark, d):
 s as (select *, sum(length(line) + 2) over (partition by entity_id order by rank rows unbounded preceding) - 2 as u from r where rank <= 14)
 select entity_id, md5(string_agg(line, {_NL} || {_NL} order by rank)) as h from s where u <= 9000 group by 1""")
 def f23_evidence_material(spark, d):
-    rows = D.rank_by(_docs(spark, d), F.col("doc_id")).select("entity_id", "rank", F.col("lang").alias("domain"), "date", F.col("entity_id").alias("title"), F.col("text").alias("excerpt"))
+    rows = D.rank_by(_docs(spark, d), F.col("doc_id"), top=14).select("entity_id", "rank", F.col("lang").alias("domain"), "date", F.col("entity_id").alias("title"), F.col("text").alias("excerpt"))
     return H.evidence_material(rows).select("entity_id", F.md5("material").alias("h"))
 
 

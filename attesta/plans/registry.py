@@ -14,6 +14,7 @@ from attesta.operators import profile as H
 from attesta.operators import quiz as G
 from attesta.operators import responses as R
 from attesta.sources import pages as P
+from attesta.sources import scratch
 from attesta.sources import store as S
 from attesta.streaming import ingest as I
 
@@ -261,7 +262,7 @@ def c12_crawl_frontier(spark, d):
     """Links run from page to page of one host in order of their numbers; the two smallest pages of each host are the seeds."""
     from attesta.operators.corpus import keep_first
 
-    _checkpoint_dir(spark)
+    scratch.use_checkpoints(spark)
     pages = _t(spark, d, "pages").select("page_id", "url").withColumn("host", U.hostname(F.col("url")))
     pages = keep_first(pages, ["url"], ["page_id"])
     w = Window.partitionBy("host").orderBy("page_id")
@@ -270,14 +271,6 @@ def c12_crawl_frontier(spark, d):
     return C.crawl_frontier(seeds, chain, pages, pages.select("url"), NAMES, depth=3)
 
 
-def _checkpoint_dir(spark):
-    """The shared folder the cluster names; a new local one where it names none."""
-    import tempfile
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-"))
-
-
 @query(r"""select host as entity_id, url, rank from (select *, row_number() over (partition by host order by pri, page_id, url) as rank from (select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') as host, case when regexp_matches(lower(url), 'steno|discurs|declar|interviu|comunicat|alocu|intervent|sedint|plen|mesaj|conferint|educat|stud|facultat|univers|finant|buget|fondur|pnrr|grant|investit|tax|impozit|biograf|profil') then 1 else 2 end as pri from pages)) where rank <= 3""")
 def c13_rank_urls(spark, d):
     rows = _t(spark, d, "pages").select(U.hostname(F.col("url")).alias("entity_id"), "url", F.col("page_id").alias("seq"), F.lit(False).alias("is_user"))
@@ -429,7 +422,10 @@ def e5_priority(spark, d):
     return rows.select(F.col("source").alias("entity_id"), "doc_id", E.priority(kind, F.pmod("doc_id", F.lit(4)), F.pmod("n_chars", F.lit(101))).alias("priority"))
 
 
-@query()
+@query("""with recursive placed as (select conv_id as e, turn, length(text) as size, row_number() over (partition by conv_id order by turn) as p from conversations),
+walk as (select e, p, 0 as b, size as used, 1 as n from placed where p = 1 union all
+select r.e, r.p, case when used + size > 2000 or n >= 8 then b + 1 else b end, case when used + size > 2000 or n >= 8 then size else used + size end, case when used + size > 2000 or n >= 8 then 1 else n + 1 end from walk w join placed r on r.e = w.e and r.p = w.p + 1)
+select e as conv_id, turn, size, b as batch_no from placed join walk using (e, p)""")
 def e6_pack_batches(spark, d):
     rows = _t(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
     return E.pack_batches(rows, ["conv_id"], "size", 2000, order="turn")
@@ -690,7 +686,7 @@ def h4_recent_counts(spark, d):
 @query()
 def a8_report(spark, d):
     found = d6_evidence_full(spark, d).select("entity_id", "doc_id", "rank", F.col("excerpt").alias("text"))
-    ranked = D.rank_by(found.drop("rank"), F.length("text").desc(), F.col("doc_id"), F.col("text"))
+    ranked = D.rank_by(found.drop("rank"), F.length("text").desc(), F.col("doc_id"), F.col("text"), top=40)
     people = _variants(spark).withColumnRenamed("variant", "name")
     none = ranked.where("false")
     return H.report(people, ranked, none, ranked, none, ranked)
@@ -705,9 +701,9 @@ def a10_export_profile(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """For each entity, its best evidence excerpts and how many of its documents hold any."""
     found = D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "topic")
-    ranked = D.rank_by(D.dedupe(found, "excerpt", ["doc_id", "pos"]), F.length("excerpt").desc(), F.col("doc_id"), F.col("pos"))
+    ranked = D.rank_by(D.dedupe(found, "excerpt", ["doc_id", "pos"]), F.length("excerpt").desc(), F.col("doc_id"), F.col("pos"), top=10)
     counts = found.groupBy("entity_id").agg(F.countDistinct("doc_id").alias("n_documents"))
-    return ranked.where("rank <= 10").join(counts, "entity_id").select("entity_id", "rank", "doc_id", "pos", "keyword", "excerpt", "n_documents")
+    return ranked.join(counts, "entity_id").select("entity_id", "rank", "doc_id", "pos", "keyword", "excerpt", "n_documents")
 
 
 def queries() -> dict:
