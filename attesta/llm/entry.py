@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import chat, decontaminate, ngram_join, packing, pii, repeats, simhash, tokens, toxicity, urls
+from attesta.llm import chat, decontaminate, ngram_join, packing, pii, repeats, simhash, spelling, tokens, toxicity, urls
 
 
 def _pipeline(spark, sf_dir: str):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op8_urls": urls.op8_urls,
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_spelling": spelling.op11_spelling,
         "pipeline": _pipeline,
     }
 
