@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import chat, decontaminate, ngram_join, packing, pii, repeats, simhash, spelling, tokens, toxicity, urls
+from attesta.llm import chat, decontaminate, ngram_join, packing, pii, repeats, shards, simhash, spelling, tokens, toxicity, turns, urls
 
 
 def _pipeline(spark, sf_dir: str):
@@ -24,6 +24,8 @@ def queries() -> dict:
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_spelling": spelling.op11_spelling,
+        "op12_structure": turns.op12_structure,
+        "op13_sharding": shards.op13_sharding,
         "pipeline": _pipeline,
     }
 
