@@ -258,24 +258,72 @@ def topic_stems(text: Column) -> Column:
     return F.array_distinct(F.transform(topic_words(text), lambda w: F.substring(w, 1, 6)))
 
 
+#: Days of a bucket of dates, and the bucket of undated rows.
+BUCKET_DAYS, UNDATED = 90, -(1 << 40)
+
+
+def _bucket(date: Column) -> Column:
+    return F.coalesce(F.floor(F.unix_date(date) / BUCKET_DAYS), F.lit(UNDATED))
+
+
+def _rare_first(rows: DataFrame, freq: DataFrame, ids: list[str]) -> DataFrame:
+    """rows (entity_id, *ids, stem) as (entity_id, *ids, stems): of the stems that freq has, the rarest first."""
+    met = rows.join(freq, ["entity_id", "stem"]).groupBy("entity_id", *ids).agg(F.array_sort(F.collect_list(F.struct("f", "stem"))).alias("x"))
+    return met.select("entity_id", *ids, F.transform("x", lambda r: r["stem"]).alias("stems"))
+
+
+def shared_stems(promises: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(entity_id, promise_id, sent_id, outcome): pairs that share enough stems, of other documents and not earlier, each once.
+
+    promises: (entity_id, promise_id, p_doc, p_date, need, stems); sentences: (entity_id, sent_id, s_doc, s_date, outcome, stems).
+    A pair with `need` stems in common shares one of each side's first n - need + 1, stems being ordered from rare to frequent,
+    so only those are keys and frequent stems seldom are. A bucket of the date is part of the key: a sentence stands in its own
+    bucket, a promise in all from its own on, so a stem of a large entity is spread over its time.
+    """
+    said = sentences.select("entity_id", "sent_id", F.explode("stems").alias("stem"))
+    freq = said.groupBy("entity_id", "stem").agg(F.count("*").alias("f"))
+    s = _rare_first(said, freq, ["sent_id"]).join(sentences.drop("stems"), ["entity_id", "sent_id"])
+    s = s.withColumn("bucket", _bucket(F.col("s_date")))
+    p = _rare_first(promises.select("entity_id", "promise_id", F.explode("stems").alias("stem")), freq, ["promise_id"]).join(promises.drop("stems"), ["entity_id", "promise_id"])
+    times = s.groupBy("entity_id").agg(F.collect_set("bucket").alias("buckets"))
+    from_own = F.filter("buckets", lambda b: F.col("p_date").isNull() | (b == UNDATED) | (b >= _bucket(F.col("p_date"))))
+    p = p.join(times, "entity_id").withColumn("bucket", F.explode(from_own)).where(F.size("stems") >= F.col("need"))
+    p = p.select("entity_id", "bucket", "promise_id", "p_doc", "p_date", "need", F.col("stems").alias("p_stems"), F.explode(F.slice("stems", 1, F.size("stems") - F.col("need") + 1)).alias("stem"))
+    s = s.where(F.size("stems") >= 2).select("entity_id", "bucket", "sent_id", "s_doc", "s_date", "outcome", F.col("stems").alias("s_stems"), F.posexplode(F.slice("stems", 1, F.size("stems") - 1)).alias("at", "stem"))
+    met = p.join(s, ["entity_id", "stem", "bucket"]).where((F.col("at") <= F.size("s_stems") - F.col("need")) & (F.col("p_doc") != F.col("s_doc")))
+    met = met.where("p_date is null or s_date is null or s_date >= p_date")
+    # a pair is told by the first stem that both have
+    common = F.array_intersect("p_stems", "s_stems")
+    return met.where((F.size(common) >= F.col("need")) & (F.get(common, 0) == F.col("stem"))).select("entity_id", "promise_id", "sent_id", "outcome")
+
+
 def judge_promises(promises: DataFrame, sentences: DataFrame, kept: str = L.KEPT, broken: str = L.BROKEN) -> DataFrame:
     """(entity_id, promise_id, n_kept, n_broken, status) by sentences of other documents that aren't earlier and share enough stems.
 
-    promises: (entity_id, promise_id, doc_id, date, text); sentences: (entity_id, sent_id, doc_id, date, text). Enough is 3
-    stems, 2 for promises with under 6. Both sides meet over stems, so no promise is compared with every sentence;
-    sentences without a word of outcome don't take part.
+    promises: (entity_id, promise_id, doc_id, date, text); sentences: (entity_id, sent_id, doc_id, date, text); one row of each id.
+    Enough is 3 stems, 2 for promises with under 6. Sentences without a word of outcome don't take part.
     """
     p = promises.withColumn("stems", topic_stems(F.col("text"))).withColumn("need", F.when(F.size("stems") >= 6, 3).otherwise(2))
-    p = p.select("entity_id", "promise_id", F.col("doc_id").alias("p_doc"), F.col("date").alias("p_date"), "need", F.explode("stems").alias("stem"))
+    p = p.select("entity_id", "promise_id", F.col("doc_id").alias("p_doc"), F.col("date").alias("p_date"), "need", "stems")
     outcome = F.when(F.col("text").rlike(broken), "broken").when(F.col("text").rlike(kept), "kept")
-    s = sentences.withColumn("outcome", outcome).where("outcome is not null").select("entity_id", "sent_id", F.col("doc_id").alias("s_doc"), F.col("date").alias("s_date"), "outcome", F.explode(topic_stems(F.col("text"))).alias("stem"))
-    met = p.join(s, ["entity_id", "stem"]).where("p_doc <> s_doc and (p_date is null or s_date is null or s_date >= p_date)")
-    enough = met.groupBy("entity_id", "promise_id", "sent_id", "need", "outcome").count().where("count >= need")
-    told = enough.groupBy("entity_id", "promise_id").agg(F.count_if(F.col("outcome") == "kept").alias("n_kept"), F.count_if(F.col("outcome") == "broken").alias("n_broken"))
+    s = sentences.withColumn("outcome", outcome).where("outcome is not null").select("entity_id", "sent_id", F.col("doc_id").alias("s_doc"), F.col("date").alias("s_date"), "outcome", topic_stems(F.col("text")).alias("stems"))
+    told = shared_stems(p, s).groupBy("entity_id", "promise_id").agg(F.count_if(F.col("outcome") == "kept").alias("n_kept"), F.count_if(F.col("outcome") == "broken").alias("n_broken"))
     out = promises.select("entity_id", "promise_id").join(told, ["entity_id", "promise_id"], "left").na.fill(0)
     return out.withColumn("status", F.when((F.col("n_kept") > 0) & (F.col("n_broken") > 0), "partial").when(F.col("n_kept") > 0, "kept").when(F.col("n_broken") > 0, "broken").otherwise("unverifiable"))
 
 
+#: What a promise's status is worth in scores; others are worth nothing.
+STATUS_VALUES = [("kept", 1.0), ("partial", 0.5), ("broken", 0.0)]
+
+
+def status_value(status: Column) -> Column:
+    """The value of a promise's status for the mean of promises; null where it can't be told."""
+    out = F.lit(None).cast("double")
+    for name, value in STATUS_VALUES:
+        out = F.when(status == name, value).otherwise(out)
+    return out
+
+
 def primary_flag(sources: DataFrame, found_speeches: DataFrame) -> DataFrame:
     """sources (entity_id, doc_id, official) with primary: official, or with a speech of the entity."""
     has = found_speeches.select("entity_id", "doc_id").distinct().withColumn("_s", F.lit(True))

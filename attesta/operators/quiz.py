@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,16 +140,88 @@ def pole_of(value: Column, left: Column, right: Column) -> Column:
     return F.when(value < 45, left).when(value > 55, right)
 
 
-def compare_positions(a: DataFrame, b: DataFrame, least: int = 1) -> DataFrame:
-    """(a_id, b_id, compared, match, n_major): likeness on the axes that both have. a, b: (subject_id, axis_id, value).
+#: Subjects of a catalogue that a task holds at a time.
+BLOCK_SUBJECTS = 50_000
+
+
+def _gathered(rows: DataFrame, name: str) -> DataFrame:
+    """(name, axes, values): a subject's positions as arrays; it has one for each axis."""
+    told = rows.where("value is not null").groupBy(F.col("subject_id").alias(name)).agg(F.array_sort(F.collect_list(F.struct("axis_id", F.col("value").cast("double").alias("value")))).alias("x"))
+    return told.select(name, F.transform("x", lambda r: r["axis_id"]).alias("axes"), F.transform("x", lambda r: r["value"]).alias("values"))
+
+
+def _matrix(axes: list, values: list, known: dict) -> np.ndarray:
+    """Subjects by axes, with gaps where a subject has no position; axes that the catalogue lacks are left out."""
+    out = np.full((len(axes), len(known)), np.nan)
+    at = [(k, known[a], v) for k, (own, told) in enumerate(zip(axes, values, strict=True)) for a, v in zip(own, told, strict=True) if a in known]
+    if at:
+        rows, columns, found = zip(*at, strict=True)
+        out[rows, columns] = found
+    return out
+
+
+def _meet(a: DataFrame, b: DataFrame, least: int, top: int | None, block: int) -> DataFrame:
+    """(a_id, b_id, compared, total, n_major) of all pairs with at least `least` axes in common, or of the `top` likest of each a in each block of b.
 
-    Both sides meet by axis (a fixed ten), each pair is aggregated at once. b is a catalogue, not another crowd.
+    A subject's positions are one array. The catalogue b goes in blocks, as packed matrices, to every part of a; a part's subjects
+    stream past a block, so a task holds a block and a batch, and nothing is shuffled by axis.
     """
-    left = a.where("value is not null").select(F.col("subject_id").alias("a_id"), "axis_id", F.col("value").alias("va"))
-    right = b.where("value is not null").select(F.col("subject_id").alias("b_id"), "axis_id", F.col("value").alias("vb"))
-    gap = F.abs(F.col("va") - F.col("vb"))
-    met = left.join(right, "axis_id").groupBy("a_id", "b_id").agg(F.count("*").alias("compared"), F.round((100 - F.avg(gap)).cast("decimal(12,4)")).cast("double").alias("match"), F.count_if(gap >= 30).alias("n_major"))
-    return met.where(F.col("compared") >= least)
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = _gathered(a, "a_id"), _gathered(b, "b_id")
+    blocks = max(1, -(-right.count() // block))
+    kinds = {"a_id": left.schema["a_id"].dataType, "b_id": right.schema["b_id"].dataType}
+    none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = left.select(F.pmod(F.xxhash64("a_id"), F.lit(n)).cast("int").alias("part"), every.alias("block"), F.lit(1).alias("asks"), "a_id", none("b_id"), "axes", "values")
+    held = right.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.pmod(F.xxhash64("b_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), none("a_id"), "b_id", "axes", "values")
+    both = held.unionByName(asks).repartition(n, "part", "block").sortWithinPartitions("part", "block", "asks", "b_id")
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, ids, axes, values, known, packed = None, [], [], [], {}, None
+        for batch in batches:
+            part, which, ask, a_ids, b_ids, own_axes, own = (batch.column(k).to_pylist() for k in range(7))
+            lo = 0
+            while lo < batch.num_rows:
+                hi, key = lo, (part[lo], which[lo])
+                while hi < batch.num_rows and (part[hi], which[hi]) == key and ask[hi] == ask[lo] and hi - lo < 256:
+                    hi += 1
+                if key != at:
+                    at, ids, axes, values, packed = key, [], [], [], None
+                if not ask[lo]:
+                    ids, axes, values, packed = ids + b_ids[lo:hi], axes + own_axes[lo:hi], values + own[lo:hi], None
+                elif ids:
+                    if packed is None:
+                        known = {x: k for k, x in enumerate(sorted({x for told in axes for x in told}))}
+                        packed = _matrix(axes, values, known)
+                    gap = np.abs(_matrix(own_axes[lo:hi], own[lo:hi], known)[:, None, :] - packed[None])
+                    compared, total, major = (~np.isnan(gap)).sum(2), np.nansum(gap, 2), (gap >= 30).sum(2)
+                    x, y = np.nonzero(compared >= least)
+                    if top is not None:
+                        likeness = np.floor(np.floor((100 - total / np.maximum(compared, 1)) * 1e4 + 0.5) / 1e4 + 0.5)
+                        order = np.lexsort((y, -likeness[x, y], x))
+                        x, y = x[order], y[order]
+                        first = np.arange(len(x)) - np.searchsorted(x, x) < top
+                        x, y = x[first], y[first]
+                    yield pa.RecordBatch.from_arrays([pa.array([a_ids[lo + k] for k in x], batch.schema.field(3).type), pa.array([ids[k] for k in y], batch.schema.field(4).type), pa.array(compared[x, y], pa.int64()), pa.array(total[x, y], pa.float64()), pa.array(major[x, y], pa.int64())], names=["a_id", "b_id", "compared", "total", "n_major"])
+                lo = hi
+
+    found = both.mapInArrow(compare, f"a_id {kinds['a_id'].simpleString()}, b_id {kinds['b_id'].simpleString()}, compared long, total double, n_major long")
+    match = F.round((100 - F.col("total") / F.col("compared")).cast("decimal(12,4)")).cast("double")
+    return found.select("a_id", "b_id", "compared", match.alias("match"), "n_major")
+
+
+def compare_positions(a: DataFrame, b: DataFrame, least: int = 1, block: int = BLOCK_SUBJECTS) -> DataFrame:
+    """(a_id, b_id, compared, match, n_major): likeness on the axes that both have. a, b: (subject_id, axis_id, value), an axis of a
+    subject once. b is a catalogue; it goes to all parts of a in blocks. Null values are gaps; pairs without an axis in common go."""
+    return _meet(a, b, max(least, 1), None, block)
+
+
+def top_matches(a: DataFrame, b: DataFrame, top: int, least: int = 3, block: int = BLOCK_SUBJECTS) -> DataFrame:
+    """(a_id, b_id, compared, match, n_major, rank): the `top` likest of the catalogue for each a, by b_id among equals. Each block keeps
+    no more than that of a subject, so pairs aren't written out."""
+    return rank_matches(_meet(a, b, least, top, block), least).where(F.col("rank") <= top)
 
 
 def rank_matches(compared: DataFrame, least: int = 3) -> DataFrame:

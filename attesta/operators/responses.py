@@ -67,45 +67,69 @@ def validate_findings(found: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
 
 
 @F.pandas_udf(T.StructType([T.StructField("quote", T.StringType()), T.StructField("ratio", T.DoubleType())]))
-def _nearest(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
-    """The first piece of one or two sentences that is most like the quote, if it is like enough to count.
+def _likest(quotes: pd.Series, pieces: pd.Series, words: pd.Series) -> pd.DataFrame:
+    """Of pieces (and their normalised words), the first that is most like the quote, if it is like enough to count.
 
-    Pieces whose bound (by length, then by letters) is under what is needed aren't compared; the bounds lose none.
+    The longest common subsequence, by bit-parallel rows, bounds the likeness; what it leaves is compared in full.
     """
     import difflib
-    import re
-    import unicodedata
 
-    def words(s: str) -> str:
-        plain = "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn").lower()
-        return " ".join(re.findall("[a-z0-9]+", plain))
+    def common(q: str, p: str) -> int:
+        at: dict = {}
+        for k, c in enumerate(q):
+            at[c] = at.get(c, 0) | 1 << k
+        full = (1 << len(q)) - 1
+        row = full
+        for c in p:
+            hit = row & at.get(c, 0)
+            row = (row + hit | row - hit) & full
+        return len(q) - row.bit_count()
 
     out = []
-    for quote, text in zip(quotes, texts, strict=True):
-        best, q = (None, 0.0), words(quote or "")
-        if not q:
-            text = ""
-        sents = [s for s in re.split(r"(?<=[.!?])\s+", " ".join((text or "").split())) if s]
-        for span in (1, 2):
-            for k in range(len(sents)):
-                piece = " ".join(sents[k : k + span])
-                p, need = words(piece), max(LIKE, best[1])
-                if 2 * min(len(q), len(p)) < need * (len(q) + len(p)) or not p:
-                    continue
-                match = difflib.SequenceMatcher(None, q, p, autojunk=False)
-                if match.quick_ratio() >= need and (ratio := match.ratio()) > best[1]:
-                    best = (piece, ratio)
+    for q, texts, norms in zip(quotes, pieces, words, strict=True):
+        best = (None, 0.0)
+        for piece, p in zip(texts if q is not None else (), norms if q is not None else (), strict=True):
+            need = max(LIKE, best[1])
+            if 2 * common(q, p) >= need * (len(q) + len(p)) and (ratio := difflib.SequenceMatcher(None, q, p, autojunk=False).ratio()) > best[1] and ratio >= need:
+                best = (piece, ratio)
         out.append(best)
     return pd.DataFrame(out, columns=["quote", "ratio"])
 
 
+def _grams(words: Column) -> Column:
+    """Every three neighbouring characters, repeated ones too."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(words) - 2, F.lit(1))), lambda k: F.substring(words, k, F.lit(3)))
+
+
+def candidates(quote: Column, text: Column, least: float = LIKE) -> Column:
+    """array<struct<piece, words>>: the pieces of one sentence, then those of two, that can be as like the quote's words as `least`.
+
+    Two texts of n and m characters with k of them in matching blocks have at least 5 k - 2 (n + m) - 2 runs of three in common, and
+    a likeness of 2 k / (n + m). What they have in common is at most the different runs that both have, and the repeated ones of
+    the side with fewer. So lengths and runs leave out pieces without losing any. quote: normalised words.
+    """
+    sents = F.filter(split_sentences(squash(text)), lambda s: s != "")
+    pieces = F.flatten(F.transform(F.array(sents), lambda x: F.concat(x, F.transform(x, lambda s, k: F.array_join(F.slice(x, k + 1, 2), " ")))))
+    told = F.transform(pieces, lambda s: F.struct(s.alias("piece"), norm_words(s).alias("words")))
+
+    def alike(q: Column, x: Column) -> Column:
+        both, runs = F.length(q["words"]) + F.length(x["words"]), _grams(x["words"])
+        few = F.least(q["again"], F.length(x["words"]) - 2 - F.size(F.array_distinct(runs)))
+        return F.size(F.array_intersect(q["runs"], runs)) + F.greatest(few, F.lit(0)) >= F.lit(5) * F.ceil(both * (least / 2) - 1e-9) - 2 * both - 2
+
+    sized = F.filter(told, lambda x: (F.length(x["words"]) > 0) & (2 * F.least(F.length(quote), F.length(x["words"])) >= (F.length(quote) + F.length(x["words"])) * least))
+    of = F.transform(F.array(quote), lambda w: F.struct(w.alias("words"), F.array_distinct(_grams(w)).alias("runs"), (F.length(w) - 2 - F.size(F.array_distinct(_grams(w)))).alias("again")))
+    return F.flatten(F.transform(of, lambda q: F.filter(sized, lambda x: alike(q, x))))
+
+
 def locate_quotes(claims: DataFrame, least: float = LIKE) -> DataFrame:
     """claims (finding_id, passage_order, quote, text, context) with where the quote stands: (finding_id, located, repaired, in_context).
 
     In each passage: as it is in the text, then the context; then of the text, and after it of the context: by normalised words
     in one or two sentences (then the source's wording counts), in the whole, by likeness. The first passage that has it in
     any of these ways counts. Quotes under 15 normalised characters and those found nowhere go. Likeness is Python; only
-    passages before the first one that an exact stage settles, or all where none does, get there.
+    passages before the first one that an exact stage settles, or all where none does, can get there, and of them only the
+    pieces that lengths and common runs of three characters leave (candidates).
     """
     q, qn = squash(F.col("quote")), norm_words(F.col("quote"))
 
@@ -124,10 +148,17 @@ def locate_quotes(claims: DataFrame, least: float = LIKE) -> DataFrame:
     rows = rows.withColumn("x", F.coalesce("x", F.when(F.col("y").isNotNull(), as_found(F.col("y"), True, False))))
     # a passage whose context has the words may still have a likeness in its text, which comes first
     open_ = F.col("x").isNull() & (F.col("sure").isNull() | (F.col("passage_order") <= F.col("sure")))
-    rows = rows.withColumn("near", _nearest(F.when(open_, F.col("quote")), F.when(open_, F.col("text"))))
-    by_text = F.when(F.col("near.ratio") >= least, as_found(F.col("near.quote"), True, False)).when(F.col("z").isNotNull(), as_found(F.col("z"), True, True))
-    rows = rows.withColumn("x", F.coalesce("x", by_text)).withColumn("near", _nearest(F.when(open_, F.col("quote")), F.when(open_, F.col("context"))))
-    rows = rows.withColumn("x", F.coalesce("x", F.when(F.col("near.ratio") >= least, as_found(F.col("near.quote"), True, True)))).where("x is not null")
+    # by a generator, so that candidates are looked for once
+    near = F.struct(*[F.when(open_, candidates(qn, F.col(c), least)).alias(c) for c in ("text", "context")])
+    rows = rows.select("finding_id", "passage_order", qn.alias("qn"), "x", "z", F.explode(F.array(near)).alias("near"))
+    part = lambda c, f: F.transform(F.col(f"near.{c}"), lambda x: x[f])
+    some = lambda c: F.size(F.col(f"near.{c}")) > 0
+    rows = rows.withColumns({f"{c}_{f}": F.when(some(c), part(c, f)) for c in ("text", "context") for f in ("piece", "words")})
+    for c in ("text", "context"):
+        rows = rows.withColumn(f"in_{c}", _likest(F.when(F.col(f"{c}_piece").isNotNull(), F.col("qn")), F.col(f"{c}_piece"), F.col(f"{c}_words")))
+    by_text = F.when(F.col("in_text.ratio") >= least, as_found(F.col("in_text.quote"), True, False)).when(F.col("z").isNotNull(), as_found(F.col("z"), True, True))
+    by_context = F.when(F.col("in_context.ratio") >= least, as_found(F.col("in_context.quote"), True, True))
+    rows = rows.withColumn("x", F.coalesce("x", by_text, by_context)).where("x is not null")
     return keep_first(rows.select("finding_id", "passage_order", "x.*"), ["finding_id"], ["passage_order"]).select("finding_id", "located", "repaired", "in_context")
 
 

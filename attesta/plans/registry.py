@@ -636,8 +636,8 @@ def g4_compare(spark, d):
 
 @query(f"{_MATCH} select a_id, b_id, match, rank from (select *, row_number() over (partition by a_id order by match desc, b_id) as rank from cmp where compared >= 3) where rank <= 3")
 def g5_rank_matches(spark, d):
-    found = G.rank_matches(G.compare_positions(_positions(spark, d), _catalogue(spark, d)))
-    return found.where("rank <= 3").select("a_id", "b_id", "match", F.col("rank").cast("long").alias("rank"))
+    found = G.top_matches(_positions(spark, d), _catalogue(spark, d), 3)
+    return found.select("a_id", "b_id", "match", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""with w as (select l_suppkey as entity_id, quantile_disc(l_discount / l_quantity, 0.15) as worst, avg(case when l_tax * 100 % 4 = 0 then 1.0 else 0.5 end) as pm from lineitem group by 1) select entity_id, round(worst, 9) as worst, round(pm, 6) as promise_mean, cast(greatest(1, least(10, round(cast(pm * worst as decimal(18,9)) * 10))) as int) as credibility from w""")

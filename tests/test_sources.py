@@ -67,3 +67,28 @@ def test_new_pages_come_once(spark, tmp_path):
     fresh = I.new_pages(I.stream_pages(spark, path, PAGES))
     fresh.writeStream.format("memory").queryName("fresh_pages").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.url for r in spark.table("fresh_pages").collect()) == ["https://a.ro/0", "https://a.ro/1"]
+
+
+def test_a_key_is_read_from_one_bucket_and_compaction_loses_nothing(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/results"
+    row = "kind string, name string, extra string, saved_at timestamp, value string"
+    for day in (1, 2, 3):
+        S.write_results(spark.createDataFrame([("flags", f"Name {k}", None, dt.datetime(2024, 1, day), f"{k}/{day}") for k in range(40) if day < 3 or k % 2], row), path)
+    read = lambda: sorted(r.value for r in S.read_results(spark, path).collect())
+    want = sorted(f"{k}/{3 if k % 2 else 2}" for k in range(40))
+    one = S.read_results(spark, path, "flags", "NAME 7")
+    assert [r.value for r in one.collect()] == ["7/3"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    before = len(spark.read.parquet(path).inputFiles())
+    with monkeypatch.context() as m:
+        m.setattr(S, "delete", lambda spark, files: (_ for _ in ()).throw(OSError("stopped")))
+        try:
+            S.compact(spark, path)
+        except OSError:
+            pass
+    assert read() == want and len(spark.read.parquet(path).inputFiles()) > before
+    S.write_results(spark.createDataFrame([("flags", "name 0", None, dt.datetime(2024, 1, 9), "0/9")], row), path)
+    assert S.compact(spark, path) > 0
+    assert read() == sorted([*(w for w in want if w != "0/2"), "0/9"])
+    assert S.compact(spark, path) == 0 and len(spark.read.parquet(path).inputFiles()) <= S.BUCKETS
