@@ -95,8 +95,9 @@ def digests(parts: DataFrame, made: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, out = None, []
+        now, out, of = None, [], None
         for batch in batches:
+            of = batch.schema.field(0).type
             for conv, segment, at, end, chars in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if now is None or now["conv"] != conv:
                     if now is not None:
@@ -115,10 +116,10 @@ def digests(parts: DataFrame, made: DataFrame) -> DataFrame:
                     now["tail"] = 0
                 now["before"] += len(segment)
             if len(out) >= 1000:
-                yield _batch(pa, out, batch.schema.field(0).type)
+                yield _batch(pa, out, of)
                 out = []
         if now is not None:
-            yield _batch(pa, [*out, _closed(now)], None)
+            yield _batch(pa, [*out, _closed(now)], of)
 
     kind = parts.schema["conv_id"].dataType.simpleString()
     both = parts.alias("p").join(made.alias("m"), F.col("p.conv_id").eqNullSafe(F.col("m.conv_id")) & (F.col("p.turn_no") == F.col("m.turn_no")), "left")

@@ -31,11 +31,14 @@ def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # small row groups: a task that writes long arrays holds a group of them in memory
     df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage at data that survives the loss of executors."""
+    """Write df to the shared folder and read it back: cuts the lineage at data that survives the loss of executors. The files go
+    when the driver ends, since results are read from them."""
     return _write(df, name)[0]
 
 

@@ -1,7 +1,7 @@
 """Byte-level BPE over Arrow batches, and token counts by section.
 
-The ids are those of the tokenizer file byte_bpe_50k.json. They are made from the same vocabulary as ranks, which is
-several times faster; tests/llm holds both against each other. Strings of special tokens inside a text are ordinary text.
+The ids are those of the tokenizer file byte_bpe_50k.json, its added tokens included: where a text holds one's string, that is one
+id. They are made from the same vocabulary as ranks, which is several times faster; tests/llm holds both against each other.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from attesta.llm.common import table, text_bytes
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Fixed value: the added token of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
@@ -26,14 +28,14 @@ def encoder(path: str | None = None):
 
     with open(path or P.path(RANKS), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-    for piece, rank in ranks.items():
+    lengths = np.zeros(max([*ranks.values(), *ADDED.values()]) + 1, np.int64)
+    for piece, rank in [*ranks.items(), *((x.encode(), i) for x, i in ADDED.items())]:
         lengths[rank] = len(piece)
-    return tiktoken.Encoding("byte_bpe", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+    return tiktoken.Encoding("byte_bpe", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED), lengths
 
 
 def ids_of(text: bytes, path: str | None = None) -> np.ndarray:
-    return np.array(encoder(path)[0].encode_ordinary(text.decode("utf-8", "replace")), np.uint32) if text else np.zeros(0, np.uint32)
+    return np.array(encoder(path)[0].encode(text.decode("utf-8", "replace"), allowed_special="all"), np.uint32) if text else np.zeros(0, np.uint32)
 
 
 RULES = ("start", "end", "most")
