@@ -189,22 +189,25 @@ def _search(parts: Iterator) -> Iterator:
 
     at, node, done = None, _Node(), []
     for part in parts:
-        for key, piece, asks, same, word, n in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
-            if (key, piece) != at:
+        keys, pieces, asks = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        same, words, n = part.column(3).to_pylist(), [w.encode("latin-1") for w in part.column(4).to_pylist()], part.column(5).to_pylist()
+        new = np.flatnonzero((np.diff(keys) != 0) | (np.diff(pieces) != 0) | (np.diff(asks) != 0)) + 1
+        cuts = sorted({0, part.num_rows, *new.tolist(), *range(0, part.num_rows, TOGETHER)})
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if (here := (keys[lo], pieces[lo])) != at:
                 node.search()
                 done.extend(node.found.items())
-                at, node = (key, piece), _Node()
+                at, node = here, _Node()
                 if len(done) >= 10_000:
                     yield told(done)
                     done = []
-            word = word.encode("latin-1")
-            if not asks:
-                node.words.append(word)
-                node.n.append(n)
+            if not asks[lo]:
+                node.words.extend(words[lo:hi])
+                node.n.extend(n[lo:hi])
             elif node.words:
-                node.asked.append(word)
-                node.asked_n.append(n)
-                node.same.append(same)
+                node.asked.extend(words[lo:hi])
+                node.asked_n.extend(n[lo:hi])
+                node.same.extend(same[lo:hi])
                 if len(node.asked) >= TOGETHER:
                     node.search()
     node.search()
