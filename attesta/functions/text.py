@@ -144,6 +144,11 @@ def year_of(date: Column) -> Column:
     return F.substring(date, 1, 4).try_cast("int")
 
 
+def date_of(date: Column, source_date: Column) -> Column:
+    """The date of a find, else of its source, else empty: as text, for ordering."""
+    return F.coalesce(F.nullif(date.cast("string"), F.lit("")), F.nullif(source_date.cast("string"), F.lit("")), F.lit(""))
+
+
 def name_variants(name: Column, aliases: Column | None = None) -> Column:
     """Distinct: the name, last name first, first and last word and the reverse, aliases. Never a surname alone."""
     w = F.split(squash(name), " ")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from attesta.functions import lexicons as L
 from attesta.functions.text import document_id, fold, squash
 from attesta.functions.urls import hostname, is_official, is_page, normalize_url
+from attesta.operators.scans import numbered
+from attesta.sources.scratch import written
 
 #: Tags whose content isn't shown, and tags that end a block (hidden ones end it too).
 HIDDEN = {"script", "style", "nav", "footer", "aside", "noscript", "svg", "canvas", "select", "button", "template", "title"}
@@ -227,23 +229,48 @@ def documents_of(pages: DataFrame, paras: DataFrame) -> DataFrame:
     return base.withColumn("source_score", source_score(F.col("title"), F.col("url"), F.col("domain"), F.col("n_chars"))).withColumn("kind", article_kind(F.col("title"), F.col("url")))
 
 
+def _bit(bitmap: str, position: Column) -> Column:
+    """Whether a bit of a bitmap is set; not where there is no bitmap."""
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce((F.call_function("shiftright", byte, (position % 8).cast("int")) % 2) == 1, F.lit(False))
+
+
+def _bitmaps(ids: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap for each 32768 numbers that holds any."""
+    return ids.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+
+
 def crawl_frontier(seeds: DataFrame, links: DataFrame, pages: DataFrame, relevant: DataFrame, terms: list[str], depth: int = 2, cap: int = 100) -> DataFrame:
     """(url, round): pages reached breadth-first from seeds over links of relevant pages to the same host.
 
     seeds: (url); links: (url, href, anchor); pages: (url); relevant: (url). A link counts if its address or anchor
-    names a term or a word of interest; each round takes at most `cap` new addresses per host, in order. Each round's
-    table is written through checkpoint(), which survives the loss of executors.
+    names a term or a word of interest; each round takes at most `cap` new addresses per host, in order.
+
+    Addresses are numbered once, in order of host and address, and links are pairs of numbers. What was reached is a bit for each
+    number, so a round meets its candidates with bitmaps (an eighth of a byte for each address) and not with all addresses reached so
+    far; it ends when a round reaches nothing. Each round's table is written to the shared folder.
     """
     names = "|".join([L.URL_WORDS, *map(fold_literal, terms)])
-    seen = seeds.select("url").distinct().withColumn("round", F.lit(0))
+    good = links.where((hostname(F.col("href")) == hostname(F.col("url"))) & is_page(F.col("href")))
+    good = good.where(fold(F.concat_ws(" ", "anchor", "href")).rlike(names)).select("url", "href").distinct().join(relevant.select("url").distinct(), "url", "left_semi")
+    known = pages.select("url", F.lit(True).alias("there")).unionByName(seeds.select("url", F.lit(False).alias("there"))).unionByName(good.select(F.col("href").alias("url"), F.lit(False).alias("there"))).unionByName(good.select("url", F.lit(False).alias("there")))
+    known = known.groupBy("url").agg(F.max("there").alias("there")).withColumn("host", hostname(F.col("url")))
+    known = written(numbered(known, [], ["host", "url"], "id"), "addresses")
+    edges = good.join(known.select("url", F.col("id").alias("source")), "url").join(known.select(F.col("url").alias("href"), "id", "host", "there"), "href")
+    edges = written(edges.select("source", "id", "host", "there"), "links")
+    last = known.join(seeds.select("url").distinct(), "url", "left_semi").select("id")
+    reached = last.withColumn("round", F.lit(0))
+    seen = _bitmaps(last)
     for k in range(1, depth + 1):
-        last = seen.where(F.col("round") == k - 1).join(relevant, "url", "left_semi").select("url")
-        new = links.join(last, "url").where(hostname(F.col("href")) == hostname(F.col("url"))).where(is_page(F.col("href")))
-        new = new.where(fold(F.concat_ws(" ", "anchor", "href")).rlike(names)).select(F.col("href").alias("url")).distinct()
-        new = new.join(seen.select("url"), "url", "left_anti").withColumn("rn", F.row_number().over(Window.partitionBy(hostname(F.col("url"))).orderBy("url"))).where(F.col("rn") <= cap)
-        new = new.join(pages.select("url").distinct(), "url", "left_semi").select("url", F.lit(k).alias("round"))
-        seen = seen.unionByName(new).checkpoint()
-    return seen
+        new = edges.join(last.select(F.col("id").alias("source")), "source", "left_semi").select("id", "host", "there").distinct()
+        new = new.withColumn("bucket", F.bitmap_bucket_number("id")).join(seen, "bucket", "left").where(~_bit("bits", F.bitmap_bit_position("id")))
+        new = new.withColumn("rn", F.row_number().over(Window.partitionBy("host").orderBy("id"))).where((F.col("rn") <= cap) & F.col("there"))
+        last = written(new.select("id"), "round")
+        if last.isEmpty():
+            break
+        reached = reached.unionByName(last.withColumn("round", F.lit(k)))
+        seen = written(seen.unionByName(_bitmaps(last)).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")), "reached")
+    return known.join(reached, "id").select("url", "round")
 
 
 def fold_literal(term: str) -> str:

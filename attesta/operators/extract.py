@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta.functions import lexicons as L
 from attesta.functions.text import fingerprint, fold, has_prefix, prefix_rx, split_sentences, split_sentences_v1, squash, word_rx
@@ -17,12 +20,90 @@ def folded(terms: list[str]) -> list[str]:
     return ["".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower() for t in terms]
 
 
+#: Bytes of variants that every task holds as an automaton; more of them are joined by words.
+AUTOMATON_BYTES = 64 << 20
+#: Signs that are part of words besides letters, marks and digits: joiners.
+_JOINERS = "\u200c\u200d"
+
+
+def _part_of_word(c: str) -> bool:
+    import unicodedata
+
+    kind = unicodedata.category(c)
+    return kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or c in _JOINERS
+
+
 def mentions(texts: DataFrame, variants: DataFrame, by: str = "doc_id") -> DataFrame:
-    """(entity_id, by, n): whole-word hits of each entity's variants in folded texts.
+    """(entity_id, by, n): whole-word hits of each entity's variants in folded texts; hits of one variant don't overlap.
 
-    texts: (by, norm), one row of each; variants: (entity_id, variant), folded. Texts meet variants over words, so no text is
-    compared with every entity, and only words are shuffled. Phrases are looked for in texts that hold their first word.
+    texts: (by, norm), one row of each; variants: (entity_id, variant), folded, a dimension; those without a letter or digit are left out.
+    Variants of up to AUTOMATON_BYTES in all go to every task, which finds all of them in one pass over a text (Aho-Corasick),
+    so texts aren't shuffled and the time doesn't grow with the variants; more meet texts over words.
     """
+    used = variants.select("entity_id", "variant").where(F.col("variant").rlike(r"(?U)\w")).distinct()
+    size = used.agg(F.sum(F.octet_length("variant") + 16).alias("n")).first().n or 0
+    return _mentions_by_automaton(texts, used, by) if size <= AUTOMATON_BYTES else _mentions_by_words(texts, used, by)
+
+
+def _mentions_by_automaton(texts: DataFrame, variants: DataFrame, by: str) -> DataFrame:
+    told = variants.groupBy("variant").agg(F.array_sort(F.collect_list("entity_id")).alias("own")).collect()
+    shared = texts.sparkSession.sparkContext.broadcast([(r.variant, r.own) for r in told])
+    entity = to_arrow_type(variants.schema["entity_id"].dataType)
+    kinds = {"entity_id": variants.schema["entity_id"].dataType.simpleString(), by: texts.schema[by].dataType.simpleString()}
+
+    def find(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        machine, names = _automaton(shared)
+        word: dict = {}
+
+        def inside(c: str) -> bool:
+            if c not in word:
+                word[c] = _part_of_word(c)
+            return word[c]
+
+        for part in parts:
+            who, at, n, of = [], [], [], part.schema.field(0).type
+            for k, text in enumerate(part.column(1).to_pylist()):
+                hits, ends = {}, {}
+                for end, v in machine.iter(text) if text and names else ():
+                    start, end = end - len(names[v][0]) + 1, end + 1
+                    if start < ends.get(v, 0) or (start and inside(text[start - 1])) or (end < len(text) and inside(text[end])):
+                        continue
+                    ends[v] = end
+                    hits[v] = hits.get(v, 0) + 1
+                total: dict = {}
+                for v, m in hits.items():
+                    for e in names[v][1]:
+                        total[e] = total.get(e, 0) + m
+                who.extend(total)
+                n.extend(total.values())
+                at.extend([k] * len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(who, entity), part.column(0).take(pa.array(at, pa.int64())).cast(of), pa.array(n, pa.int64())], names=["entity_id", by, "n"])
+
+    return texts.select(by, "norm").mapInArrow(find, f"entity_id {kinds['entity_id']}, {by} {kinds[by]}, n long")
+
+
+#: The automaton that a worker holds, and the variants it was built of.
+_HELD: dict = {}
+
+
+def _automaton(shared) -> tuple:
+    import ahocorasick
+
+    names = shared.value
+    if _HELD.get("of") is not names:
+        machine = ahocorasick.Automaton()
+        for k, (variant, _) in enumerate(names):
+            machine.add_word(variant, k)
+        machine.make_automaton()
+        _HELD.update(of=names, machine=machine)
+    return _HELD["machine"], names
+
+
+def _mentions_by_words(texts: DataFrame, variants: DataFrame, by: str) -> DataFrame:
+    """Texts meet variants over words, so no text is compared with every entity, and only words are shuffled. Phrases are looked for
+    in texts that hold their first word."""
     word = F.regexp_extract("variant", r"(?U)\w+", 0)
     wanted = variants.select("entity_id", "variant", word.alias("word"))
     words = texts.select(by, F.explode(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))

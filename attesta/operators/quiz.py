@@ -119,7 +119,8 @@ def next_items(order: DataFrame, items: DataFrame, asked: DataFrame, n: int) ->
 
 
 def site_position(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), ((6 - score) - 1) * 25))
+    """0 to 100; null without a score."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), ((6 - score) - 1) * 25)))
 
 
 def score_to_position(score: Column) -> Column:

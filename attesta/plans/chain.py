@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attesta.functions import lexicons as L
@@ -16,6 +18,7 @@ from attesta.plans import registry as Q
 from attesta.plans.registry import _t, query
 from attesta.sources import dimensions as A
 from attesta.sources import pages as P
+from attesta.sources import scratch
 
 _NL = "chr(10)"
 _SQUASH = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -92,6 +95,79 @@ def a11_export_analysis(spark, d):
     return out.select("entity_id", F.md5("json").alias("h"))
 
 
+@query(r"""with u as (select url, cast(date '2020-01-01' + cast(page_id % 3000 as int) as date) as day from pages where regexp_matches(url, '^https?://')),
+bare as (select regexp_replace(trim(url), '#.*$', '') as bare, day from u),
+parts as (select day, regexp_extract(bare, '^([^?]*)', 1) as base, array_to_string(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|mc_[^=]*|ref)(=.*)?$')), '&') as q from bare)
+select case when q = '' then base else base || '?' || q end as url, day as rss_date from parts""")
+def a2_read_feed(spark, d):
+    """The pages' addresses as items of a feed, every second one inside a ?url= parameter."""
+    link = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://news.example/url?q=1&url="), F.url_encode("url"), F.lit("&ct=ga"))).otherwise(F.col("url"))
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.pmod("page_id", F.lit(3000)).cast("int")), "EEE, dd MMM yyyy")
+    items = _t(spark, d, "pages").where(F.col("url").rlike("^https?://")).select(link.alias("link"), F.concat(day, F.lit(" 10:00:00 GMT")).alias("pubDate"))
+    path = f"{scratch.shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    scratch.forget_at_exit(spark, path)
+    return P.read_feed(spark, path)
+
+
+@query("select 'p' || p_partkey as item_id, case p_size % 3 when 0 then 'economy' when 1 then 'identity' else 'energy' end as axis_id, cast(case when p_partkey % 2 = 0 then 1 else -1 end as int) as direction, cast(p_partkey as int) as item_no from part")
+def a7_items(spark, d):
+    """Parts as the items of a questionnaire, through the file that holds them."""
+    axis = F.element_at(F.array(*map(F.lit, ("economy", "identity", "energy"))), F.pmod("p_size", F.lit(3)) + 1)
+    rows = _t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("item_id"), axis.alias("axis_id"), F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(-1).alias("direction"), F.col("p_partkey").cast("int").alias("item_no"))
+    return A.load_items(spark, _as_csv(spark, rows))
+
+
+@query("select 'n' || s_suppkey as ax_i, 'n' || (s_suppkey + 1) as ax_j, cast(s_suppkey * 7 % 19 - 9 as double) / 10 as r from supplier")
+def a7_correlations(spark, d):
+    """Neighbouring suppliers as axes that go together or not, through the file that holds them."""
+    n = F.col("s_suppkey")
+    rows = _t(spark, d, "supplier").select(F.concat(F.lit("n"), n).alias("ax_i"), F.concat(F.lit("n"), n + 1).alias("ax_j"), ((F.pmod(n * 7, F.lit(19)) - 9).cast("double") / 10).alias("r"))
+    return A.load_correlations(spark, _as_csv(spark, rows))
+
+
+def _as_csv(spark, rows) -> str:
+    path = f"{scratch.shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows.write.option("header", True).csv(path)
+    scratch.forget_at_exit(spark, path)
+    return path
+
+
+@query(f"with {Q._ANSWERS} select respondent_id, axis_id, case when score is null then 'insufficient' else 'ok' end as status, k as items, round(6 - score, 2) as score from scored")
+def a10_export_axes(spark, d):
+    """What the exported profiles say of axes, read back from them."""
+    answers = Q._answers(spark, d)
+    out = H.export_profile(G.axis_scores(answers, Q._items(spark)), G.quality_flags(answers))
+    axes = F.from_json("json", "axes array<struct<axis_id: long, status: string, items: long, score: double>>")["axes"]
+    return out.select("respondent_id", F.explode(axes).alias("x")).select("respondent_id", "x.axis_id", "x.status", "x.items", F.round("x.score", 6).alias("score"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d') end as own, case when o_orderkey % 3 > 0 then strftime(o_orderdate, '%Y-%m-%d') when o_orderkey % 2 = 0 then '2001-01-01' else '' end as date from orders")
+def b18_date_of(spark, d):
+    own = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return _t(spark, d, "orders").select("o_orderkey", own.alias("own"), X.date_of(own, F.when(F.col("o_orderkey") % 2 == 0, "2001-01-01")).alias("date"))
+
+
+@query("select o_custkey as entity_id, round(avg(case o_orderkey % 4 when 0 then 1.0 when 1 then 0.5 when 2 then 0.0 end), 6) as promise_mean from orders group by 1")
+def g18_status_mean(spark, d):
+    """Statuses of promises as the values that their mean is of."""
+    status = F.element_at(F.array(*map(F.lit, ("kept", "partial", "broken", "unverifiable"))), (F.pmod("o_orderkey", F.lit(4)) + 1).cast("int"))
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), D.status_value(status).alias("value"))
+    return rows.groupBy("entity_id").agg(F.round(G.promise_average(F.col("value")), 6).alias("promise_mean"))
+
+
+_ENTITY = "case conv_id % 4 when 0 then 'thon' when 1 then 'anea' when 2 then 'erin' else 'eron' end"
+
+
+@query(f"""with t as (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as n from conversations),
+g as (select {_ENTITY} as entity_id, conv_id as doc_id, n as turn, string_agg(text, {_NL} order by turn) filter (text <> '') as text from (select conv_id, n, turn, trim(text, ' ') as text from t) group by 1, 2, 3)
+select entity_id, doc_id, cast(turn as bigint) as turn, 'Ana ' || upper(entity_id[1]) || entity_id[2:] as speaker, md5(text) as h from g where turn > 0 and length(text) >= 150""")
+def d9_speech_turns(spark, d):
+    """d9_speeches, of texts without blanks at their ends."""
+    turns = _t(spark, d, "conversations").withColumn("text", F.trim("text"))
+    return Q.transcripts(spark, turns)
+
+
 # ---- text
 _V1 = r"""list_filter(list_transform(string_split(regexp_replace({}, '([.!?…])\s+([A-ZĂÂÎȘȚ„"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 25)"""
 
@@ -188,7 +264,7 @@ _CUE_SQL = "list_filter([" + ", ".join(f"case when regexp_matches({{0}}, '{rx}')
 _NORM_WORDS = r"trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
 #: Speeches and quotations from conversations, reported text from documents.
 _PASSAGES = f"""quotes as (select conv_id % 10 as entity_id, conv_id as doc_id, turn as seq, text, case when turn % 3 = 0 then text || ' and this is what stood around it' else text end as ctx, date '2026-01-01' + cast(conv_id % 300 as int) as date from conversations where role = 'assistant'),
-told as (select doc_id % 10 as entity_id, doc_id, 0 as seq, 'Thon a declarat: ' || text as text, {_DAY} as date from documents where lang <> 'en' or doc_id % 2 = 1),
+told as (select doc_id % 10 as entity_id, doc_id, 0 as seq, 'Thon a declarat: ' || text as text, {_DAY} as date from documents),
 both_ as (select entity_id, 0 as o, 'speech' as kind, conv_id as doc_id, seq, text, null as context, date from (select conv_id % 10 as entity_id, conv_id, turn as seq, trim(text) as text, date '2026-01-01' + cast(conv_id % 300 as int) as date from conversations where role = 'user')
 union all select entity_id, 1, 'quote', doc_id, seq, text, case when length(ctx) > length(text) + 30 then ctx end, date from quotes
 union all select entity_id, 2, 'reported', doc_id, seq, text, null, date from told where not exists (select 1 from quotes q where q.entity_id = told.entity_id and q.doc_id = told.doc_id and contains({_NORM_WORDS.format('told.text')}, {_NORM_WORDS.format('q.ctx')}))),
@@ -199,7 +275,7 @@ passages as (select *, {_CUE_SQL.format('lower(strip_accents(text))')} as cues f
 def _passages(spark, d):
     turns = _t(spark, d, "conversations").select((F.col("conv_id") % 10).alias("entity_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text", "role", F.date_add(F.lit("2026-01-01").cast("date"), F.pmod("conv_id", F.lit(300)).cast("int")).alias("date"), F.lit(10).alias("source_score"))
     around = F.when(F.col("seq") % 3 == 0, F.concat("text", F.lit(" and this is what stood around it"))).otherwise(F.col("text"))
-    docs = _t(spark, d, "documents").where("lang <> 'en' or doc_id % 2 = 1").select((F.col("doc_id") % 10).alias("entity_id"), "doc_id", F.lit(0).cast("long").alias("seq"), F.concat(F.lit("Thon a declarat: "), "text").alias("text"), _day().alias("date"), F.lit(10).alias("source_score"))
+    docs = _t(spark, d, "documents").select((F.col("doc_id") % 10).alias("entity_id"), "doc_id", F.lit(0).cast("long").alias("seq"), F.concat(F.lit("Thon a declarat: "), "text").alias("text"), _day().alias("date"), F.lit(10).alias("source_score"))
     return E.passages(turns.where("role = 'user'"), turns.where("role = 'assistant'").withColumn("context", around), docs, "2026-02-01", chunk=1_000_000)
 
 
@@ -210,7 +286,7 @@ def e3_passages(spark, d):
 
 @query(f"with {_PASSAGES} select doc_id from told where contains(lower(strip_accents(text)), 'thon') and not exists (select 1 from quotes q where q.entity_id = told.entity_id and q.doc_id = told.doc_id and contains({_NORM_WORDS.format('told.text')}, {_NORM_WORDS.format('q.ctx')}))")
 def e4_reported(spark, d):
-    docs = _t(spark, d, "documents").where("lang <> 'en' or doc_id % 2 = 1").select((F.col("doc_id") % 10).alias("entity_id"), "doc_id", F.concat(F.lit("Thon a declarat: "), "text").alias("text"), F.lit("thon").alias("surname"))
+    docs = _t(spark, d, "documents").select((F.col("doc_id") % 10).alias("entity_id"), "doc_id", F.concat(F.lit("Thon a declarat: "), "text").alias("text"), F.lit("thon").alias("surname"))
     turns = _t(spark, d, "conversations").where("role = 'assistant'")
     around = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" and this is what stood around it"))).otherwise(F.col("text"))
     return E.reported_only(docs, turns.select((F.col("conv_id") % 10).alias("entity_id"), F.col("conv_id").alias("doc_id"), "text", around.alias("context"))).select("doc_id")

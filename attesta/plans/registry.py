@@ -14,7 +14,6 @@ from attesta.operators import profile as H
 from attesta.operators import quiz as G
 from attesta.operators import responses as R
 from attesta.sources import pages as P
-from attesta.sources import scratch
 from attesta.sources import store as S
 from attesta.streaming import ingest as I
 
@@ -262,7 +261,6 @@ def c12_crawl_frontier(spark, d):
     """Links run from page to page of one host in order of their numbers; the two smallest pages of each host are the seeds."""
     from attesta.operators.corpus import keep_first
 
-    scratch.use_checkpoints(spark)
     pages = _t(spark, d, "pages").select("page_id", "url").withColumn("host", U.hostname(F.col("url")))
     pages = keep_first(pages, ["url"], ["page_id"])
     w = Window.partitionBy("host").orderBy("page_id")
@@ -339,8 +337,12 @@ def d9_role_turns(spark, d):
 
 @query()
 def d9_speeches(spark, d):
-    """Conversations as transcripts: each user's turn names its conversation's entity."""
-    turns = _t(spark, d, "conversations").withColumn("e", F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod("conv_id", F.lit(4)) + 1).cast("int")))
+    return transcripts(spark, _t(spark, d, "conversations"))
+
+
+def transcripts(spark, turns):
+    """Speeches of conversations as transcripts: each user's turn names its conversation's entity."""
+    turns = turns.withColumn("e", F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod("conv_id", F.lit(4)) + 1).cast("int")))
     head = F.concat(F.lit("Ana "), F.initcap("e"), F.lit(": "))
     paras = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
     return D.speeches(paras, spark.createDataFrame([(n, n) for n in NAMES], "entity_id string, surname string")).select("entity_id", "doc_id", "turn", "speaker", F.md5("text").alias("h"))

@@ -20,18 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Let checkpoint() write to the shared folder, unless the cluster has set a folder for it already."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage is cut at data that survives the loss of executors. The files go when
     the driver ends, since the rows that are returned are read from them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    forget_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
