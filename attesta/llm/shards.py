@@ -15,6 +15,8 @@ from attesta.operators.scans import numbered
 
 #: Members of a hub that one join key stands for; a larger hub's votes are told to each slice of it.
 SLICE = 10_000
+#: Copies of a text from which on its rows are dealt over SALTS keys.
+MANY, SALTS = 1000, 64
 #: Rounds at most; each makes some hub's members stand closer together, and they end when nothing moves.
 ROUNDS = 24
 
@@ -138,9 +140,13 @@ def same_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> t
     said = F.coalesce(F.col(text), F.lit(""))
     told = docs.select(F.col(id_col), (F.octet_length(said) + 1).cast("long").alias("size"), F.crc32(said.cast("binary")).alias("text_crc32"), F.sha2(said, 256).alias("digest"))
     told = materialise(numbered(told, [], [id_col, "digest"], "node"), "nodes")
-    hubs = told.groupBy("digest").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("digest", "hub")
-    # the copies of a text meet its row: many rows of one text are split by Spark where they are skewed, or its rows are broadcast
-    return told.drop("digest"), materialise(told.join(hubs, "digest").select("node", "hub"), "links")
+    hubs = materialise(told.groupBy("digest").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "hubs")
+    # rows of a text with many copies meet its row under several keys, the others under their text
+    many = hubs.where(F.col("n") > MANY).select("digest", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    marked = told.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(many, ["digest", "salt"], "left")
+    links = marked.where("hub is not null").select("node", "hub")
+    links = links.unionByName(marked.where("hub is null").drop("hub").join(hubs.where(F.col("n") <= MANY), "digest").select("node", "hub"))
+    return told.drop("digest"), materialise(links, "links")
 
 
 def op13_sharding(spark, sf_dir: str, shards: int = 8) -> DataFrame:
