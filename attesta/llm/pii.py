@@ -4,34 +4,36 @@ Entities are found by one regular expression, made for each text of the kinds wh
 aren't searched). A surrogate is made by a keyed permutation of the entity's own characters within their kinds (digits,
 letters of a script, vowels and consonants of a name), so it has the entity's format, equal entities get equal surrogates
 everywhere, and different ones of a kind get different ones. `collisions` checks that on the whole corpus; should any value
-share a surrogate nevertheless, it alone gets a new one.
+share a surrogate nevertheless, it alone gets a new one. No value is its own surrogate, and letters of any script move.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import secrets
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import materialise, own_name, small, table
+from attesta.llm.common import _forget, _write, materialise, own_name, small, table
 
 #: The session's setting that holds the secret key.
 KEY_SETTING = "spark.attesta.pii.key"
-#: Rounds in which colliding values get new surrogates.
-ROUNDS = 8
+#: Rounds in which colliding values get new surrogates of their own length; longer ones after that.
+ROUNDS = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX4 = r"[0-9A-Fa-f]{1,4}"
 #: Titles before names: of women, of men, of both.
-FEMALE = ["Mrs", "Ms", "Miss", "Lady", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "Srta", "Doña", "Госпожа"]
-MALE = ["Mr", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин"]
+FEMALE = ["Mrs", "Ms", "Miss", "Lady", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "Srta", "Doña", "Госпожа", "Doamna", "doamna", "Doamnei", "doamnei", "Domnișoara", "domnișoara", "D-na", "d-na", "Dna", "dna"]
+MALE = ["Mr", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "Domnul", "domnul", "Domnului", "domnului", "D-l", "d-l", "Dl", "dl"]
 BOTH = ["Dr", "Prof"]
 #: Small words inside names.
 PARTICLES = ["de", "del", "la", "van", "von", "der", "den", "di", "da", "dos"]
 _TITLE = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE + BOTH)})\.? "
-_WORD = r"\p{Lu}[\p{L}'’-]*\p{L}"
+_WORD = r"[\p{Lu}\p{Lo}\p{IsGeorgian}][\p{L}'’-]*\p{L}"
 #: What is found, in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -52,6 +54,23 @@ KINDS = list(PATTERNS)
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 PLAIN = [DIGITS, LOWER, UPPER]
 NAME = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+#: Ranges of code points whose other letters stand for each other, by script; those of Latin and Cyrillic in two parts.
+RANGES = [
+    (0xDF, 0x17F), (0x180, 0x24F), (0x1E01, 0x1EFF), (0x370, 0x3FF), (0x1F00, 0x1FFF), (0x430, 0x45F), (0x460, 0x52F), (0x561, 0x587), (0x5D0, 0x5EA), (0x620, 0x64A),
+    (0x671, 0x6D3), (0x710, 0x72F), (0x780, 0x7A5), (0x7CA, 0x7EA), *((k, k + 0x7F) for k in range(0x900, 0xE00, 0x80)), (0xE01, 0xE30), (0xE81, 0xEB0), (0xF40, 0xF6C),
+    (0x1000, 0x102A), (0x10D0, 0x10FA), (0x1200, 0x137F), (0x1401, 0x166C), (0x1780, 0x17B3), (0x1820, 0x1878), (0x2C30, 0x2C5F), (0x2C81, 0x2CE3), (0x2D30, 0x2D67),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3105, 0x312F), (0xA000, 0xA48C), (0xAB70, 0xABBF), (0xAC00, 0xD7A3), (0x4E00, 0x9FFF),
+]
+_STATED = set("".join(NAME))
+
+
+def _letters(first: int, last: int) -> str:
+    """Letters of a range that are small or without case, if case changes one into one."""
+    own = (chr(c) for c in range(first, last + 1))
+    return "".join(c for c in own if unicodedata.category(c) in ("Ll", "Lo") and c not in _STATED and len(c.upper()) == 1 and c.upper().lower() == c)
+
+
+NAME += [x for x in (_letters(*r) for r in RANGES) if len(x) > 4]
 #: Last letters of names that don't end in an a, and letters of secrets that could be taken for hex: they stay so.
 NOT_A = [re.sub("[aаα]", "", a) for a in NAME]
 NOT_HEX = [DIGITS, "abcdef", "ghijklmnopqrstuvwxyz", UPPER]
@@ -78,31 +97,38 @@ def _digest(key: str, turn: int, text: Column) -> Column:
 
 def _moved(text: Column, digest: Column, alphabets: list[str]) -> Column:
     """Each character moved within its alphabet by two hex digits of the digest; others stay."""
+    every, sizes = "".join(alphabets), [len(a) for a in alphabets]
+    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    bounds = F.array(*[F.lit(x) for x in starts])
 
     def char(c: Column, k: Column, d: Column) -> Column:
         by = F.conv(F.substring(d, (k % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        out = None
-        for a in alphabets:
-            at = F.instr(F.lit(a), c)
-            to = F.substring(F.lit(a), (at - 1 + by) % len(a) + 1, F.lit(1))
-            out = F.when(at > 0, to) if out is None else out.when(at > 0, to)
-        return F.when(c == "", c).otherwise(out.otherwise(c))
+        at = F.instr(F.lit(every), c) - 1
+        own = F.size(F.filter(bounds, lambda x: x <= at)) - 1
+        start = F.get(bounds, own)
+        to = F.substring(F.lit(every), start + (at - start + by) % F.get(F.array(*map(F.lit, sizes)), own) + 1, F.lit(1))
+        return F.when((c != "") & (at >= 0), to).otherwise(c)
 
     return _let(digest, lambda d: F.array_join(F.transform(F.split(text, ""), lambda c, k: char(c, k, d)), ""))
 
 
+def _shifted(text: Column, key: str, alphabets: list[str]) -> Column:
+    """Every character one to four places on in its alphabet: what has a character of any alphabet is another text."""
+    by = 1 + hashlib.sha256(key.encode()).digest()[0] % 4
+    return _moved(text, F.lit(f"{by:02x}" * 32), alphabets)
+
+
 def permuted(text: Column, key: str, alphabets: list[str] = PLAIN) -> Column:
-    """A keyed permutation of texts of one length and one pattern of alphabets: four Feistel turns over its halves."""
+    """A keyed permutation of texts of one length and one pattern of alphabets: four Feistel turns over its halves. A text that would
+    stay as it is is shifted, so none does; should it meet another's surrogate, `settled` tells them apart."""
     half = lambda s: F.floor(F.length(s) / 2).cast("int")
     left, right = lambda s: F.substring(s, F.lit(1), half(s)), lambda s: F.substring(s, half(s) + 1, F.length(s))
     step = lambda x, other, turn: _moved(x, _digest(key, turn, other), alphabets)
-    return _let(
-        text,
-        lambda s: _let(
-            step(left(s), right(s), 1),
-            lambda a: _let(step(right(s), a, 2), lambda b: _let(step(a, b, 3), lambda a2: F.concat(a2, step(b, a2, 4)))),
-        ),
+    mixed = lambda s: _let(
+        step(left(s), right(s), 1),
+        lambda a: _let(step(right(s), a, 2), lambda b: _let(step(a, b, 3), lambda a2: F.concat(a2, step(b, a2, 4)))),
     )
+    return _let(text, lambda s: _let(mixed(s), lambda made: F.when(made != s, made).otherwise(_shifted(s, key, alphabets))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -269,23 +295,30 @@ def collisions(made: DataFrame) -> DataFrame:
     return made.groupBy("kind", "surrogate").agg(F.countDistinct(F.lower("value")).alias("n")).where("n > 1")
 
 
+def _longer(value: Column, kind: Column, key: str, n: int) -> Column:
+    """n more letters (of names and the like) or digits for a value: where the texts of its length and pattern are used up."""
+    more = F.substring(F.sha2(F.concat(F.lit(f"{key}|more|"), value), 256), 1, n)
+    return F.when(kind.isin("email", "secret", "key", "name"), F.translate(more, HEX, LOWER[:16])).otherwise(F.translate(more, HEX, "0123456789012345"))
+
+
 def settled(made: DataFrame, key: str) -> DataFrame | None:
     """(kind, value, surrogate) of the values whose surrogate another one has, with new ones that nothing else has; None
-    without any. made: the dictionary, a table. Of each group the smallest value keeps its surrogate."""
-    out = None
-    for k in range(1, ROUNDS + 1):
-        if collisions(made).isEmpty():
-            return out
+    without any. made: the dictionary, a table. Of each group the smallest value keeps its surrogate. After ROUNDS turns, when
+    the texts of a pattern must be used up, surrogates grow by letters or digits, more with each turn."""
+    out, k = None, 0
+    while not collisions(made).isEmpty():
+        k += 1
         shared = collisions(made).select("kind", "surrogate")
         first = made.join(shared, ["kind", "surrogate"]).groupBy("kind", "surrogate").agg(F.min(F.lower("value")).alias("first"))
         moved = made.join(first, ["kind", "surrogate"]).where(F.lower("value") != F.col("first")).select("kind", "value")
-        moved = materialise(moved.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), f"{key}|again{k}")), "moved")
-        rest = lambda df: df.join(moved.select("kind", "value"), ["kind", "value"], "left_anti")
+        new = surrogate(F.col("value"), F.col("kind"), f"{key}|again{k}")
+        if k > ROUNDS:
+            new = F.concat(new, _longer(F.col("value"), F.col("kind"), key, 2 * (k - ROUNDS)))
+        moved = materialise(moved.withColumn("surrogate", new), "moved")
+        rest = lambda df: df.join(moved.select("kind", "value"), ["kind", "value"], "left_anti")  # noqa: E731, B023
         made = materialise(rest(made).unionByName(moved), "dictionary")
         out = moved if out is None else materialise(rest(out).unionByName(moved), "settled")
-    if collisions(made).isEmpty():
-        return out
-    raise ValueError("surrogates collide under every key")
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", counts: bool = False) -> DataFrame:
@@ -301,8 +334,9 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", co
     base = docs.withColumn(cut, pieces(F.col(text))).withColumn(text, F.when(F.col(cut).isNull(), F.col(text))).withColumn(row, F.monotonically_increasing_id())
     base = materialise(base, "pii")
     own = base.where(F.col(cut).isNotNull()).select(F.explode(entities(F.col(cut))).alias("e")).select("e.kind", "e.value").distinct()
-    made = materialise(own.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), key)), "dictionary")
+    made, where = _write(own.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), key)), "dictionary")
     other = settled(made, key)
+    _forget(docs.sparkSession, where)
     of = lambda e: surrogate(e["value"], e["kind"], key)
     if other is None:
         replaced = F.transform(entities(F.col(cut)), of)
