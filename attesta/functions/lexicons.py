@@ -48,11 +48,15 @@ URL_WORDS = (
     "steno|discurs|declar|interviu|comunicat|alocu|intervent|sedint|plen|mesaj|conferint|educat|stud|facultat|univers|finant|buget|"
     "fondur|pnrr|grant|investit|tax|impozit|biograf|profil"
 )
+#: Fixed value.
 SPEECH_URL = "steno|discurs|declar|interviu|comunicat|conferint|plen|sedint"
+#: Fixed value.
 TOPIC_URL = "educat|stud|univers|facultat|liceu|finant|buget|fondur|pnrr|grant|investit|biograf"
+#: Fixed value.
 SPEAKER = (
     r"(?s)^(?:[Dd]omnul|[Dd]oamna|D-l|D-na)?\s*([A-ZĂÂÎȘȚŞŢ](?U:[\w\-])+(?:\s+[A-ZĂÂÎȘȚŞŢ](?U:[\w\-])+){1,4})\s*(?:\([^)]{0,100}\))?\s*:\s*(.*)$"
 )
+#: Fixed value.
 QUOTE = '(?s)[„“"«]([^”"“„«»]{40,5000})[”"»]'
 #: Cue and pattern on folded text.
 CUES = [
@@ -63,7 +67,9 @@ CUES = [
     ("sweeping causal claim", "din cauza|din vina|vina (?:este|e) a|datorita faptului"),
     ("accusation", r"\b(?:minte|mint|hoti|hot|tradator|corup|vandut|infractor|trada)\w*"),
 ]
+#: Fixed value.
 PROMISE_CUE = "promise / future commitment"
+#: Fixed value.
 ATTRIBUTION = (
     r"\b(?:a (?:mai )?(?:spus|declarat|afirmat|sustinut|precizat|anuntat|explicat|acuzat|adaugat|subliniat|mentionat|transmis|promis|"
     r"reiterat|insistat|scris|aratat|criticat|replicat|raspuns|dezvaluit)|(?:spune|afirma|declara|sustine|considera|crede|promite|"
@@ -77,7 +83,9 @@ STOPWORDS = (
     "nostri nimic niste noua oricare pentru poate pana prin putea sunt sale sau sale spre sunt suntem toate toti tot trebuie unde unui "
     "unei unor vom voi vreau vrem vedem vorbim zicem acum aici apoi cat cum deci ceea ceva cele cei cel este fie era erau sunteti ale"
 ).split()
+#: Fixed value.
 NEGATION = r"\b(?:nu|nici|niciodata|fara|nicio|niciun|nimeni|nimic)\b"
+#: Fixed value.
 NUMBER = r"\d+(?:[.,]\d+)?"
 #: Fixed values of the first version: opinion words, commitments and outcomes.
 POSITIVE = r"(?iU)\b(?:laud[ăa]\w*|apreci\w+|succes\w*|reu[șs]it\w*|competen\w+|onest\w*|eficien\w*|curajos\w*|credibil\w*|admir\w+|performan\w+|transparen\w+|integr\w+|salut\w*|pozitiv\w*|inspir\w+)"

@@ -12,6 +12,7 @@ SKIP_EXT = [
     ".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".ico", ".mp3", ".mp4", ".avi", ".mov", ".zip", ".rar", ".7z", ".gz",
     ".exe", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".pdf", ".css", ".js", ".xml", ".rss",
 ]
+#: Fixed value.
 TRACKING = r"^(utm_[^=]*|fbclid|gclid|mc_[^=]*|ref)(=.*)?$"
 
 

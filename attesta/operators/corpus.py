@@ -140,6 +140,7 @@ def page_title(html: Column) -> Column:
     return squash(_entities(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", "")))
 
 
+#: Fixed values.
 _NAMES = "article:published_time|og:article:published_time|datepublished|date|dc\\.date(?:\\.issued)?|pubdate|publishdate"
 #: Where a page tells its date, in this order.
 DATE_PLACES = [

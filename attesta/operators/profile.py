@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from attesta.functions.text import cut_words, fold
 from attesta.operators.corpus import keep_first
 from attesta.operators.extract import analysis_stats
+from attesta.operators.passages import replan_failed
 from attesta.operators.quiz import leaning, site_position
+from attesta.operators.responses import strip_fences
 from attesta.operators.scans import running
+from attesta.sources.scratch import written
 
 
 def domain_rollup(sources: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def search_plan(entities: DataFrame, templates: DataFrame, cap: int) -> DataFram
 
     templates: (group_no, rank_in_group, template) with {n}; a fixed small table, so the cross join is linear in entities.
     """
-    made = entities.select("entity_id", "name").crossJoin(F.broadcast(templates)).withColumn("query", F.replace("template", F.lit("{n}"), F.col("name")))
+    made = entities.select("entity_id", "name").crossJoin(templates).withColumn("query", F.replace("template", F.lit("{n}"), F.col("name")))
     made = keep_first(made, ["entity_id", "query"], ["rank_in_group", "group_no"])
     return made.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy("rank_in_group", "group_no"))).where(F.col("rank") <= cap).select("entity_id", "rank", "query")
 
@@ -169,6 +172,39 @@ def answer_with(requests: DataFrame, fn) -> DataFrame:
     return requests.mapInPandas(fn, "request_id string, content string, finish_reason string")
 
 
+def usable(content: Column, finish_reason: Column) -> Column:
+    """An answer that ends by itself and holds an object or a list."""
+    t = strip_fences(content)
+    return F.coalesce((finish_reason != "length") & (F.startswith(t, F.lit("[")) | F.try_parse_json(t).isNotNull()), F.lit(False))
+
+
+def relabelled(members: Column) -> Column:
+    """members (local_id, ref, body) numbered anew, P1, P2, ..., also at the heads of their bodies."""
+    label = lambda k: F.concat(F.lit("P"), (k + 1).cast("string"))
+    return F.transform(members, lambda m, k: F.struct(label(k).alias("local_id"), m["ref"].alias("ref"), F.regexp_replace(m["body"], r"^\[[^\]]*\]", F.concat(F.lit("["), label(k), F.lit("]"))).alias("body")))
+
+
+def answered(requests: DataFrame, fn, depth: int = 3) -> DataFrame:
+    """(request_id, entity_id, members, content, finish_reason): the answers of all requests, unusable ones asked again in halves.
+
+    requests: (request_id, entity_id, system, members of local_id, ref and body). A request of several members whose answer isn't usable is replaced by
+    its halves, ".1" and ".2", up to `depth` times; what can't be halved keeps the answer it got (null where fn gave none). Each turn's answers
+    are written, so nothing is asked twice, and a turn asks only what failed before; turns end when nothing did.
+    """
+    todo, out = requests.select("request_id", "entity_id", "system", "members"), None
+    for _ in range(depth + 1):
+        asked = todo.withColumn("user", F.array_join(F.transform("members", lambda m: m["body"]), "\n\n"))
+        now = written(todo.join(answer_with(asked, fn), "request_id", "left"), "answers")
+        halve = ~usable(F.col("content"), F.col("finish_reason")) & (F.size("members") > 1) & (F.size(F.split("request_id", "\\.")) - 1 < depth)
+        done = now.where(~halve).select("request_id", "entity_id", "members", "content", "finish_reason")
+        out = done if out is None else out.unionByName(done)
+        again = now.where(halve).select("request_id", "entity_id", "system", "members")
+        if again.isEmpty():
+            break
+        todo = replan_failed(again, again, depth).withColumn("members", relabelled(F.col("members")))
+    return out
+
+
 def history_header(found: DataFrame) -> DataFrame:
     """(entity_id, total, header): how many findings, by category, the most frequent first."""
     counts = found.groupBy("entity_id", "category").agg(F.count("*").alias("n"))

@@ -53,7 +53,7 @@ def axis_scores(responses: DataFrame, items: DataFrame, shown: DataFrame | None
     responses: (respondent_id, item_id, value, is_dk); items: (item_id, axis_id, direction), a dimension. An axis needs two
     answers and three fifths of the items shown (shown: respondent_id, axis_id, n; else all that were answered or passed).
     """
-    rows = responses.join(F.broadcast(items), "item_id").withColumn("v", keyed_value(F.col("value"), F.col("direction"), F.col("is_dk")))
+    rows = responses.join(items, "item_id").withColumn("v", keyed_value(F.col("value"), F.col("direction"), F.col("is_dk")))
     out = rows.groupBy("respondent_id", "axis_id").agg(F.count("v").alias("k"), F.sum("v").alias("total"), F.count("*").alias("n_shown"))
     if shown is not None:
         out = out.drop("n_shown").join(shown.withColumnRenamed("n", "n_shown"), ["respondent_id", "axis_id"], "left").na.fill({"n_shown": MIN_ITEMS})
@@ -69,7 +69,7 @@ def coherence(scores: DataFrame, corr: DataFrame) -> DataFrame:
     corr: (ax_i, ax_j, r), 45 rows, looked up by axis.
     """
     ok = scores.where("status = 'ok'").select("respondent_id", "axis_id", "theta")
-    pairs = ok.withColumnsRenamed({"axis_id": "ax_i", "theta": "ti"}).join(ok.withColumnsRenamed({"axis_id": "ax_j", "theta": "tj"}), "respondent_id").where("ax_i < ax_j").join(F.broadcast(corr), ["ax_i", "ax_j"])
+    pairs = ok.withColumnsRenamed({"axis_id": "ax_i", "theta": "ti"}).join(ok.withColumnsRenamed({"axis_id": "ax_j", "theta": "tj"}), "respondent_id").where("ax_i < ax_j").join(corr, ["ax_i", "ax_j"])
     share = pairs.groupBy("respondent_id").agg(F.avg(F.when(F.col("r") * F.col("ti") * F.col("tj") < 0, 1.0).otherwise(0.0)).alias("tension_share"))
     return ok.groupBy("respondent_id").agg(F.count("*").alias("axes_scored")).join(share, "respondent_id", "left").na.fill(0.0)
 
@@ -112,7 +112,7 @@ def next_items(order: DataFrame, items: DataFrame, asked: DataFrame, n: int) ->
 
     items: (item_id, axis_id, direction, item_no), a dimension.
     """
-    pool = order.select("respondent_id", "axis_id", "rank").join(F.broadcast(items), "axis_id").join(asked.select("respondent_id", "item_id"), ["respondent_id", "item_id"], "left_anti")
+    pool = order.select("respondent_id", "axis_id", "rank").join(items, "axis_id").join(asked.select("respondent_id", "item_id"), ["respondent_id", "item_id"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("respondent_id", "axis_id", "direction").orderBy("item_no"))
     pool = pool.withColumn("r", nth).where("r <= 3").withColumn("slot", 2 * F.col("r") - F.when(F.col("direction") > 0, 1).otherwise(0))
     return pool.withColumn("nth", F.row_number().over(Window.partitionBy("respondent_id").orderBy("rank", "slot"))).where(F.col("nth") <= n).select("respondent_id", "item_id", "nth")

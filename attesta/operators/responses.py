@@ -246,7 +246,7 @@ def salvage_axis(content: Column) -> Column:
 
 def all_axes(subjects: DataFrame, axes: DataFrame, scores: DataFrame) -> DataFrame:
     """A row for each subject and axis; score null where there is none. axes has a fixed ten rows."""
-    return subjects.select("subject_id").crossJoin(F.broadcast(axes.select("axis_id"))).join(scores, ["subject_id", "axis_id"], "left")
+    return subjects.select("subject_id").crossJoin(axes.select("axis_id")).join(scores, ["subject_id", "axis_id"], "left")
 
 
 def clamp_score(c: Column) -> Column:
@@ -346,7 +346,7 @@ def axis_paragraphs(paras: DataFrame, axes: DataFrame) -> DataFrame:
     """
     rows = paras.withColumn("text", plain_quotes(F.trim("text"))).where(F.length("text") > 40)
     hits = F.regexp_count("text", F.col("rx"))
-    rows = rows.crossJoin(F.broadcast(axes.select("axis_id", "rx"))).withColumn("_hits", hits).where("_hits > 0").where(F.col("names_entity") | F.col("text").rlike('[„"“]'))
+    rows = rows.crossJoin(axes.select("axis_id", "rx")).withColumn("_hits", hits).where("_hits > 0").where(F.col("names_entity") | F.col("text").rlike('[„"“]'))
     some = lambda c, n: F.when(c, n).otherwise(0)
     weight = 3 * F.least("_hits", F.lit(3)) + some(F.col("names_entity"), 2) + some(F.col("text").rlike('[„"“]'), 2) + some(F.col("text").rlike(SAYING), 1) + some(F.col("official"), 2)
     return rows.withColumn("weight", weight).drop("_hits", "rx")

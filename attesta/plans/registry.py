@@ -687,11 +687,13 @@ def h4_recent_counts(spark, d):
 
 @query()
 def a8_report(spark, d):
-    found = d6_evidence_full(spark, d).select("entity_id", "doc_id", "rank", F.col("excerpt").alias("text"))
-    ranked = D.rank_by(found.drop("rank"), F.length("text").desc(), F.col("doc_id"), F.col("text"), top=40)
+    """Sections of evidence, funding evidence, mentions and sources of the documents."""
+    top = lambda found: D.rank_by(found.drop("rank").withColumnRenamed("excerpt", "text").select("entity_id", "doc_id", "text"), F.length("text").desc(), F.col("doc_id"), F.col("text"), top=40)
+    told, funding = top(d6_evidence_full(spark, d)), top(d7_funding(spark, d))
+    named = top(d8_mention_excerpts(spark, d))
+    sources = D.rank_by(D.relevant_documents(_t(spark, d, "documents"), _variants(spark)).withColumn("text", F.concat(F.lit("document "), F.col("doc_id").cast("string"))), F.col("n").desc(), F.col("doc_id"), top=40)
     people = _variants(spark).withColumnRenamed("variant", "name")
-    none = ranked.where("false")
-    return H.report(people, ranked, none, ranked, none, ranked)
+    return H.report(people, told, named, told, funding, sources)
 
 
 @query()

@@ -120,3 +120,26 @@ def test_exported_profiles(spark):
     assert out[1]["axes"] == [{"axis_id": "economy", "status": "ok", "items": 4, "score": 2.0, "margin": 0.2, "position": 25.0}, {"axis_id": "identity", "status": "ok", "items": 3, "score": 4.0, "margin": 0.4, "position": 75.0}]
     assert out[1]["leaning"] == 25.0 and out[1]["flags"] == ["dk"] and out[1]["answers"] == [{"item_id": "i1", "answer": "dk"}, {"item_id": "i2", "answer": "4"}]
     assert out[2]["axes"] == [{"axis_id": "economy", "status": "insufficient", "items": 1}] and "answers" not in out[2]
+
+
+def test_failed_requests_are_asked_again_in_halves(spark):
+    """Answers of more than two members are cut; the member "bad" never gets one; another request's answer is not JSON at all."""
+    body = lambda k, x: (f"P{k}", x, f"[P{k}] TYPE: speech\nSTATEMENT: {x}")
+    rows = [("r1", 1, "s", [body(k + 1, f"m{k}") for k in range(7)]), ("r2", 2, "s", [body(1, "bad")]), ("r3", 3, "s", [body(1, "x"), body(2, "bad")]), ("r4", 4, "s", [body(1, "y")])]
+    requests = spark.createDataFrame(rows, "request_id string, entity_id long, system string, members array<struct<local_id: string, ref: string, body: string>>")
+
+    def model(frames):
+        for f in frames:
+            told = [u.split("STATEMENT: ")[1:] for u in f["user"]]
+            texts = ["no answer" if any("bad" in t for t in x) else '{"findings": []}' for x in told]
+            yield f[["request_id"]].assign(content=texts, finish_reason=["length" if len(x) > 2 else "stop" for x in told])
+
+    got = {r.request_id: ([m.ref for m in r.members], [m.local_id for m in r.members], r.content, r.finish_reason) for r in H.answered(requests, model).collect()}
+    ok = '{"findings": []}'
+    assert got["r4"] == (["y"], ["P1"], ok, "stop") and got["r2"] == (["bad"], ["P1"], "no answer", "stop")
+    assert got["r3.1"] == (["x"], ["P1"], ok, "stop") and got["r3.2"] == (["bad"], ["P1"], "no answer", "stop")
+    assert sorted(ref for i, x in got.items() if i.startswith("r1") for ref in x[0]) == [f"m{k}" for k in range(7)]
+    assert all(len(x[0]) <= 2 and x[3] == "stop" for i, x in got.items()) and {i for i in got if i.startswith("r1.1")} == {"r1.1.1", "r1.1.2"}
+    one = H.answered(requests.where("request_id = 'r1'"), model, depth=1).collect()
+    assert {r.request_id: r.finish_reason for r in one} == {"r1.1": "length", "r1.2": "length"}
+    assert H.answered(requests.limit(0), model).count() == 0
