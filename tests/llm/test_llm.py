@@ -147,6 +147,13 @@ def test_token_counts(spark):
     assert tokens.attribute(ends, sections, "most")[0].tolist() == [1, 1, 1]
 
 
+def test_added_tokens_have_their_ids(spark):
+    text = "hi <|endoftext|> there<|endoftext|>"
+    assert tokens.ids_of(text.encode()).tolist() == plain.tokens(text) and plain.tokens("<|endoftext|>") == [50256]
+    rows = tokens.count_sections(make(spark, [(1, text)])).collect()
+    assert [(r.n_chars, r.n_tokens) for r in rows] == [(len(text), len(plain.tokens(text)))]
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(500):
@@ -279,6 +286,33 @@ def test_more_kinds(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymise(docs, "other").collect()}[0] != new["iban"]
 
 
+def test_no_name_is_its_own_surrogate(spark):
+    names = "Bo Ça Ñuñ Şaş Հայ გი Ðỗ Ștefan Ana Li Al Ed Jo Íó Åse Łuk Žan Ωμ Яна אבי علي राम 王 김 ทอง Ngô".split()
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for key in ("a", "b"):
+        for r in df.select("n", pii.name_word(F.col("n"), key).alias("s"), pii.permuted(F.lit("7"), key).alias("d")).collect():
+            assert r.n.lower() != r.s.lower() and len(r.n) == len(r.s) and r.d != "7"
+            assert [c.isupper() for c in r.n] == [c.isupper() for c in r.s]
+            script = lambda x: {unicodedata.name(c).split()[0] for c in x}
+            assert script(r.n) == script(r.s)
+
+
+def test_romanian_titles(spark):
+    text = "Domnul Ionescu a venit. doamna Pop si D-l Dan; Ionescu pleaca, doamnei Iacob i-a spus."
+    new = pii.pseudonymise(make(spark, [(1, text)]), "k").first().text
+    assert not any(n in new for n in ("Ionescu", "Pop", "Dan", "Iacob")) and [w for w in new.split() if w[0].islower()] == [w for w in text.split() if w[0].islower()]
+    names = [w.strip(".;,") for w in new.split() if w[0].isupper()]
+    assert names[1] == names[4]
+
+
+def test_patterns_that_are_used_up(spark):
+    """All names of a vowel and a consonant: none stays, and all get surrogates of their own."""
+    words = [c.upper() + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]
+    rows = [(k, f"Mr {w} left") for k, w in enumerate(words)]
+    out = [r.text.split()[1] for r in pii.pseudonymise(make(spark, rows), "k").orderBy("doc_id").collect()]
+    assert len(set(out)) == len(words) and all(a != b for a, b in zip(words, out, strict=True))
+
+
 def test_collisions_are_settled(spark, monkeypatch):
     docs = make(spark, [(k, f"ssn 123-45-{k:04d} and 123-45-{(k + 1) % 40:04d}.") for k in range(40)] + [(50, None), (50, None)])
     real = pii.permuted
@@ -325,6 +359,14 @@ def test_chat_of_odd_tables(spark):
     assert (got[5].loss_sha256, got[5].n_turns, got[5].turns_sha256) == (sha("d" * 200_000), 3, sha("\nc\n" + 2 * ("assistant\n" + "d" * 100_000 + "\n")))
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "smallint"])
+def test_chat_of_other_id_types(spark, kind):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    parts = chat.segments(turns.withColumn("conv_id", F.col("conv_id").cast(kind)))
+    got = {str(r.conv_id): (r.n_turns, r.loss_chars) for r in chat.digests(parts, chat.examples(parts)).collect()}
+    assert got == {"1": (2, 1), "2": (1, 1)}
+
+
 def test_urls(spark):
     rows = [(1, "https://A.Example.NET/en/x?q=1"), (2, "https://a.net/x"), (3, "http://example.com/de/1"), (4, "http://x.org/fr/"), (5, "http://x.org/en"), (6, None), (7, "no-scheme.net/"), (8, "http://notexample.com/de/")]
     bad = [("http://spam-farm.org/en/%d" % k, True) for k in range(30)] + [("http://fine%d.org/en/%d" % (k % 5, k), False) for k in range(100)]
