@@ -156,11 +156,8 @@ def g18_status_mean(spark, d):
     return rows.groupBy("entity_id").agg(F.round(G.promise_average(F.col("value")), 6).alias("promise_mean"))
 
 
-_ENTITY = "case conv_id % 4 when 0 then 'thon' when 1 then 'anea' when 2 then 'erin' else 'eron' end"
-
-
 @query(f"""with t as (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as n from conversations),
-g as (select {_ENTITY} as entity_id, conv_id as doc_id, n as turn, string_agg(text, {_NL} order by turn) filter (text <> '') as text from (select conv_id, n, turn, trim(text, ' ') as text from t) group by 1, 2, 3)
+g as (select {Q._ENTITY} as entity_id, conv_id as doc_id, n as turn, string_agg(text, {_NL} order by turn) filter (text <> '') as text from (select conv_id, n, turn, trim(text, ' ') as text from t) group by 1, 2, 3)
 select entity_id, doc_id, cast(turn as bigint) as turn, 'Ana ' || upper(entity_id[1]) || entity_id[2:] as speaker, md5(text) as h from g where turn > 0 and length(text) >= 150""")
 def d9_speech_turns(spark, d):
     """d9_speeches, of texts without blanks at their ends."""
@@ -169,7 +166,7 @@ def d9_speech_turns(spark, d):
 
 
 # ---- text
-_V1 = r"""list_filter(list_transform(string_split(regexp_replace({}, '([.!?…])\s+([A-ZĂÂÎȘȚ„"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 25)"""
+_V1 = Q._V1
 
 
 @query(f"select doc_id, len(s) as n, md5(array_to_string(s, chr(2))) as h from (select doc_id, {_V1.format('text')} as s from documents)")
@@ -218,18 +215,12 @@ def d19_primary_flag(spark, d):
     return D.primary_flag(docs.select("entity_id", "doc_id", (F.col("doc_id") % 7 == 0).alias("official")), docs.where("lang = 'en'")).select("entity_id", "doc_id", "primary")
 
 
-_OPINIONS = rf"""sents as (select doc_id, pos, unnest({_V1.format('text')}) as quote, generate_subscripts({_V1.format('text')}, 1) - 1 as k from paras),
-hits as (select *, len(list_filter({Q._TOKENS.format('lower(quote)')}, lambda t: regexp_matches(t, '^(tion|able|that)'))) as p, len(list_filter({Q._TOKENS.format('lower(quote)')}, lambda t: regexp_matches(t, '^(idiot|trash|scum|ther)'))) as m from sents),
-named as (select entity_id, doc_id, pos, k, quote, case when p > m then 'positive' when m > p then 'negative' else 'mixed' end as tone, row_number() over (partition by entity_id, doc_id, quote order by pos, k) as rn from hits, names where p + m > 0 and list_contains({Q._TOKENS.format('lower(strip_accents(quote))')}, entity_id)),
-opinions as (select * from (select *, row_number() over (partition by entity_id, doc_id order by pos, k) as r from named where rn = 1) where r <= 8)"""
-
-
-@query(f"with {Q._PARAS}, {Q._NAMES}, {_OPINIONS} select entity_id, doc_id, pos, k, md5(quote) as h, tone from opinions")
+@query(f"with {Q._PARAS}, {Q._NAMES}, {Q._OPINIONS} select entity_id, doc_id, pos, k, md5(quote) as h, tone from opinions")
 def d15_opinion_rows(spark, d):
     return Q.d15_opinions(spark, d).select("entity_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.col("k").cast("long").alias("k"), F.md5("quote").alias("h"), "tone")
 
 
-@query(f"""with {Q._PARAS}, {Q._NAMES}, {_OPINIONS}, t as (select entity_id, doc_id, case when count(case tone when 'positive' then 1 end) > count(case tone when 'negative' then 1 end) then 'positive' when count(case tone when 'positive' then 1 end) < count(case tone when 'negative' then 1 end) then 'negative' else 'mixed' end as tone from opinions group by 1, 2)
+@query(f"""with {Q._PARAS}, {Q._NAMES}, {Q._OPINIONS}, t as (select entity_id, doc_id, case when count(case tone when 'positive' then 1 end) > count(case tone when 'negative' then 1 end) then 'positive' when count(case tone when 'positive' then 1 end) < count(case tone when 'negative' then 1 end) then 'negative' else 'mixed' end as tone from opinions group by 1, 2)
 select * from t""")
 def d16_tones(spark, d):
     return D.article_tone(Q.d15_opinions(spark, d))

@@ -335,7 +335,12 @@ def d9_role_turns(spark, d):
     return D.role_turns(_t(spark, d, "conversations"))
 
 
-@query()
+_ENTITY = "case conv_id % 4 when 0 then 'thon' when 1 then 'anea' when 2 then 'erin' else 'eron' end"
+
+
+@query(rf"""with t as (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as n from conversations),
+g as (select {_ENTITY} as entity_id, conv_id as doc_id, n as turn, trim(string_agg(text, chr(10) order by turn) filter (text <> ''), ' ') as text from (select conv_id, n, turn, case when role = 'user' then regexp_replace(text, '^\s+', '') else text end as text from t) group by 1, 2, 3)
+select entity_id, doc_id, cast(turn as bigint) as turn, 'Ana ' || upper(entity_id[1]) || entity_id[2:] as speaker, md5(text) as h from g where turn > 0 and length(text) >= 150""")
 def d9_speeches(spark, d):
     return transcripts(spark, _t(spark, d, "conversations"))
 
@@ -376,13 +381,21 @@ def d14_analysis_stats(spark, d):
     return D.analysis_stats(_variants(spark), n_documents=found, n_long=found.where("n > 2"))
 
 
-@query()
+_V1 = r"""list_filter(list_transform(string_split(regexp_replace({}, '([.!?…])\s+([A-ZĂÂÎȘȚ„"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 25)"""
+_OPINIONS = rf"""sents as (select doc_id, pos, unnest({_V1.format('text')}) as quote, generate_subscripts({_V1.format('text')}, 1) - 1 as k from paras),
+hits as (select *, len(list_filter({_TOKENS.format('lower(quote)')}, lambda t: regexp_matches(t, '^(tion|able|that)'))) as p, len(list_filter({_TOKENS.format('lower(quote)')}, lambda t: regexp_matches(t, '^(idiot|trash|scum|ther)'))) as m from sents),
+named as (select entity_id, doc_id, pos, k, quote, case when p > m then 'positive' when m > p then 'negative' else 'mixed' end as tone, row_number() over (partition by entity_id, doc_id, quote order by pos, k) as rn from hits, names where p + m > 0 and list_contains({_TOKENS.format('lower(strip_accents(quote))')}, entity_id)),
+opinions as (select * from (select *, row_number() over (partition by entity_id, doc_id order by pos, k) as r from named where rn = 1) where r <= 8)"""
+
+
+@query(f"with {_PARAS}, {_NAMES}, {_OPINIONS} select entity_id, doc_id, cast(pos as int) as pos, cast(k as int) as k, quote, tone from opinions")
 def d15_opinions(spark, d):
     people = spark.createDataFrame([(n, n) for n in NAMES], "entity_id string, surname string")
     return D.opinions(C.text_paragraphs(_t(spark, d, "documents")), people, r"(?iU)\b(?:tion|able|that)\w*", r"(?iU)\b(?:idiot|trash|scum|ther)\w*")
 
 
-@query()
+@query(f"""with {_PARAS}, {_NAMES}, {_OPINIONS}, t as (select entity_id, doc_id, case when count(case tone when 'positive' then 1 end) > count(case tone when 'negative' then 1 end) then 'positive' when count(case tone when 'positive' then 1 end) < count(case tone when 'negative' then 1 end) then 'negative' else 'mixed' end as tone from opinions group by 1, 2)
+select entity_id, tone, count(*) as n from t group by 1, 2""")
 def d16_article_tone(spark, d):
     return D.article_tone(d15_opinions(spark, d)).groupBy("entity_id", "tone").agg(F.count("*").alias("n"))
 
@@ -456,7 +469,9 @@ def e11_candidate_pairs(spark, d):
     return E.candidate_pairs(_snippets(spark, d))
 
 
-@query()
+@query("""with r as (select cast(conv_id as varchar) as request_id, list(turn order by turn) as m, conv_id % 3 = 0 and count(*) > 1 as bad from conversations group by conv_id),
+h as (select request_id, m, bad, unnest(case when bad then [1, 2] else [0] end) as s from r)
+select case when bad then request_id || '.' || s else request_id end as request_id, case when not bad then m when s = 1 then m[1:len(m) // 2] else m[len(m) // 2 + 1:] end as members from h""")
 def e13_replan(spark, d):
     rows = _t(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("request_id")).agg(F.array_sort(F.collect_list("turn")).alias("members"))
     return E.replan_failed(rows, rows.where(F.col("request_id").cast("long") % 3 == 0))
@@ -531,7 +546,7 @@ def f7_flag_counts(spark, d):
     return R.flag_summary(rows).select("entity_id", F.explode("by_category").alias("category", "n"))
 
 
-@query()
+@query(r"""select cast(doc_id as varchar) as request_id, 'P1' as id, 'implausible' as category, 'medium' as severity, 'high' as confidence, regexp_replace(text, '[\\"\x00-\x1f]', ' ', 'g') as quote from documents""")
 def f3_findings(spark, d):
     """Answers that quote whole documents: every fifth is cut, so its complete objects are salvaged."""
     docs = _t(spark, d, "documents")
@@ -609,7 +624,9 @@ def g12_quality_flags(spark, d):
     return G.quality_flags(_answers(spark, d)).select("respondent_id", F.round("dk_share", 6).alias("dk_share"), "flags")
 
 
-@query()
+@query(f"""with {_ANSWERS}, f as (select respondent_id, axis_id, row_number() over (partition by respondent_id order by case when score is null then 0 else k end, axis_id) as rank from scored),
+pool as (select respondent_id, f.axis_id, rank, i as item_id, i % 2 as odd, row_number() over (partition by respondent_id, f.axis_id, i % 2 order by i) as r from f join (select unnest(range(50)) as i) on i // 5 = f.axis_id where not exists (select 1 from answers a where a.respondent_id = f.respondent_id and a.item_id = i))
+select respondent_id, item_id, cast(nth as int) as nth from (select *, row_number() over (partition by respondent_id order by rank, 2 * r - case when odd = 0 then 1 else 0 end) as nth from pool where r <= 3) where nth <= 5""")
 def g15_next_items(spark, d):
     answers = _answers(spark, d)
     scores = G.axis_scores(answers, _items(spark))
