@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta.functions.text import cut_words, fold, norm_words, plain_quotes, split_sentences, squash
 from attesta.operators.corpus import keep_first
-from attesta.operators.scans import running
+from attesta.operators.scans import numbered, running
+from attesta.sources.scratch import written
 
 #: Fixed values.
 CATEGORIES = ["likely_false", "contradiction", "conspiratorial", "unverifiable", "implausible", "logical_fallacy", "misleading", "other_suspicious"]
@@ -352,59 +354,96 @@ def axis_paragraphs(paras: DataFrame, axes: DataFrame) -> DataFrame:
     return rows.withColumn("weight", weight).drop("_hits", "rx")
 
 
+def _share(n: Column, budget: int) -> Column:
+    return F.greatest(F.lit(SOURCE_ROOM), F.floor(F.lit(budget) / n)).cast("int")
+
+
+def _blocks(rows: DataFrame, budget: int) -> DataFrame:
+    """(entity_id, axis_id, place, doc_id, header, body): what is kept of each source; body is empty where nothing is.
+
+    rows: (entity_id, axis_id, place, share, used, doc_id, header, minus, pos, text), a row without text being a source alone. A source's heaviest
+    paragraphs that fit its room are kept, in the text's order, and others passed over. Where used is null, each source has its
+    share. Else the sources of a group share what is left of the budget behind `used`, in order, and under LEAST_ROOM the rest is left out.
+    Rows stream, sorted, through a task that holds one source.
+    """
+    names = ["entity_id", "axis_id", "place", "doc_id", "header", "body"]
+    schema = T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in names[:-1]), T.StructField("body", T.StringType())])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        group, used, over, source, out = None, None, False, None, []
+
+        def close() -> None:
+            nonlocal used, source
+            if source is not None:
+                body = "\n".join(f"- {t}" for _, t in sorted(source["kept"]))
+                out.append((*source["row"], body))
+                if used is not None and body:
+                    used += len(source["row"][-1]) + len(body) + 2
+            source = None
+
+        for batch in batches:
+            for entity, axis, place, share, begun, doc, header, pos, text in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                if group is None or group != (entity, axis):
+                    close()
+                    group, used, over = (entity, axis), begun, False
+                if source is not None and source["row"][2] != place:
+                    close()
+                if over:
+                    continue
+                if source is None:
+                    room = (share if used is None else min(share, budget - used)) - len(header) - 2
+                    if used is not None and room < LEAST_ROOM:
+                        over = True
+                        continue
+                    source = {"row": (entity, axis, place, doc, header), "room": room, "size": 0, "kept": []}
+                if text is not None and source["size"] + len(text) + 3 <= source["room"]:
+                    source["kept"].append((pos, text))
+                    source["size"] += len(text) + 3
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return rows.select("entity_id", "axis_id", "place", "share", "used", "doc_id", "header", "pos", "text").mapInArrow(keep, schema)
+
+
 def axis_context(paras: DataFrame, axes: DataFrame, budget: int) -> DataFrame:
     """(entity_id, axis_id, context, refs): the text of an axis's request, and which source each tag [S1].. stands for.
 
     paras: as for axis_paragraphs, with header (what is shown of the source). Sources by official and weight; each has an
     equal share of the budget, 700 characters at least. Its heaviest paragraphs that fit are kept, in the text's order, and
-    others passed over; under 200 characters of room the rest of the sources is left out. What is kept hangs on all before
-    it, so a group's paragraphs stream, sorted, through a task that holds one source and the text made so far (the budget).
+    others passed over; under 200 characters of room the rest of the sources is left out.
+
+    As long as the budget holds a whole share, what a source keeps hangs on itself alone: those are found source by source, and a
+    running total tells where they end. Only the sources behind that, with the paragraphs that can still fit, stream through one task.
     """
     rows = axis_paragraphs(paras, axes)
-    docs = rows.groupBy("entity_id", "axis_id", "doc_id").agg(F.sum("weight").alias("_sum"), F.max("official").alias("_official"))
-    group = Window.partitionBy("entity_id", "axis_id")
-    docs = docs.withColumn("_place", F.row_number().over(group.orderBy(F.col("_official").desc(), F.col("_sum").desc(), "doc_id"))).withColumn("_n", F.count("*").over(group))
-    placed = rows.join(docs, ["entity_id", "axis_id", "doc_id"]).withColumn("_minus", -F.col("weight"))
-    kinds = {c: paras.schema[c].dataType.simpleString() if c != "axis_id" else axes.schema[c].dataType.simpleString() for c in ("entity_id", "axis_id", "doc_id")}
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, doc, out = None, None, []
-
-        def close_doc():
-            if doc and doc["kept"]:
-                body = "\n".join(f"- {t}" for _, t in sorted(doc["kept"]))
-                now["blocks"].append(doc["header"] + "\n" + body)
-                now["refs"].append({"tag": doc["tag"], "doc_id": doc["id"]})
-                now["used"] += len(doc["header"]) + len(body) + 2
-
-        def close_group():
-            close_doc()
-            if now and now["blocks"]:
-                out.append((*now["key"], "\n\n".join(now["blocks"]), now["refs"]))
-
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if now is None or now["key"] != (r.entity_id, r.axis_id):
-                    close_group()
-                    now, doc = {"key": (r.entity_id, r.axis_id), "blocks": [], "refs": [], "used": 0, "over": False}, None
-                if now["over"]:
-                    continue
-                if doc is None or doc["place"] != r.place:
-                    close_doc()
-                    header = f"[S{r.place}] {r.header}"
-                    room = min(max(SOURCE_ROOM, budget // r.n), budget - now["used"]) - len(header) - 2
-                    doc = {"place": r.place, "id": r.doc_id, "tag": f"S{r.place}", "header": header, "room": room, "size": 0, "kept": []}
-                    if room < LEAST_ROOM:
-                        now["over"], doc = True, None
-                        continue
-                if doc["size"] + len(r.text) + 3 <= doc["room"]:
-                    doc["kept"].append((r.pos, r.text))
-                    doc["size"] += len(r.text) + 3
-            yield pd.DataFrame(out, columns=["entity_id", "axis_id", "context", "refs"])
-            out = []
-        close_group()
-        yield pd.DataFrame(out, columns=["entity_id", "axis_id", "context", "refs"])
-
-    ordered = placed.select("entity_id", "axis_id", F.col("_place").alias("place"), F.col("_n").alias("n"), "doc_id", "header", "pos", F.substring("text", 1, PARAGRAPH).alias("text"), "_minus")
-    ordered = ordered.repartition("entity_id", "axis_id").sortWithinPartitions("entity_id", "axis_id", "place", "_minus", "pos").drop("_minus")
-    return ordered.mapInPandas(write, f"entity_id {kinds['entity_id']}, axis_id {kinds['axis_id']}, context string, refs array<struct<tag: string, doc_id: {kinds['doc_id']}>>")
+    group = ["entity_id", "axis_id"]
+    docs = rows.groupBy(*group, "doc_id").agg(F.sum("weight").alias("_sum"), F.max("official").alias("_official"), F.first("header").alias("_header"))
+    docs = numbered(docs, group, [F.col("_official").desc(), F.col("_sum").desc(), F.col("doc_id")], "place")
+    docs = docs.join(docs.groupBy(*group).agg(F.count("*").alias("_n")), group)
+    docs = docs.select(*group, "doc_id", "place", _share(F.col("_n"), budget).alias("share"), F.concat(F.lit("[S"), F.col("place").cast("string"), F.lit("] "), F.col("_header")).alias("header"))
+    told = rows.select(*group, "doc_id", (-F.col("weight")).alias("minus"), "pos", F.substring("text", 1, PARAGRAPH).alias("text")).join(docs, [*group, "doc_id"])
+    in_order = lambda df, *by: df.repartition(*by).sortWithinPartitions(*group, "place", "minus", "pos")
+    alone = written(_blocks(in_order(told.withColumn("used", F.lit(None).cast("int")), *group, "doc_id"), budget).join(docs.select(*group, "place", "share"), [*group, "place"]), "blocks")
+    took = F.when(F.col("body") != "", F.length("header") + F.length("body") + 2).otherwise(0)
+    alone = running(alone, group, ["place"], _upto=took).withColumn("_before", F.col("_upto") - took)
+    whole = F.lit(budget) - F.col("_before") >= F.col("share")
+    closed = F.col("share") - F.length("header") - 2 < LEAST_ROOM
+    ends = alone.groupBy(*group).agg(F.min(F.when(~whole, F.col("place"))).alias("_part"), F.min(F.when(whole & closed, F.col("place"))).alias("_shut"), F.min(F.when(~whole, F.col("_before"))).cast("int").alias("_used"))
+    alone = alone.join(ends, group)
+    settled = alone.where((F.col("_part").isNull() | (F.col("place") < F.col("_part"))) & (F.col("_shut").isNull() | (F.col("place") < F.col("_shut")))).where("body <> ''")
+    tail = alone.where((F.col("place") >= F.col("_part")) & (F.col("_shut").isNull() | (F.col("_shut") > F.col("_part")))).select(*group, "place", "doc_id", "share", "header", F.col("_used").alias("used"))
+    fits = F.length("text") + 3 <= F.lit(budget) - F.col("used") - F.length("header") - 2
+    left = told.select(*group, "place", "minus", "pos", "text").join(tail, [*group, "place"]).where(fits)
+    left = left.unionByName(tail.withColumns({"minus": F.lit(None).cast(told.schema["minus"].dataType), "pos": F.lit(None).cast(told.schema["pos"].dataType), "text": F.lit(None).cast("string")}))
+    last = _blocks(in_order(left, *group), budget).where("body <> ''")
+    both = settled.select(*last.columns).unionByName(last)
+    listed = both.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("place", "header", "body", "doc_id"))).alias("x"))
+    context = F.array_join(F.transform("x", lambda b: F.concat(b["header"], F.lit("\n"), b["body"])), "\n\n")
+    return listed.select(*group, context.alias("context"), F.transform("x", lambda b: F.struct(F.concat(F.lit("S"), b["place"].cast("string")).alias("tag"), b["doc_id"].alias("doc_id"))).alias("refs"))
