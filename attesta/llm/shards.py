@@ -44,10 +44,14 @@ def quotas(want: list[list[int]], room: list[int]) -> list[list[int]]:
     while True:  # whole numbers may leave less than the flows did
         bad = [j for j in range(n) if sum(whole[i][j] for i in range(n)) > room[j] + sum(whole[j])]
         if not bad:
-            return whole
+            break
         j = bad[0]
         i = max(range(n), key=lambda i: whole[i][j])
         whole[i][j] -= min(whole[i][j], sum(whole[k][j] for k in range(n)) - room[j] - sum(whole[j]))
+    for i, j in sorted(((i, j) for i in range(n) for j in range(n)), key=lambda x: whole[x[0]][x[1]] - want[x[0]][x[1]]):
+        # what flooring left over
+        whole[i][j] += max(0, min(want[i][j] - whole[i][j], room[j] + sum(whole[j]) - sum(whole[k][j] for k in range(n))))
+    return whole
 
 
 def _votes(links: DataFrame, state: DataFrame, shards: int) -> DataFrame:
