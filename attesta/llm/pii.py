@@ -58,16 +58,19 @@ NAME = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëï
 RANGES = [
     (0xDF, 0x17F), (0x180, 0x24F), (0x1E01, 0x1EFF), (0x370, 0x3FF), (0x1F00, 0x1FFF), (0x430, 0x45F), (0x460, 0x52F), (0x561, 0x587), (0x5D0, 0x5EA), (0x620, 0x64A),
     (0x671, 0x6D3), (0x710, 0x72F), (0x780, 0x7A5), (0x7CA, 0x7EA), *((k, k + 0x7F) for k in range(0x900, 0xE00, 0x80)), (0xE01, 0xE30), (0xE81, 0xEB0), (0xF40, 0xF6C),
-    (0x1000, 0x102A), (0x10D0, 0x10FA), (0x1200, 0x137F), (0x1401, 0x166C), (0x1780, 0x17B3), (0x1820, 0x1878), (0x2C30, 0x2C5F), (0x2C81, 0x2CE3), (0x2D30, 0x2D67),
-    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3105, 0x312F), (0xA000, 0xA48C), (0xAB70, 0xABBF), (0xAC00, 0xD7A3), (0x4E00, 0x9FFF),
+    (0x1000, 0x102A), (0x10D0, 0x10FA), (0x1200, 0x137F), (0x1780, 0x17B3), (0x1820, 0x1878), (0x2C30, 0x2C5F), (0x2C81, 0x2CE3), (0x2D30, 0x2D67),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3105, 0x312F), (0xAB70, 0xABBF),
 ]
+#: Ranges that hold nothing but letters without case; moved by their code points, so plans don't hold thousands of letters.
+LARGE = [(0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xA016, 0xA48C), (0x1401, 0x166C)]
 _STATED = set("".join(NAME))
 
 
 def _letters(first: int, last: int) -> str:
     """Letters of a range that are small or without case, if case changes one into one."""
     own = (chr(c) for c in range(first, last + 1))
-    return "".join(c for c in own if unicodedata.category(c) in ("Ll", "Lo") and c not in _STATED and len(c.upper()) == 1 and c.upper().lower() == c)
+    fits = lambda c: unicodedata.category(c) == "Lo" or (unicodedata.category(c) == "Ll" and len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c)
+    return "".join(c for c in own if c not in _STATED and fits(c))
 
 
 NAME += [x for x in (_letters(*r) for r in RANGES) if len(x) > 4]
@@ -107,7 +110,11 @@ def _moved(text: Column, digest: Column, alphabets: list[str]) -> Column:
         own = F.size(F.filter(bounds, lambda x: x <= at)) - 1
         start = F.get(bounds, own)
         to = F.substring(F.lit(every), start + (at - start + by) % F.get(F.array(*map(F.lit, sizes)), own) + 1, F.lit(1))
-        return F.when((c != "") & (at >= 0), to).otherwise(c)
+        out = F.when((c != "") & (at >= 0), to)
+        for first, last in LARGE if len(every) > 256 else ():
+            moved = first + (F.ascii(c) - first + by) % (last - first + 1)
+            out = out.when(F.ascii(c).between(first, last), F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE"))
+        return out.otherwise(c)
 
     return _let(digest, lambda d: F.array_join(F.transform(F.split(text, ""), lambda c, k: char(c, k, d)), ""))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 from collections import defaultdict
 
 import pytest
