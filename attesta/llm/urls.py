@@ -1,7 +1,7 @@
 """URL verdicts: fixed host and path rules, and else association rules mined by FP-growth from labelled URLs.
 
 A URL is a set of tokens (host suffixes and labels, path parts, query keys). FP-growth mines the token combinations of
-labelled URLs together with their label; rules that tell the label with enough support, confidence and lift are kept, of
+labelled URLs together with their label, long URLs through conditional bases; rules that tell the label with enough support, confidence and lift are kept, of
 those with the same or a weaker say only the shortest. Pages find the rules they satisfy through an inverted index that
 holds each rule under its rarest token.
 """
@@ -20,11 +20,12 @@ from attesta.llm.common import materialise, small, table
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.6, 1.5
 #: Least number of labelled URLs behind a rule, whatever their share.
 MIN_ROWS = 5
-#: Tokens that describe a URL in mining; a basket of n tokens has at most 2 ** n combinations.
+#: Items of a basket that goes to FP-growth whole (it has at most 2 ** MAX_ITEMS combinations); longer ones go through conditional bases.
 MAX_ITEMS = 10
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-BAD = "=block"
+#: The label among the items of a basket.
+BAD = -1
 
 
 def lower_ascii(c: Column) -> Column:
@@ -68,31 +69,82 @@ def _items(baskets: DataFrame, least: int) -> DataFrame:
     return counted.where(F.col("bad") >= least).withColumn("item", F.min("token").over(Window.partitionBy("n", "x", "y"))).select("token", "item", "n", "bad")
 
 
+def _fp_growth(bases: DataFrame, least: int, min_confidence: float) -> DataFrame:
+    """(items, n, bad): combinations of two items at least, with those of their prefix, that tell the label surely enough.
+
+    Baskets of all bases are mined at once: an item is written behind its base's prefix, so bases share none.
+    """
+    from pyspark.ml.fpm import FPGrowth
+
+    name = lambda item: F.concat(F.array_join("prefix", "."), F.lit(":"), item.cast("string"))
+    labelled = F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items"))
+    baskets = materialise(bases.select(F.transform(labelled, name).alias("items")), "url-baskets")
+    total = baskets.count()
+    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, total)), minConfidence=min_confidence).fit(baskets).associationRules
+    rules = rules.where(F.endswith(F.get("consequent", 0), F.lit(f":{BAD}")) & (F.size("antecedent") > 1))
+    prefix = F.filter(F.split(F.split(F.get("antecedent", 0), ":")[0], r"\."), lambda x: x != "").cast("array<int>")
+    own = F.transform("antecedent", lambda x: F.split(x, ":")[1].cast("int"))
+    bad = F.round(F.col("support") * total)
+    return rules.select(F.concat(prefix, own).alias("items"), F.round(bad / F.col("confidence")).cast("long").alias("n"), bad.cast("long").alias("bad"))
+
+
+def combinations(baskets: DataFrame, least: int, min_confidence: float) -> DataFrame:
+    """(items, n, bad): all combinations of items that at least `least` bad baskets have and that tell the label surely enough,
+    n baskets and bad bad ones having them; perhaps without some that a part of theirs makes needless, being as sure.
+
+    baskets: (items, bad), items being distinct numbers. This is FP-growth's recursion, the bases of one depth at a
+    time: the base of a prefix holds, of each basket with the prefix, the items that come before it. A base whose baskets
+    have at most MAX_ITEMS items is mined; the items of others are prefixes one longer, each with its base. From a
+    base go items that too few bad baskets have, those all its baskets have (the prefix alone is as sure) and those that only bad
+    ones have (nothing longer is surer); no others, so nothing is missed, and rounds end when no base is too long.
+    """
+    bases = baskets.select(F.expr("cast(array() as array<int>)").alias("prefix"), F.lit(-1).cast("long").alias("all"), "bad", F.array_sort("items").alias("items"))
+    bases, found = bases.where(F.size("items") > 0).withColumn("basket", F.monotonically_increasing_id()), None
+    while True:
+        bases = materialise(bases, "url-bases")
+        each = bases.select("prefix", "all", "bad", F.explode("items").alias("item"))
+        counts = each.groupBy("prefix", "all", "item").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad")).where((F.col("n_bad") >= least) & (F.col("n") != F.col("all")))
+        counts = materialise(counts, "url-counts")
+        told = counts.where(F.col("n_bad") / F.col("n") >= min_confidence).select(F.concat("prefix", F.array("item")).alias("items"), "n", F.col("n_bad").alias("bad"))
+        found = told if found is None else found.union(told)
+        lasting = counts.where("n > n_bad").select("prefix", "item", "n")
+        kept = bases.select("prefix", "basket", "bad", F.explode("items").alias("item")).join(lasting, ["prefix", "item"])
+        kept = kept.groupBy("prefix", "basket", "bad").agg(F.array_sort(F.collect_list(F.struct("item", "n"))).alias("own"))
+        kept = materialise(kept, "url-kept")
+        long = materialise(kept.groupBy("prefix").agg(F.max(F.size("own")).alias("most")).where(F.col("most") > MAX_ITEMS).select("prefix"), "url-long")
+        short = kept.join(long, "prefix", "left_anti").select("prefix", "bad", F.transform("own", lambda x: x["item"]).alias("items"))
+        if not short.isEmpty():
+            found = found.union(_fp_growth(short, least, min_confidence))
+        if long.isEmpty():
+            return found
+        at = kept.join(long, "prefix").select("prefix", "bad", "own", F.posexplode("own").alias("at", "last")).where("at > 0")
+        longer = F.concat("prefix", F.array("last.item")).alias("prefix")
+        bases = at.select(longer, F.col("last.n").alias("all"), "bad", F.transform(F.slice("own", 1, F.col("at")), lambda x: x["item"]).alias("items"))
+        bases = bases.withColumn("basket", F.monotonically_increasing_id())
+
+
 def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS) -> DataFrame:
     """(rule_id, antecedent, rarest, confidence, support): token combinations that tell a bad URL. Empty when nothing passes.
 
     Rows with a null url or label are left out; repeated rows count each. A combination needs min_rows bad URLs and their share
-    min_support. Tokens that always stand together are one item; in mining, a URL is described by the MAX_ITEMS of its
-    items that have the largest share of bad URLs (then the more frequent, then the smaller one), so no URL, however long,
-    gives more than 2 ** MAX_ITEMS combinations. Pages are matched by all their tokens. The label is one more item of the
-    basket; of the rules that FP-growth gives, those whose consequent is that item stay, if no shorter rule within them is
-    as confident. rarest: the antecedent's token that the fewest labelled URLs have.
+    min_support. Tokens that always stand together are one item; a URL is described by all its items, however many. The
+    label is one more item of the basket; of the rules whose consequent is that item those stay that have no shorter
+    rule within them as confident. rarest: the antecedent's token that the fewest labelled URLs have.
     """
-    from pyspark.ml.fpm import FPGrowth
-
     rows = labelled.where(F.col(url).isNotNull() & F.col(bad).isNotNull()).select(tokens_of(F.col(url)).alias("tokens"), F.col(bad).alias("bad"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "url-tokens")
-    total = rows.count()
+    total, all_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
     least = max(min_rows, math.ceil(min_support * total))
     items = materialise(_items(rows, least), "url-items")
-    heads = items.where("token = item").select("item", "n", "bad")
-    # heads are bounded: each has a share min_support of the URLs, which have a bounded number of tokens each
-    own = rows.select("row", F.explode("tokens").alias("token")).join(small(heads.withColumnRenamed("bad", "n_bad")), F.col("token") == F.col("item"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n_bad") / F.col("n")).alias("a"), (-F.col("n")).alias("b"), F.col("item").alias("c")))), 1, MAX_ITEMS)
-    described = own.groupBy("row").agg(F.transform(best, lambda x: x["c"]).alias("items"))
-    baskets = rows.select("row", "bad").join(described, "row", "left").select(F.concat(F.coalesce("items", F.expr("cast(array() as array<string>)")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, total)), minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    # heads are bounded: each has a share min_support of the URLs, which have a bounded number of tokens each; frequent ones have small numbers
+    heads = materialise(items.where("token = item").select("item", "n", F.row_number().over(Window.orderBy(F.desc("n"), "item")).alias("number")), "url-heads")
+    own = rows.select("row", "bad", F.explode("tokens").alias("item")).join(small(heads.select("item", "number")), "item")
+    told = combinations(own.groupBy("row", "bad").agg(F.collect_list("number").alias("items")), least, min_confidence)
+    share = F.lit(max(1, all_bad) / max(1, total))
+    told = materialise(told.where(F.col("bad") / F.col("n") / share >= min_lift).withColumn("told", F.monotonically_increasing_id()), "url-told")
+    named = told.select("told", "n", "bad", F.explode("items").alias("number")).join(small(heads.select("item", "number")), "number")
+    found = named.groupBy("told", "n", "bad").agg(F.array_sort(F.collect_list("item")).alias("antecedent"))
+    found = found.select("antecedent", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / total).alias("support"))
     found = materialise(found.withColumn("rule_id", F.xxhash64("antecedent")), "url-rules")
     shorter = found.select(F.col("rule_id").alias("other"), F.col("antecedent").alias("part"), F.col("confidence").alias("says"), F.get("antecedent", 0).alias("token"))
     within = found.withColumn("token", F.explode("antecedent")).join(shorter, "token").where((F.size("part") < F.size("antecedent")) & (F.col("says") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0))

@@ -409,6 +409,35 @@ def test_url_rules_against_all_combinations(spark):
     assert got == {u: round(p, 9) for u in pages if (p := sure(u)) is not None} and 0 < len(got) < len(pages)
 
 
+def test_rules_of_urls_with_many_items_against_all_combinations(spark, monkeypatch):
+    """Bases are passed on twice at least; each combination counts in long URLs too."""
+    rng = random.Random(31)
+    some = lambda n: f"http://{rng.choice('ab')}.io/" + "/".join(rng.sample("pqrstuvw", n))
+    labelled = [(u, rng.random() < (0.9 if "p" in u and "q" in u[10:] else 0.8 if "/w" in u and "a." in u else 0.3)) for u in (some(rng.randint(1, 4)) for _ in range(700))]
+    pages = sorted({some(rng.randint(1, 5)) for _ in range(300)})
+    sure = plain_rules(labelled, 25)
+    for most in (2, 3):
+        monkeypatch.setattr(urls, "MAX_ITEMS", most)
+        rules = urls.mine(spark.createDataFrame(labelled, "url string, bad boolean"), min_rows=25)
+        got = {r.url: round(r.confidence, 9) for r in urls.match(spark.createDataFrame([(u,) for u in pages], "url string"), rules).collect()}
+        assert got == {u: round(p, 9) for u in pages if (p := sure(u)) is not None} and 0 < len(got) < len(pages)
+
+
+def test_a_pair_behind_many_more_telling_items(spark):
+    """Twelve parts are each more often bad than the two that together always are; long URLs have all of them."""
+    rng = random.Random(5)
+    decoys = [f"d{k}" for k in range(14)]
+    url = lambda *own: "http://x.io/" + "/".join([*rng.sample(decoys, 12), *own])
+    rows = [(url("u", "v"), True) for _ in range(12)] + [(url(), True) for _ in range(12)] + [(url(), False) for _ in range(20)]
+    rows += [(f"http://x.io/{part}", False) for part in "uv" for _ in range(40)] + [(f"http://x.io/z{k}", False) for k in range(100)]
+    rules = {tuple(r.antecedent): (r.confidence, r.support) for r in urls.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert rules[("p:u", "p:v")] == (1.0, 12 / len(rows))
+    # every other rule is counted right, too
+    for parts, (confidence, _) in rng.sample(sorted(rules.items()), min(50, len(rules))):
+        own = [bad for u, bad in rows if all(x[2:] in u.split("/") or x[2:] in u.split("/")[2] for x in parts)]
+        assert round(sum(own) / len(own), 9) == round(confidence, 9)
+
+
 def test_long_urls_give_few_rules(spark):
     long = "http://h.org/" + "/".join(f"part{k}" for k in range(40))
     nested = ["http://n.org/" + "/".join(f"n{j}" for j in range(k)) for k in range(1, 40)]
