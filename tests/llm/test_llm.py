@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import chat, decontaminate, ngram_join, packing, pii, repeats, simhash, tokens, toxicity, urls
-from attesta.llm.suffix_sort import suffix_array
+from attesta.llm.suffix_sort import sorted_suffixes, suffix_array
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -163,6 +163,32 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffixes_through_phrases():
+    rng = random.Random(4)
+    texts = [b"", b"a", b"ab" * 3000, b"\0" * 40, bytes(range(256)) * 3, words(rng, 300).encode()]
+    for k in range(120):
+        pieces = [b"".join(rng.choice(texts[4:] if k % 2 else [b"x", b"yz", b"\xff\0"])[:90] for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 4))]
+        pieces = [*pieces, pieces[0][5:]] if k % 3 else texts[: k % 4 + 1] if k % 9 == 0 else pieces
+        lows = [sum(len(x) + 1 for x in pieces[:j]) for j in range(len(pieces))]
+        keys = {low + i: ([*(b + len(pieces) for b in x[i:]), j]) for j, (low, x) in enumerate(zip(lows, pieces, strict=True)) for i in range(len(x))} if sum(map(len, pieces)) < 3000 else None
+        got = sorted_suffixes(pieces).tolist()
+        assert len(got) == sum(map(len, pieces)) and (keys is None or got == sorted(keys, key=keys.get))
+
+
+def test_long_copies_pass_few_symbols_to_the_grouping(monkeypatch):
+    """The interpreted grouping sorts phrases, not bytes; what repeats is found all the same."""
+    from attesta.llm import suffix_sort
+
+    rng, seen, grouped = random.Random(6), [], suffix_sort.suffix_array
+    monkeypatch.setattr(suffix_sort, "suffix_array", lambda text: seen.append(len(text)) or grouped(text))
+    passage = words(rng, 500).encode()
+    blocks = [b"one " + passage + b" end", b"another " + passage[:1500] + b"!" + passage[1500:]]
+    got = repeats.repeated_starts(blocks, 400)
+    every = [b[k : k + 400] for b in blocks for k in range(len(b) - 399)]
+    assert [x for own in got for x in own.tolist()] == [every.count(x) > 1 for x in every]
+    assert sum(seen) * 8 < sum(map(len, blocks))
+
+
 def test_repeats(spark, rows):
     docs = [r for r in rows if r[1] is None or len(r[1]) < 4000] + [(900, "ab" * 300), (901, "z" * 399), (902, "z" * 400), (903, "y" * 401)]
     got = repeats.remove_repeats(make(spark, docs)).collect()
