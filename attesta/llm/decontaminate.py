@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import ascii_words, own_name, table, text_bytes
+from attesta.llm.common import ascii_words, lean, own_name, table, text_bytes
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 13
@@ -271,7 +271,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: st
         before = kept if out is None else out.withColumnsRenamed({n: f"_{n}" for n in ADDED.names})
         schema = T.StructType([*before.schema.fields, *ADDED.fields])
         arrow = to_arrow_schema(schema)
-        now = before.mapInArrow(_annotator(handle, text, before.columns, arrow), schema)
+        now = before.mapInArrow(lean(_annotator(handle, text, before.columns, arrow)), schema)
         if out is not None:
             now = _unite(now, kept.columns)
         out = now

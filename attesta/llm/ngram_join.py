@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import components, materialise, own_name, small, table, text_bytes
+from attesta.llm.common import components, lean, materialise, own_name, small, table, text_bytes
 
 #: Words of a shingle; similarity as a whole percentage.
 WORDS, PERCENT = 5, 80
@@ -170,7 +170,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*facts, strict=True), (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *columns, pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), struct)], names=["id", "tag", "n", "h1", "h2", "home", "guest", "bands"])
 
-    return docs.select("id", "text", "tag").mapInArrow(run, f"id {kind}, tag long, n long, h1 long, h2 long, home binary, guest binary, bands array<struct<spare: long, keys: array<long>>>")
+    return docs.select("id", "text", "tag").mapInArrow(lean(run), f"id {kind}, tag long, n long, h1 long, h2 long, home binary, guest binary, bands array<struct<spare: long, keys: array<long>>>")
 
 
 def _same(left: str, right: str):
@@ -199,7 +199,7 @@ def _sketch_test(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(lean(run), "a long, b long")
 
 
 def _exact_test(pairs: DataFrame, docs: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _exact_test(pairs: DataFrame, docs: DataFrame, numbers: DataFrame) -> DataFr
                 own = pa.array([_halves(s) == h for s, h in zip(found, zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([piece.column(0).filter(own), pa.array([s.tobytes() for s in found], pa.binary()).filter(own)], names=["node", "s"])
 
-    own = docs.join(small(wanted), F.col("id").eqNullSafe(F.col("rep"))).select("node", "text", "h1", "h2").mapInArrow(shingle, "node long, s binary")
+    own = docs.join(small(wanted), F.col("id").eqNullSafe(F.col("rep"))).select("node", "text", "h1", "h2").mapInArrow(lean(shingle), "node long, s binary")
     sets = materialise(own.dropDuplicates(["node"]), "sets")
     met = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
 
@@ -234,7 +234,7 @@ def _exact_test(pairs: DataFrame, docs: DataFrame, numbers: DataFrame) -> DataFr
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _pair(x, y, condition):
@@ -302,7 +302,7 @@ def _within_common(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs = compare(own)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:

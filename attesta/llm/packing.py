@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import materialise, table, text_bytes
+from attesta.llm.common import lean, materialise, table, text_bytes
 from attesta.llm.tokens import ids_of
 
 WINDOW, END_ID = 2048, 1
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
                 yield pa.RecordBatch.from_arrays([again, *(pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(id_col, text).mapInArrow(lean(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(parts: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:

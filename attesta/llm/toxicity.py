@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import ascii_words, own_name, table, text_bytes
+from attesta.llm.common import ascii_words, lean, own_name, table, text_bytes
 
 #: Hash space of features; labelled rows that a fit uses at most; passes over them.
 SPACE, FIT_ROWS, PASSES = 1 << 20, 12_000, 4
@@ -129,9 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         used, weights, bias = model.model() if known else (np.zeros(0, np.int32), np.zeros(0, np.float32), NOTHING)
         yield pa.RecordBatch.from_arrays([pa.array([used.tobytes()]), pa.array([weights.tobytes()]), pa.array([bias])], names=["used", "weights", "bias"])
 
-    one = chosen.mapInArrow(features, "k long, y int, f binary").groupBy("k").agg(F.max("y").alias("y"), F.min("f").alias("f"))
+    one = chosen.mapInArrow(lean(features), "k long, y int, f binary").groupBy("k").agg(F.max("y").alias("y"), F.min("f").alias("f"))
     met = one.repartition(1).sortWithinPartitions("k")
-    row = met.mapInArrow(learn, "used binary, weights binary, bias double").first()
+    row = met.mapInArrow(lean(learn), "used binary, weights binary, bias double").first()
     if row is None:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), NOTHING
     return np.frombuffer(bytes(row[0]), np.int32), np.frombuffer(bytes(row[1]), np.float32), float(row[2])
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model, text: str = "text", to: str = "score") -> Data
             total = np.array([dense[hashed(t)].sum() for t in text_bytes(batch.column(text))]) + bias
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=arrow_names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

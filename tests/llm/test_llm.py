@@ -155,6 +155,31 @@ def test_added_tokens_have_their_ids(spark):
     assert [(r.n_chars, r.n_tokens) for r in rows] == [(len(text), len(plain.tokens(text)))]
 
 
+def test_workers_give_memory_back(spark):
+    """A worker that serves a small task after a large one holds little of what the large one held."""
+    from attesta.llm.common import lean
+
+    def held(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rest = [bytes(2000) for _ in range(100_000)]
+            pinned = rest[::1000]  # what stays lies between what goes
+            del rest
+            held.pinned = pinned
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["id"])
+
+    def anonymous():
+        return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) / 1024
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["id"])
+    before = anonymous()
+    assert len(list(lean(held)([batch]))) == 1
+    assert anonymous() - before < 60  # of 200 MB
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(500):
