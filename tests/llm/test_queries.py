@@ -78,6 +78,21 @@ def test_op4_and_op6(spark, tables, texts):
     assert all(got[i].text == (t or "") for i, t in texts if got[i].n_removed == 0) and any(r.n_removed for r in got.values())
 
 
+def test_op6_planted_passages(spark, tmp_path):
+    """A passage of over 50 words goes from both its documents where it has 400 bytes, and stays where it has fewer; other documents keep all."""
+    rng = random.Random(17)
+    docs = {k: words(rng, 150) for k in range(60)}
+    planted = [(k, k + 20, " ".join(docs[k].split()[30 : 81 + k])) for k in range(20)]
+    for _, to, passage in planted:
+        docs[to] = f"{docs[to][:300]}#{passage}#{docs[to][300:]}"
+    make(spark, docs.items()).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in Q["op6_repeats"](spark, str(tmp_path)).collect()}
+    gone = {i for a, b, passage in planted if len(passage) >= 400 for i in (a, b)}
+    assert 0 < len(gone) < 40
+    assert {i for i, r in got.items() if r.n_removed > 0} == {i for i, r in got.items() if r.n_spans > 0} == {i for i, r in got.items() if r.text != docs[i]} == gone
+    assert not any(passage in got[i].text for *both, passage in planted for i in both if i in gone)
+
+
 def test_op7_against_the_tokenizer(spark, tables, texts):
     plain.tokens("")
     want = {}
