@@ -30,3 +30,8 @@ def rows(spark, tmp_path, name):
 def test_sentences_keep_digits_at_their_ends(spark, tmp_path):
     got, want = rows(spark, tmp_path, "b13_split_sentences_v1")
     assert got == want
+
+
+def test_opinion_rows_keep_digits_at_their_ends(spark, tmp_path):
+    got, want = rows(spark, tmp_path, "d15_opinion_rows")
+    assert got == want and len(got) > 5
