@@ -35,3 +35,9 @@ def test_sentences_keep_digits_at_their_ends(spark, tmp_path):
 def test_opinion_rows_keep_digits_at_their_ends(spark, tmp_path):
     got, want = rows(spark, tmp_path, "d15_opinion_rows")
     assert got == want and len(got) > 5
+
+
+def test_opinions_keep_digits_at_their_ends(spark, tmp_path):
+    got, want = rows(spark, tmp_path, "d15_opinions")
+    assert got == want
+    assert any(r[4].endswith("33.1.2.101") for r in got)
