@@ -140,8 +140,8 @@ def doc_material(paras: DataFrame, surname: Column, cap: int) -> DataFrame:
     told = told.join(facts, "doc_id").withColumn("chosen", whole | ~F.col("anyone") | F.col("named"))
     told = running(told, ["doc_id"], ["pos"], seen=F.col("size"), upto=F.when(F.col("chosen"), F.col("size")))
     told = told.withColumn("fits", F.col("chosen") & (whole | (F.col("upto") <= cap)))
-    # without a fitting paragraph, those that the first characters reach are kept for the cut
-    told = told.join(told.groupBy("doc_id").agg(F.max("fits").alias("some")), "doc_id").where(F.col("fits") | (~F.col("some") & (F.col("seen") - F.col("size") < cap)))
+    # without a fitting paragraph, those that the first characters reach, or the blank line before them, are kept for the cut
+    told = told.join(told.groupBy("doc_id").agg(F.max("fits").alias("some")), "doc_id").where(F.col("fits") | (~F.col("some") & (F.col("seen") - F.col("size") < cap + 2)))
     rows = paras.select("doc_id", "pos", "text").join(told.select("doc_id", "pos", "some"), ["doc_id", "pos"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n")
     return rows.groupBy("doc_id").agg(F.when(F.max("some"), text).otherwise(F.substring(text, 1, cap)).alias("material"))
