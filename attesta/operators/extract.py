@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta.functions import lexicons as L
-from attesta.functions.text import fingerprint, fold, has_prefix, prefix_rx, split_sentences, split_sentences_v1, squash, word_rx
+from attesta.functions.text import fingerprint, fold, fold_plain, has_prefix, once, prefix_rx, split_sentences, split_sentences_v1, squash, word_rx
 from attesta.operators.corpus import fold_literal, keep_first
 from attesta.operators.scans import numbered
 
@@ -41,8 +41,7 @@ def mentions(texts: DataFrame, variants: DataFrame, by: str = "doc_id") -> DataF
     so texts aren't shuffled and the time doesn't grow with the variants; more meet texts over words.
     """
     used = variants.select("entity_id", "variant").where(F.col("variant").rlike(r"(?U)\w")).distinct()
-    size = used.agg(F.sum(F.octet_length("variant") + 16).alias("n")).first().n or 0
-    return _mentions_by_automaton(texts, used, by) if size <= AUTOMATON_BYTES else _mentions_by_words(texts, used, by)
+    return _mentions_by_automaton(texts, used, by) if _size(used) <= AUTOMATON_BYTES else _mentions_by_words(texts, used, by)
 
 
 def _mentions_by_automaton(texts: DataFrame, variants: DataFrame, by: str) -> DataFrame:
@@ -114,20 +113,29 @@ def _mentions_by_words(texts: DataFrame, variants: DataFrame, by: str) -> DataFr
     return single.unionByName(phrases).where("n > 0").groupBy("entity_id", by).agg(F.sum("n").cast("long").alias("n"))
 
 
-def named_rows(rows: DataFrame, variants: DataFrame) -> DataFrame:
-    """rows with entity_id, once for each entity that a row's norm names; norm and all other columns stay.
+def _size(variants: DataFrame) -> int:
+    """Bytes of variants, about as a task holds them."""
+    return variants.agg(F.sum(F.octet_length("variant") + 16).alias("n")).first().n or 0
 
-    rows: (norm, ...). Each row's distinct words meet variants where it stands (a broadcast of the variants as long as Spark
-    finds them small), and phrases are looked for in rows that hold their first word, so rows aren't joined back.
+
+def named_rows(rows: DataFrame, variants: DataFrame, by: tuple = ("doc_id", "pos")) -> DataFrame:
+    """rows with entity_id, once for each variant that a row's norm names; norm goes, all other columns stay.
+
+    rows: (*by, norm, ...), one of each by. Each row's distinct words meet variants, and phrases are looked for in rows that hold their
+    first word. Variants of up to AUTOMATON_BYTES in all are sent to every task, so rows stay where they are; with more of them only
+    words and `by` are shuffled, and rows are joined to what was found.
     """
     word = F.regexp_extract("variant", r"(?U)\w+", 0)
-    wanted = variants.select("entity_id", "variant", word.alias("_word"))
-    words = rows.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0)))))
-    whole = F.rlike("norm", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)")))
-    met = words.join(wanted, "_word").where((F.col("variant") == F.col("_word")) | whole)
-    kept = [c for c in rows.columns if c != "entity_id"]
-    once = F.row_number().over(Window.partitionBy("entity_id", "doc_id", "pos").orderBy("variant"))
-    return met.withColumn("_n", once).where("_n = 1").select("entity_id", *kept)
+    used = variants.select("entity_id", "variant").where(F.col("variant").rlike(r"(?U)\w")).distinct()
+    wanted = used.withColumn("_word", word)
+    kept = [c for c in rows.columns if c not in ("entity_id", "norm")]
+    whole = (F.col("variant") == F.col("_word")) | F.rlike("norm", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("variant"), F.lit(r"\E(?!\w)")))
+    words = F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)\w+"), F.lit(0))))
+    if _size(used) <= AUTOMATON_BYTES:
+        # told by hint, since Spark doesn't know the size of a table from the driver and would shuffle all words of all rows
+        return rows.withColumn("_word", words).join(F.broadcast(wanted), "_word").where(whole).select("entity_id", *kept)
+    met = rows.select(*by, words.alias("_word")).join(wanted, "_word")
+    return met.join(rows, list(by)).where(whole).select("entity_id", *kept)
 
 
 def relevant_documents(docs: DataFrame, variants: DataFrame, least: int = 300) -> DataFrame:
@@ -135,11 +143,6 @@ def relevant_documents(docs: DataFrame, variants: DataFrame, least: int = 300) -
     return mentions(docs.where(F.length("text") >= least).select("doc_id", fold(F.col("text")).alias("norm")), variants)
 
 
-def _once(x: Column, f) -> Column:
-    """f of x, with x computed once."""
-    return F.get(F.transform(F.array(x), f), 0)
-
-
 def sentence_window(text: Column, rx: str, limit: int) -> Column:
     """From the first sentence that matches (folded), the next and the one before in turn while they fit."""
 
@@ -167,23 +170,31 @@ def sentence_window(text: Column, rx: str, limit: int) -> Column:
         at = F.filter(F.transform(sents, lambda s, k: F.when(fold(s).rlike(rx), k)), lambda k: k.isNotNull())
         return F.struct(sents.alias("sents"), F.transform(sents, F.length).alias("sizes"), F.coalesce(F.get(at, 0), F.lit(0)).alias("first"))
 
-    made = _once(_once(F.filter(split_sentences(text), lambda s: s != ""), facts), window)
-    return F.coalesce(_once(made, cut), F.substring(text, 1, limit))
+    made = once(once(F.filter(split_sentences(text), lambda s: s != ""), facts), window)
+    return F.coalesce(once(made, cut), F.substring(text, 1, limit))
+
+
+#: The texts of the two paragraphs before and after.
+BESIDE = ("p2", "p1", "n1", "n2")
+
+
+def neighbours(paras: DataFrame) -> DataFrame:
+    """paras (doc_id, pos, text, ...) with p2, p1, n1 and n2, the texts of the two paragraphs before and after; as they are if they have them."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    near = (F.lag("text", 2).over(w), F.lag("text", 1).over(w), F.lead("text", 1).over(w), F.lead("text", 2).over(w))
+    return paras if set(BESIDE) <= set(paras.columns) else paras.withColumns(dict(zip(BESIDE, near, strict=True)))
 
 
 def excerpts(paras: DataFrame, rx: str, limit: int = 700, keep: Column | None = None) -> DataFrame:
     """paras with excerpt: the paragraph, or its sentences around the match if it is over the limit, or, under 120
     characters, with neighbours (the next first) up to three parts. keep: which paragraphs get one and stay (neighbours need
     not match)."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    at = {k: F.lead("text", k).over(w) for k in (1, 2)}
-    back = {k: F.lag("text", k).over(w) for k in (1, 2)}
-    base = paras.withColumns({"_n1": at[1], "_n2": at[2], "_p1": back[1], "_p2": back[2]})
+    base = neighbours(paras)
     base = base if keep is None else base.where(keep)
     add = lambda size, c: size + 1 + F.length(c)
     own = F.length("text")
     fits = lambda size, c: c.isNotNull() & (add(size, c) <= limit)
-    n1, n2, p1, p2 = (F.col(x) for x in ("_n1", "_n2", "_p1", "_p2"))
+    p2, p1, n1, n2 = map(F.col, BESIDE)
     up, s1 = fits(own, n1), F.when(fits(own, n1), add(own, n1)).otherwise(own)
     down, s2 = fits(s1, p1), F.when(fits(s1, p1), add(s1, p1)).otherwise(s1)
     # a second turn happens with under three parts: one neighbour was taken, and then it may go on the same way
@@ -191,7 +202,7 @@ def excerpts(paras: DataFrame, rx: str, limit: int = 700, keep: Column | None =
     near = F.concat_ws(" ", F.when(down2, p2), F.when(down, p1), F.col("text"), F.when(up, n1), F.when(up2, n2))
     made = F.when(own > limit, sentence_window(F.col("text"), rx, limit)).when(own >= 120, F.col("text")).otherwise(near)
     # by a generator, so that filters on the excerpt don't compute it again
-    return base.select("*", F.explode(F.array(made)).alias("excerpt")).drop("_n1", "_n2", "_p1", "_p2")
+    return base.select("*", F.explode(F.array(made)).alias("excerpt")).drop(*BESIDE)
 
 
 def funding_channels(norm: Column, channels=L.CHANNELS) -> Column:
@@ -211,15 +222,19 @@ def evidence(paras: DataFrame, variants: DataFrame, keywords: list[str], categor
     hit = hit.withColumn("channels", funding_channels(F.col("norm"), channels) if channels else F.expr("cast(array() as array<string>)"))
     if channels:
         hit = hit.where((F.size("matched") >= 2) | (F.size("channels") > 0))
-    named = named_rows(hit.withColumn("norm", fold(F.col("excerpt"))), variants)
-    rows = keep_first(named.withColumn("fp", fingerprint(F.col("excerpt"))), ["entity_id", "doc_id", "fp"], ["pos"])
+    told = hit.select("doc_id", "pos", F.get("matched", 0).alias("keyword"), "channels", "excerpt", fold_plain(F.col("excerpt")).alias("norm"))
+    # a row that several variants name is one by its fingerprint
+    rows = keep_first(named_rows(told, variants).withColumn("fp", fingerprint(F.col("excerpt"))), ["entity_id", "doc_id", "fp"], ["pos"])
     rank = F.row_number().over(Window.partitionBy("entity_id", "doc_id").orderBy(F.size("channels").desc(), F.length("excerpt").desc(), "pos"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("entity_id", "doc_id", "pos", F.lit(category).alias("category"), F.get("matched", 0).alias("keyword"), "excerpt", "channels", "rank")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("entity_id", "doc_id", "pos", F.lit(category).alias("category"), "keyword", "excerpt", "channels", "rank")
 
 
 def mention_excerpts(paras: DataFrame, variants: DataFrame, top: int = 4, limit: int = 900, least: int = 120, rx: str = "$^") -> DataFrame:
     """(entity_id, doc_id, pos, excerpt): the first excerpts of each document that name the entity."""
-    rows = named_rows(excerpts(paras, rx, limit), variants).where(F.length("excerpt") >= least).withColumn("fp", fingerprint(F.col("excerpt"), 250))
+    named = named_rows(neighbours(paras).select("doc_id", "pos", "text", "norm", *BESIDE), variants)
+    rows = excerpts(named, rx, limit).where(F.length("excerpt") >= least).select("entity_id", "doc_id", "pos", "excerpt")
+    # a row that several variants name is one by its fingerprint
+    rows = rows.withColumn("fp", fingerprint(F.col("excerpt"), 250))
     rows = keep_first(rows, ["entity_id", "doc_id", "fp"], ["pos"])
     rank = F.row_number().over(Window.partitionBy("entity_id", "doc_id").orderBy("pos"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("entity_id", "doc_id", "pos", "excerpt", "rank")

@@ -297,7 +297,7 @@ z as (select * from (select *, row_number() over (partition by entity_id, doc_id
 select entity_id, doc_id, pos, md5(excerpt) as h, rank from (select *, row_number() over (partition by entity_id, doc_id order by length(excerpt) desc, pos) as rank from z) where rank <= 4""")
 def d6_evidence(spark, d):
     """With a limit that no paragraph reaches: windows of sentences, which SQL can't express, are d5's and d6_evidence_full's."""
-    found = D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "topic", limit=1_000_000)
+    found = D.evidence(C.text_paragraphs(_t(spark, d, "documents"), near=True), _variants(spark), WORDS, "topic", limit=1_000_000)
     return found.select("entity_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("excerpt").alias("h"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -309,13 +309,13 @@ def d5_sentence_window(spark, d):
 
 @query()
 def d6_evidence_full(spark, d):
-    return D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "topic")
+    return D.evidence(C.text_paragraphs(_t(spark, d, "documents"), near=True), _variants(spark), WORDS, "topic")
 
 
 @query()
 def d7_funding(spark, d):
     channels = [("first", ["thing"]), ("second", ["ander", "ought"]), ("third", ["erin"])]
-    return D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "funding", channels, top=5)
+    return D.evidence(C.text_paragraphs(_t(spark, d, "documents"), near=True), _variants(spark), WORDS, "funding", channels, top=5)
 
 
 @query(rf"""with {_PARAS} select doc_id, pos, list_filter([case when regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])thing') then 'first' end, case when regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])(ander|ought)') then 'second' end, case when regexp_matches(norm, '(^|[^\p{{L}}\p{{N}}_])erin') then 'third' end], lambda x: x is not null) as channels from paras""")
@@ -326,7 +326,7 @@ def d7_channels(spark, d):
 
 @query()
 def d8_mention_excerpts(spark, d):
-    return D.mention_excerpts(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark))
+    return D.mention_excerpts(C.text_paragraphs(_t(spark, d, "documents"), near=True), _variants(spark))
 
 
 @query("""with a as (select *, case when role = lag(role) over (partition by conv_id order by turn) then 0 else 1 end as new from conversations), b as (select *, sum(new) over (partition by conv_id order by turn rows unbounded preceding) as run from a)
@@ -721,7 +721,7 @@ def a10_export_profile(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """For each entity, its best evidence excerpts and how many of its documents hold any."""
-    found = D.evidence(C.text_paragraphs(_t(spark, d, "documents")), _variants(spark), WORDS, "topic")
+    found = D.evidence(C.text_paragraphs(_t(spark, d, "documents"), near=True), _variants(spark), WORDS, "topic")
     ranked = D.rank_by(D.dedupe(found, "excerpt", ["doc_id", "pos"]), F.length("excerpt").desc(), F.col("doc_id"), F.col("pos"), top=10)
     counts = found.groupBy("entity_id").agg(F.countDistinct("doc_id").alias("n_documents"))
     return ranked.join(counts, "entity_id").select("entity_id", "rank", "doc_id", "pos", "keyword", "excerpt", "n_documents")
