@@ -29,7 +29,7 @@ def shuffled(spark, tmp_path, name):
     return re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\), (\w+)", plan(__spark_entry__.queries()[name](spark, str(tmp_path))))
 
 
-@pytest.mark.parametrize("name", ["a8_report", "d8_mention_excerpts", "d6_evidence", "d7_funding"])
+@pytest.mark.parametrize("name", ["a8_report", "d8_mention_excerpts", "d6_evidence", "d7_funding", "d6_evidence_full"])
 def test_words_are_not_shuffled(spark, tmp_path, name):
     """Spark doesn't know the size of a table from the driver, so names have to be sent to the rows by hint."""
     told = shuffled(spark, tmp_path, name)
